@@ -46,7 +46,7 @@ def q_csv_sorted_roundtrip(spark, sf):
                       CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / 100 AS v
                FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
     SELECT county, {", ".join(f'max(v) FILTER (WHERE h = {h}) AS "{h}"' for h in month_heads())},
-           1.0 AS note
+           CAST(1.0 AS DOUBLE) AS note
     FROM v GROUP BY county""")
 def q_wide_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "heat-csv")
