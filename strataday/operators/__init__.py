@@ -12,7 +12,7 @@ from .project import (
 )
 from .reshape import (
     break_runs, checked_count, dates_to_long, flags_wide, pivot_first, replicate_offsets,
-    to_long, uncount, union_by_name,
+    spread, to_long, uncount, union_by_name,
 )
 
 __all__ = [
@@ -21,5 +21,5 @@ __all__ = [
     "informative_strata", "is_numeric", "keep_first", "keep_groups", "lag_columns",
     "left_join", "map_columns", "map_columns_if", "outcome_table", "pivot_first",
     "rank_dates", "rename_positions", "replicate_offsets", "require_unique", "running_base",
-    "select_positions", "to_long", "uncount", "union_by_name", "with_point",
+    "select_positions", "spread", "to_long", "uncount", "union_by_name", "with_point",
 ]

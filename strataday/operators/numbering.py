@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def running_base(
-    cells: DataFrame, count: str, date: str, order: Sequence[str], base: str = "id_base"
+    cells: DataFrame, count: str, date: str, order: Sequence[str], base: str = "id_base",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Exclusive running sum of ``count`` in the order (date, *order), NULLs last.
 
@@ -17,11 +18,17 @@ def running_base(
     a window runs over its cells. The date totals are one row per calendar
     date, so their single-partition window and the broadcast are bounded by the
     calendar and do not grow with the data. (date, *order) must be unique.
+
+    ``source`` are rows of any grain that add up to ``cells``; the date totals are then taken
+    straight from them, with one row per task and date to shuffle. A filter on
+    the date put on the result moves below the inner window on its own, while
+    the totals still cover every date.
     """
     before = Window.unboundedPreceding, -1
     by_date = Window.orderBy(F.asc_nulls_last("__date")).rowsBetween(*before)
     totals = (
-        cells.groupBy(F.col(date).alias("__date"))
+        (cells if source is None else source)
+        .groupBy(F.col(date).alias("__date"))
         .agg(F.sum(count).alias("__total"))
         .select("__date", F.coalesce(F.sum("__total").over(by_date), F.lit(0)).alias("__before"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_day
 
-MAX_RUN = 10_000
+MAX_RUN = 1_000
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -83,16 +83,21 @@ def _replicate(df: DataFrame, count: str, index: str) -> DataFrame:
     return df.select(*others, copies.alias(index, "__copy")).drop("__copy")
 
 
-def break_runs(
-    df: DataFrame, count: str, first: str, max_run: int = MAX_RUN, partitions: int | None = None
-) -> DataFrame:
+def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Hash rows over all shuffle partitions ahead of a step that multiplies them.
+
+    The explicit partition count keeps adaptive execution, which only sees how small
+    the rows are now, from packing them into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def break_runs(df: DataFrame, count: str, first: str, max_run: int = MAX_RUN) -> DataFrame:
     """Cut each row's count into pieces of at most ``max_run`` and spread the pieces.
 
     ``first`` receives the 0-based replicate a piece starts at. The shuffle
-    moves pieces, not replicates, so it stays small; the explicit partition
-    count keeps adaptive coalescing from packing the pieces together again.
+    moves pieces, not replicates, so it stays small.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     others = [c for c in df.columns if c != count]
     last_piece = F.floor((F.col(count) - 1) / max_run).cast("long")
     pieces = (
@@ -101,8 +106,8 @@ def break_runs(
         .withColumn(first, F.col("__piece") * max_run)
         .withColumn(count, F.least(F.lit(max_run), F.col(count) - F.col(first)))
     )
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in others], F.col("__piece"))
-    return pieces.repartition(n, spread).drop("__piece")
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in others], F.col("__piece"))
+    return spread(pieces, place).drop("__piece")
 
 
 def uncount(

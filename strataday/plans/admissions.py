@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import month_text, parse_dmy, recode, strict_sum, year_text
 from ..operators import category_ordinal, rename_positions, select_positions, to_long
@@ -19,15 +20,18 @@ def clean_admissions(
     """Project, rename, decode the county and parse the date.
 
     The total has no fixed name in the file and is taken by position. Unknown
-    county codes and unreadable dates become NULL.
+    county codes and unreadable dates become NULL. A date column that is typed
+    already, as in a stored table, is kept as it is.
     """
     total = select_positions(raw, total_position).columns[0]
     picked = raw.select("Admission_Date", "Patient_Resi_County_FIPS_Cd", total, *sources)
     named = rename_positions(picked, {1: "Date", 2: "County", 3: "Total_Cases"}).withColumnsRenamed(
         dict(sources)
     )
+    typed = isinstance(raw.schema["Admission_Date"].dataType, T.DateType)
     return named.withColumns({
-        "Date": parse_dmy("Date"), "County": recode("County", county_map),
+        "Date": F.col("Date") if typed else parse_dmy("Date"),
+        "County": recode("County", county_map),
     })
 
 

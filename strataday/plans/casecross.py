@@ -1,15 +1,18 @@
 """The case-crossover analysis tables.
 
-Two routes give the same rows:
+Three routes give the same rows:
 
-* step by step on episode rows, for data that already is one row per episode
-  (:func:`attach_exposure` and :func:`strata_tables`);
+* step by step on episode rows (:func:`attach_exposure`, :func:`strata_tables`),
+  for tables that already hold cases and referents;
 * from counts (:func:`full_dataset`, :func:`case_crossover_tables`). All episodes of
   a county-day share their referent dates and exposures, so referents and the
   exposure join are worked out once per county-day and the episodes are
   multiplied out last. The join moves at most 2 * weeks + 1 rows per
-  county-day however many episodes there are, no shuffle follows it, and
-  no key of it can be hot.
+  county-day however many episodes there are, no shuffle of episodes follows
+  it, and no key of it can be hot;
+* from episode rows (:func:`case_crossover_from_cases`), where each case is joined to
+  the finished dates and exposures of its place and day, so that cases are
+  shuffled once each and not once per referent.
 """
 
 from __future__ import annotations
@@ -17,16 +20,18 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import in_study, month_text, year_text
-from ..operators import break_runs, informative_strata, left_join, outcome_table
+from ..functions import in_study, month_text, year_text, zero_if_null
+from ..operators import (
+    break_runs, informative_strata, left_join, outcome_table, require_unique, spread,
+)
 from ..operators.reshape import MAX_RUN
 from ..schemas import (
     FIRE_APR_SEP, OUTCOMES, OUTPUT_ORDER, REFERENT_WEEKS, STUDY_START, output_name,
 )
-from .episodes import case_cells, explode_outcomes, number_episodes
+from .episodes import case_cells, explode_outcomes, number_episodes, occurring_outcomes
 from .referents import add_referents, has_referent
 
 
@@ -46,41 +51,44 @@ def strata_tables(
     return informative_strata(full, labels, id_col)
 
 
-def _crossed_cells(cells, panel, weeks, months, start):
-    """County-day rows crossed with their dates, exposures attached."""
-    dated = cells.withColumns({"Year": year_text("Date"), "Month": month_text("Date")})
-    crossed = add_referents(dated, weeks, months, start, include_case=True)
-    return left_join(crossed, panel, ("Date", "County"))
-
-
-def _multiply(crossed, outcomes, max_run, heavy):
-    rows = explode_outcomes(crossed, outcomes)
-    if heavy:
-        rows = break_runs(rows, "n", "__first", max_run)
-        rows = rows.withColumn("first_id", F.col("first_id") + F.col("__first")).drop("__first")
-    return number_episodes(rows, max_run=None)
-
-
 def crossed_episodes(
     admissions: DataFrame, panel: DataFrame, outcomes: Sequence[str] = OUTCOMES,
     weeks: int = REFERENT_WEEKS, months: Iterable[int] = FIRE_APR_SEP,
-    start: dt.date | None = STUDY_START, only_informative: bool = False, max_run: int = MAX_RUN,
+    start: dt.date | None = STUDY_START, only: Sequence[str] | None = None,
+    only_informative: bool = False, max_run: int = MAX_RUN,
 ) -> DataFrame:
     """Every in-study episode on its case date and all its referent dates.
 
+    ``index`` is the offset in weeks, 0 on the case date; ``dx_ord`` is the outcome's position
+    in ``outcomes``. ``only`` keeps some outcomes, with the IDs they have among all.
     County-days above ``max_run`` episodes go through a second branch that cuts
     their counts into pieces and spreads those, so that a county-day holding a
     large part of all episodes is not written out by one task per date.
     """
     months = tuple(months)
-    cells = case_cells(admissions, outcomes).where(in_study("Date", months, start))
+    wanted = in_study("Date", months, start) & (F.col("total") > 0)
     if only_informative:
-        cells = cells.where(has_referent("Date", weeks, months, start))
-    parts = []
-    for heavy, size in ((False, F.col("total") <= max_run), (True, F.col("total") > max_run)):
-        crossed = _crossed_cells(cells.where(size), panel, weeks, months, start)
-        parts.append(_multiply(crossed, outcomes, max_run, heavy))
-    return parts[0].unionByName(parts[1])
+        wanted = wanted & has_referent("Date", weeks, months, start)
+    cells = case_cells(admissions, outcomes).where(wanted).select(
+        "Date", year_text("Date").alias("Year"), month_text("Date").alias("Month"), "County",
+        "total", occurring_outcomes(outcomes, only).alias("occurring"),
+    )
+    if only is not None:
+        cells = cells.where(F.size("occurring") > 0)
+    crossed = add_referents(
+        spread(cells, "Date", "County"), weeks, months, start, include_case=True
+    )
+    exposed = left_join(crossed, panel, ("Date", "County"))
+    light = explode_outcomes(exposed.where(F.col("total") <= max_run), outcomes, "occurring")
+    heavy = explode_outcomes(exposed.where(F.col("total") > max_run), outcomes, "occurring")
+    pieces = break_runs(heavy, "n", "__first", max_run)
+    return number_episodes(light, max_run=None).unionByName(
+        number_episodes(pieces, None, F.col("first_id") + F.col("__first")).drop("__first")
+    )
+
+
+def _exposures(panel: DataFrame) -> list[str]:
+    return [c for c in panel.columns if c not in ("Date", "County")]
 
 
 def full_dataset(
@@ -89,12 +97,11 @@ def full_dataset(
     """Cases and referents with 0/1 outcome flags and exposures, one row per episode and date."""
     rows = crossed_episodes(admissions, panel, outcomes, **options)
     is_case = F.col("index") == 0
-    exposures = [c for c in panel.columns if c not in ("Date", "County")]
-    return rows.select(
-        "Date", "Year", "Month", "County", "Patient_ID",
-        *[(is_case & (F.col("Primary_dx") == c)).cast("int").alias(c) for c in outcomes],
-        *exposures,
-    )
+    flags = [
+        (is_case & (F.col("dx_ord") == i)).cast("int").alias(c)
+        for i, c in enumerate(outcomes, start=1)
+    ]
+    return rows.select("Date", "Year", "Month", "County", "Patient_ID", *flags, *_exposures(panel))
 
 
 def case_crossover_tables(
@@ -107,11 +114,91 @@ def case_crossover_tables(
     before anything is multiplied out.
     """
     rows = crossed_episodes(admissions, panel, outcomes, only_informative=True, **options)
-    exposures = [c for c in panel.columns if c not in ("Date", "County")]
-    label = F.regexp_replace("Primary_dx", "_dx$", "")
+    labels = F.array(*[F.lit(output_name(c)) for c in outcomes])
     return rows.select(
         "Date", "Year", "Month", "County", "Patient_ID",
-        (F.col("index") == 0).cast("int").alias("outcome"), *exposures, label.alias("out_name"),
+        (F.col("index") == 0).cast("int").alias("outcome"), *_exposures(panel),
+        F.element_at(labels, F.col("dx_ord")).alias("out_name"),
+    )
+
+
+def outcome_dataset(
+    admissions: DataFrame, panel: DataFrame, outcome: str, outcomes: Sequence[str] = OUTCOMES,
+    **options,
+) -> DataFrame:
+    """The analysis table of one outcome, its own flag renamed ``outcome`` in place."""
+    rows = full_dataset(
+        admissions, panel, outcomes, only=[outcome], only_informative=True, **options
+    )
+    return rows.withColumnRenamed(outcome, "outcome").withColumn(
+        "out_name", F.lit(output_name(outcome))
+    )
+
+
+def place_days(
+    cases: DataFrame, panel: DataFrame, keys: Sequence[str], derived: Mapping[str, Column],
+    weeks: int, months: Iterable[int], start: dt.date | None, date: str = "Date",
+) -> DataFrame:
+    """Per place and case date an array of its dates and their exposures.
+
+    ``keys`` are the panel's join keys; those in ``derived`` are computed from the shifted
+    date, the others (besides the date) say where the case is. An array has at
+    most ``2 * weeks + 1`` entries as long as the panel has one row per key.
+    """
+    place = [k for k in keys if k != date and k not in derived]
+    starts = cases.select(*place, date).distinct().withColumn("__case_date", F.col(date))
+    crossed = add_referents(starts, weeks, months, start, date, include_case=True)
+    exposed = left_join(crossed.withColumns(dict(derived)), require_unique(panel, keys), keys)
+    entry = [c for c in exposed.columns if c not in (*place, "__case_date")]
+    return exposed.groupBy(*place, "__case_date").agg(
+        F.collect_list(F.struct(*entry)).alias("__days")
+    )
+
+
+def case_crossover_from_cases(
+    cases: DataFrame, panel: DataFrame, flags: Sequence[str], labels: Mapping[str, str],
+    id_col: str = "Patient_ID", keys: Sequence[str] = ("Date", "County"),
+    derived: Mapping[str, Column] | None = None, weeks: int = REFERENT_WEEKS,
+    months: Iterable[int] = FIRE_APR_SEP, start: dt.date | None = STUDY_START, date: str = "Date",
+) -> DataFrame:
+    """Informative strata of episode rows that may carry several flags.
+
+    A referent's flags are all 0, so a stratum takes both values of a flag exactly when
+    a case of its ID has it, and some case lacks it or has a referent. That is
+    an aggregate over the cases alone; referents are only multiplied out for
+    the strata that stay.
+    """
+    months = tuple(months)
+    chosen = cases.where(in_study(date, months, start))
+    chosen = chosen.withColumns({c: zero_if_null(c) for c in flags})
+    both = [
+        F.when((F.max(c) == 1) & ((F.min(c) == 0) | F.max("__paired")), F.lit(c)) for c in labels
+    ]
+    strata = (
+        chosen.withColumn("__paired", has_referent(date, weeks, months, start))
+        .groupBy(F.col(id_col).alias("__id"))
+        .agg(F.filter(F.array(*both), lambda x: x.isNotNull()).alias("__flags"))
+        .where(F.size("__flags") > 0)
+    )
+    kept = chosen.join(strata, F.col(id_col).eqNullSafe(F.col("__id")), "inner").drop("__id")
+    days = place_days(chosen, panel, keys, derived or {}, weeks, months, start, date)
+    place = [k for k in keys if k != date and k not in (derived or {})]
+    rows = left_join(
+        kept.withColumnRenamed(date, "__case_date"), days, ("__case_date", *place)
+    ).withColumn("__day", F.explode("__days"))
+    rows = rows.withColumn("__flag", F.explode("__flags"))
+    is_case = F.col("__day.index") == 0
+    own = {c: F.when(is_case, F.col(c)).otherwise(0) for c in flags}
+    carried = [
+        F.col("__day")[date].alias(date) if c == date else own[c].alias(c) if c in own else F.col(c)
+        for c in cases.columns
+    ]
+    added = [c for c in panel.columns if c not in cases.columns]
+    outcome = F.coalesce(*[F.when(F.col("__flag") == c, own[c]) for c in labels])
+    label = F.coalesce(*[F.when(F.col("__flag") == c, F.lit(n)) for c, n in labels.items()])
+    return rows.select(
+        *carried, *[F.col("__day")[c].alias(c) for c in added],
+        outcome.alias("outcome"), label.alias("out_name"),
     )
 
 

@@ -25,30 +25,49 @@ def case_cells(
     so adding them up first keeps the numbers and leaves little to shuffle.
     """
     counted = admissions.select(date, county, *[checked_count(c).alias(c) for c in outcomes])
-    cells = counted.groupBy(date, county).agg(*[F.sum(c).alias(c) for c in outcomes])
     total: Column = F.lit(0).cast("long")
     for c in outcomes:
         total = total + F.col(c)
-    return running_base(cells.withColumn("total", total), "total", date, [county])
+    cells = counted.groupBy(date, county).agg(*[F.sum(c).alias(c) for c in outcomes])
+    return running_base(
+        cells.withColumn("total", total), "total", date, [county],
+        source=counted.select(date, total.alias("total")),
+    )
 
 
-def explode_outcomes(
-    cells: DataFrame, outcomes: Sequence[str] = OUTCOMES, base: str = "id_base"
-) -> DataFrame:
-    """One row per outcome that occurs: ``Primary_dx``, its count ``n`` and first ID offset."""
-    starts: list[Column] = []
+def occurring_outcomes(
+    outcomes: Sequence[str] = OUTCOMES, only: Sequence[str] | None = None, base: str = "id_base"
+) -> Column:
+    """Array of the outcomes a cell has: position in ``outcomes``, count, IDs before the first."""
+    entries: list[Column] = []
     running = F.col(base)
-    for c in outcomes:
-        starts.append(F.struct(F.lit(c).alias("dx"), F.col(c).alias("n"), running.alias("first")))
+    for i, c in enumerate(outcomes, start=1):
+        if only is None or c in only:
+            entries.append(
+                F.struct(F.lit(i).alias("ord"), F.col(c).alias("n"), running.alias("first"))
+            )
         running = running + F.col(c)
-    others = [c for c in cells.columns if c not in (*outcomes, base, "total")]
-    return (
-        cells.select(*others, F.explode(F.array(*starts)).alias("__o"))
-        .select(
-            *others, F.col("__o.dx").alias("Primary_dx"), F.col("__o.n").alias("n"),
-            F.col("__o.first").alias("first_id"),
-        )
-        .where(F.col("n") > 0)
+    return F.filter(F.array(*entries), lambda o: o["n"] > 0)
+
+
+def explode_outcomes(
+    cells: DataFrame, outcomes: Sequence[str] = OUTCOMES, occurring: str | None = None
+) -> DataFrame:
+    """One row per outcome that occurs in a cell.
+
+    Gives ``Primary_dx``, its position ``dx_ord``, its count ``n`` and ``first_id``,
+    the number of IDs before its first. ``occurring`` names a column already
+    holding :func:`occurring_outcomes`.
+    """
+    entry = F.col(occurring) if occurring else occurring_outcomes(outcomes)
+    others = [c for c in cells.columns if c not in (*outcomes, "id_base", "total", occurring)]
+    names = F.array(*[F.lit(c) for c in outcomes])
+    return cells.select(*others, F.explode(entry).alias("__o")).select(
+        *others,
+        F.element_at(names, F.col("__o.ord")).alias("Primary_dx"),
+        F.col("__o.ord").alias("dx_ord"),
+        F.col("__o.n").alias("n"),
+        F.col("__o.first").alias("first_id"),
     )
 
 
@@ -58,13 +77,15 @@ def patient_id(outcome: str = "Primary_dx", number: Column | str = "ID") -> Colu
 
 
 def number_episodes(
-    rows: DataFrame, max_run: int | None = MAX_RUN, keep_id: bool = False
+    rows: DataFrame, max_run: int | None = MAX_RUN, ids_before: Column | str = "first_id"
 ) -> DataFrame:
-    """Replicate each outcome row by its count and give every copy its ID."""
+    """Replicate each outcome row by its count ``n`` and give every copy its ``Patient_ID``."""
     copies = uncount(rows, "n", "replicate", max_run)
-    numbered = copies.withColumn("ID", F.col("first_id") + F.col("replicate") + 1)
-    named = numbered.withColumn("Patient_ID", patient_id()).drop("first_id", "replicate")
-    return named if keep_id else named.drop("ID")
+    before = F.col(ids_before) if isinstance(ids_before, str) else ids_before
+    kept = [c for c in copies.columns if c not in ("first_id", "replicate")]
+    return copies.select(
+        *kept, patient_id(number=before + F.col("replicate") + 1).alias("Patient_ID")
+    )
 
 
 def build_episodes(

@@ -53,6 +53,17 @@ def has_referent(
     )
 
 
+def cross_cases(cases: DataFrame, flags: Sequence[str] = OUTCOMES, **options) -> DataFrame:
+    """Cases and referents from one pass over the cases, flags 0 on referent dates.
+
+    Same rows as :func:`case_crossover` of the cases and their referents, which
+    reads the cases twice.
+    """
+    crossed = add_referents(cases, include_case=True, **options)
+    own = {c: F.when(F.col("index") == 0, zero_if_null(c)).otherwise(0) for c in flags}
+    return crossed.withColumns(own).drop("index")
+
+
 def case_crossover(
     cases: DataFrame, referents: DataFrame, flags: Sequence[str] = OUTCOMES
 ) -> DataFrame:

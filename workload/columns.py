@@ -43,7 +43,7 @@ def q_rename_outcomes(spark, sf):
 @query("admissions_clean", sql=ctes("fips", "oc", "adm") + """
     SELECT * FROM adm""")
 def q_admissions_clean(spark, sf):
-    return admissions(spark, sf)
+    return admissions(spark, sf, text_dates=True)
 
 
 @query("recode_default_null", sql=ctes("fips") + """

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataday.functions import quarter_text, zero_if_null
-from strataday.operators import map_columns, outcome_table
+from strataday.operators import map_columns
 from strataday.plans import (
-    add_referents, attach_exposure, build_episodes, case_crossover, case_crossover_tables,
-    exposure_panel, full_dataset, strata_tables, study_cases, widen_episodes,
+    add_referents, attach_exposure, build_episodes, case_crossover, case_crossover_from_cases,
+    case_crossover_tables, cross_cases, exposure_panel, full_dataset, outcome_dataset, strata_tables,
+    study_cases, widen_episodes,
 )
 from strataday.schemas import (
     FIRE_APR_AUG, FIRE_APR_SEP, MULTI_FLAG_LABELS, MULTI_FLAGS, OUTCOMES,
 )
 
-from .registry import query
+from .registry import ORACLES, query
 from .views import (
     FLAG_RULES, PANEL_SQL, START, admissions, ctes, heat, multi_flag_cases, smoke,
 )
@@ -109,7 +110,8 @@ _OTHERS = ", ".join(
     SELECT {_HEAD}, {_OTHERS}, {", ".join(_LAGGED)}, 'asthma' AS out_name {_FULL_JOIN}
     WHERE dx = 'asthma_dx' AND c."Patient_ID" IN (SELECT id FROM strata)""")
 def q_casecross_asthma(spark, sf):
-    return outcome_table(strata_tables(q_full_dataset(spark, sf)), "asthma_dx", "asthma")
+    panel = exposure_panel(smoke(spark, sf), heat(spark, sf))
+    return outcome_dataset(admissions(spark, sf), panel, "asthma_dx", start=START)
 
 
 _MULTI = ", ".join(
@@ -133,11 +135,22 @@ _MULTI = ", ".join(
         SELECT hfdrepisode FROM full_rows GROUP BY 1 HAVING count(DISTINCT {flag}) = 2)"""
         for flag, label in MULTI_FLAG_LABELS.items()))
 def q_casecross_multi_flag(spark, sf):
+    panel = smoke(spark, sf).withColumnRenamed("County", "county").withColumn(
+        "quarter", quarter_text("Date")
+    )
+    return case_crossover_from_cases(
+        multi_flag_cases(spark, sf), panel, MULTI_FLAGS, MULTI_FLAG_LABELS, "hfdrepisode",
+        keys=("county", "Date", "quarter"), derived={"quarter": quarter_text("Date")},
+        months=FIRE_APR_AUG, start=START,
+    )
+
+
+@query("casecross_multi_flag_steps", sql=ORACLES["casecross_multi_flag"])
+def q_casecross_multi_flag_steps(spark, sf):
     cases = study_cases(multi_flag_cases(spark, sf), FIRE_APR_AUG, START)
-    referents = add_referents(
-        cases.select("hfdrepisode", "county", "Date"), months=FIRE_APR_AUG, start=START
+    rows = cross_cases(cases, MULTI_FLAGS, months=FIRE_APR_AUG, start=START).withColumn(
+        "quarter", quarter_text("Date")
     )
-    rows = case_crossover(cases, referents, MULTI_FLAGS).withColumn("quarter", quarter_text("Date"))
     panel = smoke(spark, sf).withColumnRenamed("County", "county").withColumn(
         "quarter", quarter_text("Date")
     )

@@ -51,7 +51,7 @@ def q_heat_long(spark, sf):
     FROM eplong, unnest(range(0, n)) AS t(k)""")
 def q_uncount_episodes(spark, sf):
     rows = explode_outcomes(case_cells(admissions(spark, sf)))
-    return uncount(rows.drop("first_id"), "n", "replicate")
+    return uncount(rows.drop("first_id", "dx_ord"), "n", "replicate")
 
 
 @query("episode_ids", sql=ctes("fips", "oc", "adm", "cells", "eplong", "ep") + """
@@ -121,7 +121,7 @@ def q_count_values(spark, sf):
            {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in FACET_ORDER)}
     FROM adm GROUP BY 1""")
 def q_annual_summary(spark, sf):
-    return annual_summary(admissions(spark, sf))
+    return annual_summary(admissions(spark, sf, text_dates=True))
 
 
 @query("annual_summary_strict", sql=ctes("fips", "oc", "adm") + """

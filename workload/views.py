@@ -60,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cents(column: str) -> Column:
     """Two-decimal amount as whole cents, so that sums are exact in any order."""
-    return F.round(F.col(column) * 100).cast("long")
+    return F.rint(F.col(column) * 100).cast("long")
 
 
 def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,8 @@ def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def admissions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """County-day counts laid out like the admissions file."""
+def admissions_raw(spark: SparkSession, sf_dir: str, text_dates: bool = False) -> DataFrame:
+    """County-day counts laid out like the admissions file, or like its stored form with real dates."""
     counts = (
         orders_with_customer(spark, sf_dir)
         .groupBy("Date", "c_nationkey")
@@ -82,7 +82,9 @@ def admissions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return counts.select(
-        F.upper(F.date_format("Date", "ddMMMyyyy")).alias("Admission_Date"),
+        (F.upper(F.date_format("Date", "ddMMMyyyy")) if text_dates else F.col("Date")).alias(
+            "Admission_Date"
+        ),
         F.col("c_nationkey").alias("Patient_Resi_County_FIPS_Cd"),
         F.dayofweek("Date").alias("Weekday"),
         "All_Admissions",
@@ -90,21 +92,19 @@ def admissions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_admissions(admissions_raw(spark, sf_dir))
+def admissions(spark: SparkSession, sf_dir: str, text_dates: bool = False) -> DataFrame:
+    return clean_admissions(admissions_raw(spark, sf_dir, text_dates))
 
 
 def smoke_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County-day exposure with text dates and the unaccented county spelling."""
-    lines = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
-    )
     spelled = {**COUNTY_FIPS, 13: "Dona Ana"}
+    places = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", recode("s_nationkey", spelled).alias("County")
+    )
+    lines = table(spark, sf_dir, "lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     return (
-        lines.groupBy(
-            F.col("l_shipdate").cast("date").alias("day"),
-            recode("s_nationkey", spelled).alias("County"),
-        )
+        lines.groupBy(F.col("l_shipdate").cast("date").alias("day"), "County")
         .agg(
             (F.sum(cents("l_discount")) / F.lit(100.0)).alias("smokepm25"),
             F.sum(F.col("l_quantity").cast("long")).cast("double").alias("totalpm25"),
@@ -119,9 +119,13 @@ def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County-day heat index on other days than the smoke panel."""
+    places = table(spark, sf_dir, "customer").select(
+        "c_custkey", recode("c_nationkey", COUNTY_FIPS).alias("County")
+    )
     return (
-        orders_with_customer(spark, sf_dir)
-        .groupBy("Date", recode("c_nationkey", COUNTY_FIPS).alias("County"))
+        table(spark, sf_dir, "orders")
+        .join(places, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("o_orderdate").cast("date").alias("Date"), "County")
         .agg((F.sum(cents("o_totalprice")) / F.lit(100.0)).alias("HeatIndex"))
     )
 
