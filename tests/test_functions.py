@@ -1,0 +1,162 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataday.functions import (
+    after, count_values, date_text_matches, day_label, epoch_day, has_both_flags, in_months,
+    in_study, iso_date, join_text, lag_name, month_text, parse_dmy, parse_mdy, parse_ymd, paste,
+    quarter_text, recode, remove_text, scale_to_domain, shift_weeks, slice_text, strict_sum,
+    year_text, zero_if_null,
+)
+from strataday.schemas import (
+    COUNTY_ALIASES, COUNTY_ASCII, COUNTY_FIPS, COUNTY_STATE_FIPS, FACET_ORDER, FIRE_APR_AUG,
+    FIRE_APR_SEP, FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, MULTI_FLAG_LABELS,
+    MULTI_FLAGS, OFF_SEASON, OUTCOMES, OUTPUT_ORDER, output_name,
+)
+
+D = dt.date
+
+
+def one(spark, value, kind, expr):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(expr("x").alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("01JAN2016", D(2016, 1, 1)), ("1jan2016", D(2016, 1, 1)), ("29FEB2020", D(2020, 2, 29)),
+    (" 15Apr2022 ", D(2022, 4, 15)), ("15/4/2022", D(2022, 4, 15)), ("31FEB2016", None),
+    ("soon", None), ("", None), (None, None),
+])
+def test_parse_dmy(spark, text, expected):
+    assert one(spark, text, "string", parse_dmy) == expected
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("2016-01-05", D(2016, 1, 5)), ("2016-1-5", D(2016, 1, 5)), ("2016/01/05", D(2016, 1, 5)),
+    ("20160105", D(2016, 1, 5)), ("2016-13-05", None), ("x", None), (None, None),
+])
+def test_parse_ymd(spark, text, expected):
+    assert one(spark, text, "string", parse_ymd) == expected
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("1/5/2016", D(2016, 1, 5)), ("01/05/2016", D(2016, 1, 5)), ("12-31-2020", D(2020, 12, 31)),
+    ("13/5/2016", None), ("x", None), (None, None),
+])
+def test_parse_mdy(spark, text, expected):
+    assert one(spark, text, "string", parse_mdy) == expected
+
+
+def test_iso_and_epoch(spark):
+    assert one(spark, "2022-04-06", "string", iso_date) == D(2022, 4, 6)
+    assert one(spark, "06.04.2022", "string", iso_date) is None
+    assert one(spark, "16801", "string", epoch_day) == D(2016, 1, 1)
+    assert one(spark, "note", "string", epoch_day) is None
+    assert one(spark, 0, "int", epoch_day) == D(1970, 1, 1)
+
+
+def test_labels(spark):
+    day = D(2022, 4, 6)
+    assert one(spark, day, "date", year_text) == "2022"
+    assert one(spark, day, "date", month_text) == "04"
+    assert one(spark, day, "date", day_label) == "04-06-2022"
+    assert one(spark, day, "date", quarter_text) == "Q2"
+    assert one(spark, None, "date", year_text) is None
+
+
+def test_season_and_start(spark):
+    days = [D(2016, 3, 31), D(2016, 4, 1), D(2016, 8, 31), D(2016, 9, 30), D(2016, 10, 1), None]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    keep = lambda cond: [r[0] for r in df.where(cond).collect()]
+    assert keep(in_months("d", FIRE_APR_SEP)) == days[1:4]
+    assert keep(in_months("d", FIRE_APR_AUG)) == days[1:3]
+    assert keep(in_months("d", OFF_SEASON)) == [days[0], days[4]]
+    assert keep(date_text_matches("d", "-04-|-09-")) == [days[1], days[3]]
+    assert keep(after("d", "2016-04-01")) == days[2:5]
+    assert keep(in_study("d", FIRE_APR_SEP, D(2016, 4, 1))) == days[2:4]
+    assert keep(in_study("d", FIRE_APR_SEP, None)) == days[1:4]
+
+
+def test_shift_weeks(spark):
+    df = spark.createDataFrame([(D(2020, 2, 27), 1), (D(2020, 1, 1), -1)], "d date, w int")
+    assert [r[0] for r in df.select(shift_weeks("d", "w")).collect()] == [
+        D(2020, 3, 5), D(2019, 12, 25),
+    ]
+
+
+def test_text(spark):
+    df = spark.createDataFrame([("respiratory_dx", None, D(2022, 4, 6), 7)], "a string, b string, d date, n int")
+    row = df.select(
+        slice_text("a", 1, 4), slice_text("d", 6, 7), remove_text("d", "-"),
+        join_text("a", "n", sep="/"), join_text("a", "b", sep="/"), paste(slice_text("a", 1, 4), "n"),
+        paste("a", "b"), join_text("n", F.lit("_map.png")),
+    ).first()
+    assert list(row) == [
+        "resp", "04", "20220406", "respiratory_dx/7", None, "resp 7", "respiratory_dx NA",
+        "7_map.png",
+    ]
+
+
+def test_recode(spark):
+    df = spark.createDataFrame([(6,), (28,), (2,), (None,)], "c int")
+    assert [r[0] for r in df.select(recode("c", COUNTY_FIPS)).collect()] == [
+        "Cibola", "Los Alamos", None, None,
+    ]
+    names = spark.createDataFrame([("Dona Ana",), ("Bernilillo",), ("Taos",), (None,)], "c string")
+    assert [r[0] for r in names.select(recode("c", COUNTY_ALIASES, "keep")).collect()] == [
+        "Doña Ana", "Bernalillo", "Taos", None,
+    ]
+    back = spark.createDataFrame([("Doña Ana",)], "c string")
+    assert back.select(recode("c", COUNTY_ASCII, "keep")).first()[0] == "Dona Ana"
+    with pytest.raises(ValueError):
+        recode("c", COUNTY_FIPS, "drop")
+
+
+def test_vocabulary():
+    assert len(COUNTY_FIPS) == 33 and len(COUNTY_STATE_FIPS) == 33
+    assert [c for c in COUNTY_FIPS if c % 2 == 0] == [6, 28]
+    assert COUNTY_STATE_FIPS[35013] == "Doña Ana"
+    assert sorted(OUTCOMES) == sorted(FACET_ORDER) and len(set(OUTCOMES)) == 12
+    assert sorted(output_name(c) for c in OUTCOMES) == sorted(OUTPUT_ORDER)
+    assert len(MULTI_FLAGS) == 14 and len(MULTI_FLAG_LABELS) == 12
+    assert MULTI_FLAG_LABELS["arrythmia"] == "arrhythmia"
+    frames = (FRAME_LAST_DAY - FRAME_FIRST_DAY).days + 1
+    assert (frames, FRAME_FIRST_NUMBER + frames - 1) == (138, 233)
+    assert FRAME_FIRST_DAY.timetuple().tm_yday == FRAME_FIRST_NUMBER
+
+
+def test_null_handling(spark):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", 2), ("b", 3), ("b", None), ("c", None)], "g string, v int"
+    )
+    got = {
+        r["g"]: (r["s"], r["n"])
+        for r in df.groupBy("g").agg(strict_sum("v").alias("s"), count_values("v").alias("n")).collect()
+    }
+    assert got == {"a": (3, 2), "b": (None, 2), "c": (None, 1)}
+    assert [r[0] for r in df.select(zero_if_null("v")).collect()] == [1, 2, 3, 0, 0]
+    assert df.where("false").agg(strict_sum("v")).first()[0] is None
+
+
+@pytest.mark.parametrize("values,expected", [
+    ([0, 1], True), ([1, 1], False), ([0], False), ([0, None], True), ([1, None], True),
+    ([None], False), ([0, 1, None], False), ([0, 0, 1, 1], True),
+])
+def test_both_flags_is_two_values(spark, values, expected):
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    row = df.agg(has_both_flags("v").alias("b"), count_values("v").alias("n")).first()
+    assert row["b"] is expected and (row["n"] == 2) is expected
+
+
+def test_scale_to_domain(spark):
+    df = spark.createDataFrame([(-3.0,), (32.0,), (67.0,), (67.1,), (-3.1,), (None,)], "v double")
+    up = [r[0] for r in df.select(scale_to_domain("v", -3, 67)).collect()]
+    down = [r[0] for r in df.select(scale_to_domain("v", -3, 67, reverse=True)).collect()]
+    assert up == [0.0, 0.5, 1.0, None, None, None]
+    assert down == [1.0, 0.5, 0.0, None, None, None]
+
+
+def test_lag_name():
+    assert lag_name("smokepm25", 3) == "smokepm25_lag3"
