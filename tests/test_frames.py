@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataday.plans import (
+    attach_layer, daily_counts, date_spine, frame_layers, frame_manifest, standardise_monitors,
+)
+from strataday.schemas import MONITOR_SCHEMA
+
+D = dt.date
+
+
+def test_default_manifest(spark):
+    frames = frame_manifest(spark).orderBy("frame_no").collect()
+    assert len(frames) == 138
+    assert tuple(frames[0]) == (96, D(2022, 4, 6), "04-06-2022", "96_map.png")
+    assert tuple(frames[-1]) == (233, D(2022, 8, 21), "08-21-2022", "233_map.png")
+    assert [r["frame_no"] for r in frames] != [
+        r["frame_no"] for r in sorted(frames, key=lambda r: r["file_name"])
+    ]
+
+
+def test_date_spine(spark):
+    assert date_spine(spark, D(2022, 1, 1), D(2022, 12, 31)).count() == 365
+
+
+def layer(spark, days):
+    return spark.createDataFrame(
+        [(D(2022, 4, d), i, f"g{d}", float(d)) for i, d in enumerate(days)],
+        "Date date, feature_id int, geometry string, Concentration double",
+    )
+
+
+def test_layers_by_date_and_by_rank(spark, rows):
+    manifest = frame_manifest(spark, D(2022, 4, 1), D(2022, 4, 4), 1)
+    gap = layer(spark, [1, 3, 3, 4])
+    assert rows(attach_layer(manifest, gap, "date"), "frame_no", "geometry") == [
+        (1, "g1"), (3, "g3"), (3, "g3"), (4, "g4"),
+    ]
+    by_rank = attach_layer(manifest, gap, "rank")
+    assert rows(by_rank, "frame_no", "geometry", "label") == [
+        (1, "g1", "04-01-2022"), (2, "g3", "04-02-2022"), (2, "g3", "04-02-2022"), (3, "g4", "04-03-2022"),
+    ]
+    with pytest.raises(ValueError):
+        attach_layer(manifest, gap, "order")
+
+
+def test_frame_layers(spark):
+    manifest = frame_manifest(spark, D(2022, 4, 1), D(2022, 4, 3), 1)
+    smoke, monitors = layer(spark, [1, 1, 2]).drop("Concentration"), layer(spark, [2, 2, 2, 9])
+    boundary = spark.createDataFrame([(0, "fire")], "feature_id int, geometry string")
+    out = frame_layers(manifest, smoke, monitors, boundary, "date")
+    sizes = {(r["frame_no"], r["layer"]): r["count"] for r in out.groupBy("frame_no", "layer").count().collect()}
+    assert sizes == {
+        (1, "smoke"): 2, (2, "smoke"): 1, (2, "monitor"): 3,
+        (1, "boundary"): 1, (2, "boundary"): 1, (3, "boundary"): 1,
+    }
+    shade = out.where("layer = 'monitor'").first()["shade"]
+    assert shade == pytest.approx(1 - (2 + 3) / 70)
+    assert out.where("layer <> 'monitor' and shade is not null").count() == 0
+
+
+def test_boundary_must_be_one_row(spark):
+    manifest = frame_manifest(spark, D(2022, 4, 1), D(2022, 4, 2), 1)
+    two = spark.createDataFrame([(0, "a"), (1, "b")], "feature_id int, geometry string")
+    with pytest.raises(Exception):
+        frame_layers(manifest, layer(spark, [1]), layer(spark, [1]), two).collect()
+
+
+def test_frames_use_no_cartesian_product(spark, plan):
+    manifest = frame_manifest(spark, D(2022, 4, 1), D(2022, 4, 3), 1)
+    boundary = spark.createDataFrame([(0, "fire")], "feature_id int, geometry string")
+    text = plan(frame_layers(manifest, layer(spark, [1]), layer(spark, [2]), boundary, "rank"))
+    assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_standardise_monitors(spark):
+    data = [
+        ("88101", 35, "001", "0023", s, -106.6, 35.1, "2022-04-06", v)
+        for s, v in (("PM25 Annual 2012", 7.5), ("PM25 Annual 2006", 7.5), (None, 1.0))
+    ]
+    out = standardise_monitors(spark.createDataFrame(data, MONITOR_SCHEMA))
+    assert out.columns == [
+        "geometry", "srid", "state_code", "county_code", "site_number", "Date", "Pollutant", "Concentration",
+    ]
+    assert out.count() == 1
+    row = out.first()
+    assert tuple(row["geometry"]) == (-106.6, 35.1) and row["Date"] == D(2022, 4, 6)
+    assert (row["Pollutant"], row["Concentration"], row["srid"]) == ("PM2.5", 7.5, 4326)
+    assert out.groupBy("site_number", "Date").count().where(F.col("count") > 1).count() == 0
+
+
+def test_daily_counts(spark):
+    assert sorted(tuple(r) for r in daily_counts(layer(spark, [1, 1, 3])).collect()) == [
+        (D(2022, 4, 1), 2), (D(2022, 4, 3), 1),
+    ]
