@@ -69,5 +69,11 @@ def scale_to_domain(c: ColumnLike, lo: float, hi: float, reverse: bool = False)
     return F.when(value.between(float(lo), float(hi)), position)
 
 
+def steps(lo: float, hi: float, by: float) -> Column:
+    """Array ``lo, lo + by, ...`` up to ``hi``."""
+    count = F.sequence(F.lit(0), F.lit(int((hi - lo) // by)))
+    return F.transform(count, lambda k: F.lit(float(lo)) + k * F.lit(float(by)))
+
+
 def lag_name(variable: str, k: int) -> str:
     return f"{variable}_lag{k}"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.values import lag_name
+from .joins import left_join
 
 
 def lag_columns(variable: str, window: WindowSpec, n: int = 6) -> list[Column]:
@@ -15,28 +16,32 @@ def lag_columns(variable: str, window: WindowSpec, n: int = 6) -> list[Column]:
     return [F.lag(variable, k).over(window).alias(lag_name(variable, k)) for k in range(1, n + 1)]
 
 
+def _fail_when(df: DataFrame, condition: Column, what: str) -> DataFrame:
+    error = F.raise_error(F.lit(what)).cast("boolean")
+    return (
+        df.withColumn("__bad", condition)
+        .where(F.when(F.col("__bad"), error).otherwise(F.lit(True)))
+        .drop("__bad")
+    )
+
+
 def add_lags(
-    df: DataFrame, variables: Sequence[str], n: int = 6, group: str = "County",
-    date: str = "Date", unique: bool = True,
+    df: DataFrame, variables: Sequence[str], n: int = 6, group: str = "County", date: str = "Date"
 ) -> DataFrame:
     """Lags by row position inside a group, in date order.
 
-    All variables share one exchange and one sort. With ``unique`` a repeated
-    (group, date) fails the query; the check rides on the same sort, and it is
-    also what bounds a group: it cannot hold more rows than there are days.
-    For groups with repeated days use :func:`add_lags_blocked`.
+    All variables share one exchange and one sort. A repeated (group, date)
+    fails the query; the check rides on the same sort, and it is also what
+    bounds a group: it cannot hold more rows than there are days. Groups with
+    repeated days go to :func:`add_lags_blocked`.
     """
     window = Window.partitionBy(group).orderBy(F.asc_nulls_last(date))
-    lags = [c for v in variables for c in lag_columns(v, window, n)]
-    if not unique:
-        return df.select("*", *lags)
-    repeated = (F.row_number().over(window) > 1) & F.lag(date, 1).over(window).eqNullSafe(F.col(date))
-    error = F.raise_error(F.lit(f"duplicate ({group}, {date})")).cast("boolean")
-    return (
-        df.select("*", *lags, repeated.alias("__repeated"))
-        .where(F.when(F.col("__repeated"), error).otherwise(F.lit(True)))
-        .drop("__repeated")
+    lagged = df.select(
+        "*", *[c for v in variables for c in lag_columns(v, window, n)],
+        F.row_number().over(window).alias("__row"), F.lag(date, 1).over(window).alias("__previous"),
     )
+    repeated = (F.col("__row") > 1) & F.col("__previous").eqNullSafe(F.col(date))
+    return _fail_when(lagged, repeated, f"duplicate ({group}, {date})").drop("__row", "__previous")
 
 
 def add_lags_blocked(
@@ -45,7 +50,8 @@ def add_lags_blocked(
 ) -> DataFrame:
     """Row-position lags for groups too large for one task.
 
-    ``block`` must be non-decreasing along ``order`` (say, the date itself or its month).
+    ``block`` must be non-decreasing along ``order``: the date itself, its month, or, where a
+    single day is too large, the date together with a coarse cut of the next order key.
     Lags are taken inside (group, block). Only the first ``n`` rows of a block
     can reach further back, and everything they can reach lies in the first or
     last ``n`` rows of a block, so a second window over just those edge rows
@@ -76,14 +82,28 @@ def add_lags_blocked(
 
 
 def add_calendar_lags(
-    df: DataFrame, variables: Sequence[str], n: int = 6, group: str = "County", date: str = "Date"
+    df: DataFrame, variables: Sequence[str], n: int = 6, group: str = "County", date: str = "Date",
+    on_dup: str = "error",
 ) -> DataFrame:
     """Lags by calendar day: the value exactly k days earlier, NULL if that day is absent.
 
-    (group, date) is taken as unique, which bounds a group by the number of days.
+    With ``on_dup="keep"`` a day's value is the largest of its rows: days are
+    reduced to one row first, so that a group stays bounded by the calendar, and
+    the lags are joined back.
     """
+    if on_dup == "keep":
+        daily = df.groupBy(group, date).agg(*[F.max(v).alias(v) for v in variables])
+        lagged = add_calendar_lags(daily, variables, n, group, date).drop(*variables)
+        return left_join(df, lagged, (date, group))
     window = Window.partitionBy(group).orderBy(F.unix_date(date))
-    return df.select("*", *[
-        F.max(v).over(window.rangeBetween(-k, -k)).alias(lag_name(v, k))
-        for v in variables for k in range(1, n + 1)
-    ])
+    lagged = df.select(
+        "*",
+        *[
+            F.max(v).over(window.rangeBetween(-k, -k)).alias(lag_name(v, k))
+            for v in variables for k in range(1, n + 1)
+        ],
+        F.count(F.lit(1)).over(window.rangeBetween(0, 0)).alias("__same_day"),
+    )
+    return _fail_when(lagged, F.col("__same_day") > 1, f"duplicate ({group}, {date})").drop(
+        "__same_day"
+    )

@@ -6,38 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def running_base(
-    cells: DataFrame, count: str, date: str, order: Sequence[str], base: str = "id_base",
+    cells: DataFrame, count: str, block: str, order: Sequence[str], base: str = "id_base",
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """Exclusive running sum of ``count`` in the order (date, *order), NULLs last.
+    """Exclusive running sum of ``count`` in the order (block, *order), NULLs last.
 
-    Two levels: totals per date are summed up over the dates, and inside a date
-    a window runs over its cells. The date totals are one row per calendar
-    date, so their single-partition window and the broadcast are bounded by the
-    calendar and do not grow with the data. (date, *order) must be unique.
+    Two levels: totals per block are summed up over the blocks, and inside a
+    block a window runs over its cells. (block, *order) must be unique. With a date as
+    block there is one total per calendar date, so the single-partition window
+    over the totals and their broadcast are bounded by the calendar. Any other
+    block is joined as its measured size suggests.
 
-    ``source`` are rows of any grain that add up to ``cells``; the date totals are then taken
-    straight from them, with one row per task and date to shuffle. A filter on
-    the date put on the result moves below the inner window on its own, while
-    the totals still cover every date.
+    ``source`` are rows of any grain that add up to ``cells``; the totals are then taken
+    straight from them, with one row per task and block to shuffle. A filter on
+    the block put on the result moves below the inner window on its own, while
+    the totals still cover every block.
     """
     before = Window.unboundedPreceding, -1
-    by_date = Window.orderBy(F.asc_nulls_last("__date")).rowsBetween(*before)
+    by_block = Window.orderBy(F.asc_nulls_last("__block")).rowsBetween(*before)
     totals = (
         (cells if source is None else source)
-        .groupBy(F.col(date).alias("__date"))
+        .groupBy(F.col(block).alias("__block"))
         .agg(F.sum(count).alias("__total"))
-        .select("__date", F.coalesce(F.sum("__total").over(by_date), F.lit(0)).alias("__before"))
+        .select("__block", F.coalesce(F.sum("__total").over(by_block), F.lit(0)).alias("__before"))
     )
-    in_date = (
-        Window.partitionBy(date).orderBy(*[F.asc_nulls_last(c) for c in order]).rowsBetween(*before)
+    if isinstance(cells.schema[block].dataType, T.DateType):
+        totals = F.broadcast(totals)
+    in_block = (
+        Window.partitionBy(block).orderBy(*[F.asc_nulls_last(c) for c in order]).rowsBetween(*before)
     )
-    local = cells.withColumn("__local", F.coalesce(F.sum(count).over(in_date), F.lit(0)))
+    local = cells.withColumn("__local", F.coalesce(F.sum(count).over(in_block), F.lit(0)))
     return (
-        local.join(F.broadcast(totals), F.col(date).eqNullSafe(F.col("__date")), "left")
+        local.join(totals, F.col(block).eqNullSafe(F.col("__block")), "left")
         .withColumn(base, F.col("__before") + F.col("__local"))
-        .drop("__date", "__before", "__local")
+        .drop("__block", "__before", "__local")
     )

@@ -55,7 +55,7 @@ def crossed_episodes(
     admissions: DataFrame, panel: DataFrame, outcomes: Sequence[str] = OUTCOMES,
     weeks: int = REFERENT_WEEKS, months: Iterable[int] = FIRE_APR_SEP,
     start: dt.date | None = STUDY_START, only: Sequence[str] | None = None,
-    only_informative: bool = False, max_run: int = MAX_RUN,
+    only_informative: bool = False, max_run: int = MAX_RUN, file_order: str | None = None,
 ) -> DataFrame:
     """Every in-study episode on its case date and all its referent dates.
 
@@ -69,7 +69,7 @@ def crossed_episodes(
     wanted = in_study("Date", months, start) & (F.col("total") > 0)
     if only_informative:
         wanted = wanted & has_referent("Date", weeks, months, start)
-    cells = case_cells(admissions, outcomes).where(wanted).select(
+    cells = case_cells(admissions, outcomes, file_order=file_order).where(wanted).select(
         "Date", year_text("Date").alias("Year"), month_text("Date").alias("Month"), "County",
         "total", occurring_outcomes(outcomes, only).alias("occurring"),
     )

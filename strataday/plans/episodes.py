@@ -12,22 +12,34 @@ from ..operators import checked_count, flags_wide, running_base, uncount
 from ..operators.reshape import MAX_RUN
 from ..schemas import OUTCOMES
 
+FILE_BLOCK = 1_000_000  # source rows per block when numbering in file order
+
 
 def case_cells(
     admissions: DataFrame, outcomes: Sequence[str] = OUTCOMES, date: str = "Date",
-    county: str = "County",
+    county: str = "County", file_order: str | None = None,
 ) -> DataFrame:
-    """One row per (date, county) with its counts, their total and the number of
-    episodes that come before it.
+    """County-day counts, their total and the number of episodes that come before.
 
     Episodes are numbered by date, county, outcome and replicate over the
-    whole table, before any filter. Rows of one cell are interchangeable in that order,
+    whole table, before any filter. Rows of one county-day are interchangeable in that order,
     so adding them up first keeps the numbers and leaves little to shuffle.
+
+    With ``file_order``, a column holding the row's position in its file, they are numbered by
+    that position, outcome and replicate instead, and source rows stay apart.
     """
-    counted = admissions.select(date, county, *[checked_count(c).alias(c) for c in outcomes])
+    extra = [file_order] if file_order else []
+    counted = admissions.select(
+        date, county, *extra, *[checked_count(c).alias(c) for c in outcomes]
+    )
     total: Column = F.lit(0).cast("long")
     for c in outcomes:
         total = total + F.col(c)
+    if file_order:
+        rows = counted.withColumns({
+            "total": total, "__part": F.floor(F.col(file_order) / FILE_BLOCK)
+        })
+        return running_base(rows, "total", "__part", [file_order]).drop("__part")
     cells = counted.groupBy(date, county).agg(*[F.sum(c).alias(c) for c in outcomes])
     return running_base(
         cells.withColumn("total", total), "total", date, [county],
@@ -89,10 +101,11 @@ def number_episodes(
 
 
 def build_episodes(
-    admissions: DataFrame, outcomes: Sequence[str] = OUTCOMES, max_run: int | None = MAX_RUN
+    admissions: DataFrame, outcomes: Sequence[str] = OUTCOMES, max_run: int | None = MAX_RUN,
+    file_order: str | None = None,
 ) -> DataFrame:
     """One row per admission episode: Date, County, Primary_dx, Episode, Patient_ID."""
-    rows = explode_outcomes(case_cells(admissions, outcomes), outcomes)
+    rows = explode_outcomes(case_cells(admissions, outcomes, file_order=file_order), outcomes)
     return number_episodes(rows, max_run).select(
         "Date", "County", "Primary_dx", F.lit(1).alias("Episode"), "Patient_ID"
     )

@@ -49,7 +49,7 @@ def exposure_panel(
     if variables is None:
         variables = [c for c in joined.columns if c not in (*PANEL_KEYS, *ties)]
     if mode == "calendar":
-        return add_calendar_lags(joined, variables, lags)
+        return add_calendar_lags(joined, variables, lags, on_dup=on_dup)
     if mode != "row":
         raise ValueError("mode must be 'row' or 'calendar'")
     if on_dup == "error":

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from strataday.functions import (
     after, count_values, date_text_matches, day_label, epoch_day, has_both_flags, in_months,
     in_study, iso_date, join_text, lag_name, month_text, parse_dmy, parse_mdy, parse_ymd, paste,
-    quarter_text, recode, remove_text, scale_to_domain, shift_weeks, slice_text, strict_sum,
+    quarter_text, recode, remove_text, scale_to_domain, shift_weeks, slice_text, steps, strict_sum,
     year_text, zero_if_null,
 )
 from strataday.schemas import (
     COUNTY_ALIASES, COUNTY_ASCII, COUNTY_FIPS, COUNTY_STATE_FIPS, FACET_ORDER, FIRE_APR_AUG,
     FIRE_APR_SEP, FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, MULTI_FLAG_LABELS,
-    MULTI_FLAGS, OFF_SEASON, OUTCOMES, OUTPUT_ORDER, output_name,
+    MULTI_FLAGS, OFF_SEASON, OUTCOMES, OUTPUT_ORDER,
+    PALETTE_DOMAIN, output_name,
 )
 
 D = dt.date
@@ -158,5 +159,11 @@ def test_scale_to_domain(spark):
     assert down == [1.0, 0.5, 0.0, None, None, None]
 
 
+def test_steps_give_the_palette_domain(spark):
+    values = spark.range(1).select(steps(-3.0, 71.2, 10)).first()[0]
+    assert values == [-3.0, 7.0, 17.0, 27.0, 37.0, 47.0, 57.0, 67.0]
+    assert PALETTE_DOMAIN == (values[0], values[-1])
+
+
 def test_lag_name():
     assert lag_name("smokepm25", 3) == "smokepm25_lag3"

@@ -226,7 +226,17 @@ def test_lags_reject_repeated_days(spark):
     df = panel(spark, [1, 2]).unionByName(panel(spark, [2]))
     with pytest.raises(Exception, match="duplicate"):
         add_lags(df, ["v"], 1).collect()
-    assert add_lags(df, ["v"], 1, unique=False).count() == 3
+    with pytest.raises(Exception, match="duplicate"):
+        add_calendar_lags(df, ["v"], 1).collect()
+
+
+def test_calendar_lags_with_repeated_days(spark, rows):
+    df = panel(spark, [1, 2, 2]).unionByName(panel(spark, [2, 3], None))
+    df = df.withColumn("v", F.col("v") + F.monotonically_increasing_id() * 0)
+    out = add_calendar_lags(df, ["v"], 1, on_dup="keep")
+    assert rows(out, "County", "v", "v_lag1") == [
+        ("Taos", 1.0, None), ("Taos", 2.0, 1.0), ("Taos", 2.0, 1.0), (None, 2.0, None), (None, 3.0, 2.0),
+    ]
 
 
 def test_lags_allow_a_null_date_and_county(spark):
@@ -279,6 +289,13 @@ def test_running_base_matches_a_global_window(spark):
     assert got == want
 
 
+def test_running_base_over_row_blocks(spark):
+    counts = [i * 7 % 5 for i in range(200)]
+    df = spark.createDataFrame([(i, i // 16, n) for i, n in enumerate(counts)], "pos long, part long, n long")
+    got = {r["pos"]: r["id_base"] for r in running_base(df, "n", "part", ["pos"]).collect()}
+    assert got == {i: sum(counts[:i]) for i in range(200)}
+
+
 # --- groups ---------------------------------------------------------------
 
 

@@ -148,6 +148,21 @@ def test_repeated_county_day_rows_number_like_one(spark):
     assert as_set(build_episodes(split, SHORT).drop("Episode")) == set(brute.episodes(cells, SHORT))
 
 
+def test_numbering_in_file_order(spark):
+    data = [(3, D(2022, 4, 1), "Taos", 1, 0, 2), (1, D(2022, 4, 9), "Taos", 2, 1, 0), (2, None, None, 0, 0, 1)]
+    df = spark.createDataFrame(
+        data, "pos long, Date date, County string, " + ", ".join(f"{o} int" for o in SHORT)
+    )
+    got = {(r["Date"], r["Patient_ID"]) for r in build_episodes(df, SHORT, file_order="pos").collect()}
+    assert got == {
+        (D(2022, 4, 9), "resp 1"), (D(2022, 4, 9), "resp 2"), (D(2022, 4, 9), "card 3"), (None, "card 4"),
+        (D(2022, 4, 1), "resp 5"), (D(2022, 4, 1), "card 6"), (D(2022, 4, 1), "card 7"),
+    }
+    panel = spark.createDataFrame([], "Date date, County string, smokepm25 double")
+    out = case_crossover_tables(df, panel, SHORT, file_order="pos")
+    assert {r[0] for r in out.select("Patient_ID").collect()} == {pid for d, pid in got if d}
+
+
 def test_null_count_is_rejected(spark):
     df = spark.createDataFrame(
         [(D(2022, 4, 1), "Taos", None, 0, 0)],

@@ -55,4 +55,4 @@ def test_only_bounded_single_partition_windows(spark, plan):
     """Single-partition exchanges carry one row per calendar date, never episodes."""
     text = plan(queries()["casecross_all"](spark, SF_DIR))
     singles = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: SinglePartition", text)
-    assert singles and all(s.startswith("__date#") and s.count("#") == 2 for s in singles)
+    assert singles and all(s.startswith("__block#") and s.count("#") == 2 for s in singles)

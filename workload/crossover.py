@@ -17,7 +17,8 @@ from strataday.schemas import (
 
 from .registry import ORACLES, query
 from .views import (
-    FLAG_RULES, PANEL_SQL, START, admissions, ctes, heat, multi_flag_cases, smoke,
+    FLAG_RULES, PANEL_SQL, START, admissions, ctes, heat, multi_flag_cases, orders_with_customer,
+    smoke,
 )
 
 _EXPOSED = ["smokepm25", "totalpm25", '"HeatIndex"']
@@ -174,8 +175,6 @@ def q_fill_flags(spark, sf):
     SELECT *, {c} AS outcome, '{c}' AS out_name FROM flags WHERE id IN (
         SELECT id FROM flags GROUP BY id HAVING count(DISTINCT {c}) = 2)""" for c in ("asthma", "copd")))
 def q_informative_strata(spark, sf):
-    from .views import orders_with_customer
-
     flagged = orders_with_customer(spark, sf).select(
         F.col("c_custkey").alias("id"), "o_orderkey",
         *[F.when(F.expr(FLAG_RULES[c]), 1).otherwise(0).alias(c) for c in ("asthma", "copd")],

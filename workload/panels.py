@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataday.functions import quarter_text
+from strataday.functions import quarter_text, recode
 from strataday.operators import add_lags, add_lags_blocked, left_join
 from strataday.plans import exposure_panel
+from strataday.schemas import COUNTY_FIPS
 
 from .registry import query
 from .views import PANEL_SQL, ctes, heat, lag_sql, orders_with_customer, smoke, table
@@ -23,9 +24,6 @@ def q_exposure_join(spark, sf):
     FROM oc LEFT JOIN fips f ON f.code = c_nationkey
     LEFT JOIN pm ON pm."Date" = oc."Date" AND pm."County" IS NOT DISTINCT FROM f.name""")
 def q_exposure_join_3key(spark, sf):
-    from strataday.functions import recode
-    from strataday.schemas import COUNTY_FIPS
-
     rows = orders_with_customer(spark, sf).select(
         "o_orderkey", "Date", recode("c_nationkey", COUNTY_FIPS).alias("County"),
         quarter_text("Date").alias("quarter"),

@@ -11,7 +11,7 @@ from strataday.functions import recode
 from strataday.plans import date_spine
 from strataday.schemas import COUNTY_FIPS, SMOKE_PM_TYPES
 from strataday.sources import (
-    collect_polygons, collection_report, polygon_line, read_csv, scratch_path, write_csv,
+    collect_polygons, collection_report, polygon_line, read_boundary, read_csv, scratch_path, write_csv,
     write_outcome_tables, write_partitioned,
 )
 
@@ -130,3 +130,19 @@ def q_polygon_collect(spark, sf):
 def q_polygon_report(spark, sf):
     expected = date_spine(spark, dt.date(2023, 12, 25), dt.date(2024, 2, 5))
     return collection_report(spark, _write_polygon_files(spark, sf), expected)
+
+
+@query("boundary_layer", sql="""
+    SELECT min(s_acctbal) AS lon, max(s_acctbal) AS lat, 'Polygon' AS type FROM supplier
+    GROUP BY s_nationkey""")
+def q_boundary_layer(spark, sf):
+    lo, hi = F.min("s_acctbal"), F.max("s_acctbal")
+    ring = F.array(F.array(lo, hi), F.array(hi, hi), F.array(hi, lo), F.array(lo, hi))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    shapes = table(spark, sf, "supplier").groupBy("s_nationkey").agg(geometry.alias("geometry"))
+    path = scratch_path(spark, "boundary")
+    shapes.select(F.to_json(F.struct("geometry")).alias("value")).write.text(path)
+    corner = F.col("geometry.coordinates")[0][0]
+    return read_boundary(spark, path).select(
+        corner[0].alias("lon"), corner[1].alias("lat"), "geometry.type"
+    )

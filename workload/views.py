@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strataday.functions import recode
 from strataday.plans import clean_admissions, clean_smoke
@@ -54,8 +55,15 @@ FLAG_RULES = {
 assert list(FLAG_RULES) == MULTI_FLAGS and list(RULES) == list(OUTCOME_SOURCES)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the supplied tables. Its schema is read from the file footer once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def cents(column: str) -> Column:
