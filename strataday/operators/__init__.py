@@ -3,7 +3,7 @@
 from .groups import (
     distinct_sorted, informative_strata, keep_first, keep_groups, outcome_table, rank_dates,
 )
-from .joins import left_join, require_unique
+from .joins import broadcast_if_small, left_join, require_unique
 from .lags import add_calendar_lags, add_lags, add_lags_blocked, lag_columns
 from .numbering import running_base
 from .order import arrange, category_ordinal
@@ -11,15 +11,16 @@ from .project import (
     is_numeric, map_columns, map_columns_if, rename_positions, select_positions, with_point,
 )
 from .reshape import (
-    break_runs, checked_count, dates_to_long, flags_wide, pivot_first, replicate_offsets,
+    break_runs, checked_count, dates_to_long, flags_wide, pivot_values, replicate_offsets,
     spread, to_long, uncount, union_by_name,
 )
 
 __all__ = [
     "add_calendar_lags", "add_lags", "add_lags_blocked", "arrange", "break_runs",
-    "category_ordinal", "checked_count", "dates_to_long", "distinct_sorted", "flags_wide",
+    "broadcast_if_small", "category_ordinal", "checked_count", "dates_to_long",
+    "distinct_sorted", "flags_wide",
     "informative_strata", "is_numeric", "keep_first", "keep_groups", "lag_columns",
-    "left_join", "map_columns", "map_columns_if", "outcome_table", "pivot_first",
+    "left_join", "map_columns", "map_columns_if", "outcome_table", "pivot_values",
     "rank_dates", "rename_positions", "replicate_offsets", "require_unique", "running_base",
     "select_positions", "spread", "to_long", "uncount", "union_by_name", "with_point",
 ]

@@ -44,3 +44,11 @@ def left_join(
         match = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         condition = match if condition is None else condition & match
     return left.join(renamed, condition, "left").drop(*[f"__r_{k}" for k in keys])
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint for a side counted to be small; unchanged, and joined as usual, beyond that.
+
+    Meant for sides that are cheap to compute: counting stops after ``max_rows`` rows.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

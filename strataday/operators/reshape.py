@@ -61,11 +61,11 @@ def flags_wide(
     )
 
 
-def pivot_first(
+def pivot_values(
     df: DataFrame, ids: Sequence[str], category: str, values: Sequence[str], value: str
 ) -> DataFrame:
-    """Long to wide with a fixed column list, first value per cell."""
-    return df.groupBy(*ids).pivot(category, list(values)).agg(F.first(value, ignorenulls=True))
+    """Long to wide with a fixed column list; a cell with several rows takes the smallest value."""
+    return df.groupBy(*ids).pivot(category, list(values)).agg(F.min(value))
 
 
 def checked_count(column: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import day_label, iso_date, join_text, scale_to_domain
-from ..operators import rank_dates, with_point
+from ..operators import broadcast_if_small, rank_dates, with_point
 from ..schemas import (
     FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, PALETTE_DOMAIN, PM25_STANDARD,
 )
@@ -52,16 +52,19 @@ def attach_layer(manifest: DataFrame, layer: DataFrame, by: str = "date") -> Dat
     """Frames joined to the rows of a dated layer.
 
     ``by="date"`` matches the calendar. ``by="rank"`` matches frame *k* with the
-    *k*-th distinct date of the layer, which slips when a day is missing.
+    *k*-th distinct date of the layer, which slips when a day is missing. The
+    frames are counted first and broadcast when few, so that the layer stays where it is.
     """
+    frames = broadcast_if_small(manifest)
     if by == "date":
-        return manifest.join(layer, "Date")
+        return layer.join(frames, "Date")
     if by != "rank":
         raise ValueError("by must be 'date' or 'rank'")
-    ranked = rank_dates(layer, "Date", "frame_no").withColumnRenamed("Date", "__layer_date")
-    dated = manifest.join(ranked, "frame_no")
-    rows = layer.withColumnRenamed("Date", "__layer_date")
-    return dated.join(rows, "__layer_date").withColumnRenamed("__layer_date", "layer_date")
+    ranked = rank_dates(layer, "Date", "frame_no").withColumnRenamed("Date", "layer_date")
+    # at most one date per frame, so no larger than the frames themselves
+    dated = ranked.join(frames, "frame_no")
+    dated = dated if frames is manifest else F.broadcast(dated)
+    return layer.withColumnRenamed("Date", "layer_date").join(dated, "layer_date")
 
 
 def frame_layers(

@@ -10,7 +10,7 @@ from strataday.functions import count_values, zero_if_null
 from strataday.operators import (
     add_calendar_lags, add_lags, add_lags_blocked, arrange, break_runs, category_ordinal,
     dates_to_long, distinct_sorted, flags_wide, informative_strata, is_numeric, keep_first,
-    keep_groups, left_join, map_columns, map_columns_if, outcome_table, pivot_first, rank_dates,
+    keep_groups, left_join, map_columns, map_columns_if, outcome_table, pivot_values, rank_dates,
     rename_positions, replicate_offsets, require_unique, running_base, select_positions, to_long,
     uncount, union_by_name, with_point,
 )
@@ -95,7 +95,7 @@ def test_flags_wide_inverts_to_long(spark, rows):
 
 def test_flags_wide_agrees_with_pivot(spark, rows):
     df = spark.createDataFrame([("p1", "a", 1), ("p2", "b", 1)], "id string, dx string, e int")
-    pivoted = pivot_first(df, ["id"], "dx", ["a", "b", "c"], "e").na.fill(0)
+    pivoted = pivot_values(df, ["id"], "dx", ["a", "b", "c"], "e").na.fill(0)
     assert rows(flags_wide(df.drop("e"), "dx", ["a", "b", "c"])) == rows(pivoted)
     assert pivoted.columns == ["id", "a", "b", "c"]
 

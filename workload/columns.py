@@ -16,6 +16,7 @@ from strataday.plans import add_referents, date_spine, facet_series, study_cases
 from strataday.schemas import (
     COUNTY_ASCII, COUNTY_FIPS, FACET_ORDER, FIRE_APR_AUG, FIRE_APR_SEP, OFF_SEASON, OUTCOMES,
 )
+from strataday.sources import daily_path, file_date
 
 from .registry import query
 from .views import (
@@ -136,6 +137,16 @@ def q_string_ops(spark, sf):
     )
 
 
+@query("daily_paths", sql="""
+    SELECT event_id, 'smoke/' || strftime(ts, '%Y/%m') || '/hms_smoke' || strftime(ts, '%Y%m%d') AS path,
+           CAST(ts AS DATE) AS "Date" FROM events""")
+def q_daily_paths(spark, sf):
+    path = daily_path(F.col("ts").cast("date"), "smoke")
+    return table(spark, sf, "events").select(
+        "event_id", path.alias("path"), file_date(path).alias("Date")
+    )
+
+
 @query("scale_to_domain", sql="""
     SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
            CASE WHEN l_quantity BETWEEN 3 AND 40 THEN (l_quantity - 3) / 37 END AS shade,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataday.functions import count_values, recode, strict_sum, year_text
 from strataday.operators import (
-    keep_first, keep_groups, pivot_first, rank_dates, to_long, uncount, union_by_name,
+    keep_first, keep_groups, pivot_values, rank_dates, to_long, uncount, union_by_name,
 )
 from strataday.plans import (
     annual_summary, build_episodes, clean_heat, daily_counts, explode_outcomes, widen_episodes,
@@ -93,20 +93,20 @@ def q_pivot_episodes(spark, sf):
     return widen_episodes(build_episodes(admissions(spark, sf)), keep_prefix=True)
 
 
-@query("pivot_first", sql="""
+@query("pivot_values", sql="""
     SELECT "Date", max(n) FILTER (WHERE event_type = 'view') AS "view",
            max(n) FILTER (WHERE event_type = 'click') AS click,
            max(n) FILTER (WHERE event_type = 'error') AS error,
            max(n) FILTER (WHERE event_type = 'absent') AS absent
     FROM (SELECT CAST(ts AS DATE) AS "Date", event_type, count(*) AS n FROM events GROUP BY ALL)
     GROUP BY ALL""")
-def q_pivot_first(spark, sf):
+def q_pivot_values(spark, sf):
     daily = (
         table(spark, sf, "events")
         .groupBy(F.col("ts").cast("date").alias("Date"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return pivot_first(daily, ["Date"], "event_type", ["view", "click", "error", "absent"], "n")
+    return pivot_values(daily, ["Date"], "event_type", ["view", "click", "error", "absent"], "n")
 
 
 _LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity",

@@ -156,7 +156,7 @@ def heat_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         cells.groupBy("county")
         .pivot("head", month_heads())
-        .agg(F.first("v"))
+        .agg(F.max("v"))
         .withColumn("note", F.lit(1.0))
     )
 
