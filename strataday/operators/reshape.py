@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_day
 
-MAX_RUN = 1_000
+MAX_RUN = 1_000  # copies of one row a single task makes in a go
+COARSE = 1_000  # runs per coarse piece
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -92,22 +93,30 @@ def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def break_runs(df: DataFrame, count: str, first: str, max_run: int = MAX_RUN) -> DataFrame:
-    """Cut each row's count into pieces of at most ``max_run`` and spread the pieces.
-
-    ``first`` receives the 0-based replicate a piece starts at. The shuffle
-    moves pieces, not replicates, so it stays small.
-    """
-    others = [c for c in df.columns if c != count]
-    last_piece = F.floor((F.col(count) - 1) / max_run).cast("long")
+def _cut(df: DataFrame, count: str, first: str, size: int) -> DataFrame:
+    """One level of pieces of at most ``size``; ``first`` moves on by the piece's start."""
+    last_piece = F.floor((F.col(count) - 1) / size).cast("long")
+    others = [c for c in df.columns if c not in (count, first)]
     pieces = (
         df.where(F.col(count) > 0)
         .withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)))
-        .withColumn(first, F.col("__piece") * max_run)
-        .withColumn(count, F.least(F.lit(max_run), F.col(count) - F.col(first)))
+        .withColumn(first, F.col(first) + F.col("__piece") * size)
+        .withColumn(count, F.least(F.lit(size), F.col(count) - F.col("__piece") * size))
+        .drop("__piece")
     )
-    place = F.xxhash64(*[F.col(f"`{c}`") for c in others], F.col("__piece"))
-    return spread(pieces, place).drop("__piece")
+    return spread(pieces, F.xxhash64(*[F.col(f"`{c}`") for c in (*others, first)]))
+
+
+def break_runs(df: DataFrame, count: str, first: str, max_run: int = MAX_RUN) -> DataFrame:
+    """Cut each row's count into pieces of at most ``max_run`` and spread the pieces.
+
+    ``first`` receives the 0-based replicate a piece starts at. The cut is made in
+    two levels, coarse pieces being spread before they are cut again, so that
+    neither an array of pieces nor the pieces of one task grow with the count.
+    The shuffles move pieces, not replicates.
+    """
+    started = df.withColumn(first, F.lit(0).cast("long"))
+    return _cut(_cut(started, count, first, max_run * COARSE), count, first, max_run)
 
 
 def uncount(

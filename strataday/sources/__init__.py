@@ -1,8 +1,8 @@
 """Sources and sinks."""
 
 from .polygons import (
-    collect_polygons, collection_report, daily_path, file_date, file_verdicts, names_match,
-    polygon_line, read_boundary, scan_lines,
+    collect_polygons, collection_report, daily_path, file_date, file_verdicts, list_files,
+    names_match, polygon_line, read_boundary, scan_lines,
 )
 from .tables import (
     read_csv, read_monitor_daily, scratch_path, write_csv, write_outcome_tables,
@@ -11,6 +11,6 @@ from .tables import (
 
 __all__ = [
     "collect_polygons", "collection_report", "daily_path", "file_date", "file_verdicts",
-    "names_match", "polygon_line", "read_boundary", "read_csv", "read_monitor_daily",
+    "list_files", "names_match", "polygon_line", "read_boundary", "read_csv", "read_monitor_daily",
     "scan_lines", "scratch_path", "write_csv", "write_outcome_tables", "write_partitioned",
 ]

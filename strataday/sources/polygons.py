@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import join_text, remove_text, slice_text
@@ -33,14 +33,29 @@ def file_date(path: Column | str) -> Column:
     return F.try_to_date(F.regexp_extract(text, FILE_STEM + r"(\d{8})", 1), "yyyyMMdd")
 
 
-def scan_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every line of every polygon file below ``root`` with its path and day."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
+def _reader(spark: SparkSession, source: str) -> DataFrameReader:
+    return (
+        spark.read.format(source)
+        .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
-        .text(root)
     )
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Path, day and length of every polygon file below ``root``; contents are not read."""
+    files = _reader(spark, "binaryFile").load(root)
+    return files.select("path", file_date("path").alias("Date"), "length").where(
+        F.col("Date").isNotNull()
+    )
+
+
+def scan_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Every line of every polygon file below ``root`` with its path and day.
+
+    A file that cannot be decompressed ends where it breaks off.
+    """
+    lines = _reader(spark, "text").load(root)
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("path"),
@@ -75,13 +90,24 @@ def collect_polygons(spark: SparkSession, root: str) -> DataFrame:
 def collection_report(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
     """Per expected day: ``accepted``, ``rejected`` or ``missing``, and its line count.
 
-    ``days`` has one ``Date`` column. Expected paths are matched against what
-    was found, so an absent file is a row in the report, not a failed read.
+    ``days`` has one ``Date`` column. Expected days are matched against what
+    was found, so an absent file is a row in the report, not a failed read. A
+    file without a readable line counts as rejected, one of no length as missing.
     """
+    listed = list_files(spark, root).select(
+        "Date", F.lit(False).alias("accepted"), F.lit(0).alias("n_lines")
+    )
+    read = file_verdicts(scan_lines(spark, root)).select("Date", "accepted", "n_lines")
+    # per day: rejected if a file was, or if there are files and none had a line
     found = (
-        file_verdicts(scan_lines(spark, root))
+        listed.unionByName(read)
         .groupBy("Date")
-        .agg(F.min("accepted").alias("accepted"), F.sum("n_lines").alias("n_lines"))
+        .agg(
+            F.sum("n_lines").alias("n_lines"),
+            F.coalesce(F.min(F.when(F.col("n_lines") > 0, F.col("accepted"))), F.lit(False)).alias(
+                "accepted"
+            ),
+        )
     )
     status = (
         F.when(F.col("accepted").isNull(), "missing")

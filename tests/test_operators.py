@@ -137,6 +137,14 @@ def test_break_runs_covers_each_count(spark):
     assert pieces == [("a", 0, 10), ("a", 10, 10), ("a", 20, 5), ("b", 0, 10)]
 
 
+def test_break_runs_in_two_levels(spark):
+    n = 2_500_001
+    df = spark.createDataFrame([("a", n)], "k string, n long")
+    pieces = break_runs(df, "n", "first", 1_000).orderBy("first").collect()
+    assert [r["first"] for r in pieces] == list(range(0, n, 1_000))
+    assert {r["n"] for r in pieces[:-1]} == {1_000} and pieces[-1]["n"] == 1
+
+
 def test_replicate_offsets(spark):
     df = spark.createDataFrame([("a",)], "k string")
     assert [r["index"] for r in replicate_offsets(df, -26, 26).collect()] == list(range(-26, 27))

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from strataday.plans import clean_admissions, clean_heat, clean_smoke, date_spine
 from strataday.schemas import ADMISSION_TYPES, OUTCOME_SOURCES, SMOKE_PM_TYPES
 from strataday.sources import (
-    collect_polygons, collection_report, daily_path, file_date, file_verdicts, names_match,
-    read_boundary, read_csv, read_monitor_daily, scan_lines, scratch_path, write_csv,
+    collect_polygons, collection_report, daily_path, file_date, file_verdicts, list_files,
+    names_match, read_boundary, read_csv, read_monitor_daily, scan_lines, scratch_path, write_csv,
     write_outcome_tables, write_partitioned,
 )
 
@@ -144,6 +144,19 @@ def test_collection_report(spark, polygon_root, rows):
     assert verdicts.where("accepted").count() == 2 and verdicts.count() == 5
 
 
+def test_unreadable_and_empty_files(spark, tmp_path, rows):
+    (tmp_path / "hms_smoke20220406.json").write_text(json.dumps(GOOD) + "\n")
+    (tmp_path / "hms_smoke20220407.json.gz").write_bytes(b"this is not gzip")
+    (tmp_path / "hms_smoke20220408.json").write_text("")
+    days = date_spine(spark, D(2022, 4, 6), D(2022, 4, 9))
+    assert rows(collection_report(spark, str(tmp_path), days)) == [
+        (D(2022, 4, 6), "accepted", 1), (D(2022, 4, 7), "rejected", 0), (D(2022, 4, 8), "missing", 0),
+        (D(2022, 4, 9), "missing", 0),
+    ]
+    assert collect_polygons(spark, str(tmp_path)).count() == 1
+    assert list_files(spark, str(tmp_path)).count() == 2
+
+
 def test_gate_and_paths(spark):
     df = spark.createDataFrame([(json.dumps(GOOD),), ("[]",), ("nonsense",), (None,)], "l string")
     assert [r[0] for r in df.select(names_match("l")).collect()] == [True, False, False, False]
