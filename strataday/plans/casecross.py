@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,35 +162,54 @@ def case_crossover_from_cases(
     id_col: str = "Patient_ID", keys: Sequence[str] = ("Date", "County"),
     derived: Mapping[str, Column] | None = None, weeks: int = REFERENT_WEEKS,
     months: Iterable[int] = FIRE_APR_SEP, start: dt.date | None = STUDY_START, date: str = "Date",
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Informative strata of episode rows that may carry several flags.
 
     A referent's flags are all 0, so a stratum takes both values of a flag exactly when
     a case of its ID has it, and some case lacks it or has a referent. That is
     an aggregate over the cases alone; referents are only multiplied out for
-    the strata that stay.
+    the strata that stay. ``unique_ids`` states that every ID has one case, which then
+    decides on its own, without the aggregate and its join.
+
+    ``keys`` are the panel's join keys, of which ``derived`` ones are computed from
+    the shifted date.
     """
-    months = tuple(months)
-    chosen = cases.where(in_study(date, months, start))
-    chosen = chosen.withColumns({c: zero_if_null(c) for c in flags})
-    both = [
-        F.when((F.max(c) == 1) & ((F.min(c) == 0) | F.max("__paired")), F.lit(c)) for c in labels
-    ]
-    strata = (
-        chosen.withColumn("__paired", has_referent(date, weeks, months, start))
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg(F.filter(F.array(*both), lambda x: x.isNotNull()).alias("__flags"))
-        .where(F.size("__flags") > 0)
+    months, derived = tuple(months), derived or {}
+    in_scope = cases.where(in_study(date, months, start))
+    paired = has_referent(date, weeks, months, start)
+    if unique_ids:
+        # stated on the stored flags: the same test on the filled ones would give the
+        # optimizer one constraint with an alias per flag, and 2^flags ways to write it
+        any_flag = reduce(or_, [F.col(c) == 1 for c in labels])
+        found = [F.when(F.col(c) == 1, F.lit(c)) for c in labels]
+        kept = in_scope.where(any_flag & paired).select(
+            "*", F.array_compact(F.array(*found)).alias("__flags")
+        )
+    else:
+        filled = {c: zero_if_null(c) for c in labels}
+        found = [
+            F.when((F.max(v) == 1) & ((F.min(v) == 0) | F.max("__paired")), F.lit(c))
+            for c, v in filled.items()
+        ]
+        strata = (
+            in_scope.withColumn("__paired", paired)
+            .groupBy(F.col(id_col).alias("__id"))
+            .agg(F.array_compact(F.array(*found)).alias("__flags"))
+            .where(F.size("__flags") > 0)
+        )
+        kept = in_scope.join(strata, F.col(id_col).eqNullSafe(F.col("__id")), "inner").drop("__id")
+    days = place_days(in_scope, panel, keys, derived, weeks, months, start, date)
+    place = [k for k in keys if k != date and k not in derived]
+    rows = (
+        left_join(
+            kept.withColumnRenamed(date, "__case_date"), days, ("__case_date", *place)
+        )
+        .withColumn("__day", F.explode("__days"))
+        .withColumn("__flag", F.explode_outer("__flags"))
     )
-    kept = chosen.join(strata, F.col(id_col).eqNullSafe(F.col("__id")), "inner").drop("__id")
-    days = place_days(chosen, panel, keys, derived or {}, weeks, months, start, date)
-    place = [k for k in keys if k != date and k not in (derived or {})]
-    rows = left_join(
-        kept.withColumnRenamed(date, "__case_date"), days, ("__case_date", *place)
-    ).withColumn("__day", F.explode("__days"))
-    rows = rows.withColumn("__flag", F.explode("__flags"))
     is_case = F.col("__day.index") == 0
-    own = {c: F.when(is_case, F.col(c)).otherwise(0) for c in flags}
+    own = {c: F.when(is_case, zero_if_null(c)).otherwise(0) for c in flags}
     carried = [
         F.col("__day")[date].alias(date) if c == date else own[c].alias(c) if c in own else F.col(c)
         for c in cases.columns

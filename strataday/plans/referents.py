@@ -47,10 +47,9 @@ def has_referent(
 ) -> Column:
     """Whether a date has any referent at all, without expanding it."""
     months = tuple(months)
-    offsets = F.sequence(F.lit(-weeks), F.lit(weeks))
-    return F.exists(
-        offsets, lambda k: (k != 0) & in_study(F.date_add(F.col(date), k * 7), months, start)
-    )
+    # nearest offsets first: in most seasons the first one decides
+    offsets = F.array(*[F.lit(k) for n in range(1, weeks + 1) for k in (-n, n)])
+    return F.exists(offsets, lambda k: in_study(F.date_add(F.col(date), k * 7), months, start))
 
 
 def cross_cases(cases: DataFrame, flags: Sequence[str] = OUTCOMES, **options) -> DataFrame:

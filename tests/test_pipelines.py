@@ -299,6 +299,36 @@ def test_tables_match_brute_force(spark, seed, months, weeks, max_run):
     assert want and as_set(got) == set(want)
 
 
+def test_golden_tables(spark):
+    """Two counties, three dates, April only, one week either way; every row by hand."""
+    cells = {
+        (D(2022, 4, 6), "Taos"): {"asthma_dx": 1},
+        (D(2022, 4, 13), "Taos"): {"respiratory_dx": 2},
+        (D(2022, 4, 27), "Doña Ana"): {"cerebrovascular_dx": 1},
+    }
+    panel = spark.createDataFrame(
+        [(D(2022, 4, 5), "Taos", 1.0), (D(2022, 4, 6), "Taos", 2.0), (D(2022, 4, 13), "Taos", 3.0),
+         (D(2022, 4, 20), "Doña Ana", 4.0)],
+        "Date date, County string, smokepm25 double",
+    )
+    got = case_crossover_tables(
+        admissions_frame(spark, cells, OUTCOMES), exposure_panel(panel, lags=1), months=(4,), weeks=1
+    )
+    a6, a13, a20, a27 = D(2022, 4, 6), D(2022, 4, 13), D(2022, 4, 20), D(2022, 4, 27)
+    assert as_set(got) == {
+        (a6, "2022", "04", "Taos", "asth 1", 1, 2.0, 1.0, "asthma"),
+        (a13, "2022", "04", "Taos", "asth 1", 0, 3.0, 2.0, "asthma"),
+        (a13, "2022", "04", "Taos", "resp 2", 1, 3.0, 2.0, "respiratory"),
+        (a6, "2022", "04", "Taos", "resp 2", 0, 2.0, 1.0, "respiratory"),
+        (a20, "2022", "04", "Taos", "resp 2", 0, None, None, "respiratory"),
+        (a13, "2022", "04", "Taos", "resp 3", 1, 3.0, 2.0, "respiratory"),
+        (a6, "2022", "04", "Taos", "resp 3", 0, 2.0, 1.0, "respiratory"),
+        (a20, "2022", "04", "Taos", "resp 3", 0, None, None, "respiratory"),
+        (a27, "2022", "04", "Doña Ana", "cere 4", 1, None, None, "cerebrovascular"),
+        (a20, "2022", "04", "Doña Ana", "cere 4", 0, 4.0, None, "cerebrovascular"),
+    }
+
+
 def test_routes_agree(spark):
     cells, panel = random_study(21, OUTCOMES, n_cells=12)
     smoke, heat = panel_frames(spark, panel)
@@ -351,8 +381,14 @@ def test_case_level_route_equals_steps(spark, repeat_ids):
         crossed = cross_cases(study_cases(cases, months), flags, weeks=weeks, months=months)
         full = attach_exposure(crossed.withColumn("quarter", quarter_text("Date")), panel, keys)
         steps = strata_tables(full, labels, "id")
-        got = sorted(map(str, fused.select(*steps.columns).collect()))
-        assert got and got == sorted(map(str, steps.collect()))
+        want = sorted(map(str, steps.collect()))
+        assert want and sorted(map(str, fused.select(*steps.columns).collect())) == want
+        if not repeat_ids:
+            alone = case_crossover_from_cases(
+                cases, panel, flags, labels, "id", keys, {"quarter": quarter_text("Date")}, weeks, months,
+                unique_ids=True,
+            )
+            assert sorted(map(str, alone.select(*steps.columns).collect())) == want
 
 
 def test_empty_inputs(spark):

@@ -142,7 +142,7 @@ def q_casecross_multi_flag(spark, sf):
     return case_crossover_from_cases(
         multi_flag_cases(spark, sf), panel, MULTI_FLAGS, MULTI_FLAG_LABELS, "hfdrepisode",
         keys=("county", "Date", "quarter"), derived={"quarter": quarter_text("Date")},
-        months=FIRE_APR_AUG, start=START,
+        months=FIRE_APR_AUG, start=START, unique_ids=True,
     )
 
 
