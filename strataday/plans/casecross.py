@@ -33,7 +33,7 @@ from ..operators.reshape import MAX_RUN
 from ..schemas import (
     FIRE_APR_SEP, OUTCOMES, OUTPUT_ORDER, REFERENT_WEEKS, STUDY_START, output_name,
 )
-from .episodes import case_cells, explode_outcomes, number_episodes, occurring_outcomes
+from .episodes import case_cells, explode_outcomes, number_episodes, outcome_entries
 from .referents import add_referents, has_referent
 
 
@@ -73,7 +73,9 @@ def crossed_episodes(
         wanted = wanted & has_referent("Date", weeks, months, start)
     cells = case_cells(admissions, outcomes, file_order=file_order).where(wanted).select(
         "Date", year_text("Date").alias("Year"), month_text("Date").alias("Month"), "County",
-        "total", occurring_outcomes(outcomes, only).alias("occurring"),
+        "total",
+        # only the outcomes that occur travel along
+        F.filter(outcome_entries(outcomes, only), lambda o: o["n"] > 0).alias("occurring"),
     )
     if only is not None:
         cells = cells.where(F.size("occurring") > 0)

@@ -47,10 +47,10 @@ def case_cells(
     )
 
 
-def occurring_outcomes(
+def outcome_entries(
     outcomes: Sequence[str] = OUTCOMES, only: Sequence[str] | None = None, base: str = "id_base"
 ) -> Column:
-    """Array of the outcomes a cell has: position in ``outcomes``, count, IDs before the first."""
+    """Array with an entry per outcome: position in ``outcomes``, count, IDs before the first."""
     entries: list[Column] = []
     running = F.col(base)
     for i, c in enumerate(outcomes, start=1):
@@ -59,22 +59,22 @@ def occurring_outcomes(
                 F.struct(F.lit(i).alias("ord"), F.col(c).alias("n"), running.alias("first"))
             )
         running = running + F.col(c)
-    return F.filter(F.array(*entries), lambda o: o["n"] > 0)
+    return F.array(*entries)
 
 
 def explode_outcomes(
-    cells: DataFrame, outcomes: Sequence[str] = OUTCOMES, occurring: str | None = None
+    cells: DataFrame, outcomes: Sequence[str] = OUTCOMES, entries: str | None = None
 ) -> DataFrame:
     """One row per outcome that occurs in a cell.
 
     Gives ``Primary_dx``, its position ``dx_ord``, its count ``n`` and ``first_id``,
-    the number of IDs before its first. ``occurring`` names a column already
-    holding :func:`occurring_outcomes`.
+    the number of IDs before its first. ``entries`` names a column already
+    holding :func:`outcome_entries`.
     """
-    entry = F.col(occurring) if occurring else occurring_outcomes(outcomes)
-    others = [c for c in cells.columns if c not in (*outcomes, "id_base", "total", occurring)]
+    exploded = F.explode(F.col(entries) if entries else outcome_entries(outcomes))
+    others = [c for c in cells.columns if c not in (*outcomes, "id_base", "total", entries)]
     names = F.array(*[F.lit(c) for c in outcomes])
-    return cells.select(*others, F.explode(entry).alias("__o")).select(
+    return cells.select(*others, exploded.alias("__o")).where(F.col("__o.n") > 0).select(
         *others,
         F.element_at(names, F.col("__o.ord")).alias("Primary_dx"),
         F.col("__o.ord").alias("dx_ord"),
