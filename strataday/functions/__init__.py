@@ -1,7 +1,7 @@
 """Column expressions. Everything here runs on built-in Spark functions."""
 
 from .dates import (
-    after, date_text_matches, day_label, epoch_day, in_months, in_study, iso_date,
+    after, as_date, date_text_matches, day_label, epoch_day, in_months, in_study, iso_date,
     month_text, parse_dmy, parse_mdy, parse_ymd, quarter_text, shift_weeks, year_text,
 )
 from .text import join_text, paste, remove_text, slice_text
@@ -11,7 +11,7 @@ from .values import (
 )
 
 __all__ = [
-    "after", "count_values", "date_text_matches", "day_label", "epoch_day",
+    "after", "as_date", "count_values", "date_text_matches", "day_label", "epoch_day",
     "has_both_flags", "in_months", "in_study", "iso_date", "join_text", "lag_name",
     "month_text", "parse_dmy", "parse_mdy", "parse_ymd", "paste", "quarter_text",
     "recode", "remove_text", "scale_to_domain", "shift_weeks", "slice_text",

@@ -78,11 +78,13 @@ def date_text_matches(date: ColumnLike, pattern: str) -> Column:
     return _col(date).cast("string").rlike(pattern)
 
 
+def as_date(bound: dt.date | str) -> dt.date:
+    return dt.date.fromisoformat(bound) if isinstance(bound, str) else bound
+
+
 def after(date: ColumnLike, bound: dt.date | str) -> Column:
     """Strictly later than ``bound``."""
-    if isinstance(bound, str):
-        bound = dt.date.fromisoformat(bound)
-    return _col(date) > F.lit(bound)
+    return _col(date) > F.lit(as_date(bound))
 
 
 def in_study(date: ColumnLike, months: Iterable[int], start: dt.date | str | None) -> Column:

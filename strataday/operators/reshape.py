@@ -85,12 +85,14 @@ def _replicate(df: DataFrame, count: str, index: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """Hash rows over all shuffle partitions ahead of a step that multiplies them.
+    """Hash rows over the whole cluster ahead of a step that multiplies them.
 
     The explicit partition count keeps adaptive execution, which only sees how small
     the rows are now, from packing them into a few tasks.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *columns)
 
 
 def _cut(df: DataFrame, count: str, first: str, size: int) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +68,8 @@ def crossed_episodes(
     large part of all episodes is not written out by one task per date.
     """
     months = tuple(months)
-    wanted = in_study("Date", months, start) & (F.col("total") > 0)
+    counted = F.col("total") if only is None else reduce(add, [F.col(c) for c in only])
+    wanted = in_study("Date", months, start) & (counted > 0)
     if only_informative:
         wanted = wanted & has_referent("Date", weeks, months, start)
     cells = case_cells(admissions, outcomes, file_order=file_order).where(wanted).select(
@@ -77,8 +78,6 @@ def crossed_episodes(
         # only the outcomes that occur travel along
         F.filter(outcome_entries(outcomes, only), lambda o: o["n"] > 0).alias("occurring"),
     )
-    if only is not None:
-        cells = cells.where(F.size("occurring") > 0)
     crossed = add_referents(
         spread(cells, "Date", "County"), weeks, months, start, include_case=True
     )

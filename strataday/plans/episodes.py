@@ -71,7 +71,9 @@ def explode_outcomes(
     the number of IDs before its first. ``entries`` names a column already
     holding :func:`outcome_entries`.
     """
-    exploded = F.explode(F.col(entries) if entries else outcome_entries(outcomes))
+    # the outer form only spares a ready-made array an inferred size filter, which would
+    # build it twice; an empty one still gives no row
+    exploded = F.explode_outer(entries) if entries else F.explode(outcome_entries(outcomes))
     others = [c for c in cells.columns if c not in (*outcomes, "id_base", "total", entries)]
     names = F.array(*[F.lit(c) for c in outcomes])
     return cells.select(*others, exploded.alias("__o")).where(F.col("__o.n") > 0).select(

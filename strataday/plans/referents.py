@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import in_study, month_text, shift_weeks, year_text, zero_if_null
+from ..functions import as_date, in_study, month_text, shift_weeks, year_text, zero_if_null
 from ..operators import map_columns, replicate_offsets, union_by_name
 from ..schemas import FIRE_APR_SEP, OUTCOMES, REFERENT_WEEKS, STUDY_START
 
@@ -45,11 +45,19 @@ def add_referents(
 def has_referent(
     date: str, weeks: int, months: Iterable[int], start: dt.date | None
 ) -> Column:
-    """Whether a date has any referent at all, without expanding it."""
+    """Whether a date has any referent at all, without expanding it.
+
+    A day of a month in season always has the same weekday a week earlier or later in
+    that month, so beyond the first week of the study the answer is yes.
+    The offsets are only tried, nearest first, for the other dates.
+    """
     months = tuple(months)
-    # nearest offsets first: in most seasons the first one decides
+    if weeks < 1:
+        return F.lit(False)
     offsets = F.array(*[F.lit(k) for n in range(1, weeks + 1) for k in (-n, n)])
-    return F.exists(offsets, lambda k: in_study(F.date_add(F.col(date), k * 7), months, start))
+    tried = F.exists(offsets, lambda k: in_study(F.date_add(F.col(date), k * 7), months, start))
+    settled = None if start is None else as_date(start) + dt.timedelta(days=7)
+    return in_study(date, months, settled) | tried
 
 
 def cross_cases(cases: DataFrame, flags: Sequence[str] = OUTCOMES, **options) -> DataFrame:

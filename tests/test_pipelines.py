@@ -11,7 +11,8 @@ from strataday.operators import outcome_table
 from strataday.plans import (
     add_referents, annual_summary, attach_exposure, build_episodes, case_crossover,
     case_crossover_from_cases, case_crossover_tables, clean_admissions, clean_heat, clean_smoke,
-    cross_cases, exposure_panel, facet_series, full_dataset, outcome_dataset, strata_tables,
+    cross_cases, exposure_panel, facet_series, full_dataset, has_referent, outcome_dataset,
+    strata_tables,
     study_cases, tables_by_outcome, widen_episodes, yearly_scatter,
 )
 from strataday.functions import quarter_text
@@ -213,6 +214,17 @@ def test_referents_keep_or_recompute_the_calendar(spark):
     assert {r["Year"] for r in moved.collect()} == {"2016", "2017"}
 
 
+@pytest.mark.parametrize("months,weeks,start", [
+    (FIRE_APR_SEP, 26, D(2016, 4, 25)), ((4,), 1, D(2016, 4, 25)), ((2,), 1, D(2016, 2, 20)),
+    (OFF_SEASON, 3, D(2016, 10, 30)), ((4,), 0, D(2016, 1, 1)), ((12,), 2, None),
+])
+def test_has_referent_equals_expansion(spark, months, weeks, start):
+    days = spark.sql("select explode(sequence(date'2016-01-01', date'2017-12-31')) as Date")
+    days = days.withColumn("case", F.col("Date"))
+    found = {r[0] for r in add_referents(days, weeks, months, start).select("case").distinct().collect()}
+    assert {r[0] for r in days.where(has_referent("Date", weeks, months, start)).select("case").collect()} == found
+
+
 def test_study_start_is_exclusive(spark):
     df = spark.createDataFrame([(D(2016, 1, 1),), (D(2016, 1, 2),), (None,)], "Date date")
     assert [r[0] for r in study_cases(df, OFF_SEASON).collect()] == [D(2016, 1, 2)]
