@@ -15,25 +15,43 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _first_match(text: ColumnLike, patterns: Iterable[str]) -> Column:
-    # try_to_date gives NULL instead of an error, so the first layout that fits wins
+def _by_shape(text: ColumnLike, layouts: dict[str, str]) -> Column:
+    # the shape picks the layout, so that text of another shape costs no failed parse;
+    # try_to_date then gives NULL for days that do not exist
     trimmed = F.trim(_col(text))
-    return F.coalesce(*[F.try_to_date(trimmed, p) for p in patterns])
+    return F.coalesce(*[
+        F.when(trimmed.rlike(shape), F.try_to_date(trimmed, layout))
+        for shape, layout in layouts.items()
+    ])
 
 
 def parse_dmy(text: ColumnLike) -> Column:
     """Day-month-year text such as ``01JAN2016``; NULL when it cannot be read."""
-    return _first_match(text, ["dMMMyyyy", "d-MMM-yyyy", "d MMM yyyy", "d/M/yyyy", "d-M-yyyy"])
+    return _by_shape(text, {
+        r"^\d{1,2}[A-Za-z]{3}\d{4}$": "dMMMyyyy",
+        r"^\d{1,2}-[A-Za-z]{3}-\d{4}$": "d-MMM-yyyy",
+        r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
+        r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
+        r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
+    })
 
 
 def parse_ymd(text: ColumnLike) -> Column:
     """Year-month-day text; NULL when it cannot be read."""
-    return _first_match(text, ["y-M-d", "y/M/d", "yyyyMMdd"])
+    return _by_shape(text, {
+        r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d",
+        r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+        r"^\d{8}$": "yyyyMMdd",
+    })
 
 
 def parse_mdy(text: ColumnLike) -> Column:
     """Month-day-year text; NULL when it cannot be read."""
-    return _first_match(text, ["M/d/y", "M-d-y", "MMddyyyy"])
+    return _by_shape(text, {
+        r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+        r"^\d{1,2}-\d{1,2}-\d{4}$": "M-d-yyyy",
+        r"^\d{8}$": "MMddyyyy",
+    })
 
 
 def iso_date(text: ColumnLike) -> Column:

@@ -62,7 +62,7 @@ def add_lags_blocked(
     inside = Window.partitionBy(group, "__block").orderBy(*keys)
     whole = Window.partitionBy(group, "__block")
     placed = df.withColumn("__block", block).select(
-        *cols,
+        *cols, "__block",
         *[c for v in variables for c in lag_columns(v, inside, n)],
         F.row_number().over(inside).alias("__rank"),
         F.count(F.lit(1)).over(whole).alias("__size"),
@@ -71,13 +71,16 @@ def add_lags_blocked(
     body = placed.where(F.col("__rank") > n).select(*cols, *names)
     edges = placed.where(
         (F.col("__rank") <= n) | (F.col("__rank") > F.col("__size") - n)
-    ).select(*cols, "__rank")
+    ).select(*cols, "__rank", "__block")
     across = Window.partitionBy(group).orderBy(*keys)
-    heads = (
-        edges.select("*", *[c for v in variables for c in lag_columns(v, across, n)])
-        .where(F.col("__rank") <= n)
-        .select(*cols, *names)
+    heads = edges.select(
+        "*", *[c for v in variables for c in lag_columns(v, across, n)],
+        F.lag("__block", 1).over(across).alias("__before"),
     )
+    heads = _fail_when(
+        heads, F.coalesce(F.col("__before") > F.col("__block"), F.lit(False)),
+        "block must not decrease along the order",
+    ).where(F.col("__rank") <= n).select(*cols, *names)
     return body.unionByName(heads)
 
 

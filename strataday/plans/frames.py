@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import day_label, iso_date, join_text, scale_to_domain
-from ..operators import broadcast_if_small, rank_dates, with_point
+from ..operators import broadcast_if_small, rank_dates, union_by_name, with_point
 from ..schemas import (
     FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, PALETTE_DOMAIN, PM25_STANDARD,
 )
@@ -49,22 +50,32 @@ def frame_manifest(
 
 
 def attach_layer(manifest: DataFrame, layer: DataFrame, by: str = "date") -> DataFrame:
-    """Frames joined to the rows of a dated layer.
+    """Frames joined to the rows of a dated layer, whose date becomes ``layer_date``.
 
     ``by="date"`` matches the calendar. ``by="rank"`` matches frame *k* with the
     *k*-th distinct date of the layer, which slips when a day is missing. The
     frames are counted first and broadcast when few, so that the layer stays where it is.
     """
-    frames = broadcast_if_small(manifest)
-    if by == "date":
-        return layer.join(frames, "Date")
-    if by != "rank":
+    if by not in ("date", "rank"):
         raise ValueError("by must be 'date' or 'rank'")
-    ranked = rank_dates(layer, "Date", "frame_no").withColumnRenamed("Date", "layer_date")
-    # at most one date per frame, so no larger than the frames themselves
-    dated = ranked.join(frames, "frame_no")
-    dated = dated if frames is manifest else F.broadcast(dated)
-    return layer.withColumnRenamed("Date", "layer_date").join(dated, "layer_date")
+    frames = manifest.select("frame_no", "label", "Date")
+    small = broadcast_if_small(frames)
+    rows = layer.withColumnRenamed("Date", "layer_date")
+    if by == "date":
+        dated = small.withColumnRenamed("Date", "layer_date")
+    else:
+        ranked = rank_dates(layer, "Date", "frame_no").withColumnRenamed("Date", "layer_date")
+        dated = ranked.join(small.drop("Date"), "frame_no")
+        # at most one date per frame, so no larger than the frames themselves
+        dated = dated if small is frames else F.broadcast(dated)
+    features = [c for c in rows.columns if c != "layer_date"]
+    return rows.join(dated, "layer_date").select("frame_no", "label", "layer_date", *features)
+
+
+def _geometry_as_text(df: DataFrame) -> DataFrame:
+    if isinstance(df.schema["geometry"].dataType, T.StringType):
+        return df
+    return df.withColumn("geometry", F.to_json("geometry"))
 
 
 def frame_layers(
@@ -74,29 +85,27 @@ def frame_layers(
     """Long layer table: one row per frame and feature.
 
     Layers are stacked rather than joined to each other, so a frame with s
-    polygons and m monitors has s + m rows. ``smoke`` and ``monitors`` bring
-    ``Date``, ``feature_id`` and ``geometry`` text (and ``Concentration`` for
-    monitors); ``boundary`` is a single row with the same ``feature_id`` and
-    ``geometry``, added to every frame.
+    polygons and m monitors has s + m rows. ``smoke`` and ``monitors`` bring ``Date`` and
+    ``geometry``, monitors also ``Concentration``; further columns stay, NULL in
+    the other layers. Geometries become text, as polygons and points have different
+    types. ``boundary`` is a single row, added to every frame.
     """
-    lo, hi = PALETTE_DOMAIN
-    head = ["frame_no", "label"]
-    smoke_rows = attach_layer(manifest, smoke, by).select(
-        *head, F.lit("smoke").alias("layer"), "feature_id", "geometry",
-        F.lit(None).cast("double").alias("Concentration"),
-    )
-    monitor_rows = attach_layer(manifest, monitors, by).select(
-        *head, F.lit("monitor").alias("layer"), "feature_id", "geometry", "Concentration",
-    )
-    layers = smoke_rows.unionByName(monitor_rows)
+    parts = [
+        attach_layer(manifest, _geometry_as_text(rows), by).withColumn("layer", F.lit(name))
+        for name, rows in (("smoke", smoke), ("monitor", monitors))
+    ]
     if boundary is not None:
-        one = boundary.select(F.struct("feature_id", "geometry").alias("b")).scalar()
-        constant = manifest.withColumn("__b", one).select(
-            *head, F.lit("boundary").alias("layer"), "__b.feature_id", "__b.geometry",
-            F.lit(None).cast("double").alias("Concentration"),
+        shape = _geometry_as_text(boundary)
+        # a scalar subquery, so a second row is an error and there is no join
+        one = shape.select(F.struct(*shape.columns).alias("shape")).scalar()
+        parts.append(
+            manifest.select("frame_no", "label", F.lit("boundary").alias("layer"), one.alias("__b"))
+            .select("frame_no", "label", "layer", "__b.*")
         )
-        layers = layers.unionByName(constant)
-    return layers.withColumn("shade", scale_to_domain("Concentration", lo, hi, reverse=True))
+    lo, hi = PALETTE_DOMAIN
+    return union_by_name(*parts).withColumn(
+        "shade", scale_to_domain("Concentration", lo, hi, reverse=True)
+    )
 
 
 def daily_counts(layer: DataFrame, date: str = "Date") -> DataFrame:

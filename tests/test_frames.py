@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from strataday.plans import (
 )
 from strataday.operators import broadcast_if_small
 from strataday.schemas import MONITOR_SCHEMA
+from strataday.sources import collect_polygons, read_boundary
 
 D = dt.date
 
@@ -64,6 +66,28 @@ def test_frame_layers(spark):
     assert out.where("layer <> 'monitor' and shade is not null").count() == 0
 
 
+def test_files_to_frames(spark, tmp_path):
+    ring = [[[-106.0, 34.0], [-105.0, 34.0], [-106.0, 34.0]]]
+    shape = {"type": "Polygon", "coordinates": ring}
+    feature = {"Satellite": "GOES", "Start": "1", "End": "2", "Density": "Light", "geometry": shape}
+    (tmp_path / "hms_smoke20220406.json").write_text(json.dumps(feature) + "\n")
+    (tmp_path / "boundary").write_text(json.dumps({"geometry": shape}) + "\n")
+    daily = spark.createDataFrame(
+        [("88101", 35, "001", "0023", "PM25 Annual 2012", -106.6, 35.1, "2022-04-07", 32.0)], MONITOR_SCHEMA
+    )
+    out = frame_layers(
+        frame_manifest(spark), collect_polygons(spark, str(tmp_path)), standardise_monitors(daily),
+        read_boundary(spark, str(tmp_path / "boundary")),
+    )
+    rows = {r["layer"]: r for r in out.collect()}
+    assert out.count() == 138 + 2
+    assert (rows["smoke"]["frame_no"], rows["smoke"]["Density"], rows["smoke"]["shade"]) == (96, "Light", None)
+    assert (rows["monitor"]["frame_no"], rows["monitor"]["shade"]) == (97, 0.5)
+    assert json.loads(rows["boundary"]["geometry"]) == json.loads(rows["smoke"]["geometry"]) == shape
+    assert json.loads(rows["monitor"]["geometry"]) == {"lon": -106.6, "lat": 35.1}
+    assert rows["boundary"]["layer_date"] is None and rows["monitor"]["layer_date"] == D(2022, 4, 7)
+
+
 def test_boundary_must_be_one_row(spark):
     manifest = frame_manifest(spark, D(2022, 4, 1), D(2022, 4, 2), 1)
     two = spark.createDataFrame([(0, "a"), (1, "b")], "feature_id int, geometry string")

@@ -278,6 +278,12 @@ def test_blocked_lags_equal_one_window(spark, rows, seed):
     assert rows(monthly) == rows(plain)
 
 
+def test_blocked_lags_reject_a_block_against_the_order(spark):
+    df = panel(spark, range(1, 9))
+    with pytest.raises(Exception, match="block must not decrease"):
+        add_lags_blocked(df, ["v"], 1, "County", ["Date"], -F.dayofmonth("Date")).collect()
+
+
 # --- numbering ------------------------------------------------------------
 
 

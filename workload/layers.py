@@ -67,14 +67,14 @@ def _layers_sql(smoke_on: str, monitor_on: str) -> str:
     smr AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM (SELECT DISTINCT d FROM sm)),
     mor AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM (SELECT DISTINCT d FROM mo)),
     layers AS (
-        SELECT frame_no, label, 'smoke' AS layer, feature_id, geometry,
+        SELECT frame_no, label, sm.d AS layer_date, 'smoke' AS layer, feature_id, geometry,
                CAST(NULL AS DOUBLE) AS "Concentration"
         FROM manifest JOIN smr {smoke_on} JOIN sm ON sm.d = smr.d
         UNION ALL
-        SELECT frame_no, label, 'monitor', feature_id, geometry, "Concentration"
+        SELECT frame_no, label, mo.d, 'monitor', feature_id, geometry, "Concentration"
         FROM manifest JOIN mor {monitor_on} JOIN mo ON mo.d = mor.d
         UNION ALL
-        SELECT frame_no, label, 'boundary', n, box, NULL FROM manifest, (
+        SELECT frame_no, label, NULL, 'boundary', n, box, NULL FROM manifest, (
             SELECT count(*) AS n, 'BOX(' || min(s_suppkey) || ' ' || max(s_suppkey) || ')' AS box
             FROM supplier))
     SELECT *, {shade} AS shade FROM layers"""
