@@ -65,7 +65,8 @@ def crossed_episodes(
     in ``outcomes``. ``only`` keeps some outcomes, with the IDs they have among all.
     County-days above ``max_run`` episodes go through a second branch that cuts
     their counts into pieces and spreads those, so that a county-day holding a
-    large part of all episodes is not written out by one task per date.
+    large part of all episodes is not written out by one task per date. In file order source
+    rows stay apart, so they are joined to the finished dates of their county-day.
     """
     months = tuple(months)
     counted = F.col("total") if only is None else reduce(add, [F.col(c) for c in only])
@@ -78,10 +79,19 @@ def crossed_episodes(
         # only the outcomes that occur travel along
         F.filter(outcome_entries(outcomes, only), lambda o: o["n"] > 0).alias("occurring"),
     )
-    crossed = add_referents(
-        spread(cells, "Date", "County"), weeks, months, start, include_case=True
-    )
-    exposed = left_join(crossed, panel, ("Date", "County"))
+    # the first ID tells cells apart also where a county-day has several source rows
+    cells = spread(cells, "Date", "County", F.col("occurring")[0]["first"])
+    if file_order:
+        days = place_days(cells, panel, ("Date", "County"), {}, weeks, months, start)
+        placed = left_join(
+            cells.withColumnRenamed("Date", "__case_date"), days, ("__case_date", "County")
+        )
+        exposed = placed.withColumn("__day", F.explode("__days")).select(
+            "Year", "Month", "County", "total", "occurring", "__day.*"
+        )
+    else:
+        crossed = add_referents(cells, weeks, months, start, include_case=True)
+        exposed = left_join(crossed, panel, ("Date", "County"))
     light = explode_outcomes(exposed.where(F.col("total") <= max_run), outcomes, "occurring")
     heavy = explode_outcomes(exposed.where(F.col("total") > max_run), outcomes, "occurring")
     pieces = break_runs(heavy, "n", "__first", max_run)

@@ -164,6 +164,25 @@ def test_numbering_in_file_order(spark):
     assert {r[0] for r in out.select("Patient_ID").collect()} == {pid for d, pid in got if d}
 
 
+def test_file_order_tables_equal_ordered_tables_up_to_ids(spark):
+    cells, panel = random_study(23, SHORT, n_cells=12)
+    smoke, heat = panel_frames(spark, panel)
+    adm, exposure = admissions_frame(spark, cells, SHORT), exposure_panel(smoke, heat)
+    # every county-day split over two source rows
+    halves = [F.floor(F.col(o) / 2).cast("int").alias(o) for o in SHORT]
+    rest = [(F.col(o) - F.floor(F.col(o) / 2)).cast("int").alias(o) for o in SHORT]
+    rows = adm.select("Date", "County", *halves).unionByName(adm.select("Date", "County", *rest))
+    rows = rows.withColumn("pos", F.xxhash64("Date", "County", *SHORT) % 1_000_000_000)
+    kinds = lambda df: sorted(map(str, df.drop("Patient_ID").collect()))
+    for max_run in (2, 1000):
+        ordered = case_crossover_tables(adm, exposure, SHORT)
+        by_file = case_crossover_tables(rows, exposure, SHORT, file_order="pos", max_run=max_run)
+        assert by_file.columns == ordered.columns
+        assert kinds(by_file) == kinds(ordered)
+        ids = by_file.where("outcome = 1").select("Patient_ID")
+        assert ids.distinct().count() == ids.count()
+
+
 def test_null_count_is_rejected(spark):
     df = spark.createDataFrame(
         [(D(2022, 4, 1), "Taos", None, 0, 0)],

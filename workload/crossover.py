@@ -17,8 +17,8 @@ from strataday.schemas import (
 
 from .registry import ORACLES, query
 from .views import (
-    FLAG_RULES, PANEL_SQL, START, admissions, ctes, heat, multi_flag_cases, orders_with_customer,
-    smoke,
+    FLAG_RULES, PANEL_SQL, START, admission_rows, admissions, ctes, heat, multi_flag_cases,
+    orders_with_customer, smoke,
 )
 
 _EXPOSED = ["smokepm25", "totalpm25", '"HeatIndex"']
@@ -101,6 +101,15 @@ def q_casecross_apr_aug(spark, sf):
     return case_crossover_tables(admissions(spark, sf), panel, months=FIRE_APR_AUG, start=START)
 
 
+@query("casecross_file_order", sql=_tables_sql(
+    FIRE_APR_AUG, _PM_LAGGED, "fips", "oc", "epfile", "pm", extra=_PM_PANEL_SQL))
+def q_casecross_file_order(spark, sf):
+    return case_crossover_tables(
+        admission_rows(spark, sf), exposure_panel(smoke(spark, sf)), months=FIRE_APR_AUG,
+        start=START, file_order="o_orderkey",
+    )
+
+
 _OTHERS = ", ".join(
     f"{_flag(c)} AS {'outcome' if c == 'asthma_dx' else c}" for c in OUTCOMES
 )

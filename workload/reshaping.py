@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataday.functions import count_values, recode, strict_sum, year_text
+from strataday.functions import count_values, strict_sum, year_text
 from strataday.operators import (
     keep_first, keep_groups, pivot_values, rank_dates, to_long, uncount, union_by_name,
 )
@@ -12,14 +12,10 @@ from strataday.plans import (
     annual_summary, build_episodes, clean_heat, daily_counts, explode_outcomes, widen_episodes,
 )
 from strataday.plans.episodes import case_cells
-from strataday.schemas import (
-    COUNTY_FIPS, COUNTY_STATE_FIPS, FACET_ORDER, OUTCOME_SOURCES, OUTCOMES,
-)
+from strataday.schemas import COUNTY_STATE_FIPS, FACET_ORDER, OUTCOMES
 
 from .registry import query
-from .views import (
-    RULES, admissions, ctes, heat_wide, month_heads, orders_with_customer, table,
-)
+from .views import admission_rows, admissions, ctes, heat_wide, month_heads, table
 
 
 @query("unpivot_outcomes", sql=ctes("fips", "oc", "adm") + f"""
@@ -64,24 +60,10 @@ def q_episode_ids(spark, sf):
     return build_episodes(admissions(spark, sf))
 
 
-_ROW_LIST = ", ".join(
-    f"{{'ord': {i}, 'dx': '{dx}', 'hit': {RULES[src]}}}"
-    for i, (src, dx) in enumerate(OUTCOME_SOURCES.items())
-)
-
-
-@query("episode_ids_file_order", sql=ctes("fips", "oc") + f"""
-    SELECT "Date", "County", o.dx AS "Primary_dx", 1 AS "Episode",
-           substr(o.dx, 1, 4) || ' ' || row_number() OVER (ORDER BY o_orderkey, o.ord) AS "Patient_ID"
-    FROM (SELECT "Date", name AS "County", o_orderkey, unnest([{_ROW_LIST}]) AS o
-          FROM oc LEFT JOIN fips ON code = c_nationkey)
-    WHERE o.hit""")
+@query("episode_ids_file_order", sql=ctes("fips", "oc", "epfile") + """
+    SELECT "Date", "County", dx AS "Primary_dx", 1 AS "Episode", "Patient_ID" FROM ep""")
 def q_episode_ids_file_order(spark, sf):
-    rows = orders_with_customer(spark, sf).select(
-        "Date", recode("c_nationkey", COUNTY_FIPS).alias("County"), "o_orderkey",
-        *[F.expr(RULES[src]).cast("int").alias(dx) for src, dx in OUTCOME_SOURCES.items()],
-    )
-    return build_episodes(rows, file_order="o_orderkey")
+    return build_episodes(admission_rows(spark, sf), file_order="o_orderkey")
 
 
 @query("pivot_episodes", sql=ctes("fips", "oc", "adm", "cells", "eplong", "ep") + f"""

@@ -104,6 +104,14 @@ def admissions(spark: SparkSession, sf_dir: str, text_dates: bool = False) -> Da
     return clean_admissions(admissions_raw(spark, sf_dir, text_dates))
 
 
+def admission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source row per order, with its position, for numbering in file order."""
+    return orders_with_customer(spark, sf_dir).select(
+        "Date", recode("c_nationkey", COUNTY_FIPS).alias("County"), "o_orderkey",
+        *[F.expr(RULES[src]).cast("int").alias(dx) for src, dx in OUTCOME_SOURCES.items()],
+    )
+
+
 def smoke_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County-day exposure with text dates and the unaccented county spelling."""
     spelled = {**COUNTY_FIPS, 13: "Dona Ana"}
@@ -198,6 +206,11 @@ _SUMS = ", ".join(
 _RESUMS = ", ".join(f"CAST(sum({dx}) AS BIGINT) AS {dx}" for dx in OUTCOMES)
 _LIST = ", ".join(f"{{'ord': {i}, 'dx': '{dx}', 'n': {dx}}}" for i, dx in enumerate(OUTCOMES))
 
+_HITS = ", ".join(
+    f"{{'ord': {i}, 'dx': '{dx}', 'hit': {RULES[src]}}}"
+    for i, (src, dx) in enumerate(OUTCOME_SOURCES.items())
+)
+
 SQL = {
     "fips": f"fips(code, name) AS (SELECT * FROM {FIPS_SQL} AS v(code, name))",
     "oc": """oc AS (
@@ -216,6 +229,12 @@ SQL = {
         SELECT "Date", "County", dx, substr(dx, 1, 4) || ' ' || row_number() OVER (
             ORDER BY "Date" NULLS LAST, "County" NULLS LAST, ord, k) AS "Patient_ID"
         FROM eplong, unnest(range(1, 1 + n)) AS t(k))""",
+    "epfile": f"""ep AS (
+        SELECT "Date", "County", o.dx AS dx, substr(o.dx, 1, 4) || ' ' || row_number() OVER (
+            ORDER BY o_orderkey, o.ord) AS "Patient_ID"
+        FROM (SELECT "Date", name AS "County", o_orderkey, unnest([{_HITS}]) AS o
+              FROM oc LEFT JOIN fips ON code = c_nationkey)
+        WHERE o.hit)""",
     "pm": """pm AS (
         SELECT CAST(l_shipdate AS DATE) AS "Date", f.name AS "County",
                CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / 100 AS smokepm25,
