@@ -5,12 +5,13 @@ from .polygons import (
     names_match, polygon_line, read_boundary, scan_lines,
 )
 from .tables import (
-    read_csv, read_monitor_daily, scratch_path, write_csv, write_outcome_tables,
-    write_partitioned,
+    csv_header, read_admissions, read_csv, read_heat_wide, read_monitor_daily, read_smoke,
+    scratch_path, write_csv, write_outcome_tables, write_partitioned,
 )
 
 __all__ = [
-    "collect_polygons", "collection_report", "daily_path", "file_date", "file_verdicts",
-    "list_files", "names_match", "polygon_line", "read_boundary", "read_csv", "read_monitor_daily",
+    "collect_polygons", "collection_report", "csv_header", "daily_path", "file_date",
+    "file_verdicts", "list_files", "names_match", "polygon_line", "read_admissions",
+    "read_boundary", "read_csv", "read_heat_wide", "read_monitor_daily", "read_smoke",
     "scan_lines", "scratch_path", "write_csv", "write_outcome_tables", "write_partitioned",
 ]

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.order import arrange
+from ..schemas import ADMISSION_TYPES, SMOKE_PM_TYPES
 
 NA = "NA"
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file, from its first line."""
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_csv(
     spark: SparkSession, path: str, types: Mapping[str, T.DataType] | None = None,
     default: T.DataType | None = None,
@@ -27,8 +33,9 @@ def read_csv(
     """
     types = dict(types or {})
     default = default or T.StringType()
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, types.get(c, default)) for c in header])
+    schema = T.StructType(
+        [T.StructField(c, types.get(c, default)) for c in csv_header(spark, path)]
+    )
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -38,6 +45,22 @@ def read_csv(
     )
 
 
+def read_admissions(spark: SparkSession, path: str, total_position: int = 4) -> DataFrame:
+    """Admission counts. The total is known by its position only, so it is typed by it."""
+    total = csv_header(spark, path)[total_position - 1]
+    return read_csv(spark, path, {**ADMISSION_TYPES, total: T.IntegerType()})
+
+
+def read_smoke(spark: SparkSession, path: str) -> DataFrame:
+    """Daily smoke panel."""
+    return read_csv(spark, path, SMOKE_PM_TYPES)
+
+
+def read_heat_wide(spark: SparkSession, path: str, county: str = "county") -> DataFrame:
+    """Wide heat-index file: a county code and one column per day."""
+    return read_csv(spark, path, {county: T.IntegerType()}, default=T.DoubleType())
+
+
 def write_csv(df: DataFrame, path: str, sort: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """CSV with a header line, NULL written as ``NA``."""
     out = arrange(df, *sort) if sort else df
