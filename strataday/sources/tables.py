@@ -95,14 +95,15 @@ def read_monitor_daily(
 ) -> DataFrame:
     """Rows of an exported daily air-quality table for a parameter, date range and states.
 
-    Plain comparisons on stored columns, so all three reach the scan.
+    Plain comparisons on stored columns, so all three reach the scan, whether the
+    day is stored as a date or as ISO text.
     """
     day = F.col("date_local")
     return df.where(
         (F.col("parameter_code") == parameter)
         & F.col("state_code").isin([int(s) for s in states])
-        & (day >= F.lit(begin))
-        & (day <= F.lit(end))
+        & (day >= F.lit(str(begin)))
+        & (day <= F.lit(str(end)))
     )
 
 

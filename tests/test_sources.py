@@ -181,11 +181,11 @@ def test_monitor_filter_reaches_the_scan(spark, plan, rows):
          ("88101", 35, D(2023, 1, 1)), ("88101", None, None)],
         "parameter_code string, state_code int, date_local date",
     )
-    path = scratch_path(spark, "t")
-    df.write.parquet(path)
-    out = read_monitor_daily(spark.read.parquet(path), "88101", D(2022, 1, 1), D(2022, 12, 31), [35])
-    assert rows(out) == [("88101", 35, D(2022, 4, 6))]
-    text = plan(out)
-    pushed = next(line for line in text.splitlines() if "PushedFilters" in line)
-    assert "EqualTo(parameter_code,88101)" in pushed and "GreaterThanOrEqual(date_local" in pushed
-    assert "state_code" in pushed
+    for day in ("date", "string"):
+        path = scratch_path(spark, "t")
+        df.withColumn("date_local", F.col("date_local").cast(day)).write.parquet(path)
+        out = read_monitor_daily(spark.read.parquet(path), "88101", D(2022, 1, 1), D(2022, 12, 31), [35])
+        assert [(r[0], r[1], str(r[2])) for r in out.collect()] == [("88101", 35, "2022-04-06")]
+        pushed = next(line for line in plan(out).splitlines() if "PushedFilters" in line)
+        assert "EqualTo(parameter_code,88101)" in pushed and "GreaterThanOrEqual(date_local" in pushed
+        assert "state_code" in pushed
