@@ -61,6 +61,10 @@ def informative_strata(
     in it. ``flags`` maps flag column to output label. All columns stay, and
     ``outcome`` / ``out_name`` are added; a row appears once per flag its id is
     informative for.
+
+    ``df`` is read twice, for the aggregate with the flags only. That is cheaper than one
+    window over the whole rows, which has to sort and buffer them all, and an id with
+    very many rows costs nothing extra.
     """
     chosen = F.filter(
         F.array(*[F.when(F.col(f"__both_{c}"), F.lit(c)) for c in flags]), lambda x: x.isNotNull()
