@@ -97,10 +97,22 @@ def test_outcome_directories_prune(spark, plan):
     assert "PartitionFilters: [isnotnull(out_name" in text
 
 
+class FakeSession:
+    """Just the settings scratch_path looks at."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
 def test_scratch_path_follows_the_session(spark):
-    base = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_path(spark, "x").startswith(base)
-    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    assert scratch_path(FakeSession("spark://host:7077", "/shared/x"), "t").startswith("/shared/x/t-")
+    assert scratch_path(FakeSession("local[2]", "/shared/x"), "t").startswith("/shared/x/t-")
+    assert scratch_path(FakeSession("local[2]", None), "t") != scratch_path(FakeSession("local[2]", None), "t")
+    with pytest.raises(RuntimeError):
+        scratch_path(FakeSession("spark://host:7077", None), "t")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    assert base is None or scratch_path(spark, "t").startswith(base)
 
 
 # --- polygons -------------------------------------------------------------
