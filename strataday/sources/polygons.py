@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import join_text, remove_text, slice_text
+from ..operators.joins import broadcast_if_small
 from ..schemas import POLYGON_COLUMNS, POLYGON_SCHEMA
 
 FILE_STEM = "hms_smoke"
@@ -79,9 +80,14 @@ def file_verdicts(lines: DataFrame) -> DataFrame:
 
 
 def collect_polygons(spark: SparkSession, root: str) -> DataFrame:
-    """Polygons of all accepted files, tagged with the file's day."""
+    """Polygons of all accepted files, tagged with the file's day.
+
+    There cannot be more rejected files than files, and those are counted from the listing alone, so
+    that the lines need no shuffle to be told apart.
+    """
     lines = scan_lines(spark, root)
     rejected = file_verdicts(lines).where(~F.col("accepted")).select("path")
+    rejected = broadcast_if_small(rejected, bound=list_files(spark, root))
     kept = lines.join(rejected, "path", "left_anti")
     parsed = kept.select(F.from_json("value", POLYGON_SCHEMA).alias("f"), "Date")
     return parsed.select("f.*", "Date")

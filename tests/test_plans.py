@@ -56,3 +56,18 @@ def test_only_bounded_single_partition_windows(spark, plan):
     text = plan(queries()["casecross_all"](spark, SF_DIR))
     singles = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: SinglePartition", text)
     assert singles and all(s.startswith("__block#") and s.count("#") == 2 for s in singles)
+
+
+def test_a_small_panel_is_joined_where_the_dates_are(spark, plan):
+    """A hint on the panel reaches the join, and then no episode or date is shuffled."""
+    from strataday.operators import broadcast_if_small
+    from strataday.plans import case_crossover_tables
+    from workload.views import START, admissions, smoke
+
+    panel = broadcast_if_small(smoke(spark, SF_DIR))
+    adm = admissions(spark, SF_DIR)
+    hinted = plan(case_crossover_tables(adm, panel, start=START))
+    assert nodes(hinted, "SortMergeJoin") == 0
+    after = hinted[hinted.index("== Physical Plan =="):].split("\n\n")[0]
+    light = after.split("BroadcastHashJoin LeftOuter BuildRight")[0]
+    assert "Exchange" not in light and "Generate" in light

@@ -146,6 +146,16 @@ def test_collect_polygons(spark, polygon_root):
     assert out.first()["geometry"]["coordinates"][0][0] == [-106.0, 34.0]
 
 
+def test_lines_are_not_shuffled(spark, polygon_root, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = plan(collect_polygons(spark, polygon_root)).split("\n\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in tree and "SortMergeJoin" not in tree
+    assert tree.count("Exchange") == 2  # verdicts per file, and their broadcast
+
+
 def test_collection_report(spark, polygon_root, rows):
     days = date_spine(spark, D(2022, 4, 6), D(2022, 4, 11))
     assert rows(collection_report(spark, polygon_root, days)) == [
