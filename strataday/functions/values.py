@@ -15,6 +15,11 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col(f"`{column}`")
+
+
 def zero_if_null(c: ColumnLike) -> Column:
     return F.coalesce(_col(c), F.lit(0))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import has_both_flags
+from ..functions.values import has_both_flags, named
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     before the shuffle, so a key with very many copies costs nothing extra.
     """
     rank = [x for c in order for x in (F.col(c).isNull(), F.col(c))]
-    best = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*rank))
+    best = F.min_by(F.struct(*[named(c) for c in df.columns]), F.struct(*rank))
     return df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(best.alias("__row")).select(
         "__row.*"
     )
@@ -81,7 +81,7 @@ def informative_strata(
     )
     outcome = F.coalesce(*[F.when(F.col("__flag") == c, F.col(c)) for c in flags])
     label = F.coalesce(*[F.when(F.col("__flag") == c, F.lit(n)) for c, n in flags.items()])
-    return long.select(*df.columns, outcome.alias("outcome"), label.alias("out_name"))
+    return long.select(*[named(c) for c in df.columns], outcome.alias("outcome"), label.alias("out_name"))
 
 
 def outcome_table(strata: DataFrame, flag: str, label: str) -> DataFrame:
@@ -89,5 +89,5 @@ def outcome_table(strata: DataFrame, flag: str, label: str) -> DataFrame:
     own = strata.where(F.col("out_name") == label)
     names = [c for c in strata.columns if c not in ("outcome", "out_name")]
     return own.select(
-        *[F.col("outcome") if c == flag else F.col(c) for c in names], "out_name"
+        *[F.col("outcome") if c == flag else named(c) for c in names], "out_name"
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import named
+
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fail the query when a key occurs twice.
@@ -16,12 +18,12 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     others = [c for c in df.columns if c not in set(keys)]
     counted = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.any_value(c).alias(c) for c in others]
+        F.count(F.lit(1)).alias("__n"), *[F.any_value(named(c)).alias(c) for c in others]
     )
     duplicate = F.raise_error(F.lit(f"duplicate key in {list(keys)}")).cast("boolean")
     return (
         counted.where(F.when(F.col("__n") > 1, duplicate).otherwise(F.lit(True)))
-        .select(*df.columns)
+        .select(*[named(c) for c in df.columns])
     )
 
 

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.values import lag_name
+from ..functions.values import lag_name, named
 from .joins import left_join
 
 
 def lag_columns(variable: str, window: WindowSpec, n: int = 6) -> list[Column]:
     """Row lags 1..n of one variable, named ``<variable>_lag<k>``."""
-    return [F.lag(variable, k).over(window).alias(lag_name(variable, k)) for k in range(1, n + 1)]
+    return [F.lag(named(variable), k).over(window).alias(lag_name(variable, k)) for k in range(1, n + 1)]
 
 
 def _fail_when(df: DataFrame, condition: Column, what: str) -> DataFrame:
@@ -57,7 +57,7 @@ def add_lags_blocked(
     last ``n`` rows of a block, so a second window over just those edge rows
     gives their lags exactly.
     """
-    cols = df.columns
+    cols = [named(c) for c in df.columns]
     keys = [F.asc_nulls_last(c) for c in order]
     inside = Window.partitionBy(group, "__block").orderBy(*keys)
     whole = Window.partitionBy(group, "__block")
@@ -67,7 +67,7 @@ def add_lags_blocked(
         F.row_number().over(inside).alias("__rank"),
         F.count(F.lit(1)).over(whole).alias("__size"),
     )
-    names = [lag_name(v, k) for v in variables for k in range(1, n + 1)]
+    names = [named(lag_name(v, k)) for v in variables for k in range(1, n + 1)]
     body = placed.where(F.col("__rank") > n).select(*cols, *names)
     edges = placed.where(
         (F.col("__rank") <= n) | (F.col("__rank") > F.col("__size") - n)
@@ -95,14 +95,14 @@ def add_calendar_lags(
     the lags are joined back.
     """
     if on_dup == "keep":
-        daily = df.groupBy(group, date).agg(*[F.max(v).alias(v) for v in variables])
+        daily = df.groupBy(group, date).agg(*[F.max(named(v)).alias(v) for v in variables])
         lagged = add_calendar_lags(daily, variables, n, group, date).drop(*variables)
         return left_join(df, lagged, (date, group))
     window = Window.partitionBy(group).orderBy(F.unix_date(date))
     lagged = df.select(
         "*",
         *[
-            F.max(v).over(window.rangeBetween(-k, -k)).alias(lag_name(v, k))
+            F.max(named(v)).over(window.rangeBetween(-k, -k)).alias(lag_name(v, k))
             for v in variables for k in range(1, n + 1)
         ],
         F.count(F.lit(1)).over(window.rangeBetween(0, 0)).alias("__same_day"),

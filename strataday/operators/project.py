@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import named
+
 EPSG_WGS84 = 4326
 
 
@@ -19,7 +21,7 @@ def select_positions(df: DataFrame, *spec: int | tuple[int, int]) -> DataFrame:
     bad = [p for p in positions if not 1 <= p <= len(df.columns)]
     if bad:
         raise ValueError(f"positions {bad} are outside 1..{len(df.columns)}")
-    return df.select(*[F.col(f"`{df.columns[p - 1]}`") for p in positions])
+    return df.select(*[named(df.columns[p - 1]) for p in positions])
 
 
 def rename_positions(df: DataFrame, names: Mapping[int, str]) -> DataFrame:

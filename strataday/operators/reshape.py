@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_day
+from ..functions.values import named
 
 MAX_RUN = 1_000  # copies of one row a single task makes in a go
 COARSE = 1_000  # runs per coarse piece
@@ -37,7 +38,7 @@ def dates_to_long(
     number gives a NULL date; NULL cells stay as rows.
     """
     heads = list(columns) if columns is not None else [c for c in df.columns if c not in set(ids)]
-    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in heads]))
+    cells = F.posexplode(F.array(*[named(c).cast("double") for c in heads]))
     names = F.array(*[F.lit(h) for h in heads])
     long = df.select(*ids, cells.alias("__pos", value))
     return long.select(
@@ -80,7 +81,7 @@ def checked_count(column: str) -> Column:
 
 def _replicate(df: DataFrame, count: str, index: str) -> DataFrame:
     copies = F.posexplode(F.array_repeat(F.lit(True), F.col(count).cast("int")))
-    others = [c for c in df.columns if c != count]
+    others = [named(c) for c in df.columns if c != count]
     return df.select(*others, copies.alias(index, "__copy")).drop("__copy")
 
 
@@ -106,7 +107,7 @@ def _cut(df: DataFrame, count: str, first: str, size: int) -> DataFrame:
         .withColumn(count, F.least(F.lit(size), F.col(count) - F.col("__piece") * size))
         .drop("__piece")
     )
-    return spread(pieces, F.xxhash64(*[F.col(f"`{c}`") for c in (*others, first)]))
+    return spread(pieces, F.xxhash64(*[named(c) for c in (*others, first)]))
 
 
 def break_runs(df: DataFrame, count: str, first: str, max_run: int = MAX_RUN) -> DataFrame:

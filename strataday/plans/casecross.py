@@ -25,7 +25,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import in_study, month_text, year_text, zero_if_null
+from ..functions import in_study, month_text, named, year_text, zero_if_null
 from ..operators import (
     break_runs, informative_strata, left_join, outcome_table, require_unique, spread,
 )
@@ -100,8 +100,8 @@ def crossed_episodes(
     )
 
 
-def _exposures(panel: DataFrame) -> list[str]:
-    return [c for c in panel.columns if c not in ("Date", "County")]
+def _exposures(panel: DataFrame) -> list[Column]:
+    return [named(c) for c in panel.columns if c not in ("Date", "County")]
 
 
 def full_dataset(
@@ -164,7 +164,7 @@ def place_days(
     exposed = left_join(crossed.withColumns(dict(derived)), require_unique(panel, keys), keys)
     entry = [c for c in exposed.columns if c not in (*place, "__case_date")]
     return exposed.groupBy(*place, "__case_date").agg(
-        F.collect_list(F.struct(*entry)).alias("__days")
+        F.collect_list(F.struct(*[named(c) for c in entry])).alias("__days")
     )
 
 
@@ -222,7 +222,7 @@ def case_crossover_from_cases(
     is_case = F.col("__day.index") == 0
     own = {c: F.when(is_case, zero_if_null(c)).otherwise(0) for c in flags}
     carried = [
-        F.col("__day")[date].alias(date) if c == date else own[c].alias(c) if c in own else F.col(c)
+        F.col("__day")[date].alias(date) if c == date else own[c].alias(c) if c in own else named(c)
         for c in cases.columns
     ]
     added = [c for c in panel.columns if c not in cases.columns]

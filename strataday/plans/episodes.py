@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import month_text, paste, slice_text, year_text
+from ..functions import month_text, named, paste, slice_text, year_text
 from ..operators import checked_count, flags_wide, running_base, uncount
 from ..operators.reshape import MAX_RUN
 from ..schemas import OUTCOMES
@@ -74,7 +74,8 @@ def explode_outcomes(
     # the outer form only spares a ready-made array an inferred size filter, which would
     # build it twice; an empty one still gives no row
     exploded = F.explode_outer(entries) if entries else F.explode(outcome_entries(outcomes))
-    others = [c for c in cells.columns if c not in (*outcomes, "id_base", "total", entries)]
+    dropped = (*outcomes, "id_base", "total", entries)
+    others = [named(c) for c in cells.columns if c not in dropped]
     names = F.array(*[F.lit(c) for c in outcomes])
     return cells.select(*others, exploded.alias("__o")).where(F.col("__o.n") > 0).select(
         *others,
@@ -96,7 +97,7 @@ def number_episodes(
     """Replicate each outcome row by its count ``n`` and give every copy its ``Patient_ID``."""
     copies = uncount(rows, "n", "replicate", max_run)
     before = F.col(ids_before) if isinstance(ids_before, str) else ids_before
-    kept = [c for c in copies.columns if c not in ("first_id", "replicate")]
+    kept = [named(c) for c in copies.columns if c not in ("first_id", "replicate")]
     return copies.select(
         *kept, patient_id(number=before + F.col("replicate") + 1).alias("Patient_ID")
     )

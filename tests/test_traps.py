@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from strataday.operators import arrange
+from strataday.operators import arrange, keep_first, left_join, outcome_table
 from strataday.plans import (
-    build_episodes, case_crossover_tables, clean_admissions, exposure_panel, study_cases,
+    build_episodes, case_crossover_tables, clean_admissions, exposure_panel, full_dataset,
+    strata_tables, study_cases,
 )
 from strataday.schemas import FIRE_APR_SEP, OUTCOME_SOURCES, OUTCOMES
 from strataday.sources import scratch_path, write_csv
@@ -85,3 +86,24 @@ def test_sort_order_is_a_choice_of_the_sink(spark):
     write_csv(df.coalesce(1), path, sort=("County", "Date"))
     lines = spark.read.text(path).where(F.col("value") != "County,Date")
     assert sorted(r[0] for r in lines.collect()) == ["NA,2022-01-01", "a,2022-01-02", "b,2022-01-01"]
+
+
+def test_variables_may_have_dots_in_their_names(spark):
+    name = "ARITHMETIC.MEAN"
+    panel = spark.createDataFrame(
+        [(D(2022, 5, 3), "Taos", 1.0), (D(2022, 5, 4), "Taos", 2.0)], ["Date", "County", name]
+    ).withColumn("Date", F.to_date("Date"))
+    for mode, on_dup in (("row", "error"), ("row", "keep"), ("calendar", "error"), ("calendar", "keep")):
+        lagged = exposure_panel(panel, lags=1, mode=mode, on_dup=on_dup)
+        got = {r["Date"]: (r[name], r[f"{name}_lag1"]) for r in lagged.collect()}
+        assert got == {D(2022, 5, 3): (1.0, None), D(2022, 5, 4): (2.0, 1.0)}
+    out = case_crossover_tables(counts(spark, (D(2022, 5, 4), "Taos", {"asthma_dx": 1})), lagged)
+    row = out.where("outcome = 1").first()
+    assert (row[name], row[f"{name}_lag1"]) == (2.0, 1.0)
+    strata = strata_tables(
+        full_dataset(counts(spark, (D(2022, 5, 4), "Taos", {"asthma_dx": 1})), lagged)
+    )
+    assert outcome_table(strata, "asthma_dx", "asthma").where("outcome = 1").first()[name] == 2.0
+    joined = left_join(panel, panel.withColumnRenamed(name, "B.C"), ["Date", "County"], on_dup="error")
+    assert joined.columns == ["Date", "County", name, "B.C"] and joined.count() == 2
+    assert keep_first(panel, ["County"], ["Date"]).first()[name] == 1.0
