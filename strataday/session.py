@@ -1,4 +1,7 @@
-"""Session for local runs. On a cluster the session comes with its own settings."""
+"""Session for local runs. On a cluster the session comes with its own settings.
+
+All tasks of a local session run on one machine, so a folder of that machine is shared.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,7 @@ def local_session(name: str, cpus: int | str | None = None, **conf: str) -> Spar
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.dir": os.environ.get("SCRATCH_DIR", "/tmp/strataday-scratch"),
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)

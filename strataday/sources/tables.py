@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -110,13 +109,10 @@ def read_monitor_daily(
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local master may go without that setting.
+    A session without that setting gets a folder below its warehouse, which all
+    executors share as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="strataday-")
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+        base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -100,19 +100,16 @@ def test_outcome_directories_prune(spark, plan):
 class FakeSession:
     """Just the settings scratch_path looks at."""
 
-    def __init__(self, master, folder):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master})
+    def __init__(self, settings):
+        self.conf = settings
 
 
 def test_scratch_path_follows_the_session(spark):
-    assert scratch_path(FakeSession("spark://host:7077", "/shared/x"), "t").startswith("/shared/x/t-")
-    assert scratch_path(FakeSession("local[2]", "/shared/x"), "t").startswith("/shared/x/t-")
-    assert scratch_path(FakeSession("local[2]", None), "t") != scratch_path(FakeSession("local[2]", None), "t")
-    with pytest.raises(RuntimeError):
-        scratch_path(FakeSession("spark://host:7077", None), "t")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    assert base is None or scratch_path(spark, "t").startswith(base)
+    assert scratch_path(FakeSession({"spark.checkpoint.dir": "/shared/x"}), "t").startswith("/shared/x/t-")
+    unset = FakeSession({"spark.sql.warehouse.dir": "hdfs://host/warehouse"})
+    assert scratch_path(unset, "t").startswith("hdfs://host/warehouse/_scratch/t-")
+    assert scratch_path(unset, "t") != scratch_path(unset, "t")
+    assert scratch_path(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
 # --- polygons -------------------------------------------------------------
