@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dup, quality, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, language_model, mixing, near_dup, quality, token_counts, token_ids, toxicity
 from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
