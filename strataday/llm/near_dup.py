@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .texts import LOWER, mix, prefix_sums, shingle_hash, slices, span_hash, sum_rows, words  # noqa: F401
+from .texts import LOWER, mix, prefix_sums, shingle_hash, slices, span_hash, words
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction.

@@ -139,11 +139,6 @@ def row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def sum_rows(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of each row's items."""
-    return np.bincount(row_of(first), weights=values, minlength=len(first) - 1)
-
-
 def distinct_in_rows(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, value) pairs, sorted by both."""
     order = np.lexsort((value, row))
