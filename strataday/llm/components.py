@@ -7,7 +7,7 @@ round is written, so that lost executors cost at most one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -33,19 +33,22 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return small.where("u <> v").distinct()
 
 
-def _print(edges: DataFrame) -> tuple:
-    got = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(got)
+def _counted(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their number and sum of hashes, observed while they are written."""
+    seen = Observation()
+    out = written(edges.observe(
+        seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    ), label)
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) of every vertex with an edge; the component is its smallest vertex."""
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = written(now, "edges")
-    before = _print(now)
+    now, before = _counted(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
+    )
     while True:
-        now = written(_star_round(now), "stars")
-        after = _print(now)
+        now, after = _counted(_star_round(now), "stars")
         if after == before:
             break
         before = after

@@ -9,9 +9,10 @@ larger one a single document, its pivot, is compared with all others and leaves,
 rest branch on. Only documents that are not yet known to be connected are compared, so a
 node of thousands of near copies costs one comparison each and is then dropped.
 
-Candidates that the sketches rule out (more than seven standard deviations below the
-threshold) go; every other link is confirmed on the full sets. Documents with equal sets
-are one vertex throughout.
+Candidates that the sketches rule out (more than five standard deviations below the
+threshold) go; every other link is confirmed on the full sets. A small node is compared in
+two passes: first each document with the first of those that it may be like, then all
+pairs that this left unconnected. Documents with equal sets are one vertex throughout.
 
 Defined results: NULL, empty and blank texts have empty sets and are linked with nothing; texts
 shorter than a shingle are one shingle as a whole; very long texts are used whole; rows
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_parts, written
 from .components import components
-from .texts import LOWER, mix, prefix_sums, shingle_hash, slices, span_hash, words
+from .texts import LOWER, as_bytes, mix, prefix_sums, shingle_hash, slices, span_hash, words
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
@@ -38,10 +39,10 @@ SIMILAR = (75, 100)
 PLACES = 64
 TREES = 16
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 12
-#: A pair with fewer equal places than this is not similar: the odds that a pair of
-#: similarity 0.75 has so few of 64 are below 1e-10.
-LEAST_EQUAL = 24
+SMALL = 512
+#: A pair with fewer equal places than this is taken as not similar: the odds that a pair of
+#: similarity 0.75 has so few of 64 are about 1e-7.
+LEAST_EQUAL = 29
 _ODD = (mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
 
 
@@ -72,17 +73,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.cumsum(size[full]) - size[full]
             flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
             keys = np.zeros((2, len(sets)), np.uint64)
-            sketch = np.zeros((len(sets), PLACES), np.int32)
+            sketch = np.zeros((len(sets), PLACES), np.uint16)
             if len(full):
                 for k in range(2):
                     keys[k, full] = np.add.reduceat(mix(flat + np.uint64(k)), first)
                 for k, odd in enumerate(_ODD):
                     lowest = np.minimum.reduceat(flat * odd, first)
-                    sketch[full, k] = (mix(lowest) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    sketch[full, k] = (mix(lowest) >> np.uint64(48)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(i, j - i), pa.array(size),
                 pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), PLACES).cast(pa.list_(pa.int32())),
+                pa.array([row.tobytes() for row in sketch], pa.binary()),
             ], ["doc_id", "n_shingles", "key", "key2", "sketch"])
 
 
@@ -98,7 +99,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, key, key2, sketch): size of the set, a 128-bit key of it, its minwise hashes."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _sketch, "doc_id long, n_shingles long, key long, key2 long, sketch array<int>"
+        _sketch, "doc_id long, n_shingles long, key long, key2 long, sketch binary"
     )
 
 
@@ -110,7 +111,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _children(node: Column, sketch: str = "sketch") -> Column:
     """Children that a document goes to from a node: one place, and with odds 1/3 another."""
     def child(place: Column) -> Column:
-        return F.xxhash64(node, place, F.element_at(sketch, place.cast("int") + 1))
+        return F.xxhash64(node, place, F.substring(sketch, (place * 2 + 1).cast("int"), F.lit(2)))
 
     one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(PLACES))
     two = F.pmod(one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(PLACES - 1)), F.lit(PLACES))
@@ -118,10 +119,6 @@ def _children(node: Column, sketch: str = "sketch") -> Column:
     return F.when(more, F.array(child(one), child(two))).otherwise(F.array(child(one)))
 
 
-def _equal_places(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-
-
 def _mixed_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (node, doc, class, n, pivot) of the nodes whose documents aren't all connected."""
     named = rows.join(classes, rows["doc"] == classes["vertex"], "left").select(
@@ -134,28 +131,57 @@ def _mixed_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(nodes, F.col("node") == F.col("of")).drop("of")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of unconnected documents: all of a small node, the pivot's of a larger one."""
-    small = (
-        nodes.where(F.col("n") <= SMALL).groupBy("node")
-        .agg(F.sort_array(F.collect_list(F.struct("doc", "class"))).alias("m"))
-        .select(F.explode("m").alias("x"), "m")
-        .select("x", F.explode("m").alias("y")).where("x.doc < y.doc and x.class <> y.class")
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    )
-    large = nodes.where((F.col("n") > SMALL) & (F.col("class") != F.col("pivot.class"))).select(
+def _pairs_of_nodes(full: bool):
+    """Likely pairs of different classes within whole nodes: all of them, or those of a star cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        if not len(got):
+            return
+        node, doc, kind = (np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class"))
+        order = np.lexsort((doc, node))
+        node, doc, kind = node[order], doc[order], kind[order]
+        sketch = as_bytes(got["sketch"])[0].view(np.uint16).reshape(-1, PLACES)[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.append(first, len(node)))
+        two = first[size == 2]
+        likely = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= LEAST_EQUAL) & (kind[two] != kind[two + 1])
+        a, b = [two[likely]], [two[likely] + 1]
+        for at, n in zip(first[size > 2], size[size > 2]):
+            own, of = sketch[at : at + n], kind[at : at + n]
+            same = np.stack([(own == row).sum(axis=1) for row in own])
+            good = np.triu((same >= LEAST_EQUAL) & (of[:, None] != of), 1)
+            if not full:
+                covered = np.zeros(n, bool)
+                for i in range(n):
+                    good[i] &= ~covered & (not covered[i])
+                    covered |= good[i]
+            x, y = np.nonzero(good)
+            a.append(at + x)
+            b.append(at + y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], ["a", "b"])
+
+    return run
+
+
+def _small_pairs(nodes: DataFrame, vertices: DataFrame, full: bool) -> DataFrame:
+    """Pairs (a, b) of unconnected documents of small nodes that the sketches don't rule out."""
+    small = nodes.where(F.col("n") <= SMALL).join(vertices, "doc").select("node", "doc", "class", "sketch")
+    parts = shuffle_parts(nodes.sparkSession)
+    return small.repartition(parts, "node").mapInArrow(_pairs_of_nodes(full), "a long, b long").distinct()
+
+
+def _pivot_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Pairs of each large node's pivot and the others, as far as the sketches don't rule them out."""
+    pairs = nodes.where((F.col("n") > SMALL) & (F.col("class") != F.col("pivot.class"))).select(
         F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")
-    )
-    return small.unionByName(large).distinct()
-
-
-def _likely(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs that the sketches don't rule out, with the number of equal places."""
+    ).distinct()
     one = vertices.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
     two = vertices.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", _equal_places("sa", "sb").alias("same")).where(
-        F.col("same") >= LEAST_EQUAL
+    equal = sum(
+        (F.substring("sa", 2 * k + 1, 2) == F.substring("sb", 2 * k + 1, 2)).cast("int") for k in range(PLACES)
     )
+    return pairs.join(one, "a").join(two, "b").where(equal >= LEAST_EQUAL).select("a", "b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -173,15 +199,6 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _unconnected(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't known to be connected."""
-    of_a = classes.select(F.col("vertex").alias("a"), F.col("component").alias("ca"))
-    of_b = classes.select(F.col("vertex").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    ).drop("ca", "cb")
-
-
 def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex that has a link; vertices: (doc, sketch)."""
     spark = docs.sparkSession
@@ -191,24 +208,20 @@ def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     rows = vertices.select("doc", F.explode(roots).alias("node"))
     while True:
         nodes = written(_mixed_nodes(rows, classes), "nodes")
-        likely = written(_likely(_candidates(nodes), vertices), "pairs")
-        if not likely.isEmpty():
-            # First each document with the one most like it; then what that leaves unconnected.
-            best = likely.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("top")).select(
-                (-F.col("top.a")).alias("a"), "b"
-            )
-            links = links.unionByName(_links(best, docs))
+        pairs = written(_small_pairs(nodes, vertices, False).unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(_links(pairs, docs))
             classes = written(components(links), "classes")
-            rest = written(_unconnected(likely.join(best, ["a", "b"], "left_anti"), classes), "rest")
+            again = _mixed_nodes(nodes.where(F.col("n") <= SMALL).select("node", "doc"), classes)
+            rest = written(_small_pairs(again, vertices, True).join(pairs, ["a", "b"], "left_anti"), "rest")
             if not rest.isEmpty():
                 links = links.unionByName(_links(rest, docs))
                 classes = written(components(links), "classes")
         large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
-        rows = written(
-            large.join(vertices, "doc").select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows"
-        )
-        if rows.isEmpty():
+        if large.isEmpty():
             return classes
+        mixed = _mixed_nodes(large, classes).join(vertices, "doc")
+        rows = written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows")
 
 
 def near_dup(docs: DataFrame) -> DataFrame:
