@@ -134,9 +134,10 @@ def _mixed_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def _pairs_of_nodes(full: bool):
     """Likely pairs of different classes within whole nodes: all of them, or those of a star cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches))
-        if not len(got):
+        held = list(batches)
+        if not held:
             return
+        got = pa.Table.from_batches(held)
         node, doc, kind = (np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class"))
         order = np.lexsort((doc, node))
         node, doc, kind = node[order], doc[order], kind[order]
