@@ -9,10 +9,10 @@ larger one a single document, its pivot, is compared with all others and leaves,
 rest branch on. Only documents that are not yet known to be connected are compared, so a
 node of thousands of near copies costs one comparison each and is then dropped.
 
-Candidates that the sketches rule out (more than five standard deviations below the
-threshold) go; every other link is confirmed on the full sets. A small node is compared in
-two passes: first each document with the first of those that it may be like, then all
-pairs that this left unconnected. Documents with equal sets are one vertex throughout.
+Candidates go if the sizes of their sets rule out a link, or their sketches (more than four
+standard deviations below the threshold); every other link is confirmed on the full sets. A
+small node is compared in two passes: first each document with the first and with the most
+alike of those that it may be linked to, then all pairs that this left unconnected. Documents with equal sets are one vertex throughout.
 
 Defined results: NULL, empty and blank texts have empty sets and are linked with nothing; texts
 shorter than a shingle are one shingle as a whole; very long texts are used whole; rows
@@ -40,9 +40,9 @@ PLACES = 64
 TREES = 16
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 512
-#: A pair with fewer equal places than this is taken as not similar: the odds that a pair of
-#: similarity 0.75 has so few of 64 are about 1e-7.
-LEAST_EQUAL = 29
+#: A pair with fewer equal places than this is taken as not similar: the odds that a pair has so
+#: few of 64 are about 1e-5 at a similarity of 0.75 and 2e-8 at 0.8.
+LEAST_EQUAL = 34
 _ODD = (mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
 
 
@@ -142,21 +142,31 @@ def _pairs_of_nodes(full: bool):
         order = np.lexsort((doc, node))
         node, doc, kind = node[order], doc[order], kind[order]
         sketch = as_bytes(got["sketch"])[0].view(np.uint16).reshape(-1, PLACES)[order]
+        size_of = np.asarray(got["n_shingles"].combine_chunks())[order]
+        over, under = SIMILAR
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         size = np.diff(np.append(first, len(node)))
         two = first[size == 2]
         likely = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= LEAST_EQUAL) & (kind[two] != kind[two + 1])
+        low, high = np.minimum(size_of[two], size_of[two + 1]), np.maximum(size_of[two], size_of[two + 1])
+        likely &= under * low >= over * high
         a, b = [two[likely]], [two[likely] + 1]
         for at, n in zip(first[size > 2], size[size > 2]):
             own, of = sketch[at : at + n], kind[at : at + n]
             same = np.stack([(own == row).sum(axis=1) for row in own])
-            good = np.triu((same >= LEAST_EQUAL) & (of[:, None] != of), 1)
+            count = size_of[at : at + n]
+            good = (same >= LEAST_EQUAL) & (of[:, None] != of) & (under * count[:, None] >= over * count)
+            good &= good.T
             if not full:
+                some = np.flatnonzero(good.any(axis=1))
+                best = np.where(good, same, -1).argmax(axis=1)
                 covered = np.zeros(n, bool)
+                good = np.triu(good, 1)
                 for i in range(n):
                     good[i] &= ~covered & (not covered[i])
                     covered |= good[i]
-            x, y = np.nonzero(good)
+                good[np.minimum(some, best[some]), np.maximum(some, best[some])] = True
+            x, y = np.nonzero(np.triu(good, 1))
             a.append(at + x)
             b.append(at + y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -167,7 +177,7 @@ def _pairs_of_nodes(full: bool):
 
 def _small_pairs(nodes: DataFrame, vertices: DataFrame, full: bool) -> DataFrame:
     """Pairs (a, b) of unconnected documents of small nodes that the sketches don't rule out."""
-    small = nodes.where(F.col("n") <= SMALL).join(vertices, "doc").select("node", "doc", "class", "sketch")
+    small = nodes.where(F.col("n") <= SMALL).join(vertices, "doc").select("node", "doc", "class", "sketch", "n_shingles")
     parts = shuffle_parts(nodes.sparkSession)
     return small.repartition(parts, "node").mapInArrow(_pairs_of_nodes(full), "a long, b long").distinct()
 
@@ -177,12 +187,14 @@ def _pivot_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
     pairs = nodes.where((F.col("n") > SMALL) & (F.col("class") != F.col("pivot.class"))).select(
         F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")
     ).distinct()
-    one = vertices.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
-    two = vertices.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
+    one = vertices.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    two = vertices.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    over, under = SIMILAR
+    fits = under * F.least("na", "nb") >= over * F.greatest("na", "nb")
     equal = sum(
         (F.substring("sa", 2 * k + 1, 2) == F.substring("sb", 2 * k + 1, 2)).cast("int") for k in range(PLACES)
     )
-    return pairs.join(one, "a").join(two, "b").where(equal >= LEAST_EQUAL).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(fits & (equal >= LEAST_EQUAL)).select("a", "b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -201,7 +213,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(vertex, component) of every vertex that has a link; vertices: (doc, sketch)."""
+    """(vertex, component) of every vertex that has a link; vertices: (doc, sketch, n_shingles)."""
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     classes = spark.createDataFrame([], "vertex long, component long")
@@ -232,7 +244,7 @@ def near_dup(docs: DataFrame) -> DataFrame:
     sets = written(seen.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc")), "set-keys")
     vertices = written(
         seen.where("n_shingles > 0").join(sets.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi")
-        .select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"]), "vertices",
+        .select(F.col("doc_id").alias("doc"), "sketch", "n_shingles").dropDuplicates(["doc"]), "vertices",
     )
     classes = similar_components(docs, vertices)
     named = sets.join(classes, F.col("doc") == F.col("vertex"), "left").select(
