@@ -85,9 +85,13 @@ def informative_strata(
 
 
 def outcome_table(strata: DataFrame, flag: str, label: str) -> DataFrame:
-    """One diagnosis from the long strata table, its own flag renamed ``outcome`` in place."""
+    """One diagnosis from the long strata table, its own flag renamed ``outcome`` in place.
+
+    A table without the flag's column keeps its ``outcome`` column where it is.
+    """
     own = strata.where(F.col("out_name") == label)
-    names = [c for c in strata.columns if c not in ("outcome", "out_name")]
+    left_out = ("outcome", "out_name") if flag in strata.columns else ("out_name",)
+    names = [c for c in strata.columns if c not in left_out]
     return own.select(
         *[F.col("outcome") if c == flag else named(c) for c in names], "out_name"
     )

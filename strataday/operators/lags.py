@@ -92,7 +92,7 @@ def add_calendar_lags(
 
     With ``on_dup="keep"`` a day's value is the largest of its rows: days are
     reduced to one row first, so that a group stays bounded by the calendar, and
-    the lags are joined back.
+    the lags are joined back. A row without a date has no lags.
     """
     if on_dup == "keep":
         daily = df.groupBy(group, date).agg(*[F.max(named(v)).alias(v) for v in variables])
@@ -102,7 +102,10 @@ def add_calendar_lags(
     lagged = df.select(
         "*",
         *[
-            F.max(named(v)).over(window.rangeBetween(-k, -k)).alias(lag_name(v, k))
+            # A NULL date is its own peer in a range frame, at any distance.
+            F.when(
+                F.col(date).isNotNull(), F.max(named(v)).over(window.rangeBetween(-k, -k))
+            ).alias(lag_name(v, k))
             for v in variables for k in range(1, n + 1)
         ],
         F.count(F.lit(1)).over(window.rangeBetween(0, 0)).alias("__same_day"),

@@ -107,3 +107,22 @@ def test_variables_may_have_dots_in_their_names(spark):
     joined = left_join(panel, panel.withColumnRenamed(name, "B.C"), ["Date", "County"], on_dup="error")
     assert joined.columns == ["Date", "County", name, "B.C"] and joined.count() == 2
     assert keep_first(panel, ["County"], ["Date"]).first()[name] == 1.0
+
+
+def test_calendar_lags_of_a_missing_date_are_null(spark):
+    from strataday.operators.lags import add_calendar_lags
+
+    df = spark.createDataFrame(
+        [("2020-01-01", "A", 1.0), ("2020-01-02", "A", 2.0), (None, "A", 99.0)], "d string, County string, pm double"
+    ).selectExpr("cast(d as date) AS Date", "County", "pm")
+    for mode in ("error", "keep"):
+        got = {str(r.Date): (r.pm, r[3], r[4]) for r in add_calendar_lags(df, ["pm"], 2, on_dup=mode).collect()}
+        assert got == {"2020-01-01": (1.0, None, None), "2020-01-02": (2.0, 1.0, None), "None": (99.0, None, None)}
+
+
+def test_outcome_table_without_the_flag_keeps_outcome(spark):
+    from strataday.operators.groups import outcome_table
+
+    df = spark.createDataFrame([(1, 0, "asthma"), (2, 1, "other")], "id int, outcome int, out_name string")
+    got = outcome_table(df, "asthma_flag", "asthma")
+    assert got.columns == ["id", "outcome", "out_name"] and [tuple(r) for r in got.collect()] == [(1, 0, "asthma")]

@@ -79,6 +79,8 @@ def q_pivot_episodes(spark, sf):
     SELECT "Date", max(n) FILTER (WHERE event_type = 'view') AS "view",
            max(n) FILTER (WHERE event_type = 'click') AS click,
            max(n) FILTER (WHERE event_type = 'error') AS error,
+           max(n) FILTER (WHERE event_type = 'signup') AS signup,
+           max(n) FILTER (WHERE event_type = 'purchase') AS purchase,
            max(n) FILTER (WHERE event_type = 'absent') AS absent
     FROM (SELECT CAST(ts AS DATE) AS "Date", event_type, count(*) AS n FROM events GROUP BY ALL)
     GROUP BY ALL""")
@@ -88,7 +90,7 @@ def q_pivot_values(spark, sf):
         .groupBy(F.col("ts").cast("date").alias("Date"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return pivot_values(daily, ["Date"], "event_type", ["view", "click", "error", "absent"], "n")
+    return pivot_values(daily, ["Date"], "event_type", ["view", "click", "error", "signup", "purchase", "absent"], "n")
 
 
 _LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity",
