@@ -36,6 +36,8 @@ BLOCKS = "shard int, block int, n_docs long, n_ids long, width int, doc_ids arra
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
 EVERY = 64
+#: Texts that are encoded together.
+TEXTS = 256
 
 
 class EliasFano:
@@ -113,13 +115,12 @@ class WordEncoder:
         self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int64)
 
-    def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.place.keys())
-        if not new:
-            return
+    def learn(self, unknown: set[str], asked: list[str]) -> None:
+        """Look up the unknown words; with too many held, only those asked for now stay."""
+        new = list(unknown)
         if len(self.place) + len(new) > REMEMBERED:
             self.forget()
-            new = sorted(words - {""})
+            new = list(set(asked) - {""})
         ids = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.place)
@@ -135,8 +136,12 @@ class WordEncoder:
             else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             for t in texts
         ]
-        self.learn(set().union(*split))
-        at = np.array([self.place[w] for words in split for w in words], np.int64)
+        flat = [w for words in split for w in words]
+        at = list(map(self.place.get, flat))
+        if None in at:
+            self.learn({w for w, k in zip(flat, at) if k is None}, flat)
+            at = list(map(self.place.__getitem__, flat))
+        at = np.array(at, np.int64)
         length, start = self.length[at], self.start[at]
         ends = np.cumsum(length)
         pick = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
@@ -170,8 +175,8 @@ def _blocks(path: str, end_id: int):
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     doc_ids.append(doc_id)
                     ids.append(np.append(own, end_id))
