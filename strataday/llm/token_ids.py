@@ -18,6 +18,7 @@ and may fill a block alone; an empty table gives no blocks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,13 +34,32 @@ from .common import shuffle_parts
 
 BLOCK_IDS = 1 << 20
 BLOCKS = "shard int, block int, n_docs long, n_ids long, width int, doc_ids array<long>, bounds binary, ids binary"
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers.
+REMEMBERED = 500_000
+#: Letters of plain texts, and all their characters; controls are left out.
+_LETTERS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF"
+_PLAIN = r"\x09-\x0D\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF"
+#: Fixed value: the vocabulary's pattern, for plain texts.
+_PATTERN = rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\x20\x09-\x0D]+"
+PLAIN = re.compile(f"[{_PLAIN}]*").fullmatch
+PLAIN_PIECES = re.compile(_PATTERN).findall
+#: As above for any text; a run between white space with another character is a piece.
+PIECES = re.compile(rf"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*[^{_PLAIN}][^\x20\x09-\x0D]*|{_PATTERN}").findall
 EVERY = 64
 #: Texts that are encoded together.
 TEXTS = 256
 
 
+def _byte_letters(word: str) -> str:
+    """The word's bytes as the vocabulary writes them: the letter of the same number, or for those
+    that Latin-1 doesn't print the letters from 256 on."""
+    return word.encode().decode("latin-1").translate(_UNPRINTED)
+
+
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_UNPRINTED = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - _PRINTED))}
+
+
 class EliasFano:
     """A sorted sequence of integers in near-minimal space, with select.
 
@@ -95,10 +115,12 @@ class EliasFano:
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word with those of frequent words remembered.
+    """Ids of whole texts, piece by piece, with those of pieces met before remembered.
 
-    White space never joins two tokens in this kind of vocabulary; texts that may hold a special
-    token's string go to the library whole.
+    A piece is what the vocabulary's own pattern cuts a plain text into, which is one of ASCII and
+    the letters of Latin-1: these stay as they are under normalisation but for their case, and no
+    token crosses two pieces. A run between white space that holds any other character is
+    one piece as it is. Texts that may hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -106,51 +128,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.place = {"": 0}
-        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.place = {}
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, unknown: set[str], asked: list[str]) -> None:
-        """Look up the unknown words; with too many held, only those asked for now stay."""
-        new = list(unknown)
-        if len(self.place) + len(new) > REMEMBERED:
+        """Look up the unknown pieces; with too many held, only those asked for now stay."""
+        if len(self.place) + len(unknown) > REMEMBERED:
             self.forget()
-            new = list(set(asked) - {""})
-        ids = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+            unknown = set(asked)
+        plain, other = [], []
+        for w in unknown:
+            (plain if PLAIN(w) else other).append(w)
+        look = self.model.tokenize
+        lists = [[t.id for t in look(w if w.isascii() else _byte_letters(w))] for w in map(str.lower, plain)]
+        lists += self._ids(other) if other else []
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
         base = len(self.place)
-        self.place.update(zip(new, range(base, base + len(new))))
+        self.place.update(zip(plain + other, range(base, base + len(length))))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, *map(np.array, filter(None, ids))]).astype(np.int64)
+        new = np.fromiter((i for ids in lists for i in ids), np.int64, int(length.sum()))
+        self.flat = np.concatenate([self.flat, new])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [
             [] if not t or any(s in t for s in self.special)
-            else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            else PLAIN_PIECES(t.lower()) if PLAIN(t) else PIECES(t)
             for t in texts
         ]
-        flat = [w for words in split for w in words]
-        at = list(map(self.place.get, flat))
-        if None in at:
-            self.learn({w for w, k in zip(flat, at) if k is None}, flat)
-            at = list(map(self.place.__getitem__, flat))
-        at = np.array(at, np.int64)
+        flat = [w for pieces in split for w in pieces]
+        unknown = set(flat).difference(self.place)
+        if unknown:
+            self.learn(unknown, flat)
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         length, start = self.length[at], self.start[at]
-        ends = np.cumsum(length)
-        pick = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.flat[pick]
-        cuts = np.cumsum([len(words) for words in split])
-        out = np.split(ids, ends[cuts[:-1] - 1] * (cuts[:-1] > 0) if len(ends) else np.zeros(len(cuts) - 1, int))
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+        cuts = ends[np.cumsum([0, *map(len, split)])]
+        out = [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
         for i, t in enumerate(texts):
             if t and not split[i]:
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64)
+                out[i] = np.array(self._ids([t])[0], np.int64)
         return out
 
 
