@@ -13,6 +13,7 @@ from ..operators import broadcast_if_small, rank_dates, union_by_name, with_poin
 from ..schemas import (
     FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, PALETTE_DOMAIN, PM25_STANDARD,
 )
+from ..sources.polygons import geometry_json
 
 
 def standardise_monitors(
@@ -75,7 +76,8 @@ def attach_layer(manifest: DataFrame, layer: DataFrame, by: str = "date") -> Dat
 def _geometry_as_text(df: DataFrame) -> DataFrame:
     if isinstance(df.schema["geometry"].dataType, T.StringType):
         return df
-    return df.withColumn("geometry", F.to_json("geometry"))
+    fields = df.schema["geometry"].dataType.fieldNames()
+    return df.withColumn("geometry", geometry_json("geometry") if "coordinates" in fields else F.to_json("geometry"))
 
 
 def frame_layers(
@@ -88,7 +90,7 @@ def frame_layers(
     polygons and m monitors has s + m rows. ``smoke`` and ``monitors`` bring ``Date`` and
     ``geometry``, monitors also ``Concentration``; further columns stay, NULL in
     the other layers. Geometries become text, as polygons and points have different
-    types. ``boundary`` is a single row, added to every frame.
+    types. ``boundary`` has the few features of one place, added to every frame.
     """
     parts = [
         attach_layer(manifest, _geometry_as_text(rows), by).withColumn("layer", F.lit(name))
@@ -96,10 +98,10 @@ def frame_layers(
     ]
     if boundary is not None:
         shape = _geometry_as_text(boundary)
-        # a scalar subquery, so a second row is an error and there is no join
-        one = shape.select(F.struct(*shape.columns).alias("shape")).scalar()
+        # a scalar subquery over the features, so there is no join
+        all_ = shape.select(F.collect_list(F.struct(*shape.columns)).alias("shapes")).scalar()
         parts.append(
-            manifest.select("frame_no", "label", F.lit("boundary").alias("layer"), one.alias("__b"))
+            manifest.select("frame_no", "label", F.lit("boundary").alias("layer"), F.explode(all_).alias("__b"))
             .select("frame_no", "label", "layer", "__b.*")
         )
     lo, hi = PALETTE_DOMAIN

@@ -74,9 +74,8 @@ def run_frames(
     begin = collect_first or first.replace(month=1, day=1)
     end = collect_last or last.replace(month=12, day=31)
     paths = {"polygons": f"{out}/polygons", "frames": f"{out}/frames"}
-    write_partitioned(collect_polygons(spark, polygon_root), paths["polygons"], "Date")
+    write_partitioned(collect_polygons(spark, polygon_root, begin, end), paths["polygons"], "Date")
     polygons = spark.read.parquet(paths["polygons"])
-    polygons = polygons.where(polygons["Date"].between(begin, end))
     monitors = standardise_monitors(
         read_monitor_daily(monitor_daily, parameter, begin, end, tuple(states))
     )

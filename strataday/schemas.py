@@ -163,8 +163,9 @@ MONITOR_SCHEMA = T.StructType([
 
 POLYGON_GEOMETRY = T.StructType([
     T.StructField("type", T.StringType()),
-    T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))),
+    T.StructField("coordinates", T.StringType()),
 ])
+POLYGON_RINGS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 
 POLYGON_SCHEMA = T.StructType([
     T.StructField("Satellite", T.StringType()),

@@ -2,20 +2,27 @@
 
 A file holds one GeoJSON-like object per line and carries its day in its path
 (``hms_smoke20220406``). The whole directory is read in one scan; a file with
-other columns, or one that cannot be read, contributes no rows and
-is reported instead of stopping the run.
+other columns or geometries, or one that cannot be read to its end, contributes no rows and
+is reported instead of stopping the run. That the end was reached is proven by sizes: the lines
+have as many bytes as a plain file, or as a gzip file's last four bytes say. Files of several
+gzip members or of other codecs prove nothing and are rejected. A file that vanishes between
+its two reads stops the run.
+
+``geometry.coordinates`` is always a list of polygons, one for the type Polygon.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import join_text, remove_text, slice_text
 from ..operators.joins import broadcast_if_small
-from ..schemas import POLYGON_COLUMNS, POLYGON_SCHEMA
+from ..schemas import POLYGON_COLUMNS, POLYGON_RINGS, POLYGON_SCHEMA
 
 FILE_STEM = "hms_smoke"
 
@@ -39,7 +46,6 @@ def _reader(spark: SparkSession, source: str) -> DataFrameReader:
         spark.read.format(source)
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
     )
 
 
@@ -51,17 +57,44 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def scan_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every line of every polygon file below ``root`` with its path and day.
+def _of_days(df: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """Rows of files with a day, within the days asked for. Files of other days aren't opened."""
+    df = df.where(F.col("Date").isNotNull())
+    if first is not None:
+        df = df.where(F.col("Date") >= F.lit(first))
+    if last is not None:
+        df = df.where(F.col("Date") <= F.lit(last))
+    return df
+
+
+def scan_lines(
+    spark: SparkSession, root: str, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """Every line of every polygon file below ``root`` with its path, day and the file's size.
 
     A file that cannot be decompressed ends where it breaks off.
     """
-    lines = _reader(spark, "text").load(root)
-    return lines.select(
+    lines = _reader(spark, "text").option("lineSep", "\n").load(root)
+    return _of_days(lines.select(
         "value",
         F.col("_metadata.file_path").alias("path"),
         file_date(F.col("_metadata.file_path")).alias("Date"),
-    ).where(F.col("Date").isNotNull())
+        F.col("_metadata.file_size").alias("size"),
+    ), first, last)
+
+
+def gzip_sizes(
+    spark: SparkSession, root: str, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """Unpacked size modulo 2**32 that each gzip file below ``root`` ends with."""
+    files = _reader(spark, "binaryFile").option("pathGlobFilter", "*.gz").load(root)
+    tail = F.hex(F.substring("content", -4, 4))
+    turned = F.concat(*[F.substring(tail, k, 2) for k in (7, 5, 3, 1)])
+    return _of_days(files.select(
+        F.col("_metadata.file_path").alias("path"),
+        file_date(F.col("_metadata.file_path")).alias("Date"),
+        F.conv(turned, 16, 10).cast("long").alias("unpacked"),
+    ), first, last)
 
 
 def names_match(line: Column | str, names: Sequence[str] = POLYGON_COLUMNS) -> Column:
@@ -72,25 +105,71 @@ def names_match(line: Column | str, names: Sequence[str] = POLYGON_COLUMNS) -> C
     )
 
 
-def file_verdicts(lines: DataFrame) -> DataFrame:
-    """One row per file: its day, whether it passes the gate, and its line count."""
-    return lines.groupBy("path", "Date").agg(
-        F.min(names_match("value")).alias("accepted"), F.count(F.lit(1)).alias("n_lines")
+def geometry_parts(geometry: Column) -> Column:
+    """The geometry with its coordinates parsed, as a list of polygons whatever its type.
+
+    Coordinates of another type or depth are NULL.
+    """
+    kind, raw = geometry["type"], geometry["coordinates"]
+    one = F.from_json(raw, POLYGON_RINGS)
+    parts = F.when(kind == "Polygon", F.when(one.isNotNull(), F.array(one))).when(
+        kind == "MultiPolygon", F.from_json(raw, T.ArrayType(POLYGON_RINGS))
     )
+    return F.when(geometry.isNotNull(), F.struct(kind.alias("type"), parts.alias("coordinates")))
+
 
+def geometry_fits(line: Column | str) -> Column:
+    """The line's geometry is NULL, or one or several polygons down to the numbers of their points."""
+    text = F.col(line) if isinstance(line, str) else line
+    shape = geometry_parts(F.from_json(text, POLYGON_SCHEMA)["geometry"])
+    number = lambda x: x.isNotNull()
+    point = lambda p: p.isNotNull() & (F.size(p) >= 2) & F.forall(p, number)
+    ring = lambda r: r.isNotNull() & F.forall(r, point)
+    part = lambda p: p.isNotNull() & F.forall(p, ring)
+    whole = F.coalesce(F.forall(shape["coordinates"], part), F.lit(False))
+    return F.when(F.get_json_object(text, "$.geometry").isNull(), F.lit(True)).otherwise(whole)
 
-def collect_polygons(spark: SparkSession, root: str) -> DataFrame:
-    """Polygons of all accepted files, tagged with the file's day.
+
+def file_verdicts(lines: DataFrame, gzips: DataFrame | None = None) -> DataFrame:
+    """One row per file: its day, whether it passes the gate, and its line count.
+
+    A file passes if all its lines do and it was read to its end.
+    """
+    rows = lines.withColumn("unpacked", F.lit(None).cast("long"))
+    if gzips is not None:
+        rows = rows.unionByName(gzips, allowMissingColumns=True)
+    good = names_match("value") & geometry_fits("value")
+    files = rows.groupBy("path", "Date").agg(
+        F.min(F.when(F.col("value").isNotNull(), good)).alias("good"), F.count("value").alias("n_lines"),
+        F.coalesce(F.sum(F.octet_length("value").cast("long")), F.lit(0)).alias("bytes"),
+        F.max("size").alias("size"), F.max("unpacked").alias("unpacked"),
+    )
+    # each line has its end, the last one perhaps not
+    read = F.col("bytes") + F.col("n_lines")
+    gzip = F.col("path").endswith(".gz")
+    over = F.when(gzip, F.pmod(read - F.col("unpacked"), F.lit(1 << 32))).otherwise(read - F.col("size"))
+    return files.select(
+        "path", "Date", F.coalesce(F.col("good") & over.isin(0, 1), F.lit(False)).alias("accepted"), "n_lines"
+    )
+
+
+def collect_polygons(
+    spark: SparkSession, root: str, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """Polygons of all accepted files, tagged with the file's day, of all days or from ``first`` to ``last``.
 
     There cannot be more rejected files than files, and those are counted from the listing alone, so
     that the lines need no shuffle to be told apart.
     """
-    lines = scan_lines(spark, root)
-    rejected = file_verdicts(lines).where(~F.col("accepted")).select("path")
+    lines = scan_lines(spark, root, first, last)
+    rejected = file_verdicts(lines, gzip_sizes(spark, root, first, last)).where(~F.col("accepted")).select("path")
     rejected = broadcast_if_small(rejected, bound=list_files(spark, root))
     kept = lines.join(rejected, "path", "left_anti")
     parsed = kept.select(F.from_json("value", POLYGON_SCHEMA).alias("f"), "Date")
-    return parsed.select("f.*", "Date")
+    names = [c for c in POLYGON_COLUMNS if c != "geometry"]
+    return parsed.select(
+        *[F.col(f"f.{c}") for c in names], geometry_parts(F.col("f.geometry")).alias("geometry"), "Date"
+    )
 
 
 def collection_report(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
@@ -103,7 +182,7 @@ def collection_report(spark: SparkSession, root: str, days: DataFrame) -> DataFr
     listed = list_files(spark, root).select(
         "Date", F.lit(False).alias("accepted"), F.lit(0).alias("n_lines")
     )
-    read = file_verdicts(scan_lines(spark, root)).select("Date", "accepted", "n_lines")
+    read = file_verdicts(scan_lines(spark, root), gzip_sizes(spark, root)).select("Date", "accepted", "n_lines")
     # per day: rejected if a file was, or if there are files and none had a line
     found = (
         listed.unionByName(read)
@@ -126,9 +205,21 @@ def collection_report(spark: SparkSession, root: str, days: DataFrame) -> DataFr
 
 
 def read_boundary(spark: SparkSession, path: str) -> DataFrame:
-    """Single-layer boundary file: its geometry only, already in EPSG:4326."""
+    """Boundary file, one feature a line: the geometries only, already in EPSG:4326.
+
+    A line with another geometry than polygons ends the run.
+    """
     lines = spark.read.text(path)
-    return lines.select(F.from_json("value", POLYGON_SCHEMA).getField("geometry").alias("geometry"))
+    shape = geometry_parts(F.from_json("value", POLYGON_SCHEMA)["geometry"])
+    odd = F.raise_error(F.lit("a boundary needs polygons")).cast(lines.select(shape.alias("g")).schema["g"].dataType)
+    return lines.select(F.when(geometry_fits("value"), shape).otherwise(odd).alias("geometry"))
+
+
+def geometry_json(geometry: Column | str) -> Column:
+    """A geometry of ``collect_polygons`` or ``read_boundary`` as text, of the depth its type asks for."""
+    col = F.col(geometry) if isinstance(geometry, str) else geometry
+    one = F.to_json(F.struct(col["type"].alias("type"), col["coordinates"][0].alias("coordinates")))
+    return F.when(col["type"] == "Polygon", one).otherwise(F.to_json(col))
 
 
 def polygon_line(

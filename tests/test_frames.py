@@ -88,11 +88,13 @@ def test_files_to_frames(spark, tmp_path):
     assert rows["boundary"]["layer_date"] is None and rows["monitor"]["layer_date"] == D(2022, 4, 7)
 
 
-def test_boundary_must_be_one_row(spark):
+def test_boundary_of_several_features(spark):
     manifest = frame_manifest(spark, D(2022, 4, 1), D(2022, 4, 2), 1)
-    two = spark.createDataFrame([(0, "a"), (1, "b")], "feature_id int, geometry string")
-    with pytest.raises(Exception):
-        frame_layers(manifest, layer(spark, [1]), layer(spark, [1]), two).collect()
+    shapes = [(0, "a"), (1, "b"), (2, "c")]
+    three = spark.createDataFrame(shapes, "feature_id int, geometry string")
+    out = frame_layers(manifest, layer(spark, [1]), layer(spark, [1]), three).where("layer = 'boundary'")
+    got = sorted((r["frame_no"], r["feature_id"], r["geometry"]) for r in out.collect())
+    assert got == [(n, *s) for n in (1, 2) for s in shapes]
 
 
 def test_frames_use_no_cartesian_product(spark, plan):

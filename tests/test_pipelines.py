@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import brute
+from . import brute
 from strataday.operators import outcome_table
 from strataday.plans import (
     add_referents, annual_summary, attach_exposure, build_episodes, case_crossover,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import json
 
 import pytest
@@ -14,6 +15,7 @@ from strataday.sources import (
     names_match, read_boundary, read_csv, read_monitor_daily, scan_lines, scratch_path, write_csv,
     write_outcome_tables, write_partitioned,
 )
+from strataday.sources.polygons import geometry_json
 
 D = dt.date
 
@@ -140,7 +142,7 @@ def test_collect_polygons(spark, polygon_root):
     assert sorted((r["Date"], str(r["Density"])) for r in out.collect()) == [
         (D(2022, 4, 6), "Heavy"), (D(2022, 4, 6), "Light"), (D(2022, 4, 7), "None"),
     ]
-    assert out.first()["geometry"]["coordinates"][0][0] == [-106.0, 34.0]
+    assert out.first()["geometry"]["coordinates"][0][0][0] == [-106.0, 34.0]
 
 
 def test_lines_are_not_shuffled(spark, polygon_root, plan):
@@ -176,6 +178,45 @@ def test_unreadable_and_empty_files(spark, tmp_path, rows):
     assert list_files(spark, str(tmp_path)).count() == 2
 
 
+def test_damaged_gzip_is_rejected_whole(spark, tmp_path, rows):
+    whole = gzip.compress("".join(json.dumps({**GOOD, "Start": str(k)}) + "\n" for k in range(4000)).encode())
+    (tmp_path / "hms_smoke20220406.json.gz").write_bytes(whole)
+    (tmp_path / "hms_smoke20220407.json.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "hms_smoke20220408.json").write_text(json.dumps(GOOD) + "\r\n" + json.dumps(GOOD))
+    (tmp_path / "hms_smoke20220409.json").write_text(json.dumps(GOOD) + "\n" + json.dumps(GOOD)[:-30])
+    root = str(tmp_path)
+    days = date_spine(spark, D(2022, 4, 6), D(2022, 4, 9))
+    assert [r[1] for r in rows(collection_report(spark, root, days))] == ["accepted", "rejected", "accepted", "rejected"]
+    got = collect_polygons(spark, root).groupBy("Date").count()
+    assert rows(got) == [(D(2022, 4, 6), 4000), (D(2022, 4, 8), 2)]
+
+
+def test_polygons_of_several_parts(spark, tmp_path):
+    ring = GOOD["geometry"]["coordinates"][0]
+    several = {"type": "MultiPolygon", "coordinates": [[ring], [ring, ring]]}
+
+    def put(day, geometry):
+        (tmp_path / f"hms_smoke{day}.json").write_text(json.dumps({**GOOD, "geometry": geometry}) + "\n")
+
+    put("20220406", several)
+    put("20220407", None)
+    put("20220408", {"type": "Point", "coordinates": [1.0, 2.0]})
+    put("20220409", {"type": "Polygon", "coordinates": [1.0, 2.0]})
+    put("20220410", {"type": "Polygon", "coordinates": [[ring]]})
+    got = {r["Date"].day: r["geometry"] for r in collect_polygons(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [6, 7] and got[7] is None
+    assert got[6]["coordinates"] == several["coordinates"]
+    shapes = collect_polygons(spark, str(tmp_path)).select(geometry_json("geometry").alias("g"))
+    assert json.loads(shapes.where("g is not null").first()["g"]) == several
+
+
+def test_only_files_of_the_days_are_read(spark, polygon_root, rows):
+    out = collect_polygons(spark, polygon_root, D(2022, 4, 7), D(2022, 4, 8))
+    assert [r["Date"] for r in out.collect()] == [D(2022, 4, 7)]
+    lines = scan_lines(spark, polygon_root, D(2022, 4, 7), D(2022, 4, 8))
+    assert lines.select("path").distinct().count() == 1
+
+
 def test_gate_and_paths(spark):
     df = spark.createDataFrame([(json.dumps(GOOD),), ("[]",), ("nonsense",), (None,)], "l string")
     assert [r[0] for r in df.select(names_match("l")).collect()] == [True, False, False, False]
@@ -189,6 +230,9 @@ def test_gate_and_paths(spark):
 def test_boundary(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"geometry": GOOD["geometry"]}) + "\n")
     assert read_boundary(spark, str(tmp_path / "b.json")).first()["geometry"]["type"] == "Polygon"
+    (tmp_path / "c.json").write_text(json.dumps({"geometry": {"type": "Point", "coordinates": [1, 2]}}) + "\n")
+    with pytest.raises(Exception, match="a boundary needs polygons"):
+        read_boundary(spark, str(tmp_path / "c.json")).collect()
 
 
 # --- monitors -------------------------------------------------------------

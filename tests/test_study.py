@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import random
 
-import brute
+from . import brute
 from strataday.plans import run_case_crossover, run_frames
 from strataday.schemas import COUNTY_FIPS, EXPOSURES, FIRE_APR_SEP, OUTCOME_SOURCES, OUTCOMES
 

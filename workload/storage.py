@@ -111,7 +111,7 @@ def _write_polygon_files(spark, sf) -> str:
         SELECT CAST(ts AS DATE) FROM events WHERE day(ts) = {_BROKEN_DAY} AND event_type = 'error')""")
 def q_polygon_collect(spark, sf):
     polygons = collect_polygons(spark, _write_polygon_files(spark, sf))
-    ring = F.col("geometry.coordinates")[0]
+    ring = F.col("geometry.coordinates")[0][0]
     return polygons.select(
         "Date", "Satellite", "Start", "End", "Density", ring[0][0].alias("lon"),
         ring[0][1].alias("lat"), F.size(ring).alias("n_points"),
@@ -142,7 +142,7 @@ def q_boundary_layer(spark, sf):
     shapes = table(spark, sf, "supplier").groupBy("s_nationkey").agg(geometry.alias("geometry"))
     path = scratch_path(spark, "boundary")
     shapes.select(F.to_json(F.struct("geometry")).alias("value")).write.text(path)
-    corner = F.col("geometry.coordinates")[0][0]
+    corner = F.col("geometry.coordinates")[0][0][0]
     return read_boundary(spark, path).select(
         corner[0].alias("lon"), corner[1].alias("lat"), "geometry.type"
     )
