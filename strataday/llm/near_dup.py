@@ -37,6 +37,8 @@ SHINGLE = 5
 #: Similarity of a link, as a fraction.
 SIMILAR = (75, 100)
 PLACES = 64
+#: Bytes of a place: wide enough that documents without a common shingle hardly ever meet in a node.
+WIDTH = 4
 TREES = 16
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 512
@@ -73,13 +75,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.cumsum(size[full]) - size[full]
             flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
             keys = np.zeros((2, len(sets)), np.uint64)
-            sketch = np.zeros((len(sets), PLACES), np.uint16)
+            sketch = np.zeros((len(sets), PLACES), np.uint32)
             if len(full):
                 for k in range(2):
                     keys[k, full] = np.add.reduceat(mix(flat + np.uint64(k)), first)
                 for k, odd in enumerate(_ODD):
                     lowest = np.minimum.reduceat(flat * odd, first)
-                    sketch[full, k] = (mix(lowest) >> np.uint64(48)).astype(np.uint16)
+                    sketch[full, k] = (mix(lowest) >> np.uint64(64 - 8 * WIDTH)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(i, j - i), pa.array(size),
                 pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
@@ -111,7 +113,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _children(node: Column, sketch: str = "sketch") -> Column:
     """Children that a document goes to from a node: one place, and with odds 1/3 another."""
     def child(place: Column) -> Column:
-        return F.xxhash64(node, place, F.substring(sketch, (place * 2 + 1).cast("int"), F.lit(2)))
+        return F.xxhash64(node, place, F.substring(sketch, (place * WIDTH + 1).cast("int"), F.lit(WIDTH)))
 
     one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(PLACES))
     two = F.pmod(one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(PLACES - 1)), F.lit(PLACES))
@@ -141,7 +143,7 @@ def _pairs_of_nodes(full: bool):
         node, doc, kind = (np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class"))
         order = np.lexsort((doc, node))
         node, doc, kind = node[order], doc[order], kind[order]
-        sketch = as_bytes(got["sketch"])[0].view(np.uint16).reshape(-1, PLACES)[order]
+        sketch = as_bytes(got["sketch"])[0].view(np.uint32).reshape(-1, PLACES)[order]
         size_of = np.asarray(got["n_shingles"].combine_chunks())[order]
         over, under = SIMILAR
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
@@ -192,7 +194,7 @@ def _pivot_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
     over, under = SIMILAR
     fits = under * F.least("na", "nb") >= over * F.greatest("na", "nb")
     equal = sum(
-        (F.substring("sa", 2 * k + 1, 2) == F.substring("sb", 2 * k + 1, 2)).cast("int") for k in range(PLACES)
+        (F.substring("sa", WIDTH * k + 1, WIDTH) == F.substring("sb", WIDTH * k + 1, WIDTH)).cast("int") for k in range(PLACES)
     )
     return pairs.join(one, "a").join(two, "b").where(fits & (equal >= LEAST_EQUAL)).select("a", "b")
 
