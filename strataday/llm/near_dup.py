@@ -214,6 +214,14 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_links(links: DataFrame, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far and the classes that they make; the same as before if none was found."""
+    if found.isEmpty():
+        return links, classes
+    links = links.unionByName(found)
+    return links, written(components(links), "classes")
+
+
 def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex that has a link; vertices: (doc, sketch, n_shingles)."""
     spark = docs.sparkSession
@@ -225,13 +233,11 @@ def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
         nodes = written(_mixed_nodes(rows, classes), "nodes")
         pairs = written(_small_pairs(nodes, vertices, False).unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(_links(pairs, docs))
-            classes = written(components(links), "classes")
+            links, classes = _with_links(links, classes, _links(pairs, docs))
             again = _mixed_nodes(nodes.where(F.col("n") <= SMALL).select("node", "doc"), classes)
             rest = written(_small_pairs(again, vertices, True).join(pairs, ["a", "b"], "left_anti"), "rest")
             if not rest.isEmpty():
-                links = links.unionByName(_links(rest, docs))
-                classes = written(components(links), "classes")
+                links, classes = _with_links(links, classes, _links(rest, docs))
         large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
         if large.isEmpty():
             return classes
