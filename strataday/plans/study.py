@@ -7,7 +7,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import broadcast_if_small
 from ..schemas import (
     FIRE_APR_SEP, FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, LAG_DAYS, PM25_PARAMETER,
     REFERENT_WEEKS, STATE_FIPS, STUDY_START,
@@ -48,8 +47,8 @@ def run_case_crossover(
     clean_admissions(read_admissions(spark, admissions_path)).write.parquet(paths["admissions"])
     exposure_panel(smoke, heat, lags=lags, mode=mode).write.parquet(paths["panel"])
     admissions = spark.read.parquet(paths["admissions"])
-    # counting a stored table is cheap, and a small panel saves the shuffle of the dates
-    panel = broadcast_if_small(spark.read.parquet(paths["panel"]))
+    # a small panel is sent out by its measured bytes, under adaptive execution
+    panel = spark.read.parquet(paths["panel"])
     options = {"months": tuple(months), "start": start, "weeks": weeks}
     write_csv(annual_summary(admissions), paths["annual_summary"], sort=["Year"])
     write_csv(full_dataset(admissions, panel, **options), paths["full_dataset"])
