@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The seeds are word n-grams of the test items. A first scan counts how many documents hold
-each; every item keeps the rarer half of its own, a rule that does not depend on the size of the
-corpus. A second scan joins the passages with the items by these seeds, and aligns the words
+The seeds are all word n-grams of the test items: which of them an edited copy still has is
+not known beforehand. A scan joins the passages with the items by these seeds, and aligns the words
 around each hit with the item's words: a match scores 2, a mismatch or a gap -1, and the
 score is given as a share of the item's own. Copies with edits, insertions and omissions
-keep most of it.
+keep most of it; one without any three words of the item in a row is not found. Passages that
+hold too few of the item's words to reach the limit are not aligned.
 
-Both scans read the texts in place: only the items are sent out, in blocks of at most
-``ITEMS`` whatever the size of the benchmark, and nothing is shuffled but one count a seed
-and task. Words are compared in lower case without white space and ASCII punctuation.
+The scan reads the texts in place: only the items are sent out, in blocks of at most
+``ITEMS`` whatever the size of the benchmark, and nothing is shuffled.
+Words are compared in lower case without white space and ASCII punctuation.
 
 Defined results: NULL and empty texts match nothing, nor do items without words; items
 shorter than a seed are sought as a whole; very long texts are searched whole; repeated rows
@@ -26,9 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .texts import (
-    LOWER, SPACE_OR_PUNCTUATION, distinct_in_rows, prefix_sums, row_of, shingle_hash, slices, span_hash, words,
-)
+from .texts import LOWER, SPACE_OR_PUNCTUATION, prefix_sums, row_of, shingle_hash, slices, span_hash, words
 
 GRAM = 3
 #: Share of an item's own score from which a passage counts as a copy of it.
@@ -74,16 +72,6 @@ class Seeds:
         self.near = np.zeros(1 << 16, bool)
         self.near[self.keys >> np.uint64(48)] = True
 
-    def rare(self, counts: np.ndarray) -> None:
-        """Leave each item the rarer half of its n-grams, at least two."""
-        count = counts[np.searchsorted(self.keys, self.gram)]
-        order = np.lexsort((self.gram, count, self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.items) + 1))
-        rank = np.arange(len(order)) - np.repeat(first[:-1], np.diff(first))
-        keep = order[rank < np.repeat(np.maximum(2, (np.diff(first) + 1) // 2), np.diff(first))]
-        self.gram, self.item, self.at, self.size = (x[keep] for x in (self.gram, self.item, self.at, self.size))
-        self._sort()
-
     def hits(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, key and word (within the slice) of every n-gram that is a seed."""
         rows, keys, places = [], [], []
@@ -142,7 +130,9 @@ def matches(seeds: Seeds, word: np.ndarray, first: np.ndarray, limit: float) ->
         pad = int(length[i]) // 2 + 1
         lo = max(int(first[r]), int(begin[a]) - pad)
         hi = min(int(first[r + 1]), int(begin[b]) + int(length[i]) + pad)
-        by_item.setdefault(i, []).append((r, lo, hi))
+        # Each match takes another word of the item, so this bounds the score from above.
+        if np.isin(seeds.items[i], word[lo:hi]).sum() / length[i] >= limit:
+            by_item.setdefault(i, []).append((r, lo, hi))
     for i, spans in by_item.items():
         spans.sort(key=lambda s: s[2] - s[1])
         top: dict[int, tuple] = {}
@@ -157,31 +147,6 @@ def matches(seeds: Seeds, word: np.ndarray, first: np.ndarray, limit: float) ->
     return found
 
 
-def _seed_counts(items: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(items)
-        counts = np.zeros(len(seeds.keys), np.int64)
-        for batch in batches:
-            for _, _, data, off in slices(batch.column("text")):
-                row, key, _ = seeds.hits(*_words(data, off))
-                counts += np.bincount(distinct_in_rows(row, key)[1], minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["key", "n"])
-
-    return run
-
-
-def rare_seeds(docs: DataFrame, items: list[np.ndarray]) -> Seeds:
-    """Seeds of a block of items, by how many documents hold each n-gram."""
-    seeds = Seeds(items)
-    counted = docs.select("text").mapInArrow(_seed_counts(items), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(seeds.keys), np.int64)
-    for row in counted.collect():  # at most one row an n-gram of the block
-        counts[row.key] = row.n
-    seeds.rare(counts)
-    return seeds
-
-
 def passages(spark: SparkSession, text: Column | str, seeds: Seeds, limit: float = SCORE) -> Column:
     """The items that a text holds: number in the block, score, first word, words."""
     shared = spark.sparkContext.broadcast(seeds)
@@ -217,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = SCORE) ->
     """(doc_id, item_id, score, start_word, n_words) of every document and the test items it holds."""
     spark, out = docs.sparkSession, None
     for block in item_blocks(benchmark):
-        seeds = rare_seeds(docs, [w for _, w in block])
+        seeds = Seeds([w for _, w in block])
         found = docs.select("doc_id", F.explode(passages(spark, docs["text"], seeds, limit)).alias("h"))
         names = F.array(*[F.lit(i).cast("long") for i, _ in block]) if len(block) < 1000 else None
         if names is None:
@@ -243,6 +208,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = SCOR
     """The documents that hold no test item, with all their columns."""
     spark, out = docs.sparkSession, docs
     for block in item_blocks(benchmark):
-        seeds = rare_seeds(docs, [w for _, w in block])
+        seeds = Seeds([w for _, w in block])
         out = out.where(F.size(passages(spark, out["text"], seeds, limit)) == 0)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -18,6 +19,8 @@ from strataday.llm import (  # noqa: E402
     token_ids, toxicity,
 )
 
+from .conftest import passage  # noqa: E402
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -179,6 +182,28 @@ def test_contaminated_finds_edited_copies(spark, docs, empty, texts):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_matches_alignment_of_whole_texts(spark):
+    r = random.Random(5)
+    items = [passage(100 + i, r.randint(16, 59)) for i in range(12)]
+    copies = [list(item) for item in items for _ in range(2)]
+    for share in (0.15, 0.2, 0.25, 0.3):
+        for item in items:
+            copies.append([f"new{r.randrange(10**9)}" if r.random() < share else w for w in item])
+    held = [passage(200 + k, 5) + copy + passage(300 + k, 5) for k, copy in enumerate(copies)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(held)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    coded = lambda ws: np.array([zlib.crc32(w.encode()) for w in ws], np.uint64)
+    grams = lambda ws: {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)}
+    want = {}
+    for i, item in enumerate(items):
+        scores = decontaminate.align(coded(item), [coded(t) for t in held]) / (2 * len(item))
+        want |= {(k, i): s for k, (t, s) in enumerate(zip(held, scores)) if s >= 0.5 and grams(item) & grams(t)}
+    got = {(h.doc_id, h.item_id): h.score for h in decontaminate.contaminated(docs, bench).collect()}
+    assert len(want) > 55 and got == want
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert {h.doc_id for h in left.collect()} == set(range(len(held))) - {k for k, _ in want}
+
+
 def test_mixing_targets_and_totals(spark, docs, empty, rows):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
