@@ -3,8 +3,10 @@
 Every document's set of shingles is sketched by minwise hashes. A forest of independent trees then
 branches the documents: a node picks one or two sketch places at random (4/3 on average, the
 reciprocal of the similarity 0.75) and deals its documents to children by what they have there, so
-a similar pair stays together in some child of each tree with good odds, and the trees
-together find it almost surely. Nodes with few documents are compared exhaustively; in a
+a similar pair stays together in some child of each tree with good odds. These odds fall with the
+depth, so a forest is followed by others, with sketches of their own, for the documents whose nodes
+went so deep that a pair at the similarity 0.75 would be found with odds below ``RECALL``: the
+number of trees follows from the depth that is reached. Nodes with few documents are compared exhaustively; in a
 larger one a single document, its pivot, is compared with all others and leaves, and the
 rest branch on. Only documents that are not yet known to be connected are compared, so a
 node of thousands of near copies costs one comparison each and is then dropped.
@@ -23,6 +25,8 @@ otherwise; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +43,34 @@ SIMILAR = (75, 100)
 PLACES = 64
 #: Bytes of a place: wide enough that documents without a common shingle hardly ever meet in a node.
 WIDTH = 4
+#: Trees of a forest.
 TREES = 16
+#: Odds with which the forests together bring a pair at the similarity 0.75 into one node.
+RECALL = 0.999
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 512
 #: A pair with fewer equal places than this is taken as not similar: the odds that a pair has so
-#: few of 64 are about 1e-5 at a similarity of 0.75 and 2e-8 at 0.8.
+#: few of 64 are about 4e-5 at a similarity of 0.75 and 3e-7 at 0.8.
 LEAST_EQUAL = 34
-_ODD = (mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
+
+
+def _odd(forest: int) -> np.ndarray:
+    """Multipliers of a forest's sketch places."""
+    place = np.arange(1 + forest * PLACES, 1 + (forest + 1) * PLACES, dtype=np.uint64)
+    return mix(place * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def missed(depth: int, trees: int) -> float:
+    """Odds that a pair at the similarity of a link shares no node at this depth of so many trees over one sketch."""
+    over, under = SIMILAR
+    share, out = over / under, 0.0
+    for k in range(PLACES + 1):
+        one, both, stays = k / PLACES, k * (k - 1) / (PLACES * (PLACES - 1)), 1.0
+        for _ in range(depth):
+            # One place with odds 2/3, two different ones with odds 1/3.
+            stays = 4 / 3 * one * stays - both * stays**2 / 3
+        out += comb(PLACES, k) * share**k * (1 - share) ** (PLACES - k) * (1 - stays) ** trees
+    return out
 
 
 def _runs(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -66,27 +91,31 @@ def _runs(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
             yield word[:0]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, data, off in slices(batch.column("text")):
-            sets = list(_runs(data, off))
-            size = np.fromiter(map(len, sets), np.int64, len(sets))
-            full = np.flatnonzero(size)
-            first = np.cumsum(size[full]) - size[full]
-            flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
-            keys = np.zeros((2, len(sets)), np.uint64)
-            sketch = np.zeros((len(sets), PLACES), np.uint32)
-            if len(full):
-                for k in range(2):
-                    keys[k, full] = np.add.reduceat(mix(flat + np.uint64(k)), first)
-                for k, odd in enumerate(_ODD):
-                    lowest = np.minimum.reduceat(flat * odd, first)
-                    sketch[full, k] = (mix(lowest) >> np.uint64(64 - 8 * WIDTH)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(i, j - i), pa.array(size),
-                pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                pa.array([row.tobytes() for row in sketch], pa.binary()),
-            ], ["doc_id", "n_shingles", "key", "key2", "sketch"])
+def _sketch(forest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _odd(forest)
+        for batch in batches:
+            for i, j, data, off in slices(batch.column("text")):
+                sets = list(_runs(data, off))
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                full = np.flatnonzero(size)
+                first = np.cumsum(size[full]) - size[full]
+                flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
+                keys = np.zeros((2, len(sets)), np.uint64)
+                sketch = np.zeros((len(sets), PLACES), np.uint32)
+                if len(full):
+                    for k in range(2):
+                        keys[k, full] = np.add.reduceat(mix(flat + np.uint64(k)), first)
+                    for k, odd in enumerate(factors):
+                        lowest = np.minimum.reduceat(flat * odd, first)
+                        sketch[full, k] = (mix(lowest) >> np.uint64(64 - 8 * WIDTH)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(i, j - i), pa.array(size),
+                    pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                    pa.array([row.tobytes() for row in sketch], pa.binary()),
+                ], ["doc_id", "n_shingles", "key", "key2", "sketch"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +127,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, key2, sketch): size of the set, a 128-bit key of it, its minwise hashes."""
+def sketches(docs: DataFrame, forest: int = 0) -> DataFrame:
+    """(doc_id, n_shingles, key, key2, sketch): size of the set, a 128-bit key of it, its minwise hashes for a forest."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _sketch, "doc_id long, n_shingles long, key long, key2 long, sketch binary"
+        _sketch(forest), "doc_id long, n_shingles long, key long, key2 long, sketch binary"
     )
 
 
@@ -222,15 +251,15 @@ def _with_links(links: DataFrame, classes: DataFrame, found: DataFrame) -> tuple
     return links, written(components(links), "classes")
 
 
-def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(vertex, component) of every vertex that has a link; vertices: (doc, sketch, n_shingles)."""
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    classes = spark.createDataFrame([], "vertex long, component long")
-    roots = F.flatten(F.array(*[_children(F.lit(-tree - 1).cast("long")) for tree in range(TREES)]))
-    rows = vertices.select("doc", F.explode(roots).alias("node"))
+def _forest(
+    docs: DataFrame, vertices: DataFrame, forest: int, links: DataFrame, classes: DataFrame
+) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links and classes with what a forest adds to them, and the rows that each of its levels dealt out."""
+    trees = range(forest * TREES, (forest + 1) * TREES)
+    roots = F.flatten(F.array(*[_children(F.lit(-tree - 1).cast("long")) for tree in trees]))
+    levels = [vertices.select("doc", F.explode(roots).alias("node"))]
     while True:
-        nodes = written(_mixed_nodes(rows, classes), "nodes")
+        nodes = written(_mixed_nodes(levels[-1], classes), "nodes")
         pairs = written(_small_pairs(nodes, vertices, False).unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
         if not pairs.isEmpty():
             links, classes = _with_links(links, classes, _links(pairs, docs))
@@ -240,9 +269,40 @@ def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
                 links, classes = _with_links(links, classes, _links(rest, docs))
         large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
         if large.isEmpty():
-            return classes
+            return links, classes, levels
         mixed = _mixed_nodes(large, classes).join(vertices, "doc")
-        rows = written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows")
+        levels.append(written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows"))
+
+
+def _unsure(odds: DataFrame, levels: list[DataFrame]) -> DataFrame | None:
+    """(doc, odds) of the documents whose pairs the forests so far miss with odds above the target's."""
+    lost = [missed(depth, TREES) for depth in range(1, len(levels) + 1)]
+    deep = [rows.select("doc", F.lit(p).alias("lost")) for rows, p in zip(levels, lost) if p > 1 - RECALL]
+    if not deep:
+        return None
+    deepest = reduce(DataFrame.unionByName, deep).groupBy("doc").agg(F.max("lost").alias("lost"))
+    left = odds.join(deepest, "doc").select("doc", (F.col("odds") * F.col("lost")).alias("odds"))
+    left = written(left.where(F.col("odds") > 1 - RECALL), "unsure")
+    return None if left.isEmpty() else left
+
+
+def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(vertex, component) of every vertex that has a link; vertices: (doc, sketch, n_shingles)."""
+    spark = docs.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    classes = spark.createDataFrame([], "vertex long, component long")
+    odds, forest = vertices.select("doc", F.lit(1.0).alias("odds")), 0
+    while True:
+        links, classes, levels = _forest(docs, vertices, forest, links, classes)
+        odds = _unsure(odds, levels)
+        if odds is None:
+            return classes
+        forest += 1
+        again = docs.join(odds, F.col("doc_id").cast("long") == F.col("doc"), "left_semi")
+        vertices = written(
+            sketches(again, forest).where("n_shingles > 0")
+            .select(F.col("doc_id").alias("doc"), "sketch", "n_shingles").dropDuplicates(["doc"]), "vertices",
+        )
 
 
 def near_dup(docs: DataFrame) -> DataFrame:

@@ -153,6 +153,28 @@ def test_near_dup_matches_brute_force(docs, empty, texts):
     assert near_dup.near_dup(empty).count() == 0
 
 
+def test_near_dup_adds_trees_until_pairs_are_found(spark, monkeypatch):
+    r, near = random.Random(8), {}
+    texts = []
+    for k in range(30):
+        base = passage(1000 + k, 164)
+        # 4 changed words within lose 5 of 160 shingles each, those at the ends one each.
+        copy = [f"new{r.randrange(10**9)}" if j % 40 == 20 or j in (0, 163) else w for j, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(copy)]
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        assert 0.75 <= len(a & b) / len(a | b) < 0.8
+        near[2 * k + 1] = 2 * k
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "TREES", 1)
+    got = {h.doc_id: h.component_id for h in near_dup.near_dup(docs).collect()}
+    assert got == {i: near.get(i, i) for i in got} and len(got) == 60
+
+
+def test_odds_of_missing_a_pair_grow_with_depth():
+    assert [round(near_dup.missed(d, 16), 3) for d in (8, 12, 16)] == [0.008, 0.036, 0.078]
+    assert near_dup.missed(16, 64) < near_dup.missed(16, 16) and near_dup.missed(4, 16) < 1 - near_dup.RECALL
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.vertex: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
