@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -278,6 +279,23 @@ def test_language_model_matches_brute_force(docs, empty, texts):
     assert language_model.language_model(empty).count() == 0
 
 
+def test_words_with_equal_first_bytes_do_not_fill_a_part(spark, monkeypatch):
+    r = random.Random(3)
+    text = [" ".join([f"http{r.randrange(10**9)}" for _ in range(100)] + [f"{r.randrange(10**9)}" for _ in range(20)]) for _ in range(20)]
+    rows = spark.createDataFrame([(t, True) for t in text], "text string, learn boolean")
+    vocabulary = language_model.word_counts(rows, language_model.class_words(rows))
+    scored = {h.pair: h.log10_p for h in language_model.word_scores(vocabulary).collect()}
+
+    def rows_held(key, own, found):
+        sizes = pa.array([float(len(own))] * len(own))
+        return own.select(["pair", "hash", "class", "n", "total"]).append_column("log10_p", sizes)
+
+    monkeypatch.setattr(language_model, "_add_up", rows_held)
+    held = {h.pair: h.log10_p for h in language_model.word_scores(vocabulary).collect()}
+    assert set(held) == set(scored) and len(held) == vocabulary.count() and all(p < 0 for p in scored.values())
+    assert max(held.values()) < len(held) / 2
+
+
 def test_context_trees_are_proper():
     """Over all bytes that may follow one context, the probabilities add up to one."""
     words = [b"the", b"then", b"tea", b"of"]
