@@ -1,0 +1,125 @@
+"""Partial matching: probabilities sum to one, bits equal a plain account, languages are told apart."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strataday.llm import language_id
+from strataday.llm.common import split_no
+from strataday.llm.texts import as_bytes
+
+SYLLABLES = {"xa": ["ba", "ko", "ri", "tu"], "xb": ["en", "sch", "mö", "tz"], "xc": ["ña", "ló", "que", "ka"]}
+
+
+def text(lang, seed, words):
+    r = random.Random(f"{lang}{seed}")
+    return " ".join("".join(r.choice(SYLLABLES[lang]) for _ in range(r.randint(1, 3))) for _ in range(words))
+
+
+def chances(counts, context):
+    """Probability of each byte after the context, by the rules."""
+    if not context and not counts.get(b""):
+        return {s: 1 / 256 for s in range(256)}
+    own = counts.get(context, Counter())
+    if not context:
+        total, kinds = sum(own.values()), len(own)
+        weight = total + (kinds if kinds < 256 else 0)
+        return {s: own[s] / weight if s in own else kinds / (256 - kinds) / weight for s in range(256)}
+    lower = chances(counts, context[1:])
+    if not own:
+        return lower
+    total, kinds = sum(own.values()), len(own)
+    free = 1 - sum(lower[s] for s in own)
+    return {s: own[s] / (total + kinds) if s in own else kinds / (total + kinds) * lower[s] / free for s in range(256)}
+
+
+def test_bits_are_exact_and_chances_sum_to_one():
+    depth = 3
+    pieces = {lang: [text(lang, i, 12).encode() for i in range(4)] for lang in SYLLABLES}
+    trees = language_id.build(
+        sorted(pieces), [as_bytes(pa.array(pieces[x], pa.large_binary())) for x in sorted(pieces)], depth
+    )
+    scorer = language_id.Scorer(trees, depth)
+    texts = [text("xa", 99, 20), "köq zz", "", "b", text("xc", 98, 5) + "\0\xff"]
+    got = scorer.bits(*as_bytes(pa.array([t.encode() for t in texts], pa.large_binary())))
+    for column, lang in enumerate(sorted(pieces)):
+        counts = {}
+        for piece in pieces[lang]:
+            for i in range(len(piece)):
+                for k in range(min(i, depth) + 1):
+                    counts.setdefault(piece[i - k : i], Counter())[piece[i]] += 1
+        for row, t in enumerate(texts):
+            raw, want = t.encode(), 0.0
+            for i in range(len(raw)):
+                own = chances(counts, raw[max(0, i - depth) : i])
+                assert sum(own.values()) == pytest.approx(1)
+                want -= math.log2(own[raw[i]])
+            assert got[row, column] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_rows_left_out_keep_chances_summing_to_one():
+    pieces = [as_bytes(pa.array([text(x, i, 200).encode() for i in range(20)], pa.large_binary())) for x in sorted(SYLLABLES)]
+    full = language_id.build(sorted(SYLLABLES), pieces)
+    cells = (len(full.edges) + len(full.nodes)) * 3 // 2
+    trees = language_id.build(sorted(SYLLABLES), pieces, cells=cells)
+    assert len(trees.edges) < len(full.edges) and (len(trees.edges) + len(trees.nodes)) * 3 <= cells
+    scorer = language_id.Scorer(trees)
+    for context in (b"", b"ba", b"koba", b"que ", b"zzzz"):
+        raw = b"".join(context + bytes([s]) for s in range(256))
+        off = np.arange(257) * (len(context) + 1)
+        before = language_id._in_row(off)
+        cost = scorer.window(np.frombuffer(raw, np.uint8), before)[len(context) :: len(context) + 1]
+        assert np.exp2(-cost.astype(float)).sum(axis=0) == pytest.approx(np.ones(3), rel=1e-3)
+
+
+def test_windows_do_not_change_bits(monkeypatch):
+    pieces = [as_bytes(pa.array([text(x, i, 50).encode() for i in range(5)], pa.large_binary())) for x in sorted(SYLLABLES)]
+    scorer = language_id.Scorer(language_id.build(sorted(SYLLABLES), pieces))
+    data, off = as_bytes(pa.array([b"", text("xa", 7, 60).encode(), b"b", b"", text("xb", 8, 90).encode(), b""], pa.large_binary()))
+    whole = scorer.bits(data, off)
+    monkeypatch.setattr(language_id, "WINDOW", 17)
+    assert scorer.bits(data, off) == pytest.approx(whole, rel=1e-5)
+
+
+def test_languages_are_told_apart_on_held_out_rows(spark):
+    rows = [(i, text(lang, i, 30).upper() if i % 7 == 0 else text(lang, i, 30), lang, "s") for i, lang in enumerate([*SYLLABLES] * 60)]
+    rows += [(1000, None, "xa", "s"), (1001, "", "xb", None), (1002, "12 %% \n", "xa", "s"), (1003, text("xb", 5, 9), None, "s"),
+             (1004, text("xc", 1, 60000), "xc", "s"), (None, text("xc", 2, 9), "xc", "s"), rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    got = language_id.language(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for i, t, lang, _ in rows:
+        if i in (1000, 1001, 1002):
+            assert (by[i].lang_pred, by[i].score, by[i].bits) == ("und", 0, 0)
+        elif lang:
+            assert by[i].lang_pred == lang and 0.5 < by[i].score <= 1
+    assert by[1003].lang_pred == "xb"
+    held = {r.doc_id for r in docs.where(split_no("doc_id", 4) == 2).collect()}
+    assert {r.doc_id for r in got if r.held_out} == held
+    # The language column of held-out rows is not read.
+    other = docs.withColumn("lang", F.when(split_no("doc_id", 4) == 2, F.lit("zz")).otherwise(F.col("lang")))
+    assert sorted(map(str, language_id.language(other).collect())) == sorted(map(str, got))
+
+
+def test_nothing_to_learn_or_to_score(docs, empty):
+    assert language_id.language(empty).count() == 0
+    none = language_id.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+    assert language_id.language(docs).count() == docs.count()
+
+
+def test_training_is_bounded(spark):
+    rows = [(i, text("xa", i, 2000), "xa") for i in range(40)] + [(100 + i, text("xb", i, 5), "xb") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = language_id.sample(docs, F.lit(True), 1 << 15).collect()
+    size = {x: sum(len(r.piece) for r in taken if r.text == x) for x in ("xa", "xb")}
+    assert size["xb"] == sum(len(t.encode()) for _, t, x in rows if x == "xb")
+    assert 4000 < size["xa"] < 40000
