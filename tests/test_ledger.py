@@ -1,0 +1,133 @@
+"""The collection that is kept up to date: what is opened, replaced, left and reported."""
+
+from __future__ import annotations
+
+import datetime as dt
+import gzip
+import json
+import os
+
+import pytest
+
+from strataday.plans import date_spine
+from strataday.sources import PolygonLedger, collect_polygons, collection_report
+
+D = dt.date
+GOOD = {"Satellite": "GOES", "Start": "1", "End": "2", "Density": "Light",
+        "geometry": {"type": "Polygon", "coordinates": [[[-106.0, 34.0], [-105.0, 34.0], [-106.0, 34.0]]]}}
+
+
+def put(root, day, n, ending=".json", **changes):
+    text = "".join(json.dumps({**GOOD, "Start": str(k), **changes}) + "\n" for k in range(n)).encode()
+    path = root / f"hms_smoke{day}{ending}"
+    path.write_bytes(gzip.compress(text) if ending.endswith(".gz") else text)
+    return path
+
+
+def same(spark, ledger, root, rows):
+    assert rows(ledger.polygons()) == rows(collect_polygons(spark, str(root)))
+
+
+@pytest.fixture
+def root(tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    return folder
+
+
+@pytest.fixture
+def ledger(spark, tmp_path):
+    return PolygonLedger(spark, str(tmp_path / "collection"))
+
+
+def test_an_unchanged_root_opens_no_file(spark, root, ledger, rows):
+    paths = [put(root, "20220406", 3), put(root, "20220407", 2, ".json.gz"), put(root, "20220408", 1, Density=5)]
+    first = ledger.update(str(root))
+    assert (first.number, first.opened, first.accepted, first.gone) == (1, 3, 3, 0)
+    before = rows(ledger.polygons())
+    assert len(before) == 6
+    # Other bytes under the same size and time: had a file been opened, its rows would differ.
+    for path in paths:
+        kept = os.stat(path)
+        path.write_bytes(b"x" * kept.st_size)
+        os.utime(path, ns=(kept.st_atime_ns, kept.st_mtime_ns))
+    again = ledger.update(str(root))
+    assert (again.opened, again.gone) == (0, 0) and rows(ledger.polygons()) == before
+    assert ledger.entries().count() == 3
+
+
+def test_changed_new_and_vanished_files(spark, root, ledger, rows):
+    put(root, "20220406", 3)
+    put(root, "20220407", 2)
+    gone = put(root, "20220408", 4)
+    ledger.update(str(root))
+    put(root, "20220407", 5, Density="Heavy")
+    put(root, "20220409", 1)
+    gone.unlink()
+    second = ledger.update(str(root))
+    assert (second.number, second.opened, second.accepted, second.gone) == (2, 2, 2, 1)
+    same(spark, ledger, root, rows)
+    assert ledger.polygons().count() == 9
+    put(root, "20220408", 2)
+    assert ledger.update(str(root)).opened == 1
+    same(spark, ledger, root, rows)
+    assert ledger.update(str(root)).opened == 0
+
+
+def test_rejected_files_come_in_when_mended(spark, root, ledger, rows):
+    whole = put(root, "20220406", 4000, ".json.gz").read_bytes()
+    (root / "hms_smoke20220407.json.gz").write_bytes(whole[: len(whole) // 2])
+    (root / "hms_smoke20220408.json").write_text(json.dumps(GOOD) + "\n{broken\n")
+    (root / "hms_smoke20220409.json").write_text("")
+    (root / "hms_smoke20220410.json.gz").write_bytes(b"ab")
+    first = ledger.update(str(root))
+    assert (first.opened, first.accepted) == (4, 1)  # a file of no length is not listed
+    days = date_spine(spark, D(2022, 4, 6), D(2022, 4, 11))
+    want = ["accepted", "rejected", "rejected", "missing", "rejected", "missing"]
+    assert [r[1] for r in rows(ledger.report(days))] == want
+    assert rows(ledger.report(days)) == rows(collection_report(spark, str(root), days))
+    same(spark, ledger, root, rows)
+    (root / "hms_smoke20220407.json.gz").write_bytes(whole)
+    assert ledger.update(str(root)).accepted == 1
+    same(spark, ledger, root, rows)
+    assert ledger.polygons().count() == 8000
+
+
+def test_only_days_asked_for(spark, root, ledger, rows):
+    for day in ("20220406", "20220407", "20220408"):
+        put(root, day, 1)
+    assert ledger.update(str(root), D(2022, 4, 7), D(2022, 4, 7)).opened == 1
+    (root / "hms_smoke20220407.json").unlink()
+    (root / "hms_smoke20220408.json").unlink()
+    # Files of other days neither vanish nor come in.
+    assert ledger.update(str(root), D(2022, 4, 8)).gone == 0 and ledger.polygons().count() == 1
+    assert ledger.update(str(root)).gone == 1
+    same(spark, ledger, root, rows)
+    report = collection_report(spark, str(root), date_spine(spark, D(2022, 4, 6), D(2022, 4, 7)), D(2022, 4, 7))
+    assert [r[1] for r in rows(report)] == ["missing", "missing"]
+
+
+def test_an_update_that_died_leaves_nothing_behind(spark, root, ledger, rows):
+    put(root, "20220406", 2)
+    ledger.update(str(root))
+    put(root, "20220407", 3)
+    # Lines without a ledger directory, as a run leaves them that ends before its commit.
+    dead = spark.read.parquet(f"{ledger.base}/rows")
+    dead.drop("update").write.parquet(f"{ledger.base}/rows/update=000000002-dead")
+    same_before = ledger.polygons().count()
+    assert same_before == 2
+    assert ledger.update(str(root)).opened == 1
+    same(spark, ledger, root, rows)
+
+
+def test_names_with_spaces_and_an_empty_root(spark, root, ledger, rows):
+    with pytest.raises(ValueError):
+        ledger.polygons()
+    (root / "notes.txt").write_text("no day in this name\n")
+    assert ledger.update(str(root)).opened == 0
+    folder = root / "a b%20c{1,2}[3]"
+    folder.mkdir()
+    put(folder, "20220406", 2, ".json.gz")
+    assert ledger.update(str(root)).accepted == 1
+    same(spark, ledger, root, rows)
+    assert ledger.polygons().count() == 2

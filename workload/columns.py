@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from strataday.functions import (
     date_text_matches, day_label, epoch_day, iso_date, join_text, month_text, paste,
     parse_dmy, parse_mdy, parse_ymd, quarter_text, recode, remove_text, scale_to_domain,
-    slice_text, year_text, zero_if_null,
+    slice_text, steps, year_text, zero_if_null,
 )
 from strataday.operators import (
     arrange, is_numeric, left_join, map_columns_if, rename_positions, select_positions, with_point,
 )
 from strataday.plans import add_referents, date_spine, facet_series, study_cases, yearly_scatter
 from strataday.schemas import (
-    COUNTY_ASCII, COUNTY_FIPS, FACET_ORDER, FIRE_APR_AUG, FIRE_APR_SEP, OFF_SEASON, OUTCOMES,
+    COUNTY_ASCII, COUNTY_FIPS, FACET_ORDER, FIRE_APR_AUG, FIRE_APR_SEP, OFF_SEASON, OUTCOMES, PALETTE_DOMAIN,
 )
 from strataday.sources import daily_path, file_date
 
@@ -160,6 +160,24 @@ def q_scale_to_domain(spark, sf):
     )
 
 
+@query("palette_steps", sql="""
+    SELECT l_orderkey, l_linenumber, l_partkey, v,
+           CASE WHEN v BETWEEN -3 AND 67 THEN CAST(floor((v + 3) / 5) AS INTEGER) + 1 END AS step_no,
+           CASE WHEN v BETWEEN -3 AND 67 THEN -3 + 5 * floor((v + 3) / 5) END AS step
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) * 2 - 10 AS v FROM lineitem)""")
+def q_palette_steps(spark, sf):
+    """The step of the palette's domain that each value falls on."""
+    lo, hi = PALETTE_DOMAIN
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity").cast("double") * 2 - 10).alias("v")
+    )
+    reached = F.filter(steps(lo, hi, 5), lambda s: s <= F.col("v"))
+    inside = F.col("v").between(lo, hi)
+    return rows.select(
+        "*", F.when(inside, F.size(reached)).alias("step_no"), F.when(inside, F.array_max(reached)).alias("step")
+    )
+
+
 @query("with_point", sql="""
     SELECT c_custkey, 4326 AS srid, -c_acctbal AS lon, c_acctbal AS lat FROM customer""")
 def q_with_point(spark, sf):

@@ -176,16 +176,18 @@ def q_fill_flags(spark, sf):
     return map_columns(multi_flag_cases(spark, sf), MULTI_FLAGS, zero_if_null)
 
 
+_STRATA_FLAGS = ", ".join(f"CASE WHEN {FLAG_RULES[c]} THEN 1 ELSE 0 END AS {c}" for c in MULTI_FLAG_LABELS)
+
+
 @query("informative_strata", sql=ctes("fips", "oc") + f""",
-    flags AS (SELECT c_custkey AS id, o_orderkey, {", ".join(
-        f"CASE WHEN {FLAG_RULES[c]} THEN 1 ELSE 0 END AS {c}" for c in ("asthma", "copd"))}
-        FROM oc)
+    flags AS (SELECT c_custkey AS id, o_orderkey, {_STRATA_FLAGS} FROM oc)
     """ + " UNION ALL ".join(f"""
-    SELECT *, {c} AS outcome, '{c}' AS out_name FROM flags WHERE id IN (
-        SELECT id FROM flags GROUP BY id HAVING count(DISTINCT {c}) = 2)""" for c in ("asthma", "copd")))
+    SELECT *, {flag} AS outcome, '{label}' AS out_name FROM flags WHERE id IN (
+        SELECT id FROM flags GROUP BY id HAVING count(DISTINCT {flag}) = 2)"""
+        for flag, label in MULTI_FLAG_LABELS.items()))
 def q_informative_strata(spark, sf):
     flagged = orders_with_customer(spark, sf).select(
         F.col("c_custkey").alias("id"), "o_orderkey",
-        *[F.when(F.expr(FLAG_RULES[c]), 1).otherwise(0).alias(c) for c in ("asthma", "copd")],
+        *[F.when(F.expr(FLAG_RULES[c]), 1).otherwise(0).alias(c) for c in MULTI_FLAG_LABELS],
     )
-    return strata_tables(flagged, {"asthma": "asthma", "copd": "copd"}, "id")
+    return strata_tables(flagged, MULTI_FLAG_LABELS, "id")

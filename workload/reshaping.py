@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataday.functions import count_values, strict_sum, year_text
 from strataday.operators import (
-    keep_first, keep_groups, pivot_values, rank_dates, to_long, uncount, union_by_name,
+    distinct_sorted, keep_first, keep_groups, pivot_values, rank_dates, to_long, uncount, union_by_name,
 )
 from strataday.plans import (
     annual_summary, build_episodes, clean_heat, daily_counts, explode_outcomes, widen_episodes,
@@ -171,6 +171,14 @@ def q_distinct_dates_ranked(spark, sf):
     return rank_dates(days).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("distinct_sorted", sql="""
+    SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 7 <> 0""")
+def q_distinct_sorted(spark, sf):
+    """Distinct values in order; NULLs are left out."""
+    keys = table(spark, sf, "orders").select(F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"))
+    return distinct_sorted(keys, "o_custkey")
+
+
 @query("daily_split", sql="""
     SELECT CAST(ts AS DATE) AS "Date", count(*) AS n_rows FROM events GROUP BY 1""")
 def q_daily_split(spark, sf):

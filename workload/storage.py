@@ -11,8 +11,8 @@ from strataday.functions import recode
 from strataday.plans import date_spine
 from strataday.schemas import COUNTY_FIPS, SMOKE_PM_TYPES
 from strataday.sources import (
-    collect_polygons, collection_report, polygon_line, read_boundary, read_csv, scratch_path, write_csv,
-    write_outcome_tables, write_partitioned,
+    PolygonLedger, collect_polygons, collection_report, polygon_line, read_boundary, read_csv, replace_days,
+    scratch_path, write_csv, write_outcome_tables, write_partitioned,
 )
 
 from .crossover import q_informative_strata
@@ -73,10 +73,11 @@ def q_outcome_sink(spark, sf):
 _DRIFT_DAY, _BROKEN_DAY = 13, 21
 
 
-def _write_polygon_files(spark, sf) -> str:
-    """One polygon file per day of ``events``.
+def _polygon_rows(spark, sf, several: bool = False, density=None):
+    """One line of text per event, with the file of its day.
 
-    The 13th lacks a column and the 21st holds an unreadable line, as a collection meets them.
+    The 13th lacks a column and the 21st holds an unreadable line, as a collection meets them. With ``several``
+    clicks have two polygons.
     """
     day = F.col("ts").cast("date")
     ring = F.array(
@@ -85,19 +86,31 @@ def _write_polygon_files(spark, sf) -> str:
         F.array(F.col("value"), F.col("user_id").cast("double") + 1),
         F.array(F.col("value"), F.col("user_id").cast("double")),
     )
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
-    density = F.when(F.col("value") < 20, "Light").when(F.col("value") < 60, "Medium").otherwise("Heavy")
+    geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    if several:
+        both = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring), F.array(ring, ring)).alias("coordinates"))
+        geometry = F.when(F.col("event_type") == "click", F.to_json(both)).otherwise(geometry)
+    geometry = F.from_json(geometry, "type string, coordinates string")
+    if density is None:
+        density = F.when(F.col("value") < 20, "Light").when(F.col("value") < 60, "Medium").otherwise("Heavy")
     start = F.date_format("ts", "HHmm")
-    whole = polygon_line(F.col("event_type"), start, start, density, geometry)
-    drifted = F.to_json(F.struct(F.col("event_type").alias("Satellite"), geometry.alias("geometry")))
-    rows = table(spark, sf, "events").select(
+    raw = F.struct(geometry["type"].alias("type"), F.parse_json(geometry["coordinates"]).alias("coordinates"))
+    whole = polygon_line(F.col("event_type"), start, start, density, raw)
+    drifted = F.to_json(F.struct(F.col("event_type").alias("Satellite"), raw.alias("geometry")))
+    return table(spark, sf, "events").select(
         F.when(F.dayofmonth(day) == _DRIFT_DAY, drifted)
         .when((F.dayofmonth(day) == _BROKEN_DAY) & (F.col("event_type") == "error"), "{unreadable")
         .otherwise(whole).alias("value"),
-        F.concat(F.lit("hms_smoke"), F.date_format(day, "yyyyMMdd")).alias("file"),
+        F.concat(F.lit("hms_smoke"), F.date_format(day, "yyyyMMdd")).alias("file"), day.alias("day"),
     )
+
+
+def _write_polygon_files(spark, sf, **options) -> str:
+    """Polygon files of every day of ``events``."""
     path = scratch_path(spark, "polygons")
-    rows.write.partitionBy("file").text(path)
+    compression = "gzip" if options.get("several") else "none"
+    rows = _polygon_rows(spark, sf, **options).drop("day")
+    rows.write.partitionBy("file").option("compression", compression).text(path)
     return path
 
 
@@ -118,6 +131,84 @@ def q_polygon_collect(spark, sf):
     )
 
 
+@query("polygon_multipart", sql=f"""
+    SELECT CAST(ts AS DATE) AS "Date", event_type AS "Satellite", strftime(ts, '%H%M') AS "Start",
+           CASE WHEN event_type = 'click' THEN 'MultiPolygon' ELSE 'Polygon' END AS type,
+           CASE WHEN event_type = 'click' THEN 2 ELSE 1 END AS n_parts,
+           CASE WHEN event_type = 'click' THEN 3 ELSE 1 END AS n_rings,
+           value AS lon, CAST(user_id AS DOUBLE) AS lat
+    FROM events
+    WHERE day(ts) <> {_DRIFT_DAY} AND CAST(ts AS DATE) NOT IN (
+        SELECT CAST(ts AS DATE) FROM events WHERE day(ts) = {_BROKEN_DAY} AND event_type = 'error')""")
+def q_polygon_multipart(spark, sf):
+    """Gzip files with geometries of one and of several parts."""
+    polygons = collect_polygons(spark, _write_polygon_files(spark, sf, several=True))
+    parts = F.col("geometry.coordinates")
+    return polygons.select(
+        "Date", "Satellite", "Start", "geometry.type", F.size(parts).alias("n_parts"),
+        F.size(F.flatten(parts)).alias("n_rings"), parts[0][0][0][0].alias("lon"), parts[0][0][0][1].alias("lat"),
+    )
+
+
+_LATER, _MENDED = dt.date(2024, 1, 15), dt.date(2024, 1, 5)
+
+
+def _updated_collection(spark, sf) -> PolygonLedger:
+    """A collection after three updates: the first days; later days and one that changed; no change."""
+    root, ledger = scratch_path(spark, "polygon-root"), PolygonLedger(spark, scratch_path(spark, "collection"))
+    rows = _polygon_rows(spark, sf)
+    later = F.col("day") >= F.lit(_LATER)
+    put = lambda df, mode: df.drop("day").write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").partitionBy("file").text(root)
+    put(rows.where(~later), "append")
+    ledger.update(root)
+    put(rows.where(later), "append")
+    put(_polygon_rows(spark, sf, density=F.lit("Mended")).where(F.col("day") == F.lit(_MENDED)), "overwrite")
+    ledger.update(root)
+    ledger.update(root)
+    return ledger
+
+
+@query("polygon_ledger", sql=f"""
+    SELECT CAST(ts AS DATE) AS "Date", event_type AS "Satellite", strftime(ts, '%H%M') AS "Start",
+           CASE WHEN CAST(ts AS DATE) = DATE '{_MENDED}' THEN 'Mended' WHEN value < 20 THEN 'Light'
+                WHEN value < 60 THEN 'Medium' ELSE 'Heavy' END AS "Density",
+           value AS lon, CAST(user_id AS DOUBLE) AS lat
+    FROM events
+    WHERE day(ts) <> {_DRIFT_DAY} AND CAST(ts AS DATE) NOT IN (
+        SELECT CAST(ts AS DATE) FROM events WHERE day(ts) = {_BROKEN_DAY} AND event_type = 'error')""")
+def q_polygon_ledger(spark, sf):
+    ring = F.col("geometry.coordinates")[0][0]
+    return _updated_collection(spark, sf).polygons().select(
+        "Date", "Satellite", "Start", "Density", ring[0][0].alias("lon"), ring[0][1].alias("lat")
+    )
+
+
+@query("polygon_ledger_opened", sql=f"""
+    SELECT CASE WHEN d < DATE '{_LATER}' THEN 1 ELSE 2 END AS number, d AS "Date", n_lines
+    FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n_lines FROM events GROUP BY 1)
+    UNION ALL
+    SELECT 2, DATE '{_MENDED}', count(*) FROM events WHERE CAST(ts AS DATE) = DATE '{_MENDED}' HAVING count(*) > 0""")
+def q_polygon_ledger_opened(spark, sf):
+    """Days whose files each update opened, with their lines."""
+    opened = _updated_collection(spark, sf).entries().where(~F.col("gone"))
+    return opened.groupBy("number", "Date").agg(F.sum("n_lines").alias("n_lines"))
+
+
+@query("snapshot_rerun", sql=f"""
+    SELECT event_id, CAST(ts AS DATE) AS "Date",
+           CASE WHEN CAST(ts AS DATE) = DATE '{_MENDED}' THEN value + 1 ELSE value END AS value
+    FROM events""")
+def q_snapshot_rerun(spark, sf):
+    """A dated snapshot, one day of which is written again, twice."""
+    rows = table(spark, sf, "events").select("event_id", "value", F.col("ts").cast("date").alias("Date"))
+    path = replace_days(rows, scratch_path(spark, "snapshot"))
+    mended = rows.where(F.col("Date") == F.lit(_MENDED)).withColumn("value", F.col("value") + 1)
+    for _ in range(2):
+        replace_days(mended, path)
+    return spark.read.parquet(path)
+
+
 @query("polygon_report", sql=f"""
     SELECT CAST(d AS DATE) AS "Date",
            CASE WHEN count(event_id) = 0 THEN 'missing'
