@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import has_both_flags, named
+from .numbering import dense_rank
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -29,12 +30,8 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 
 
 def rank_dates(df: DataFrame, date: str = "Date", rank: str = "rank") -> DataFrame:
-    """Ordinal position of each distinct date.
-
-    The window runs over the distinct dates only: one row per calendar day.
-    """
-    days = df.select(date).where(F.col(date).isNotNull()).distinct()
-    return days.withColumn(rank, F.row_number().over(Window.orderBy(date)))
+    """Ordinal position of each distinct date, or of each distinct value of any other ordered type."""
+    return dense_rank(df, date, rank)
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import lag_name, named
 from .joins import left_join
+from .numbering import default_parts, ranges
 
 
 def lag_columns(variable: str, window: WindowSpec, n: int = 6) -> list[Column]:
@@ -84,6 +85,19 @@ def add_lags_blocked(
     return body.unionByName(heads)
 
 
+def add_lags_ranged(
+    df: DataFrame, variables: Sequence[str], n: int, group: str, order: Sequence[str], parts: int | None = None
+) -> DataFrame:
+    """Row-position lags for groups of any size, in any order.
+
+    The rows are cut into ranges of (group, order) of about equal size, several a task, whatever share of them a group
+    or a day holds; within a range lags are taken directly, and the first rows of a range take
+    theirs from the last rows of those before. ``order`` should be total; rows equal in all of it share a range.
+    """
+    cut = ranges(df, [group, *order], parts or 4 * default_parts(df))
+    return add_lags_blocked(cut, variables, n, group, order, F.col("__range")).drop("__range")
+
+
 def add_calendar_lags(
     df: DataFrame, variables: Sequence[str], n: int = 6, group: str = "County", date: str = "Date",
     on_dup: str = "error",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import epoch_day
 from ..functions.values import named
 
-MAX_RUN = 1_000  # copies of one row a single task makes in a go
-COARSE = 1_000  # runs per coarse piece
+#: Copies that one piece of a row stands for at most.
+PIECE = 4_096
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -79,7 +79,8 @@ def checked_count(column: str) -> Column:
     ).otherwise(n.cast("long"))
 
 
-def _replicate(df: DataFrame, count: str, index: str) -> DataFrame:
+def replicate(df: DataFrame, count: str, index: str) -> DataFrame:
+    """As many copies of a row as its count says, in place: for counts known to be small."""
     copies = F.posexplode(F.array_repeat(F.lit(True), F.col(count).cast("int")))
     others = [named(c) for c in df.columns if c != count]
     return df.select(*others, copies.alias(index, "__copy")).drop("__copy")
@@ -96,53 +97,29 @@ def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *columns)
 
 
-def _cut(df: DataFrame, count: str, first: str, size: int) -> DataFrame:
-    """One level of pieces of at most ``size``; ``first`` moves on by the piece's start."""
-    last_piece = F.floor((F.col(count) - 1) / size).cast("long")
-    others = [c for c in df.columns if c not in (count, first)]
-    pieces = (
-        df.where(F.col(count) > 0)
-        .withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)))
-        .withColumn(first, F.col(first) + F.col("__piece") * size)
-        .withColumn(count, F.least(F.lit(size), F.col(count) - F.col("__piece") * size))
-        .drop("__piece")
-    )
-    return spread(pieces, F.xxhash64(*[named(c) for c in (*others, first)]))
-
+def pieces_of(count: Column, size: int = PIECE) -> Column:
+    """Numbers of the pieces of at most ``size`` that a count is cut into; none for 0."""
+    last = F.floor((count - 1) / size).cast("long")
+    return F.when(count > 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
 
-def break_runs(df: DataFrame, count: str, first: str, max_run: int = MAX_RUN) -> DataFrame:
-    """Cut each row's count into pieces of at most ``max_run`` and spread the pieces.
-
-    ``first`` receives the 0-based replicate a piece starts at. The cut is made in
-    two levels, coarse pieces being spread before they are cut again, so that
-    neither an array of pieces nor the pieces of one task grow with the count.
-    The shuffles move pieces, not replicates.
-    """
-    started = df.withColumn(first, F.lit(0).cast("long"))
-    return _cut(_cut(started, count, first, max_run * COARSE), count, first, max_run)
 
-
-def uncount(
-    df: DataFrame, count: str, index: str = "replicate", max_run: int | None = MAX_RUN
-) -> DataFrame:
+def uncount(df: DataFrame, count: str, index: str = "replicate", size: int = PIECE) -> DataFrame:
     """One output row per unit of ``count``; ``index`` is the 0-based replicate.
 
-    Zero counts give no row, NULL counts fail the query. Rows above ``max_run``
-    take their own branch, where they are first cut into pieces and spread over
-    the cluster, so one huge count does not become one huge task. ``max_run=None``
-    is for counts already known to be small.
+    Zero counts give no row, NULL counts fail the query. Every row is cut into pieces of at most ``size``
+    copies, most into one, and the pieces are spread over the cluster before they are written out, so that
+    one row of very many copies and very many rows of one take the same way and no task
+    holds much more than its share.
     """
     checked = df.withColumn(count, checked_count(count))
-    if max_run is None:
-        return _replicate(checked, count, index)
-    small = _replicate(checked.where(F.col(count) <= max_run), count, index)
-    large = break_runs(checked.where(F.col(count) > max_run), count, "__first", max_run)
-    large = (
-        _replicate(large, count, "__within")
-        .withColumn(index, F.col("__first") + F.col("__within"))
-        .drop("__first", "__within")
+    pieces = checked.withColumn("__piece", F.explode(pieces_of(F.col(count), size)))
+    others = [named(c) for c in df.columns if c != count]
+    spread_out = spread(pieces, F.xxhash64(*[named(c) for c in df.columns], "__piece"))
+    first = F.col("__piece") * size
+    held = F.least(F.lit(size).cast("long"), F.col(count) - first)
+    return replicate(spread_out.select(*others, first.alias("__first"), held.alias("__held")), "__held", "__at").select(
+        *others, (F.col("__first") + F.col("__at")).alias(index)
     )
-    return small.withColumn(index, F.col(index).cast("long")).unionByName(large)
 
 
 def replicate_offsets(df: DataFrame, lo: int, hi: int, index: str = "index") -> DataFrame:

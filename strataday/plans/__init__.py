@@ -3,7 +3,7 @@
 from .admissions import annual_summary, clean_admissions, facet_series, yearly_scatter
 from .casecross import (
     attach_exposure, case_crossover_from_cases, case_crossover_tables, crossed_episodes,
-    full_dataset, outcome_dataset, strata_tables, tables_by_outcome,
+    full_dataset, outcome_dataset, outcome_tables, strata_tables, tables_by_outcome,
 )
 from .episodes import (
     build_episodes, case_cells, explode_outcomes, number_episodes, patient_id, widen_episodes,
@@ -21,7 +21,7 @@ __all__ = [
     "clean_admissions", "clean_heat", "clean_smoke", "cross_cases", "crossed_episodes",
     "daily_counts", "date_spine", "explode_outcomes", "exposure_panel", "facet_series",
     "frame_layers", "frame_manifest", "full_dataset", "has_referent", "number_episodes",
-    "outcome_dataset", "patient_id", "run_case_crossover", "run_frames", "standardise_monitors",
+    "outcome_dataset", "outcome_tables", "patient_id", "run_case_crossover", "run_frames", "standardise_monitors",
     "strata_tables", "study_cases", "tables_by_outcome", "widen_episodes",
     "yearly_scatter",
 ]

@@ -15,16 +15,16 @@ from ..schemas import COUNTY_FIPS, FACET_ORDER, OUTCOME_SOURCES, OUTCOMES
 
 def clean_admissions(
     raw: DataFrame, county_map: Mapping[int, str] = COUNTY_FIPS,
-    sources: Mapping[str, str] = OUTCOME_SOURCES, total_position: int = 4,
+    sources: Mapping[str, str] = OUTCOME_SOURCES, total_position: int = 4, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Project, rename, decode the county and parse the date.
 
     The total has no fixed name in the file and is taken by position. Unknown
     county codes and unreadable dates become NULL. A date column that is typed
-    already, as in a stored table, is kept as it is.
+    already, as in a stored table, is kept as it is, and so are the columns of ``keep``.
     """
     total = select_positions(raw, total_position).columns[0]
-    picked = raw.select("Admission_Date", "Patient_Resi_County_FIPS_Cd", total, *sources)
+    picked = raw.select("Admission_Date", "Patient_Resi_County_FIPS_Cd", total, *sources, *keep)
     named = rename_positions(picked, {1: "Date", 2: "County", 3: "Total_Cases"}).withColumnsRenamed(
         dict(sources)
     )

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from ..functions import in_study, month_text, named, year_text, zero_if_null
 from ..operators import (
-    break_runs, informative_strata, left_join, outcome_table, require_unique, spread,
+    informative_strata, left_join, outcome_table, pieces_of, replicate, require_unique, spread,
 )
-from ..operators.reshape import MAX_RUN
+from ..operators.reshape import PIECE
 from ..schemas import (
     FIRE_APR_SEP, OUTCOMES, OUTPUT_ORDER, REFERENT_WEEKS, STUDY_START, output_name,
 )
-from .episodes import case_cells, explode_outcomes, number_episodes, outcome_entries
+from .episodes import case_cells, explode_outcomes, outcome_entries, with_ids
 from .referents import add_referents, has_referent
 
 
@@ -57,14 +57,14 @@ def crossed_episodes(
     admissions: DataFrame, panel: DataFrame, outcomes: Sequence[str] = OUTCOMES,
     weeks: int = REFERENT_WEEKS, months: Iterable[int] = FIRE_APR_SEP,
     start: dt.date | None = STUDY_START, only: Sequence[str] | None = None,
-    only_informative: bool = False, max_run: int = MAX_RUN, file_order: str | None = None,
+    only_informative: bool = False, size: int = PIECE, file_order: str | None = None,
 ) -> DataFrame:
     """Every in-study episode on its case date and all its referent dates.
 
     ``index`` is the offset in weeks, 0 on the case date; ``dx_ord`` is the outcome's position
     in ``outcomes``. ``only`` keeps some outcomes, with the IDs they have among all.
-    County-days above ``max_run`` episodes go through a second branch that cuts
-    their counts into pieces and spreads those, so that a county-day holding a
+    County-days are cut into pieces of at most ``size`` episodes, most into one, and the pieces are
+    spread before they meet their dates, so that a county-day holding a
     large part of all episodes is not written out by one task per date. In file order source
     rows stay apart, so they are joined to the finished dates of their county-day.
     """
@@ -79,7 +79,8 @@ def crossed_episodes(
         # only the outcomes that occur travel along
         F.filter(outcome_entries(outcomes, only), lambda o: o["n"] > 0).alias("occurring"),
     )
-    # the first ID tells cells apart also where a county-day has several source rows
+    cells = _cut_cells(cells, size)
+    # the first ID tells pieces apart, also those of source rows of one county-day
     cells = spread(cells, "Date", "County", F.col("occurring")[0]["first"])
     if file_order:
         days = place_days(cells, panel, ("Date", "County"), {}, weeks, months, start)
@@ -87,17 +88,30 @@ def crossed_episodes(
             cells.withColumnRenamed("Date", "__case_date"), days, ("__case_date", "County")
         )
         exposed = placed.withColumn("__day", F.explode("__days")).select(
-            "Year", "Month", "County", "total", "occurring", "__day.*"
+            "Year", "Month", "County", "occurring", "__day.*"
         )
     else:
         crossed = add_referents(cells, weeks, months, start, include_case=True)
         exposed = left_join(crossed, panel, ("Date", "County"))
-    light = explode_outcomes(exposed.where(F.col("total") <= max_run), outcomes, "occurring")
-    heavy = explode_outcomes(exposed.where(F.col("total") > max_run), outcomes, "occurring")
-    pieces = break_runs(heavy, "n", "__first", max_run)
-    return number_episodes(light, max_run=None).unionByName(
-        number_episodes(pieces, None, F.col("first_id") + F.col("__first")).drop("__first")
-    )
+    return with_ids(replicate(explode_outcomes(exposed, outcomes, "occurring"), "n", "replicate"))
+
+
+def _cut_cells(cells: DataFrame, size: int) -> DataFrame:
+    """Cells of at most ``size`` episodes, each with those outcomes, counts and first IDs that fall to it."""
+    begin = F.col("occurring")[0]["first"]
+
+    def part(o: Column) -> Column:
+        first = F.greatest(o["first"], F.col("__begin"))
+        end = F.least(o["first"] + o["n"], F.col("__begin") + size)
+        return F.struct(o["ord"].alias("ord"), (end - first).alias("n"), first.alias("first"))
+
+    last = F.element_at("occurring", -1)
+    # IDs of outcomes that were not asked for may lie between, and a piece may have no others
+    span = last["first"] + last["n"] - begin
+    pieces = cells.withColumn("__piece", F.explode(pieces_of(span, size))).withColumn("__begin", begin + F.col("__piece") * size)
+    return pieces.withColumn(
+        "occurring", F.filter(F.transform("occurring", part), lambda o: o["n"] > 0)
+    ).where(F.size("occurring") > 0).drop("__piece", "__begin", "total")
 
 
 def _exposures(panel: DataFrame) -> list[Column]:
@@ -135,6 +149,25 @@ def case_crossover_tables(
     )
 
 
+def outcome_tables(
+    admissions: DataFrame, panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, **options
+) -> DataFrame:
+    """The analysis tables of all outcomes with all flags, as one long table from one expansion.
+
+    Beside the 0/1 flags each row has the ``outcome`` of its own diagnosis, named in ``out_name``;
+    :func:`tables_by_outcome` gives each table its layout, with the own flag as ``outcome`` in place.
+    """
+    rows = crossed_episodes(admissions, panel, outcomes, only_informative=True, **options)
+    is_case = F.col("index") == 0
+    labels = F.array(*[F.lit(output_name(c)) for c in outcomes])
+    return rows.select(
+        "Date", "Year", "Month", "County", "Patient_ID",
+        *[(is_case & (F.col("dx_ord") == i)).cast("int").alias(c) for i, c in enumerate(outcomes, start=1)],
+        *_exposures(panel), is_case.cast("int").alias("outcome"),
+        F.element_at(labels, F.col("dx_ord")).alias("out_name"),
+    )
+
+
 def outcome_dataset(
     admissions: DataFrame, panel: DataFrame, outcome: str, outcomes: Sequence[str] = OUTCOMES,
     **options,

@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import month_text, named, paste, slice_text, year_text
-from ..operators import checked_count, flags_wide, running_base, uncount
-from ..operators.reshape import MAX_RUN
+from ..operators import block_by_rank, checked_count, flags_wide, running_base, uncount
+from ..operators.reshape import PIECE
 from ..schemas import OUTCOMES
 
-FILE_BLOCK = 1_000_000  # source rows per block when numbering in file order
-
 
 def case_cells(
     admissions: DataFrame, outcomes: Sequence[str] = OUTCOMES, date: str = "Date",
@@ -26,7 +24,8 @@ def case_cells(
     so adding them up first keeps the numbers and leaves little to shuffle.
 
     With ``file_order``, a column holding the row's position in its file, they are numbered by
-    that position, outcome and replicate instead, and source rows stay apart.
+    that position, outcome and replicate instead, and source rows stay apart. Positions are
+    whole numbers of any spacing and must be unique; they are cut into blocks of about equally many rows.
     """
     extra = [file_order] if file_order else []
     counted = admissions.select(
@@ -36,10 +35,8 @@ def case_cells(
     for c in outcomes:
         total = total + F.col(c)
     if file_order:
-        rows = counted.withColumns({
-            "total": total, "__part": F.floor(F.col(file_order) / FILE_BLOCK)
-        })
-        return running_base(rows, "total", "__part", [file_order]).drop("__part")
+        rows = counted.withColumns({"total": total, "__part": block_by_rank(admissions, file_order)})
+        return running_base(rows, "total", "__part", [file_order], check=True).drop("__part")
     cells = counted.groupBy(date, county).agg(*[F.sum(c).alias(c) for c in outcomes])
     return running_base(
         cells.withColumn("total", total), "total", date, [county],
@@ -91,25 +88,24 @@ def patient_id(outcome: str = "Primary_dx", number: Column | str = "ID") -> Colu
     return paste(slice_text(outcome, 1, 4), number)
 
 
-def number_episodes(
-    rows: DataFrame, max_run: int | None = MAX_RUN, ids_before: Column | str = "first_id"
-) -> DataFrame:
-    """Replicate each outcome row by its count ``n`` and give every copy its ``Patient_ID``."""
-    copies = uncount(rows, "n", "replicate", max_run)
-    before = F.col(ids_before) if isinstance(ids_before, str) else ids_before
+def with_ids(copies: DataFrame) -> DataFrame:
+    """Replicates of outcome rows with their ``Patient_ID``."""
     kept = [named(c) for c in copies.columns if c not in ("first_id", "replicate")]
-    return copies.select(
-        *kept, patient_id(number=before + F.col("replicate") + 1).alias("Patient_ID")
-    )
+    return copies.select(*kept, patient_id(number=F.col("first_id") + F.col("replicate") + 1).alias("Patient_ID"))
+
+
+def number_episodes(rows: DataFrame, size: int = PIECE) -> DataFrame:
+    """Replicate each outcome row by its count ``n`` and give every copy its ``Patient_ID``."""
+    return with_ids(uncount(rows, "n", "replicate", size))
 
 
 def build_episodes(
-    admissions: DataFrame, outcomes: Sequence[str] = OUTCOMES, max_run: int | None = MAX_RUN,
+    admissions: DataFrame, outcomes: Sequence[str] = OUTCOMES, size: int = PIECE,
     file_order: str | None = None,
 ) -> DataFrame:
     """One row per admission episode: Date, County, Primary_dx, Episode, Patient_ID."""
     rows = explode_outcomes(case_cells(admissions, outcomes, file_order=file_order), outcomes)
-    return number_episodes(rows, max_run).select(
+    return number_episodes(rows, size).select(
         "Date", "County", "Primary_dx", F.lit(1).alias("Episode"), "Patient_ID"
     )
 

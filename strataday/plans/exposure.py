@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse_mdy, parse_ymd, recode
-from ..operators import add_calendar_lags, add_lags, add_lags_blocked, dates_to_long, left_join
+from ..operators import (
+    add_calendar_lags, add_lags, add_lags_blocked, add_lags_ranged, dates_to_long, left_join,
+)
 from ..schemas import COUNTY_ALIASES, COUNTY_STATE_FIPS, LAG_DAYS
 
 PANEL_KEYS = ("Date", "County")
@@ -43,7 +45,8 @@ def exposure_panel(
 
     Lags are taken over the whole panel, before any season filter. ``mode="row"`` counts
     rows back, ``mode="calendar"`` counts days. With ``on_dup="keep"`` repeated
-    days stay; ``ties`` then fixes their order and the lags run in blocks.
+    days stay; ``ties`` then fixes their order and the lags run in ranges of about equal size,
+    or in the blocks of ``block`` if given.
     """
     joined = smoke if heat is None else left_join(smoke, heat, PANEL_KEYS, on_dup=on_dup)
     if variables is None:
@@ -54,5 +57,6 @@ def exposure_panel(
         raise ValueError("mode must be 'row' or 'calendar'")
     if on_dup == "error":
         return add_lags(joined, variables, lags)
-    month = F.trunc("Date", "MM") if block is None else block
-    return add_lags_blocked(joined, variables, lags, "County", ["Date", *ties], month)
+    if block is None:
+        return add_lags_ranged(joined, variables, lags, "County", ["Date", *ties])
+    return add_lags_blocked(joined, variables, lags, "County", ["Date", *ties], block)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +16,7 @@ from ..sources import (
     read_smoke, write_csv, write_outcome_tables, write_partitioned,
 )
 from .admissions import annual_summary, clean_admissions
-from .casecross import case_crossover_tables, full_dataset
+from .casecross import case_crossover_tables, full_dataset, outcome_tables
 from .exposure import clean_heat, clean_smoke, exposure_panel
 from .frames import frame_layers, frame_manifest, standardise_monitors
 
@@ -25,10 +25,14 @@ def run_case_crossover(
     spark: SparkSession, admissions_path: str, smoke_path: str, out: str, run: str,
     heat_path: str | None = None, smoke_layout: str = "ymd",
     months: Iterable[int] = FIRE_APR_SEP, start: dt.date | None = STUDY_START,
-    weeks: int = REFERENT_WEEKS, lags: int = LAG_DAYS, mode: str = "row",
+    weeks: int = REFERENT_WEEKS, lags: int = LAG_DAYS, mode: str = "row", file_order: bool = False,
+    sort: Sequence[str] = (), all_flags: bool = False,
 ) -> dict[str, str]:
     """Admissions and exposures to the full dataset, the analysis tables and the yearly totals.
 
+    With ``file_order`` episodes are numbered by the place of their row in the admissions file instead of by date and
+    county. ``sort`` orders the rows of the full dataset, ``all_flags`` keeps all flags in the analysis tables.
+
     Cleaned admissions and the lagged panel are written first and read back as typed
     tables: the later steps each read them, and a lost executor then costs no
     more than its own tasks.
@@ -44,17 +48,18 @@ def run_case_crossover(
         "admissions": f"{base}/admissions", "panel": f"{base}/panel",
         "annual_summary": f"{base}/annual_summary", "full_dataset": f"{base}/full_dataset",
     }
-    clean_admissions(read_admissions(spark, admissions_path)).write.parquet(paths["admissions"])
+    place = "Position" if file_order else None
+    raw = read_admissions(spark, admissions_path, position=place)
+    clean_admissions(raw, keep=[place] if place else ()).write.parquet(paths["admissions"])
     exposure_panel(smoke, heat, lags=lags, mode=mode).write.parquet(paths["panel"])
     admissions = spark.read.parquet(paths["admissions"])
     # a small panel is sent out by its measured bytes, under adaptive execution
     panel = spark.read.parquet(paths["panel"])
-    options = {"months": tuple(months), "start": start, "weeks": weeks}
+    options = {"months": tuple(months), "start": start, "weeks": weeks, "file_order": place}
     write_csv(annual_summary(admissions), paths["annual_summary"], sort=["Year"])
-    write_csv(full_dataset(admissions, panel, **options), paths["full_dataset"])
-    paths["tables"] = write_outcome_tables(
-        case_crossover_tables(admissions, panel, **options), f"{out}/tables", run
-    )
+    write_csv(full_dataset(admissions, panel, **options), paths["full_dataset"], sort=sort)
+    tables = outcome_tables if all_flags else case_crossover_tables
+    paths["tables"] = write_outcome_tables(tables(admissions, panel, **options), f"{out}/tables", run)
     return paths
 
 

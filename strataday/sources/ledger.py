@@ -23,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import path_exists
 from .polygons import file_verdicts, gzip_sizes, lines_of, list_versions, polygons_of, report_days, stage_lines
-from .tables import path_exists
 
 _LEDGER = (
     "path string, Date date, size long, modified timestamp, accepted boolean, n_lines long, gone boolean, number int, update string"

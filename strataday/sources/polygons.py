@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import join_text, remove_text, slice_text
 from ..schemas import POLYGON_COLUMNS, POLYGON_RINGS, POLYGON_SCHEMA
-from .tables import written
+from ..scratch import written
 
 FILE_STEM = "hms_smoke"
 

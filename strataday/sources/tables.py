@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import with_position
 from ..operators.order import arrange
 from ..schemas import ADMISSION_TYPES, SMOKE_PM_TYPES
 
@@ -22,10 +22,13 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 def read_csv(
     spark: SparkSession, path: str, types: Mapping[str, T.DataType] | None = None,
-    default: T.DataType | None = None,
+    default: T.DataType | None = None, position: str | None = None,
 ) -> DataFrame:
     """CSV with a header line and ``NA`` for NULL.
 
+    ``position`` names a column to add: the row's 0-based place in the file, or in the files of a
+    folder in the order of their paths.
+
     The column list comes from the header, the types from ``types`` and
     ``default`` (text if not given). Nothing is inferred from the data, so the
     file is scanned once and only for the columns a query uses.
@@ -35,19 +38,22 @@ def read_csv(
     schema = T.StructType(
         [T.StructField(c, types.get(c, default)) for c in csv_header(spark, path)]
     )
-    return (
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("nullValue", NA)
         .csv(path)
     )
+    return with_position(rows, position) if position else rows
 
 
-def read_admissions(spark: SparkSession, path: str, total_position: int = 4) -> DataFrame:
+def read_admissions(
+    spark: SparkSession, path: str, total_position: int = 4, position: str | None = None
+) -> DataFrame:
     """Admission counts. The total is known by its position only, so it is typed by it."""
     total = csv_header(spark, path)[total_position - 1]
-    return read_csv(spark, path, {**ADMISSION_TYPES, total: T.IntegerType()})
+    return read_csv(spark, path, {**ADMISSION_TYPES, total: T.IntegerType()}, position=position)
 
 
 def read_smoke(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +102,11 @@ def replace_days(df: DataFrame, path: str, by: str = "Date", compact: bool = Tru
     return path
 
 
+def read_outcome_tables(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_outcome_tables` wrote; a filter on ``out_name`` opens its directory only."""
+    return spark.read.parquet(path)
+
+
 def write_outcome_tables(strata: DataFrame, path: str, run: str, **kw) -> str:
     """All per-diagnosis tables as one dataset, one directory per diagnosis."""
     return write_partitioned(strata, path, "out_name", run=run, **kw)
@@ -116,45 +127,3 @@ def read_monitor_daily(
         & (day >= F.lit(str(begin)))
         & (day <= F.lit(str(end)))
     )
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder the session names in ``spark.checkpoint.dir``.
-
-    A session without that setting gets a folder below its warehouse, which all
-    executors share as well. :func:`drop_scratch` removes what was handed out.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _handed_out.append(path)
-    return path
-
-
-_handed_out: list[str] = []
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def drop_scratch(spark: SparkSession) -> int:
-    """Remove every folder that :func:`scratch_path` handed out in this process; how many there were.
-
-    For the end of a run: frames read from these folders can't be used any more.
-    """
-    dropped = 0
-    while _handed_out:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
-        dropped += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return dropped
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame written below the scratch folder and read again, so that what follows
-    neither works it out twice nor depends on executors that may go."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from strataday.functions import count_values, zero_if_null
 from strataday.operators import (
-    add_calendar_lags, add_lags, add_lags_blocked, arrange, break_runs, category_ordinal,
-    dates_to_long, distinct_sorted, flags_wide, informative_strata, is_numeric, keep_first,
-    keep_groups, left_join, map_columns, map_columns_if, outcome_table, pivot_values, rank_dates,
-    rename_positions, replicate_offsets, require_unique, running_base, select_positions, to_long,
+    add_calendar_lags, add_lags, add_lags_blocked, add_lags_ranged, arrange, block_by_rank, category_ordinal,
+    dates_to_long, dense_rank, distinct_sorted, flags_wide, informative_strata, is_numeric, keep_first,
+    keep_groups, left_join, map_columns, map_columns_if, outcome_table, pieces_of, pivot_values, ranges, rank_dates,
+    rename_positions, replicate, replicate_offsets, require_unique, running_base, select_positions, to_long,
     uncount, union_by_name, with_point,
 )
 
@@ -113,36 +113,31 @@ def test_uncount_rejects_bad_counts(spark, bad):
         uncount(df, "n").collect()
 
 
-@pytest.mark.parametrize("max_run", [1, 7, 100])
-def test_uncount_split_equals_plain(spark, rows, max_run):
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_uncount_cut_equals_plain(spark, rows, size):
     df = spark.createDataFrame([("x", 0), ("y", 23), ("z", 8), ("z", 7)], "k string, n int")
-    assert rows(uncount(df, "n", max_run=max_run)) == rows(
-        uncount(df, "n", max_run=None).withColumn("replicate", F.col("replicate").cast("long"))
+    assert rows(uncount(df, "n", size=size)) == rows(
+        replicate(df, "n", "replicate").withColumn("replicate", F.col("replicate").cast("long"))
     )
 
 
-def test_one_huge_count_is_spread(spark):
-    df = spark.createDataFrame([("hot", 200_000), ("cold", 3)], "k string, n int")
-    out = uncount(df, "n", max_run=1_000)
+def test_one_huge_count_and_many_small_ones_share_a_plan(spark, plan):
+    hot = spark.createDataFrame([("hot", 200_000), ("cold", 3)], "k string, n int")
+    out = uncount(hot, "n", size=1_000)
     sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 200_003
     assert max(sizes) < 100_000
-    hot = out.where("k = 'hot'")
-    assert hot.select("replicate").distinct().count() == 200_000
+    assert out.where("k = 'hot'").select("replicate").distinct().count() == 200_000
+    ones = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("n"))
+    sizes = [r[1] for r in uncount(ones, "n").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    tree = plan(out).split("\n\n")[0]
+    assert "Union" not in tree and tree.count("Exchange") == 1
 
 
-def test_break_runs_covers_each_count(spark):
-    df = spark.createDataFrame([("a", 25), ("b", 10), ("c", 0)], "k string, n long")
-    pieces = sorted(tuple(r) for r in break_runs(df, "n", "first", 10).select("k", "first", "n").collect())
-    assert pieces == [("a", 0, 10), ("a", 10, 10), ("a", 20, 5), ("b", 0, 10)]
-
-
-def test_break_runs_in_two_levels(spark):
-    n = 2_500_001
-    df = spark.createDataFrame([("a", n)], "k string, n long")
-    pieces = break_runs(df, "n", "first", 1_000).orderBy("first").collect()
-    assert [r["first"] for r in pieces] == list(range(0, n, 1_000))
-    assert {r["n"] for r in pieces[:-1]} == {1_000} and pieces[-1]["n"] == 1
+def test_pieces_of_a_count(spark):
+    df = spark.createDataFrame([(0,), (1,), (10,), (11,), (None,)], "n long")
+    assert [r[0] for r in df.select(pieces_of(F.col("n"), 10)).collect()] == [[], [0], [0], [0, 1], []]
 
 
 def test_replicate_offsets(spark):
@@ -366,3 +361,60 @@ def test_arrange_nulls_last(spark):
 def test_category_ordinal(spark):
     df = spark.createDataFrame([("b",), ("a",), ("z",), (None,)], "c string")
     assert [r[0] for r in df.select(category_ordinal("c", ["a", "b"])).collect()] == [2, 1, None, None]
+
+
+# --- ranges ---------------------------------------------------------------
+
+
+def test_ranges_follow_the_order_and_are_alike(spark):
+    df = spark.range(20_000, numPartitions=5).select((F.col("id") * F.col("id")).alias("v"), F.lit(1).alias("g"))
+    cut = ranges(df, ["g", "v"], 8)
+    sizes = {r["__range"]: (r.n, r.lo, r.hi) for r in cut.groupBy("__range").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    assert max(n for n, _, _ in sizes.values()) < 2 * 20_000 / 8
+    bounds = [x for k in sorted(sizes) for x in sizes[k][1:]]
+    assert bounds == sorted(bounds)
+
+
+@pytest.mark.parametrize("kind", ["long", "timestamp", "string", "double", "date"])
+def test_dense_rank_of_any_ordered_type(spark, kind):
+    values = [random.Random(3).randrange(10**9) if k % 3 else k for k in range(3000)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in values], "n long").repartition(5)
+    cast = F.timestamp_seconds("n") if kind == "timestamp" else F.date_add(F.lit(D(1970, 1, 1)), (F.col("n") % 9000).cast("int")) if kind == "date" else F.col("n").cast(kind)
+    df = df.select(cast.alias("v"))
+    got = sorted(tuple(r) for r in dense_rank(df, "v", "k", 7).collect())
+    want = sorted({r.v for r in df.collect() if r.v is not None})
+    assert got == [(v, i) for i, v in enumerate(want, 1)]
+    assert dense_rank(df.where("false"), "v").count() == 0
+
+
+def test_ranked_values_are_numbered_in_many_tasks(spark):
+    df = spark.range(30_000).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"))
+    out = dense_rank(df, "ts", "k", 12)
+    assert out.agg(F.max("k")).first()[0] == 30_000
+    parts = [r[1] for r in ranges(df.distinct(), ["ts"], 12).groupBy("__range").count().collect()]
+    assert len(parts) > 8 and max(parts) < 6_000
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_ranged_lags_equal_plain_lags(spark, rows, parts):
+    r = random.Random(8)
+    data = [(r.choice(["hot"] * 9 + ["a", None]), D(2022, 4, 1 + r.randrange(3)) if r.random() < 0.95 else None, k, r.random()) for k in range(400)]
+    df = spark.createDataFrame(data, "g string, Date date, tie int, v double").repartition(3)
+    got = rows(add_lags_ranged(df, ["v"], 4, "g", ["Date", "tie"], parts))
+    by = {}
+    for row in sorted(data, key=lambda t: (t[1] is None, t[1] or D(1, 1, 1), t[2])):
+        by.setdefault(row[0], []).append(row)
+    want = [
+        (*row, *[own[i - k][3] if i >= k else None for k in range(1, 5)]) for own in by.values() for i, row in enumerate(own)
+    ]
+    assert got == sorted(want, key=lambda t: [(v is None, str(v)) for v in t])
+    assert add_lags_ranged(df.where("false"), ["v"], 2, "g", ["Date", "tie"]).count() == 0
+
+
+def test_blocks_by_rank_of_sparse_positions(spark):
+    df = spark.range(1_000).select((F.col("id") * 2_000_000).alias("p"))
+    sizes = [r[1] for r in df.groupBy(block_by_rank(df, "p", 8)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 150
+    one = spark.createDataFrame([(5,), (None,)], "p long")
+    assert one.select(block_by_rank(one.where("false"), "p")).count() == 2

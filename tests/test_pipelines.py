@@ -11,14 +11,14 @@ from strataday.operators import outcome_table
 from strataday.plans import (
     add_referents, annual_summary, attach_exposure, build_episodes, case_crossover,
     case_crossover_from_cases, case_crossover_tables, clean_admissions, clean_heat, clean_smoke,
-    cross_cases, exposure_panel, facet_series, full_dataset, has_referent, outcome_dataset,
+    cross_cases, exposure_panel, facet_series, full_dataset, has_referent, outcome_dataset, outcome_tables,
     strata_tables,
     study_cases, tables_by_outcome, widen_episodes, yearly_scatter,
 )
 from strataday.functions import quarter_text
 from strataday.schemas import (
     EXPOSURES, FACET_ORDER, FIRE_APR_AUG, FIRE_APR_SEP, OFF_SEASON, OUTCOME_SOURCES, OUTCOMES,
-    OUTPUT_ORDER, STUDY_START,
+    OUTPUT_ORDER, STUDY_START, output_name,
 )
 
 D = dt.date
@@ -130,10 +130,10 @@ def test_example_day_gives_four_episodes(spark):
     ]
 
 
-@pytest.mark.parametrize("max_run", [2, 1000])
-def test_episodes_match_brute_force(spark, max_run):
+@pytest.mark.parametrize("size", [2, 1000])
+def test_episodes_match_brute_force(spark, size):
     cells, _ = random_study(3, SHORT)
-    got = build_episodes(admissions_frame(spark, cells, SHORT), SHORT, max_run)
+    got = build_episodes(admissions_frame(spark, cells, SHORT), SHORT, size)
     want = brute.episodes(cells, SHORT)
     assert as_set(got.drop("Episode")) == set(want)
     numbers = sorted(int(pid.split()[1]) for *_, pid in want)
@@ -164,6 +164,28 @@ def test_numbering_in_file_order(spark):
     assert {r[0] for r in out.select("Patient_ID").collect()} == {pid for d, pid in got if d}
 
 
+def test_sparse_positions_number_like_dense_ones(spark):
+    data = [(k, D(2022, 4, 1), "Taos", k % 3, 1, 0) for k in range(1000)]
+    df = spark.createDataFrame(data, "pos long, Date date, County string, " + ", ".join(f"{o} int" for o in SHORT))
+    apart = df.withColumn("pos", F.col("pos") * 2_000_000)
+    ids = lambda d: sorted(map(str, build_episodes(d, SHORT, file_order="pos").collect()))
+    assert ids(apart) == ids(df)
+    with pytest.raises(Exception, match="must be unique"):
+        build_episodes(df.unionAll(df.limit(1)), SHORT, file_order="pos").collect()
+
+
+def test_all_tables_with_all_flags(spark):
+    cells, panel = random_study(31, SHORT)
+    smoke, heat = panel_frames(spark, panel)
+    adm, exposure = admissions_frame(spark, cells, SHORT), exposure_panel(smoke, heat)
+    long = outcome_tables(adm, exposure, SHORT, start=D(2020, 3, 15))
+    plain = case_crossover_tables(adm, exposure, SHORT, start=D(2020, 3, 15))
+    assert as_set(long.select(*plain.columns)) == as_set(plain) and long.count() == plain.count()
+    for flag, table in tables_by_outcome(long, {c: output_name(c) for c in SHORT}).items():
+        want = outcome_dataset(adm, exposure, f"{flag}_dx", SHORT, start=D(2020, 3, 15))
+        assert table.columns == want.columns and as_set(table) == as_set(want)
+
+
 def test_file_order_tables_equal_ordered_tables_up_to_ids(spark):
     cells, panel = random_study(23, SHORT, n_cells=12)
     smoke, heat = panel_frames(spark, panel)
@@ -171,12 +193,13 @@ def test_file_order_tables_equal_ordered_tables_up_to_ids(spark):
     # every county-day split over two source rows
     halves = [F.floor(F.col(o) / 2).cast("int").alias(o) for o in SHORT]
     rest = [(F.col(o) - F.floor(F.col(o) / 2)).cast("int").alias(o) for o in SHORT]
-    rows = adm.select("Date", "County", *halves).unionByName(adm.select("Date", "County", *rest))
-    rows = rows.withColumn("pos", F.xxhash64("Date", "County", *SHORT) % 1_000_000_000)
+    rows = adm.select("Date", "County", *halves, F.lit(0).alias("half")).unionByName(
+        adm.select("Date", "County", *rest, F.lit(1).alias("half")))
+    rows = rows.withColumn("pos", F.xxhash64("Date", "County", "half") % 1_000_000_000).drop("half")
     kinds = lambda df: sorted(map(str, df.drop("Patient_ID").collect()))
-    for max_run in (2, 1000):
+    for size in (2, 1000):
         ordered = case_crossover_tables(adm, exposure, SHORT)
-        by_file = case_crossover_tables(rows, exposure, SHORT, file_order="pos", max_run=max_run)
+        by_file = case_crossover_tables(rows, exposure, SHORT, file_order="pos", size=size)
         assert by_file.columns == ordered.columns
         assert kinds(by_file) == kinds(ordered)
         ids = by_file.where("outcome = 1").select("Patient_ID")
@@ -314,17 +337,17 @@ def test_duplicate_heat_rows_are_rejected(spark):
 # --- analysis tables ------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed,months,weeks,max_run", [
+@pytest.mark.parametrize("seed,months,weeks,size", [
     (11, FIRE_APR_SEP, 26, 1000), (12, FIRE_APR_AUG, 26, 3), (13, OFF_SEASON, 26, 1), (14, (4,), 1, 1000),
     (15, (2,), 5, 2),
 ])
-def test_tables_match_brute_force(spark, seed, months, weeks, max_run):
+def test_tables_match_brute_force(spark, seed, months, weeks, size):
     cells, panel = random_study(seed, SHORT)
     smoke, heat = panel_frames(spark, panel)
     start = D(2020, 3, 15)
     got = case_crossover_tables(
         admissions_frame(spark, cells, SHORT), exposure_panel(smoke, heat), SHORT,
-        months=months, start=start, weeks=weeks, max_run=max_run,
+        months=months, start=start, weeks=weeks, size=size,
     )
     want = brute.tables(cells, panel, SHORT, months, start, EXPOSURES, weeks=weeks)
     assert want and as_set(got) == set(want)
@@ -438,7 +461,7 @@ def test_one_county_day_holding_most_episodes_is_spread(spark):
         [(D(2022, 5, 3), "Taos", 1.0)], "Date date, County string, smokepm25 double"
     )
     out = case_crossover_tables(
-        admissions_frame(spark, hot, SHORT), exposure_panel(smoke, lags=1), SHORT, weeks=2, max_run=500
+        admissions_frame(spark, hot, SHORT), exposure_panel(smoke, lags=1), SHORT, weeks=2, size=500
     )
     parts = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(parts) == 20_003 * 5

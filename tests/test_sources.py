@@ -12,8 +12,8 @@ from strataday.plans import clean_admissions, clean_heat, clean_smoke, date_spin
 from strataday.schemas import ADMISSION_TYPES, OUTCOME_SOURCES, SMOKE_PM_TYPES
 from strataday.sources import (
     collect_polygons, collection_report, daily_path, file_date, file_verdicts, list_files,
-    names_match, read_boundary, read_csv, read_monitor_daily, scan_lines, scratch_path, write_csv,
-    write_outcome_tables, write_partitioned,
+    drop_scratch, names_match, read_boundary, read_csv, read_monitor_daily, replace_days, scan_lines, scratch_path,
+    write_csv, write_outcome_tables, write_partitioned, written,
 )
 from strataday.sources.polygons import geometry_json
 
@@ -51,6 +51,47 @@ def test_admissions_file_end_to_end(spark, tmp_path):
     assert got == [(D(2016, 1, 1), "Doña Ana", "3", 1), (D(2016, 1, 2), None, None, 0)]
 
 
+def test_row_positions_of_files_in_many_splits(spark, tmp_path):
+    n = 5_000
+    for k in range(3):
+        lines = [f"{k * n + i},{'x' * (i % 17)}" for i in range(n)]
+        (tmp_path / f"part{k}.csv").write_text("id,v\n" + "\n".join(lines) + "\n")
+    (tmp_path / "part3.csv").write_text("id,v\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        df = read_csv(spark, str(tmp_path), {"id": T.LongType()}, position="place")
+        assert df.columns == ["id", "v", "place"]
+        assert df.where("id <> place").count() == 0 and df.agg(F.countDistinct("place")).first()[0] == 3 * n
+        assert df.where("id = 7777").first()["place"] == 7777
+        assert spark.read.csv(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read_csv(spark, str(tmp_path / "part3.csv"), position="place").count() == 0
+
+
+def test_snapshot_days_are_replaced_alone(spark, tmp_path, rows):
+    df = spark.createDataFrame([(1, D(2022, 4, 6)), (2, D(2022, 4, 7)), (3, D(2022, 4, 7))], "v int, Date date")
+    path = str(tmp_path / "snap")
+    replace_days(df, path)
+    files = lambda day: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "snap" / f"Date={day}").iterdir()}
+    first, second = files("2022-04-06"), files("2022-04-07")
+    for _ in range(2):
+        replace_days(df.where("v = 2").withColumn("v", F.lit(9)), path)
+    assert files("2022-04-06") == first and files("2022-04-07") != second
+    assert rows(spark.read.parquet(path), "v", "Date") == [(1, D(2022, 4, 6)), (9, D(2022, 4, 7))]
+    replace_days(df.where("false"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_scratch_folders_are_dropped(spark):
+    kept = written(spark.range(3).toDF("v"), "t")
+    assert kept.count() == 3 and drop_scratch(spark) >= 1
+    with pytest.raises(Exception):
+        kept.count()
+    assert drop_scratch(spark) == 0
+
+
 def test_csv_header_mismatch_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,x\n3,4\n")

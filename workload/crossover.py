@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataday.functions import quarter_text, zero_if_null
-from strataday.operators import map_columns
+from strataday.operators import map_columns, union_by_name
 from strataday.plans import (
     add_referents, attach_exposure, build_episodes, case_crossover, case_crossover_from_cases,
-    case_crossover_tables, cross_cases, exposure_panel, full_dataset, outcome_dataset, strata_tables,
-    study_cases, widen_episodes,
+    case_crossover_tables, cross_cases, exposure_panel, full_dataset, outcome_dataset, outcome_tables,
+    strata_tables, study_cases, tables_by_outcome, widen_episodes,
 )
 from strataday.schemas import (
     FIRE_APR_AUG, FIRE_APR_SEP, MULTI_FLAG_LABELS, MULTI_FLAGS, OUTCOMES,
 )
 
+from strataday.sources import read_outcome_tables, scratch_path, write_outcome_tables
+
 from .registry import ORACLES, query
 from .views import (
     FLAG_RULES, PANEL_SQL, START, admission_rows, admissions, ctes, heat, multi_flag_cases,
@@ -124,6 +126,22 @@ def q_casecross_asthma(spark, sf):
     return outcome_dataset(admissions(spark, sf), panel, "asthma_dx", start=START)
 
 
+_OWN = ", ".join(f"CASE WHEN dx <> '{c}' THEN 0 END AS {c}" for c in OUTCOMES)
+
+
+@query("outcome_tables_all", sql=ctes(
+    *_ALL, extra=PANEL_SQL + ",\n" + _crossed_sql(FIRE_APR_SEP)) + _STRATA + f"""
+    SELECT {_HEAD}, {_OWN}, {", ".join(_LAGGED)}, CASE WHEN w = 0 THEN 1 ELSE 0 END AS outcome,
+           replace(dx, '_dx', '') AS out_name {_FULL_JOIN}
+    WHERE c."Patient_ID" IN (SELECT id FROM strata)""")
+def q_outcome_tables_all(spark, sf):
+    """All twelve tables written at once and read one by one, each in its layout of 36 columns."""
+    panel = exposure_panel(smoke(spark, sf), heat(spark, sf))
+    long = outcome_tables(admissions(spark, sf), panel, start=START)
+    path = write_outcome_tables(long, scratch_path(spark, "outcome-tables"), "apr-sep")
+    return union_by_name(*tables_by_outcome(read_outcome_tables(spark, path)).values())
+
+
 _MULTI = ", ".join(
     f"CASE WHEN w = 0 AND {rule} THEN 1 ELSE 0 END AS {c}" for c, rule in FLAG_RULES.items()
 )

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strataday.functions import zero_if_null
-from strataday.operators import rank_dates
+from strataday.operators import dense_rank, rank_dates
 from strataday.plans import frame_layers, frame_manifest, standardise_monitors
 from strataday.schemas import FRAME_FIRST_NUMBER
 from strataday.sources import read_monitor_daily
@@ -105,6 +105,24 @@ def q_layer_dates_by_rank(spark, sf):
     return smoke_days.join(monitor_days, "rank").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("timestamps_ranked", sql="""
+    SELECT ts, row_number() OVER (ORDER BY ts) AS rank FROM (SELECT DISTINCT ts FROM events)""")
+def q_timestamps_ranked(spark, sf):
+    return dense_rank(table(spark, sf, "events"), "ts")
+
+
+@query("events_by_rank", sql="""
+    SELECT a.rank, a.ts, b.o_orderkey
+    FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS rank FROM (SELECT DISTINCT ts FROM events)) a
+    JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rank FROM (
+            SELECT DISTINCT o_orderkey FROM orders)) b ON a.rank = b.rank""")
+def q_events_by_rank(spark, sf):
+    """The k-th distinct time joined to the k-th distinct order."""
+    return dense_rank(table(spark, sf, "events"), "ts").join(
+        dense_rank(table(spark, sf, "orders"), "o_orderkey"), "rank"
+    )
+
+
 _STATES = (1, 3, 5, 6, 7, 9, 11, 13)
 _BEGIN, _END = dt.date(1996, 1, 1), dt.date(1999, 12, 31)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataday.functions import quarter_text, recode
-from strataday.operators import add_lags, add_lags_blocked, left_join
+from strataday.operators import add_lags, add_lags_ranged, left_join
 from strataday.plans import exposure_panel
 from strataday.schemas import COUNTY_FIPS
 
@@ -75,7 +75,4 @@ _TIES = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpri
     FROM lineitem""")
 def q_lag_rows_repeated_days(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_returnflag", *_TIES)
-    return add_lags_blocked(
-        lines, ["l_discount", "l_quantity"], 5, "l_returnflag", _TIES,
-        F.col("l_shipdate").cast("date"),
-    )
+    return add_lags_ranged(lines, ["l_discount", "l_quantity"], 5, "l_returnflag", _TIES)

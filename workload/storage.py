@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataday.functions import recode
-from strataday.plans import date_spine
+from strataday.plans import build_episodes, date_spine
 from strataday.schemas import COUNTY_FIPS, SMOKE_PM_TYPES
 from strataday.sources import (
     PolygonLedger, collect_polygons, collection_report, polygon_line, read_boundary, read_csv, replace_days,
     scratch_path, write_csv, write_outcome_tables, write_partitioned,
 )
 
+from . import reshaping  # noqa: F401
 from .crossover import q_informative_strata
 from .registry import ORACLES, query
-from .views import ctes, heat_wide, month_heads, smoke_raw, table
+from .views import admission_rows, ctes, heat_wide, month_heads, smoke_raw, table
 
 
 @query("csv_roundtrip", sql=ctes("fips", "pm") + """
@@ -40,6 +41,26 @@ def q_csv_sorted_roundtrip(spark, sf):
     return read_csv(spark, path, {"s_suppkey": T.LongType(), "s_acctbal": T.DoubleType()})
 
 
+@query("file_positions", sql="""
+    SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey, o_orderpriority FROM orders""")
+def q_file_positions(spark, sf):
+    """The place of each row in the files it was written to in order."""
+    path = scratch_path(spark, "orders-csv")
+    write_csv(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), path, sort=("o_orderkey",))
+    return read_csv(spark, path, {"o_orderkey": T.LongType()}, position="place")
+
+
+@query("episode_ids_from_file", sql=ORACLES["episode_ids_file_order"])
+def q_episode_ids_from_file(spark, sf):
+    """Episodes numbered by the place of their row in the file."""
+    path = scratch_path(spark, "admission-rows-csv")
+    rows = admission_rows(spark, sf)
+    write_csv(rows, path, sort=("o_orderkey",))
+    types = {"Date": T.DateType(), "County": T.StringType(), "o_orderkey": T.LongType()}
+    back = read_csv(spark, path, types, T.IntegerType(), position="place")
+    return build_episodes(back, file_order="place")
+
+
 @query("wide_csv_roundtrip", sql=f"""
     WITH v AS (SELECT s_nationkey + 35000 AS county,
                       CAST(date_trunc('month', l_shipdate) AS DATE) - DATE '1970-01-01' AS h,
