@@ -3,7 +3,7 @@
 from .groups import (
     distinct_sorted, informative_strata, keep_first, keep_groups, outcome_table, rank_dates,
 )
-from .joins import broadcast_if_small, left_join, require_unique
+from .joins import left_join, require_unique
 from .lags import add_calendar_lags, add_lags, add_lags_blocked, add_lags_ranged, lag_columns
 from .numbering import block_by_rank, dense_rank, ranges, running_base, with_position
 from .order import arrange, category_ordinal
@@ -17,7 +17,7 @@ from .reshape import (
 
 __all__ = [
     "add_calendar_lags", "add_lags", "add_lags_blocked", "add_lags_ranged", "arrange", "block_by_rank",
-    "broadcast_if_small", "category_ordinal", "checked_count", "dates_to_long", "dense_rank",
+    "category_ordinal", "checked_count", "dates_to_long", "dense_rank",
     "distinct_sorted", "flags_wide",
     "informative_strata", "is_numeric", "keep_first", "keep_groups", "lag_columns",
     "left_join", "map_columns", "map_columns_if", "outcome_table", "pieces_of", "pivot_values",

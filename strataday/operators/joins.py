@@ -46,15 +46,3 @@ def left_join(
         match = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         condition = match if condition is None else condition & match
     return left.join(renamed, condition, "left").drop(*[f"__r_{k}" for k in keys])
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = 100_000, bound: DataFrame | None = None
-) -> DataFrame:
-    """Broadcast hint for a side counted to be small; unchanged, and joined as usual, beyond that.
-
-    Meant for sides that are cheap to count: counting stops after ``max_rows`` rows. Where
-    ``df`` is not, ``bound`` is counted in its place, a cheaper table with at least as many rows.
-    """
-    counted = df if bound is None else bound
-    return F.broadcast(df) if counted.limit(max_rows + 1).count() <= max_rows else df

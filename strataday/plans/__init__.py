@@ -13,7 +13,7 @@ from .frames import (
     attach_layer, daily_counts, date_spine, frame_layers, frame_manifest, standardise_monitors,
 )
 from .referents import add_referents, case_crossover, cross_cases, has_referent, study_cases
-from .study import run_case_crossover, run_frames
+from .study import run_case_crossover, run_flagged_study, run_frames
 
 __all__ = [
     "add_referents", "annual_summary", "attach_exposure", "attach_layer", "build_episodes",
@@ -21,7 +21,7 @@ __all__ = [
     "clean_admissions", "clean_heat", "clean_smoke", "cross_cases", "crossed_episodes",
     "daily_counts", "date_spine", "explode_outcomes", "exposure_panel", "facet_series",
     "frame_layers", "frame_manifest", "full_dataset", "has_referent", "number_episodes",
-    "outcome_dataset", "outcome_tables", "patient_id", "run_case_crossover", "run_frames", "standardise_monitors",
+    "outcome_dataset", "outcome_tables", "patient_id", "run_case_crossover", "run_flagged_study", "run_frames", "standardise_monitors",
     "strata_tables", "study_cases", "tables_by_outcome", "widen_episodes",
     "yearly_scatter",
 ]

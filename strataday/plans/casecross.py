@@ -54,7 +54,7 @@ def strata_tables(
 
 
 def crossed_episodes(
-    admissions: DataFrame, panel: DataFrame, outcomes: Sequence[str] = OUTCOMES,
+    admissions: DataFrame, panel: DataFrame | None, outcomes: Sequence[str] = OUTCOMES,
     weeks: int = REFERENT_WEEKS, months: Iterable[int] = FIRE_APR_SEP,
     start: dt.date | None = STUDY_START, only: Sequence[str] | None = None,
     only_informative: bool = False, size: int = PIECE, file_order: str | None = None,
@@ -62,7 +62,8 @@ def crossed_episodes(
     """Every in-study episode on its case date and all its referent dates.
 
     ``index`` is the offset in weeks, 0 on the case date; ``dx_ord`` is the outcome's position
-    in ``outcomes``. ``only`` keeps some outcomes, with the IDs they have among all.
+    in ``outcomes``. ``only`` keeps some outcomes, with the IDs they have among all. Without a
+    ``panel`` there are no exposures, and nothing is joined.
     County-days are cut into pieces of at most ``size`` episodes, most into one, and the pieces are
     spread before they meet their dates, so that a county-day holding a
     large part of all episodes is not written out by one task per date. In file order source
@@ -92,7 +93,7 @@ def crossed_episodes(
         )
     else:
         crossed = add_referents(cells, weeks, months, start, include_case=True)
-        exposed = left_join(crossed, panel, ("Date", "County"))
+        exposed = crossed if panel is None else left_join(crossed, panel, ("Date", "County"))
     return with_ids(replicate(explode_outcomes(exposed, outcomes, "occurring"), "n", "replicate"))
 
 
@@ -114,14 +115,17 @@ def _cut_cells(cells: DataFrame, size: int) -> DataFrame:
     ).where(F.size("occurring") > 0).drop("__piece", "__begin", "total")
 
 
-def _exposures(panel: DataFrame) -> list[Column]:
-    return [named(c) for c in panel.columns if c not in ("Date", "County")]
+def _exposures(panel: DataFrame | None) -> list[Column]:
+    return [] if panel is None else [named(c) for c in panel.columns if c not in ("Date", "County")]
 
 
 def full_dataset(
-    admissions: DataFrame, panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, **options
+    admissions: DataFrame, panel: DataFrame | None, outcomes: Sequence[str] = OUTCOMES, **options
 ) -> DataFrame:
-    """Cases and referents with 0/1 outcome flags and exposures, one row per episode and date."""
+    """Cases and referents with 0/1 outcome flags and exposures, one row per episode and date.
+
+    Without a ``panel``, the union of cases and referents alone, from one pass at the grain of county-days.
+    """
     rows = crossed_episodes(admissions, panel, outcomes, **options)
     is_case = F.col("index") == 0
     flags = [
@@ -182,7 +186,7 @@ def outcome_dataset(
 
 
 def place_days(
-    cases: DataFrame, panel: DataFrame, keys: Sequence[str], derived: Mapping[str, Column],
+    cases: DataFrame, panel: DataFrame | None, keys: Sequence[str], derived: Mapping[str, Column],
     weeks: int, months: Iterable[int], start: dt.date | None, date: str = "Date",
 ) -> DataFrame:
     """Per place and case date an array of its dates and their exposures.
@@ -194,7 +198,9 @@ def place_days(
     place = [k for k in keys if k != date and k not in derived]
     starts = cases.select(*place, date).distinct().withColumn("__case_date", F.col(date))
     crossed = add_referents(starts, weeks, months, start, date, include_case=True)
-    exposed = left_join(crossed.withColumns(dict(derived)), require_unique(panel, keys), keys)
+    exposed = crossed.withColumns(dict(derived))
+    if panel is not None:
+        exposed = left_join(exposed, require_unique(panel, keys), keys)
     entry = [c for c in exposed.columns if c not in (*place, "__case_date")]
     return exposed.groupBy(*place, "__case_date").agg(
         F.collect_list(F.struct(*[named(c) for c in entry])).alias("__days")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import day_label, iso_date, join_text, scale_to_domain
-from ..operators import broadcast_if_small, rank_dates, union_by_name, with_point
+from ..operators import rank_dates, union_by_name, with_point
 from ..schemas import (
     FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, PALETTE_DOMAIN, PM25_STANDARD,
 )
@@ -54,23 +54,20 @@ def attach_layer(manifest: DataFrame, layer: DataFrame, by: str = "date") -> Dat
     """Frames joined to the rows of a dated layer, whose date becomes ``layer_date``.
 
     ``by="date"`` matches the calendar. ``by="rank"`` matches frame *k* with the
-    *k*-th distinct date of the layer, which slips when a day is missing. The
-    frames are counted first and broadcast when few, so that the layer stays where it is.
+    *k*-th distinct date of the layer, which slips when a day is missing. A manifest has one frame
+    a day, so that frames and their dates are bounded by the calendar and sent out; the layer stays where it is.
     """
     if by not in ("date", "rank"):
         raise ValueError("by must be 'date' or 'rank'")
     frames = manifest.select("frame_no", "label", "Date")
-    small = broadcast_if_small(frames)
     rows = layer.withColumnRenamed("Date", "layer_date")
     if by == "date":
-        dated = small.withColumnRenamed("Date", "layer_date")
+        dated = frames.withColumnRenamed("Date", "layer_date")
     else:
         ranked = rank_dates(layer, "Date", "frame_no").withColumnRenamed("Date", "layer_date")
-        dated = ranked.join(small.drop("Date"), "frame_no")
-        # at most one date per frame, so no larger than the frames themselves
-        dated = dated if small is frames else F.broadcast(dated)
+        dated = ranked.join(F.broadcast(frames.drop("Date")), "frame_no")
     features = [c for c in rows.columns if c != "layer_date"]
-    return rows.join(dated, "layer_date").select("frame_no", "label", "layer_date", *features)
+    return rows.join(F.broadcast(dated), "layer_date").select("frame_no", "label", "layer_date", *features)
 
 
 def _geometry_as_text(df: DataFrame) -> DataFrame:

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from ..functions import parse_mdy, parse_ymd, quarter_text
+from ..operators import add_lags
 from ..schemas import (
-    FIRE_APR_SEP, FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, LAG_DAYS, PM25_PARAMETER,
-    REFERENT_WEEKS, STATE_FIPS, STUDY_START,
+    FIRE_APR_AUG, FIRE_APR_SEP, FRAME_FIRST_DAY, FRAME_FIRST_NUMBER, FRAME_LAST_DAY, LAG_DAYS, MULTI_FLAG_LABELS,
+    MULTI_FLAGS, PM25_PARAMETER, REFERENT_WEEKS, STATE_FIPS, STUDY_START,
 )
 from ..sources import (
-    collect_polygons, read_admissions, read_boundary, read_heat_wide, read_monitor_daily,
+    collect_polygons, csv_header, read_admissions, read_boundary, read_csv, read_heat_wide, read_monitor_daily,
     read_smoke, write_csv, write_outcome_tables, write_partitioned,
 )
 from .admissions import annual_summary, clean_admissions
-from .casecross import case_crossover_tables, full_dataset, outcome_tables
+from .casecross import (
+    attach_exposure, case_crossover_from_cases, case_crossover_tables, full_dataset, outcome_tables,
+)
 from .exposure import clean_heat, clean_smoke, exposure_panel
 from .frames import frame_layers, frame_manifest, standardise_monitors
+from .referents import cross_cases, study_cases
 
 
 def run_case_crossover(
@@ -63,6 +69,44 @@ def run_case_crossover(
     return paths
 
 
+def run_flagged_study(
+    spark: SparkSession, cases_path: str, panel_path: str, out: str, run: str,
+    flags: Sequence[str] = tuple(MULTI_FLAGS), labels: Mapping[str, str] = MULTI_FLAG_LABELS,
+    id_col: str = "hfdrepisode", county: str = "county", months: Iterable[int] = FIRE_APR_AUG,
+    start: dt.date | None = STUDY_START, weeks: int = REFERENT_WEEKS, layout: str = "ymd",
+    variables: Sequence[str] | None = None, lags: int = 0,
+) -> dict[str, str]:
+    """Episodes with several flags and a county-day panel, both CSV, to the full dataset and the analysis tables.
+
+    The panel is joined by county, date and quarter of the year. Its ``variables``, by default all its columns but the date and
+    the county, are numbers and get ``lags`` row lags. NULL flags count as 0.
+    """
+    types = {c: T.IntegerType() for c in flags}
+    parse = {"ymd": parse_ymd, "mdy": parse_mdy}[layout]
+    cases = read_csv(spark, cases_path, types).withColumn("Date", parse("Date"))
+    heads = csv_header(spark, panel_path)
+    variables = [c for c in heads if c not in ("Date", county)] if variables is None else list(variables)
+    panel = read_csv(spark, panel_path, {c: T.DoubleType() for c in variables}).select(
+        parse("Date").alias("Date"), county, *variables
+    )
+    if lags:
+        panel = add_lags(panel, variables, lags, county)
+    paths = {k: f"{out}/run={run}/{k}" for k in ("cases", "panel", "full_dataset")}
+    cases.write.parquet(paths["cases"])
+    panel.withColumn("quarter", quarter_text("Date")).write.parquet(paths["panel"])
+    cases, panel = spark.read.parquet(paths["cases"]), spark.read.parquet(paths["panel"])
+    keys = (county, "Date", "quarter")
+    options = {"months": tuple(months), "start": start}
+    rows = cross_cases(study_cases(cases, **options), flags, weeks=weeks, **options)
+    full = attach_exposure(rows.withColumn("quarter", quarter_text("Date")), panel, keys, on_dup="error")
+    write_csv(full, paths["full_dataset"], sort=(county, "Date"))
+    tables = case_crossover_from_cases(
+        cases, panel, flags, labels, id_col, keys, {"quarter": quarter_text("Date")}, weeks, **options
+    )
+    paths["tables"] = write_outcome_tables(tables, f"{out}/tables", run)
+    return paths
+
+
 def run_frames(
     spark: SparkSession, polygon_root: str, monitor_daily: DataFrame, boundary_path: str, out: str,
     first: dt.date = FRAME_FIRST_DAY, last: dt.date = FRAME_LAST_DAY,

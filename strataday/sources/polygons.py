@@ -255,7 +255,7 @@ def collection_report(
     only files of these days are opened; days beyond are missing.
     """
     listed = list_versions(spark, root, first, last)
-    read = file_verdicts(scan_lines(spark, root, first, last), gzip_sizes(listed))
+    read = written(file_verdicts(scan_lines(spark, root, first, last), gzip_sizes(listed)), "polygon-files")
     files = listed.select("path", "Date", "size").join(read.drop("Date"), "path", "left")
     return report_days(days, files.withColumns({
         "n_lines": F.coalesce("n_lines", F.lit(0)), "accepted": F.coalesce("accepted", F.lit(False)),

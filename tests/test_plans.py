@@ -62,11 +62,12 @@ def test_only_bounded_single_partition_windows(spark, plan):
 
 def test_a_small_panel_is_joined_where_the_dates_are(spark, plan):
     """A hint on the panel reaches the join, and then no episode or date is shuffled."""
-    from strataday.operators import broadcast_if_small
+    from pyspark.sql import functions as F
+
     from strataday.plans import case_crossover_tables
     from workload.views import START, admissions, smoke
 
-    panel = broadcast_if_small(smoke(spark, SF_DIR))
+    panel = F.broadcast(smoke(spark, SF_DIR))
     adm = admissions(spark, SF_DIR)
     hinted = plan(case_crossover_tables(adm, panel, start=START))
     assert nodes(hinted, "SortMergeJoin") == 0

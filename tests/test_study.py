@@ -7,7 +7,7 @@ import json
 import random
 
 from . import brute
-from strataday.plans import run_case_crossover, run_frames
+from strataday.plans import run_case_crossover, run_flagged_study, run_frames
 from strataday.schemas import COUNTY_FIPS, EXPOSURES, FIRE_APR_SEP, OUTCOME_SOURCES, OUTCOMES
 
 D = dt.date
@@ -65,6 +65,69 @@ def test_case_crossover_from_files(spark, tmp_path):
     assert set(codes) <= set(COUNTY_FIPS.values())
 
 
+def test_case_crossover_from_files_in_file_order_with_all_flags(spark, tmp_path):
+    header = ["Admission_Date", "Patient_Resi_County_FIPS_Cd", "Region", "All_Cases", *OUTCOME_SOURCES]
+    lines = [",".join(header)]
+    # out of order in the file: the second row comes first by date
+    for day, code, first, last in (("09MAY2021", 55, 2, 0), ("03MAY2021", 13, 1, 1), ("09MAY2021", 55, 0, 1)):
+        lines.append(",".join([day, str(code), "x", "9", str(first), *["0"] * 10, str(last)]))
+    (tmp_path / "adm.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "pm.csv").write_text("Date,County,smokepm25,totalpm25\n2021-05-09,Taos,1.5,2.5\n", encoding="utf-8")
+    paths = run_case_crossover(
+        spark, str(tmp_path / "adm.csv"), str(tmp_path / "pm.csv"), str(tmp_path / "out"), "r", file_order=True,
+        sort=("County", "Date", "Patient_ID"), all_flags=True,
+    )
+    tables = spark.read.parquet(paths["tables"])
+    assert set(OUTCOMES) < set(tables.columns)
+    cases = tables.where("outcome = 1").select("Patient_ID", "Date", "County", "out_name").collect()
+    assert {tuple(r) for r in cases} == {
+        ("resp 1", D(2021, 5, 9), "Taos", "respiratory"), ("resp 2", D(2021, 5, 9), "Taos", "respiratory"),
+        ("resp 3", D(2021, 5, 3), "Doña Ana", "respiratory"), ("cere 4", D(2021, 5, 3), "Doña Ana", "cerebrovascular"),
+        ("cere 5", D(2021, 5, 9), "Taos", "cerebrovascular"),
+    }
+    files = sorted((tmp_path / "out" / "run=r" / "full_dataset").glob("*.csv"))
+    held = [tuple(x.split(",")[k] for k in (3, 0, 4)) for f in files for x in f.read_text(encoding="utf-8").splitlines()[1:]]
+    assert len(held) == tables.count() and held == sorted(held)
+
+
+def test_flagged_study_from_files(spark, tmp_path):
+    rng = random.Random(5)
+    lines = ["hfdrepisode,county,Date,asthma,copd,other"]
+    for i in range(40):
+        day = D(2021, 3, 25) + dt.timedelta(days=rng.randrange(180))
+        flags = [rng.choice(["NA", "1", "0"]) for _ in range(2)]
+        lines.append(f"e{i % 35},{rng.choice(['Taos', 'Eddy', 'NA'])},{day:%Y-%m-%d},{flags[0]},{flags[1]},z")
+    (tmp_path / "cases.csv").write_text("\n".join(lines) + "\n")
+    lines = ["Date,county,temp"]
+    for i in range(250):
+        for county in ("Taos", "Eddy"):
+            if rng.random() < 0.9:
+                lines.append(f"{D(2021, 3, 1) + dt.timedelta(days=i):%Y-%m-%d},{county},{rng.randrange(90)}")
+    (tmp_path / "panel.csv").write_text("\n".join(lines) + "\n")
+    labels = {"asthma": "asthma", "copd": "lung"}
+    paths = run_flagged_study(
+        spark, str(tmp_path / "cases.csv"), str(tmp_path / "panel.csv"), str(tmp_path / "out"), "r",
+        flags=("asthma", "copd"), labels=labels, weeks=3, lags=2,
+    )
+    head, *rows = [r[0].split(",") for r in spark.read.text(paths["full_dataset"]).where("value not like 'hfdr%'").collect()] or [[]]
+    rows = [head, *rows]
+    names = spark.read.option("header", True).csv(paths["full_dataset"]).columns
+    assert {"temp", "temp_lag1", "temp_lag2", "quarter"} < set(names)
+    full = [dict(zip(names, r)) for r in rows]
+    want = []
+    for flag, label in labels.items():
+        values = {}
+        for r in full:
+            values.setdefault(r["hfdrepisode"], set()).add(r[flag])
+        want += [
+            (r["hfdrepisode"], r["county"], r["Date"], r["temp"], r["temp_lag2"], r["asthma"], r["copd"], r[flag], label)
+            for r in full if len(values[r["hfdrepisode"]]) == 2
+        ]
+    columns = ["hfdrepisode", "county", "Date", "temp", "temp_lag2", "asthma", "copd", "outcome", "out_name"]
+    got = [tuple("NA" if v is None else str(v) for v in r) for r in spark.read.parquet(paths["tables"]).select(*columns).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_frames_from_files(spark, tmp_path):
     shape = {"type": "Polygon", "coordinates": [[[-106.0, 34.0], [-105.0, 34.0], [-106.0, 34.0]]]}
     feature = {"Satellite": "GOES", "Start": "1", "End": "2", "Density": "Light", "geometry": shape}

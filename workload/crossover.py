@@ -59,6 +59,12 @@ _HEAD = 'c."Date", c."Year", c."Month", c."County", c."Patient_ID"'
 @query("case_referent_union", sql=ctes(*_EP, extra=_crossed_sql(FIRE_APR_SEP)) + f"""
     SELECT "Date", "Year", "Month", "County", "Patient_ID", {_FLAGS} FROM crossed""")
 def q_case_referent_union(spark, sf):
+    return full_dataset(admissions(spark, sf), None, start=START)
+
+
+@query("case_referent_union_steps", sql=ORACLES["case_referent_union"])
+def q_case_referent_union_steps(spark, sf):
+    """The same from episode rows, step by step."""
     episodes = widen_episodes(build_episodes(admissions(spark, sf)))
     cases = study_cases(episodes, FIRE_APR_SEP, START)
     referents = add_referents(

@@ -48,6 +48,26 @@ def q_lag_calendar(spark, sf):
     return exposure_panel(smoke(spark, sf), mode="calendar")
 
 
+_UNDATED = """undated AS (
+        SELECT * FROM pm UNION ALL
+        SELECT NULL, "County", min(smokepm25), max(totalpm25) FROM pm GROUP BY "County")"""
+
+
+@query("lag_calendar_undated", sql=ctes("fips", "pm", extra=_UNDATED) + """
+    SELECT a."Date", a."County", a.smokepm25, a.totalpm25, """ + ", ".join(
+        f"b{k}.{v} AS {v}_lag{k}" for v in ("smokepm25", "totalpm25") for k in range(1, 6)
+    ) + " FROM undated a " + " ".join(
+        f"""LEFT JOIN pm b{k} ON b{k}."Date" = a."Date" - {k}
+        AND b{k}."County" IS NOT DISTINCT FROM a."County" """ for k in range(1, 6)
+    ))
+def q_lag_calendar_undated(spark, sf):
+    """A row without a date in every county: it has no lags and gives none."""
+    daily = smoke(spark, sf)
+    undated = daily.groupBy("County").agg(F.min("smokepm25").alias("smokepm25"), F.max("totalpm25").alias("totalpm25"))
+    rows = daily.unionByName(undated.withColumn("Date", F.lit(None).cast("date")))
+    return exposure_panel(rows, mode="calendar")
+
+
 _WEATHER = ["mean_relh", "mean_tmpf", "max_tmpf"]
 
 
