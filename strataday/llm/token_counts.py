@@ -1,13 +1,15 @@
 """Token counts by dynamic programming over prefixes.
 
 For a byte-pair vocabulary the encoding of every prefix of a text follows from those of
-the shorter prefixes: it ends in the one piece that fits behind the encoding before it. A
+the shorter prefixes: it ends in the one piece that fits behind the encoding before it. Two pieces fit
+if no join across their border would have come before the joins that made them, which is seen by
+taking these back, the latest first. A
 table with the count at every prefix therefore answers how many tokens a text or any
 prefix of it has and where a budget of tokens ends, without encoding anything again.
 
 No piece of the vocabulary has a space mark behind another character, and line ends are not
-in it, so a text falls into chunks whose tables do not depend on each other; the tables of
-frequent chunks are kept in the worker, up to a bound. Counting is a column expression over
+in it, so a text falls into chunks whose tables do not depend on each other; the counts of
+chunks seen lately and of their prefixes are kept in the worker, up to a bound. Counting is a column expression over
 whole texts and needs no shuffle.
 
 Defined results: NULL and empty texts have 0 tokens; very long texts are counted whole;
@@ -28,25 +30,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 SPACE_MARK = "▁"
-#: Chunks and pairs of pieces that a worker remembers.
-REMEMBERED = 400_000
+#: Chunks, prefixes and pairs of pieces that a worker remembers of each kind, twice at most.
+REMEMBERED = 300_000
 #: Longer chunks are worked out each time.
 LONG_CHUNK = 64
 
 
-class _Totals(dict):
-    """Count of each chunk's last prefix, worked out when first asked for."""
+class _Lately(dict):
+    """Values worked out when first asked for; of those not asked for lately the older ones go."""
 
-    def __init__(self, table: "PrefixTable"):
-        self.table = table
+    def __init__(self, work, remembered: int = 0):
+        self.work, self.remembered, self.older = work, remembered or REMEMBERED, {}
 
-    def __missing__(self, chunk: str) -> int:
-        total = self.table.of_chunk(chunk)[-1]
-        if len(chunk) <= LONG_CHUNK:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = total
-        return total
+    def __missing__(self, key):
+        if key in self.older:
+            value = self.older[key]
+        else:
+            value = self.work(key)
+        if len(self) >= self.remembered:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class PrefixTable:
@@ -66,53 +71,126 @@ class PrefixTable:
         self.longest = max(map(len, self.rank))
         stop = "" if any("\n" in p for p in self.rank) else "\n"
         self.chunks = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}{stop}]*|[^{SPACE_MARK}{stop}]+|\n").findall
-        self.whole: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.totals = _Totals(self)
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text: the best-ranked neighbours are joined first, from the left."""
-        parts = list(text)
+        #: The last join of each piece that alone is encoded as itself; none for single characters.
+        self.joins: dict[str, tuple[str, str] | None] = {}
+        for piece in self.rank:
+            parts, last = self.merged(piece)
+            if len(parts) == 1:
+                self.joins[piece] = last
+        #: Lengths of the pieces that end in the same three characters, the longest first; then 2 and 1.
+        ends: dict[str, set[int]] = {}
+        for piece in self.joins:
+            ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {end: (*sorted((n for n in own if n > 2), reverse=True), 2, 1) for end, own in ends.items() if len(end) == 3}
+        self.pairs = _Lately(lambda pair: self.apart(*pair))
+        self.prefixes = _Lately(None)
+        self.totals = _Lately(self.of_whole)
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces of a short text and the join made last: the best-ranked neighbours are joined first, from the left."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], float("inf")))
             if parts[best] + parts[best + 1] not in self.rank:
                 break
+            last = parts[best], parts[best + 1]
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def stands(self, piece: str) -> bool:
-        """Whether the piece alone is encoded as itself."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = piece in self.rank and self.merged(piece) == [piece]
-            if len(self.whole) > REMEMBERED:
-                self.whole.clear()
-        return known
+        return parts, last
+
+    def _made(self, piece: str) -> float:
+        """When a piece is made: its rank; single characters are there from the start."""
+        return self.rank[piece] if len(piece) > 1 else -1.0
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether two pieces that stand stay apart when they meet.
+
+        The last piece of the left side and the first of the right are taken back join by join, the latest first; of
+        equal joins the right one is the later. No pair of pieces that are there at one
+        time may have a join that comes before the next one of either; of equal joins the left one comes first.
+        """
+        end_left = end_right = float("inf")
+        while True:
+            joined = self.rank.get(left + right)
+            if joined is not None and joined < end_left and joined <= end_right:
+                return False
+            made_left, made_right = self._made(left), self._made(right)
+            if made_left < 0 and made_right < 0:
+                return True
+            if made_left > made_right:
+                end_left = made_left
+                left = self.joins[left][1]
+                made = self._made(left)
+            else:
+                end_right = made_right
+                right = self.joins[right][0]
+                made = self._made(right)
+            if made >= max(made_left, made_right):  # a part that ranks behind the whole: try it out
+                return None
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the two pieces stay apart when they meet."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+        known = self.pairs[left, right]
+        return self.merged(left + right)[0] == [left, right] if known is None else known
 
     def of_chunk(self, chunk: str) -> list[int]:
         """Count at each prefix of the chunk, the empty one first."""
         counts, last = [0], [""]
         for end in range(1, len(chunk) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = chunk[start:end]
-                if piece in self.rank and self.stands(piece) and (not start or self.fits(last[start], piece)):
-                    counts.append(counts[start] + 1)
-                    last.append(piece)
-                    break
-            else:  # a character outside the vocabulary: one token a byte
-                counts.append(counts[end - 1] + len(chunk[end - 1].encode("utf-8", "surrogatepass")))
-                last.append(chunk[end - 1])
+            count, piece = self._next(chunk, end, lambda start: (counts[start], last[start]))
+            counts.append(count)
+            last.append(piece)
         return counts
 
+    def of_whole(self, chunk: str) -> int:
+        """Count of the chunk, worked out from its longest prefix that is remembered."""
+        return self._state(chunk)[0] if len(chunk) <= LONG_CHUNK else self.of_chunk(chunk)[-1]
+
+    def _state(self, chunk: str) -> tuple[int, str]:
+        """Count of a short chunk and its last piece; it and its prefixes are remembered."""
+        seen, older = self.prefixes, self.prefixes.older
+        end = len(chunk)
+        held = seen.get(chunk) or older.get(chunk)
+        own: dict[int, tuple[int, str]] = {}
+        while held is None and end > 1:
+            end -= 1
+            held = seen.get(chunk[:end]) or older.get(chunk[:end])
+
+        def at(start: int) -> tuple[int, str]:
+            if start in own:
+                return own[start]
+            if not start:
+                return 0, ""
+            return seen.get(chunk[:start]) or older.get(chunk[:start]) or self._state(chunk[:start])
+
+        if held is None:
+            end = 0
+        else:
+            own[end] = held
+        while end < len(chunk):
+            end += 1
+            held = own[end] = self._next(chunk, end, at)
+            if len(seen) >= seen.remembered:
+                seen.older = older = dict(seen)
+                seen.clear()
+            seen[chunk[:end]] = held
+        return held
+
+    def _next(self, chunk: str, end: int, at) -> tuple[int, str]:
+        """Count and last piece of the prefix up to ``end``; ``at`` gives those of the shorter ones.
+
+        A character outside the vocabulary is one token a byte, with which nothing is joined.
+        """
+        stands = self.joins
+        for n in self.lengths.get(chunk[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+            if n > end:
+                continue
+            piece = chunk[end - n : end]
+            if piece in stands:
+                count, before = at(end - n)
+                if not before or self.fits(before, piece):
+                    return count + 1, piece
+        return at(end - 1)[0] + len(chunk[end - 1].encode("utf-8", "surrogatepass")), ""
+
     def parts(self, text: str | None) -> list[str]:
         return self.chunks(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
