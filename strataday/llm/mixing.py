@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import free_name, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents in a block, about.
@@ -157,16 +157,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Ids are taken to be nearly unique: the rows of one id meet in one task.
     """
-    taken = mixed(docs).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_taken")
+    # Columns of the documents may have any names.
+    row, copies, copy, id_ = (free_name(docs, c) for c in ("_row", "_copies", "_copy", "_id"))
+    taken = mixed(docs).groupBy(F.col("doc_id").alias(id_)).agg(
+        F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias(row)
     )
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_first(), size, "text"))
-    found = docs.join(
-        taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    ).withColumn("_copies", F.element_at("_taken", nth)["copies"])
+    found = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(id_))).withColumn(
+        copies, F.element_at(row, nth)["copies"]
+    )
     return (
-        found.where(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        found.where(F.col(copies) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, written
+from .common import free_name, shuffle_parts, written
 from .components import components
 from .texts import LOWER, as_bytes, mix, prefix_sums, shingle_hash, slices, span_hash, words
 
@@ -328,5 +328,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id of a group's document all stay, as does a NULL id.
     """
-    gone = written(near_dup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")  # columns of the documents may have any names
+    gone = written(near_dup(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -32,7 +32,7 @@ def test_pieces_that_stay_apart(table):
         want = table.merged(left + right)[0] == [left, right]
         assert table.fits(left, right) == want
         seen[want] += 1
-    assert min(seen.values()) > 500
+    assert min(seen.values()) > 100
 
 
 @pytest.mark.parametrize("remembered", [token_counts.REMEMBERED, 7])
