@@ -42,20 +42,20 @@ def test_study_start_reaches_the_scan(spark, plan, name):
 
 
 def test_columns_are_pruned(spark, plan):
-    text = plan(queries()["annual_summary"](spark, SF_DIR))
+    text = plan(QUERIES["annual_summary"](spark, SF_DIR))
     reads = re.findall(r"ReadSchema: struct<(.*?)>", text)
     assert all("o_totalprice" not in r and "c_name" not in r for r in reads)
 
 
 def test_lags_add_one_shuffle(spark, plan):
-    joined = plan(queries()["exposure_join"](spark, SF_DIR))
-    lagged = plan(queries()["lag_rows"](spark, SF_DIR))
+    joined = plan(QUERIES["exposure_join"](spark, SF_DIR))
+    lagged = plan(QUERIES["lag_rows"](spark, SF_DIR))
     assert nodes(lagged, "Exchange") == nodes(joined, "Exchange") + 1
 
 
 def test_only_bounded_single_partition_windows(spark, plan):
     """Single-partition exchanges carry one row per calendar date, never episodes."""
-    text = plan(queries()["casecross_all"](spark, SF_DIR))
+    text = plan(QUERIES["casecross_all"](spark, SF_DIR))
     singles = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: SinglePartition", text)
     assert singles and all(s.startswith("__block#") and s.count("#") == 2 for s in singles)
 
