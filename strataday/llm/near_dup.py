@@ -11,10 +11,14 @@ larger one a single document, its pivot, is compared with all others and leaves,
 rest branch on. Only documents that are not yet known to be connected are compared, so a
 node of thousands of near copies costs one comparison each and is then dropped.
 
-Candidates go if the sizes of their sets rule out a link, or their sketches (more than four
-standard deviations below the threshold); every other link is confirmed on the full sets. A
+Candidates go if the sizes of their sets rule out a link, or their marks: a byte for each of 256 ranges
+of hashes, taken from the set's lowest hash in it. Given how many ranges two sets use, the equal ones are a draw
+without replacement from their union, so sets of some hundred shingles are told apart almost exactly;
+pairs more than 4.5 standard deviations below the threshold go, every other link is confirmed on the full sets. A
 small node is compared in two passes: first each document with the first and with the most
-alike of those that it may be linked to, then all pairs that this left unconnected. Documents with equal sets are one vertex throughout.
+alike of those that it may be linked to, then, in nodes where this left likely pairs out, all
+pairs that are still unconnected. Tasks hold one batch and one node at a time.
+Documents with equal sets are one vertex throughout.
 
 Defined results: NULL, empty and blank texts have empty sets and are linked with nothing; texts
 shorter than a shingle are one shingle as a whole; very long texts are used whole; rows
@@ -49,9 +53,13 @@ TREES = 16
 RECALL = 0.999
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 512
-#: A pair with fewer equal places than this is taken as not similar: the odds that a pair has so
-#: few of 64 are about 4e-5 at a similarity of 0.75 and 3e-7 at 0.8.
-LEAST_EQUAL = 34
+#: Nodes of at most so many documents are compared many at a time, all pairs at once.
+FEW = 8
+#: Ranges of hashes that have a mark, a byte each.
+MARKS = 256
+#: Standard deviations below the similarity of a link at which marks rule a pair out: by the normal
+#: law a link has odds of 3.4e-6 to be that low.
+DEVIATIONS = 4.5
 
 
 def _odd(forest: int) -> np.ndarray:
@@ -91,6 +99,46 @@ def _runs(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
             yield word[:0]
 
 
+def _marks(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row and range of hashes a byte of the lowest hash, 0 if there is none; sorted within rows."""
+    out = np.zeros(rows * MARKS, np.uint8)
+    place = row * MARKS + (flat >> np.uint64(56)).astype(np.int64)
+    lowest = np.ones(len(place), bool)
+    lowest[1:] = place[1:] != place[:-1]
+    out[place[lowest]] = 1 + (flat[lowest] & np.uint64(0xFFFFFF)) % np.uint64(255)
+    return out.reshape(rows, MARKS)
+
+
+def _likely(equal: np.ndarray, used: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be linked, by the ranges whose marks are equal and those that either uses."""
+    over, under = SIMILAR
+    share = over / under
+    union = (one + two) / (1 + share)  # of a pair that is just similar enough
+    spread = share * (1 - share) * used * np.maximum(union - used, 0) / np.maximum(union - 1, 1)
+    enough = equal >= share * used - DEVIATIONS * np.sqrt(spread) - 1e-6
+    return enough & (under * np.minimum(one, two) >= over * np.maximum(one, two))
+
+
+def _pairs_likely(a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The same for pairs of rows of marks."""
+    used = np.count_nonzero(a | b, axis=1)
+    return _likely(np.count_nonzero(a == b, axis=1) - MARKS + used, used, one, two)
+
+
+def _node_likely(marks: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal marks of all pairs of a node, and whether each may be linked."""
+    n = len(marks)
+    some = (marks > 0).astype(np.float32)
+    full = some.sum(axis=1).astype(np.int64)
+    used = full[:, None] + full - (some @ some.T).astype(np.int64)
+    equal = np.empty((n, n), np.int64)
+    for i, row in enumerate(marks):
+        # Sums of eight bytes at a time; a byte counts at most MARKS / 8.
+        equal[i] = (marks == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(n, 8).sum(axis=1)
+    equal += used - MARKS
+    return equal, _likely(equal, used, size[:, None], size)
+
+
 def _sketch(forest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _odd(forest)
@@ -103,6 +151,7 @@ def _sketch(forest: int):
                 flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
                 keys = np.zeros((2, len(sets)), np.uint64)
                 sketch = np.zeros((len(sets), PLACES), np.uint32)
+                marks = _marks(flat, np.repeat(np.arange(len(sets)), size), len(sets))
                 if len(full):
                     for k in range(2):
                         keys[k, full] = np.add.reduceat(mix(flat + np.uint64(k)), first)
@@ -113,7 +162,8 @@ def _sketch(forest: int):
                     batch.column("doc_id").slice(i, j - i), pa.array(size),
                     pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
                     pa.array([row.tobytes() for row in sketch], pa.binary()),
-                ], ["doc_id", "n_shingles", "key", "key2", "sketch"])
+                    pa.array([row.tobytes() for row in marks], pa.binary()),
+                ], ["doc_id", "n_shingles", "key", "key2", "sketch", "marks"])
 
     return run
 
@@ -128,9 +178,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, forest: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, key, key2, sketch): size of the set, a 128-bit key of it, its minwise hashes for a forest."""
+    """(doc_id, n_shingles, key, key2, sketch, marks): size of the set, a 128-bit key of it, its minwise
+    hashes for a forest, its marks."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _sketch(forest), "doc_id long, n_shingles long, key long, key2 long, sketch binary"
+        _sketch(forest), "doc_id long, n_shingles long, key long, key2 long, sketch binary, marks binary"
     )
 
 
@@ -162,70 +213,102 @@ def _mixed_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(nodes, F.col("node") == F.col("of")).drop("of")
 
 
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by node, dealt out so that no node is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        node = np.asarray(batch.column("node"))
+        if not len(node):
+            continue
+        last = int(np.searchsorted(node, node[-1]))
+        if last or (held and held[-1].column("node")[-1].as_py() != node[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _pairs_of_nodes(full: bool):
-    """Likely pairs of different classes within whole nodes: all of them, or those of a star cover."""
+    """Likely pairs (a, b) of different classes within whole nodes: all of them, or those of a star cover and
+    the nodes (node) where that leaves some out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        got = pa.Table.from_batches(held)
-        node, doc, kind = (np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class"))
-        order = np.lexsort((doc, node))
-        node, doc, kind = node[order], doc[order], kind[order]
-        sketch = as_bytes(got["sketch"])[0].view(np.uint32).reshape(-1, PLACES)[order]
-        size_of = np.asarray(got["n_shingles"].combine_chunks())[order]
-        over, under = SIMILAR
-        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        size = np.diff(np.append(first, len(node)))
-        two = first[size == 2]
-        likely = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= LEAST_EQUAL) & (kind[two] != kind[two + 1])
-        low, high = np.minimum(size_of[two], size_of[two + 1]), np.maximum(size_of[two], size_of[two + 1])
-        likely &= under * low >= over * high
-        a, b = [two[likely]], [two[likely] + 1]
-        for at, n in zip(first[size > 2], size[size > 2]):
-            own, of = sketch[at : at + n], kind[at : at + n]
-            same = np.stack([(own == row).sum(axis=1) for row in own])
-            count = size_of[at : at + n]
-            good = (same >= LEAST_EQUAL) & (of[:, None] != of) & (under * count[:, None] >= over * count)
-            good &= good.T
-            if not full:
-                some = np.flatnonzero(good.any(axis=1))
-                best = np.where(good, same, -1).argmax(axis=1)
-                covered = np.zeros(n, bool)
-                good = np.triu(good, 1)
-                for i in range(n):
-                    good[i] &= ~covered & (not covered[i])
-                    covered |= good[i]
-                good[np.minimum(some, best[some]), np.maximum(some, best[some])] = True
-            x, y = np.nonzero(np.triu(good, 1))
-            a.append(at + x)
-            b.append(at + y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], ["a", "b"])
+        for got in _whole_nodes(batches):
+            node, doc, kind, size = (
+                np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class", "n_shingles")
+            )
+            marks = as_bytes(got["marks"])[0].reshape(-1, MARKS)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            count = np.diff(np.append(first, len(node)))
+            a, b, more = [], [], []
+            for n in range(2, FEW + 1):
+                x, y = np.triu_indices(n, 1)
+                x, y = ((first[count == n][:, None] + z).ravel() for z in (x, y))
+                apart = kind[x] != kind[y]
+                x, y = x[apart], y[apart]
+                for k in range(0, len(x), 1 << 14):
+                    i, j = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                    good = _pairs_likely(marks[i], marks[j], size[i], size[j])
+                    a.append(i[good])
+                    b.append(j[good])
+            for at, n in zip(first[count > FEW], count[count > FEW]):
+                own = slice(at, at + n)
+                equal, good = _node_likely(marks[own], size[own])
+                good &= kind[own][:, None] != kind[own]
+                if not full:
+                    all_ = np.count_nonzero(good) // 2
+                    some = np.flatnonzero(good.any(axis=1))
+                    best = np.where(good, equal, -1).argmax(axis=1)
+                    covered = np.zeros(n, bool)
+                    good = np.triu(good, 1)
+                    for i in range(n):
+                        good[i] &= ~covered & (not covered[i])
+                        covered |= good[i]
+                    good[np.minimum(some, best[some]), np.maximum(some, best[some])] = True
+                    if np.count_nonzero(good) < all_:
+                        more.append(node[at])
+                x, y = np.nonzero(np.triu(good, 1))
+                a.append(at + x)
+                b.append(at + y)
+            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+            none = lambda n: pa.nulls(n, pa.int64())
+            columns = [(pa.array(doc[a]), none(len(more))), (pa.array(doc[b]), none(len(more))),
+                       (none(len(a)), pa.array(more, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node"])
 
     return run
 
 
 def _small_pairs(nodes: DataFrame, vertices: DataFrame, full: bool) -> DataFrame:
-    """Pairs (a, b) of unconnected documents of small nodes that the sketches don't rule out."""
-    small = nodes.where(F.col("n") <= SMALL).join(vertices, "doc").select("node", "doc", "class", "sketch", "n_shingles")
+    """Pairs (a, b) of unconnected documents of small nodes that the marks don't rule out, and nodes left open."""
+    small = nodes.where(F.col("n") <= SMALL).join(vertices.select("doc", "marks", "n_shingles"), "doc").select(
+        "node", "doc", "class", "marks", "n_shingles"
+    )
     parts = shuffle_parts(nodes.sparkSession)
-    return small.repartition(parts, "node").mapInArrow(_pairs_of_nodes(full), "a long, b long").distinct()
+    return small.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(
+        _pairs_of_nodes(full), "a long, b long, node long"
+    )
+
+
+def _keep_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), 1 << 14):
+            part = batch.slice(i, 1 << 14)
+            one, two = (as_bytes(part.column(c))[0].reshape(-1, MARKS) for c in ("ma", "mb"))
+            good = _pairs_likely(one, two, np.asarray(part.column("na")), np.asarray(part.column("nb")))
+            yield part.select(["a", "b"]).filter(pa.array(good))
 
 
 def _pivot_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs of each large node's pivot and the others, as far as the sketches don't rule them out."""
+    """Pairs of each large node's pivot and the others, as far as the marks don't rule them out."""
     pairs = nodes.where((F.col("n") > SMALL) & (F.col("class") != F.col("pivot.class"))).select(
         F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")
     ).distinct()
-    one = vertices.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    two = vertices.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    over, under = SIMILAR
-    fits = under * F.least("na", "nb") >= over * F.greatest("na", "nb")
-    equal = sum(
-        (F.substring("sa", WIDTH * k + 1, WIDTH) == F.substring("sb", WIDTH * k + 1, WIDTH)).cast("int") for k in range(PLACES)
+    one = vertices.select(F.col("doc").alias("a"), F.col("marks").alias("ma"), F.col("n_shingles").alias("na"))
+    two = vertices.select(F.col("doc").alias("b"), F.col("marks").alias("mb"), F.col("n_shingles").alias("nb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb", "na", "nb").mapInArrow(
+        _keep_likely, "a long, b long"
     )
-    return pairs.join(one, "a").join(two, "b").where(fits & (equal >= LEAST_EQUAL)).select("a", "b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -260,17 +343,21 @@ def _forest(
     levels = [vertices.select("doc", F.explode(roots).alias("node"))]
     while True:
         nodes = written(_mixed_nodes(levels[-1], classes), "nodes")
-        pairs = written(_small_pairs(nodes, vertices, False).unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
+        seen = written(_small_pairs(nodes, vertices, False), "seen")
+        of_small = seen.where(F.col("node").isNull()).select("a", "b")
+        pairs = written(of_small.unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
         if not pairs.isEmpty():
             links, classes = _with_links(links, classes, _links(pairs, docs))
-            again = _mixed_nodes(nodes.where(F.col("n") <= SMALL).select("node", "doc"), classes)
-            rest = written(_small_pairs(again, vertices, True).join(pairs, ["a", "b"], "left_anti"), "rest")
+            left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+            open_ = nodes.select("node", "doc").join(left, F.col("node") == F.col("of"), "left_semi")
+            again = _small_pairs(_mixed_nodes(open_, classes), vertices, True).select("a", "b").distinct()
+            rest = written(again.join(pairs, ["a", "b"], "left_anti"), "rest")
             if not rest.isEmpty():
                 links, classes = _with_links(links, classes, _links(rest, docs))
         large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
         if large.isEmpty():
             return links, classes, levels
-        mixed = _mixed_nodes(large, classes).join(vertices, "doc")
+        mixed = _mixed_nodes(large, classes).join(vertices.select("doc", "sketch"), "doc")
         levels.append(written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows"))
 
 
@@ -287,7 +374,7 @@ def _unsure(odds: DataFrame, levels: list[DataFrame]) -> DataFrame | None:
 
 
 def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(vertex, component) of every vertex that has a link; vertices: (doc, sketch, n_shingles)."""
+    """(vertex, component) of every vertex that has a link; vertices: (doc, sketch, marks, n_shingles)."""
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     classes = spark.createDataFrame([], "vertex long, component long")
@@ -301,7 +388,7 @@ def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
         again = docs.join(odds, F.col("doc_id").cast("long") == F.col("doc"), "left_semi")
         vertices = written(
             sketches(again, forest).where("n_shingles > 0")
-            .select(F.col("doc_id").alias("doc"), "sketch", "n_shingles").dropDuplicates(["doc"]), "vertices",
+            .select(F.col("doc_id").alias("doc"), "sketch", "marks", "n_shingles").dropDuplicates(["doc"]), "vertices",
         )
 
 
@@ -312,7 +399,7 @@ def near_dup(docs: DataFrame) -> DataFrame:
     sets = written(seen.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc")), "set-keys")
     vertices = written(
         seen.where("n_shingles > 0").join(sets.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi")
-        .select(F.col("doc_id").alias("doc"), "sketch", "n_shingles").dropDuplicates(["doc"]), "vertices",
+        .select(F.col("doc_id").alias("doc"), "sketch", "marks", "n_shingles").dropDuplicates(["doc"]), "vertices",
     )
     classes = similar_components(docs, vertices)
     named = sets.join(classes, F.col("doc") == F.col("vertex"), "left").select(
