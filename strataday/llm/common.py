@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows for which a shuffle of a round gets one more partition.
+ROUND_ROWS = 20_000
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles that run within have a partition for every ``ROUND_ROWS`` rows, at most as many as the session says.
+
+    For rounds over tables whose rows were counted: late rounds are small, and tasks
+    without rows would take longer than the work. ``rows`` has to cover the largest table that takes part.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(before), -(-rows // ROUND_ROWS)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

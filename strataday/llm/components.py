@@ -2,7 +2,8 @@
 
 Every step is an aggregate and a join on the edge's end; nothing is gathered per vertex, so
 a vertex with very many edges is combined before the shuffle and split after it. Each
-round is written, so that lost executors cost at most one round.
+round is written, so that lost executors cost at most one round, and has partitions for the edges that
+are left.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     while True:
-        now, after = _counted(_star_round(now), "stars")
+        with sized(edges.sparkSession, 2 * before[0]):
+            now, after = _counted(_star_round(now), "stars")
         if after == before:
             break
         before = after

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, shuffle_parts, written
+from .common import free_name, shuffle_parts, sized, written
 from .components import components
 from .texts import LOWER, as_bytes, mix, prefix_sums, shingle_hash, slices, span_hash, words
 
@@ -52,7 +52,7 @@ TREES = 16
 #: Odds with which the forests together bring a pair at the similarity 0.75 into one node.
 RECALL = 0.999
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 512
+SMALL = 2_048
 #: Nodes of at most so many documents are compared many at a time, all pairs at once.
 FEW = 8
 #: Ranges of hashes that have a mark, a byte each.
@@ -130,13 +130,15 @@ def _node_likely(marks: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(marks)
     some = (marks > 0).astype(np.float32)
     full = some.sum(axis=1).astype(np.int64)
-    used = full[:, None] + full - (some @ some.T).astype(np.int64)
-    equal = np.empty((n, n), np.int64)
-    for i, row in enumerate(marks):
+    equal, good = np.empty((n, n), np.int16), np.empty((n, n), bool)
+    for at in range(0, n, 64):
+        own = slice(at, at + 64)
+        used = full[own, None] + full - (some[own] @ some.T).astype(np.int64)
         # Sums of eight bytes at a time; a byte counts at most MARKS / 8.
-        equal[i] = (marks == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(n, 8).sum(axis=1)
-    equal += used - MARKS
-    return equal, _likely(equal, used, size[:, None], size)
+        same = np.stack([(marks == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(n, 8).sum(axis=1) for row in marks[own]])
+        same = same.astype(np.int64) + used - MARKS
+        equal[own], good[own] = same, _likely(same, used, size[own, None], size)
+    return equal, good
 
 
 def _sketch(forest: int):
@@ -335,30 +337,44 @@ def _with_links(links: DataFrame, classes: DataFrame, found: DataFrame) -> tuple
 
 
 def _forest(
-    docs: DataFrame, vertices: DataFrame, forest: int, links: DataFrame, classes: DataFrame
+    docs: DataFrame, vertices: DataFrame, forest: int, links: DataFrame, classes: DataFrame, count: int
 ) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Links and classes with what a forest adds to them, and the rows that each of its levels dealt out."""
+    """Links and classes with what a forest adds to them, and the rows that each of its levels dealt out.
+
+    ``count``: rows of the documents, which with those of a level bound all tables of a round.
+    """
     trees = range(forest * TREES, (forest + 1) * TREES)
     roots = F.flatten(F.array(*[_children(F.lit(-tree - 1).cast("long")) for tree in trees]))
     levels = [vertices.select("doc", F.explode(roots).alias("node"))]
+    rows = vertices.count() * TREES * 4 // 3
     while True:
-        nodes = written(_mixed_nodes(levels[-1], classes), "nodes")
-        seen = written(_small_pairs(nodes, vertices, False), "seen")
-        of_small = seen.where(F.col("node").isNull()).select("a", "b")
-        pairs = written(of_small.unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
-        if not pairs.isEmpty():
-            links, classes = _with_links(links, classes, _links(pairs, docs))
-            left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+        with sized(docs.sparkSession, max(rows, count)):
+            links, classes, large = _level(levels[-1], docs, vertices, links, classes)
+            if large.isEmpty():
+                return links, classes, levels
+            mixed = _mixed_nodes(large, classes).join(vertices.select("doc", "sketch"), "doc")
+            levels.append(written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows"))
+        rows = levels[-1].count()
+
+
+def _level(
+    rows: DataFrame, docs: DataFrame, vertices: DataFrame, links: DataFrame, classes: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links and classes with what the nodes of a level add to them, and (node, doc) of those that branch on."""
+    nodes = written(_mixed_nodes(rows, classes), "nodes")
+    seen = written(_small_pairs(nodes, vertices, False), "seen")
+    of_small = seen.where(F.col("node").isNull()).select("a", "b")
+    pairs = written(of_small.unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
+    if not pairs.isEmpty():
+        links, classes = _with_links(links, classes, _links(pairs, docs))
+        left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+        if not left.isEmpty():
             open_ = nodes.select("node", "doc").join(left, F.col("node") == F.col("of"), "left_semi")
             again = _small_pairs(_mixed_nodes(open_, classes), vertices, True).select("a", "b").distinct()
             rest = written(again.join(pairs, ["a", "b"], "left_anti"), "rest")
             if not rest.isEmpty():
                 links, classes = _with_links(links, classes, _links(rest, docs))
-        large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
-        if large.isEmpty():
-            return links, classes, levels
-        mixed = _mixed_nodes(large, classes).join(vertices.select("doc", "sketch"), "doc")
-        levels.append(written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows"))
+    return links, classes, nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
 
 
 def _unsure(odds: DataFrame, levels: list[DataFrame]) -> DataFrame | None:
@@ -378,9 +394,9 @@ def similar_components(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     classes = spark.createDataFrame([], "vertex long, component long")
-    odds, forest = vertices.select("doc", F.lit(1.0).alias("odds")), 0
+    odds, forest, count = vertices.select("doc", F.lit(1.0).alias("odds")), 0, docs.count()
     while True:
-        links, classes, levels = _forest(docs, vertices, forest, links, classes)
+        links, classes, levels = _forest(docs, vertices, forest, links, classes, count)
         odds = _unsure(odds, levels)
         if odds is None:
             return classes
