@@ -52,7 +52,7 @@ TREES = 16
 #: Odds with which the forests together bring a pair at the similarity 0.75 into one node.
 RECALL = 0.999
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 2_048
+SMALL = 512
 #: Nodes of at most so many documents are compared many at a time, all pairs at once.
 FEW = 8
 #: Ranges of hashes that have a mark, a byte each.
@@ -116,6 +116,8 @@ def _likely(equal: np.ndarray, used: np.ndarray, one: np.ndarray, two: np.ndarra
     union = (one + two) / (1 + share)  # of a pair that is just similar enough
     spread = share * (1 - share) * used * np.maximum(union - used, 0) / np.maximum(union - 1, 1)
     enough = equal >= share * used - DEVIATIONS * np.sqrt(spread) - 1e-6
+    # No draw hides more of the difference than the set sizes allow: exact for sets of few shingles.
+    enough &= equal >= used - (1 - share) * union - 1e-6
     return enough & (under * np.minimum(one, two) >= over * np.maximum(one, two))
 
 
