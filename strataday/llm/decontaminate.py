@@ -127,7 +127,8 @@ def matches(seeds: Seeds, word: np.ndarray, first: np.ndarray, limit: float) ->
     by_item: dict[int, list[tuple[int, int, int]]] = {}
     for a, b in zip(at, ends):
         i, r = int(item[a]), int(row[a])
-        pad = int(length[i]) // 2 + 1
+        # A gap costs half of what a match brings, so an alignment that reaches the limit has no more gap words.
+        pad = int(MATCH / OTHER * max(0.0, 1 - limit) * length[i]) + 1
         lo = max(int(first[r]), int(begin[a]) - pad)
         hi = min(int(first[r + 1]), int(begin[b]) + int(length[i]) + pad)
         # Each match takes another word of the item, so this bounds the score from above.

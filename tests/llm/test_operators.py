@@ -227,6 +227,18 @@ def test_contaminated_matches_alignment_of_whole_texts(spark):
     assert {h.doc_id for h in left.collect()} == set(range(len(held))) - {k for k, _ in want}
 
 
+def test_alignments_with_long_gaps_are_found(spark):
+    item = [f"item{k}" for k in range(20)]
+    apart = [w for k in range(9, 20, 2) for w in (*item[k : k + 2], f"between{k}")]
+    held = [item[:9] + [f"foreign{k}" for k in range(12)] + apart, apart[::-1] + item[:3]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(held)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    coded = lambda ws: np.array([zlib.crc32(w.encode()) for w in ws], np.uint64)
+    scores = decontaminate.align(coded(item), [coded(t) for t in held]) / (2 * len(item))
+    got = {h.doc_id: h.score for h in decontaminate.contaminated(docs, bench).collect()}
+    assert scores[0] >= 0.5 > scores[1] and got == {0: scores[0]}
+
+
 def test_mixing_targets_and_totals(spark, docs, empty, rows):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
