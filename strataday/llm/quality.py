@@ -1,10 +1,11 @@
 """Quality: supervised subword embeddings.
 
 Each word, each run of 3 to 5 bytes inside a word (the white space beside the word
-counts as its edge) and the event that a word repeats the one before it has a learned
-vector, found by a hash. A document is the mean of its vectors;
-a softmax over two outputs follows. All is trained by stochastic gradient descent in numpy
-on about ``rows`` labelled texts, a documented bound, in one task.
+counts as its edge) and the event that a word repeats the one before it, whichever it is,
+has a learned vector, found by a hash. A document is the mean of its vectors; a softmax
+over two outputs follows. All is trained by stochastic gradient descent in numpy on about
+``rows`` labelled texts, a documented bound, in one task. The number of steps is the same
+however few texts there are, and the bias starts from the shares of the labels.
 
 The mean and the output are both linear, so for scoring each bucket is reduced to one
 number, the difference it makes between the two outputs: scoring adds up numbers
@@ -12,7 +13,8 @@ instead of vectors, in a column expression over whole texts, without a shuffle.
 
 Defined results: NULL and empty texts have no features and get the score of the output's bias;
 without any training row all scores are 0.5. Very long texts are scored whole. Repeated
-rows get equal scores. An empty table gives an empty result.
+rows get equal scores. An id labelled both 0 and 1 counts as 1; other labels are left out.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,13 +43,15 @@ _SHIFT = np.uint64(64 - BITS)
 
 @dataclass(frozen=True)
 class Sgd:
-    """Settings of the training: length of the vectors, first step size, passes, and how
-    much larger the steps of the vectors are, as each has but a small share in a mean."""
+    """Settings of the training: length of the vectors, first step size, steps, how much
+    larger the steps of the vectors are, as each has but a small share in a mean, and how
+    many texts count for each label before any is seen."""
 
     size: int = 8
     step: float = 0.5
-    passes: int = 3
+    steps: int = 12_000
     lift: float = 8.0
+    prior: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -98,12 +102,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, how: Sgd = Sgd
     rng = np.random.default_rng(7)
     vector = rng.uniform(-1 / how.size, 1 / how.size, (BUCKETS, how.size)).astype(np.float32)
     out = np.zeros((2, how.size), np.float32)
-    bias = np.zeros(2, np.float32)
     target = np.eye(2, dtype=np.float32)[y.astype(int)]
-    total, done = how.passes * len(bags), 0
-    for _ in range(how.passes):
-        for i in rng.permutation(len(bags)):
-            step = np.float32(how.step * (1 - done / total))
+    bias = np.log((target.sum(axis=0) + np.float32(how.prior)) / np.float32(len(bags) + 2 * how.prior))
+    done = 0
+    while done < how.steps:
+        for i in rng.permutation(len(bags))[: how.steps - done]:
+            step = np.float32(how.step * (1 - done / how.steps))
             done += 1
             index, share = bags[i]
             mean = share @ vector[index]

@@ -10,7 +10,8 @@ a column expression over whole texts, so it needs no shuffle and leaves other co
 
 Defined results: NULL and empty texts have no features and get the score of the bias; without
 any training row all scores are 0.5. Very long texts are scored whole. Repeated rows get
-equal scores. An empty table gives an empty result.
+equal scores. An id labelled both 0 and 1 counts as 1; other labels are left out. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
