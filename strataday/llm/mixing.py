@@ -9,8 +9,10 @@ one of them reaches 0 or 1. Each block of a source's documents ends with at most
 open ones; these go through further rounds together, and the last two of a source are the
 landing problem, settled by the outcome that is nearest in words, then in documents.
 
-Only (doc_id, source, size) is moved. Blocks hold about ``BLOCK`` documents, so a hot
-source is many blocks. Draws depend on source, round and block only: reruns agree.
+Only ids, sources, sizes and a hash of id and text are moved. Blocks hold about ``BLOCK``
+documents, so a hot source is many blocks; they are dealt by that hash, so rows that
+repeat an id are spread unless they repeat the text too. Draws depend on source, round and
+block only: reruns agree.
 
 Defined results: a NULL text has size 0, documents of size 0 take 0 words; NULL is a source
 of its own, last in order; a source without words has target 0; rows that repeat an id are
@@ -22,7 +24,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 #: Documents in a block, about.
 BLOCK = 8192
 EDGE = 1e-9
-_STATE = "doc_id long, source string, size long, source_size long, target double, whole long, p double, rank long, blocks long, block long"
+_STATE = "row long, doc_id long, source string, size long, source_size long, target double, whole long, p double, rank long, blocks long, block long"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -94,11 +96,12 @@ def fly(p: np.ndarray, x: np.ndarray, draw: np.random.Generator, land: bool) ->
 
 
 def _flight(level: int):
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["rank", "doc_id", "size"], kind="stable", ignore_index=True)
-        seed = zlib.crc32(repr((key, level)).encode())
-        land = bool((block["blocks"] == 1).all())
-        return block.assign(p=fly(block["p"].to_numpy(), block["size"].to_numpy(), np.random.default_rng(seed), land))
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in ("rank", "doc_id", "size", "row")])
+        seed = zlib.crc32(repr((tuple(k.as_py() for k in key), level)).encode())
+        land = bool((block["blocks"].to_numpy() == 1).all())
+        p = fly(block["p"].to_numpy(), block["size"].to_numpy(), np.random.default_rng(seed), land)
+        return block.set_column(block.column_names.index("p"), "p", pa.array(p))
 
     return run
 
@@ -111,14 +114,17 @@ def _round(state: DataFrame, level: int) -> DataFrame:
         .withColumn("blocks", F.col("now")).drop("now")
         .withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "rank"), F.col("blocks")))
     )
-    flown = dealt.groupBy("source", "block").applyInPandas(_flight(level), _STATE)
+    flown = dealt.groupBy("source", "block").applyInArrow(_flight(level), _STATE)
     return written(flown, f"cube-{level}")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every document."""
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, copies) of every document; ``row`` names a
+    column with a number of its own for each row, else the first is 0."""
     sizes = written(
         docs.select(
+            (F.lit(0) if row is None else F.col(row)).cast("long").alias("row"),
+            F.xxhash64(F.lit("order"), "doc_id", "text").alias("rank"),
             F.col("doc_id").cast("long"), F.col("source").cast("string"),
             F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         ), "sizes",
@@ -128,7 +134,6 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.
     state = (
         sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("whole", F.floor(ratio + EDGE)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-        .withColumn("rank", F.xxhash64(F.lit("order"), "doc_id"))
         .withColumn("blocks", F.lit(0).cast("long")).withColumn("block", F.lit(0).cast("long"))
         .select(*[c.split()[0] for c in _STATE.split(", ")])
     )
@@ -144,7 +149,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixing(docs: DataFrame) -> DataFrame:
@@ -155,20 +160,15 @@ def mixing(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns.
 
-    Ids are taken to be nearly unique: the rows of one id meet in one task.
+    The documents are written once with a number for each row, so that rows that share an
+    id, or have none, are told apart without being brought together.
     """
     # Columns of the documents may have any names.
     row, copies, copy, id_ = (free_name(docs, c) for c in ("_row", "_copies", "_copy", "_id"))
-    taken = mixed(docs).groupBy(F.col("doc_id").alias(id_)).agg(
-        F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias(row)
-    )
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_first(), size, "text"))
-    found = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(id_))).withColumn(
-        copies, F.element_at(row, nth)["copies"]
-    )
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mixed(numbered, row=row).where("copies > 0").select(F.col("row").alias(id_), F.col("copies").alias(copies))
     return (
-        found.where(F.col(copies) > 0)
+        numbered.join(taken, F.col(row) == F.col(id_))
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
+        .select(*[numbered[c] for c in docs.columns])
     )

@@ -265,6 +265,38 @@ def test_mixing_targets_and_totals(spark, docs, empty, rows):
     assert mixing.mixing(empty).count() == 0
 
 
+def test_mix_comes_near_its_targets_with_repeated_and_missing_ids(spark):
+    r = random.Random(11)
+    rows = [(None if i % 3 == 0 else i // 2 + 2**60, f"{i} " + "w " * r.randint(0, 80), r.choice("aaaabbc")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for got in (mixing.mixed(docs).collect(), mixing.mixed(docs.repartition(5)).collect()):
+        assert Counter(x.doc_id for x in got) == Counter(x[0] for x in rows)
+        taken, target, largest = Counter(), {}, Counter()
+        for x in got:
+            taken[x.source] += x.size * x.copies
+            target[x.source] = x.target
+            largest[x.source] = max(largest[x.source], x.size)
+        # What is left to the landing is less than two documents of a source.
+        assert all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in target)
+    mix = Counter((x.doc_id, x.text, x.source) for x in mixing.mix_documents(docs).collect())
+    assert set(mix) <= set(rows) and max(mix.values()) <= 2
+    words = Counter()
+    for (_, text, source), n in mix.items():
+        words[source] += n * len(split(text))
+    assert all(abs(words[s] - target[s]) <= 2 * largest[s] for s in target)
+
+
+def test_quality_learns_from_few_rows_with_few_bad_ones(spark):
+    from .conftest import passage
+
+    good_rows = [(i, " ".join(passage(i, 30)), 1) for i in range(220)]
+    bad_rows = [(1000 + i, " ".join(f"{w} {m}" for w, m in zip(passage(900 + i, 10), 10 * ["***", "###"])), 0) for i in range(30)]
+    table = spark.createDataFrame(good_rows + bad_rows, "doc_id long, text string, quality int")
+    truth = {i: y for i, _, y in good_rows + bad_rows}
+    held = [r for r in quality.quality(table.select("doc_id", "text"), table.select("doc_id", "quality")).collect() if r.held_out]
+    assert sum(truth[r.doc_id] == 0 for r in held) > 3 and all(r.predicted == truth[r.doc_id] for r in held)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(5)
     p, x = rng.uniform(0.1, 0.9, 400), rng.integers(1, 500, 400).astype(float)
