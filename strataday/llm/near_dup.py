@@ -17,7 +17,8 @@ without replacement from their union, so sets of some hundred shingles are told
 pairs more than 4.5 standard deviations below the threshold go, every other link is confirmed on the full sets. A
 small node is compared in two passes: first each document with the first and with the most
 alike of those that it may be linked to, then, in nodes where this left likely pairs out, all
-pairs that are still unconnected. Tasks hold one batch and one node at a time.
+pairs that are still unconnected; the second pass goes along with the first one of the next
+level. Tasks hold one batch and one node at a time.
 Documents with equal sets are one vertex throughout.
 
 Defined results: NULL, empty and blank texts have empty sets and are linked with nothing; texts
@@ -206,9 +207,9 @@ def _children(node: Column, sketch: str = "sketch") -> Column:
 
 
 def _mixed_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (node, doc, class, n, pivot) of the nodes whose documents aren't all connected."""
+    """Rows (node, full, doc, class, n, pivot) of the nodes whose documents aren't all connected."""
     named = rows.join(classes, rows["doc"] == classes["vertex"], "left").select(
-        "node", "doc", F.coalesce("component", "doc").alias("class")
+        "node", "full", "doc", F.coalesce("component", "doc").alias("class")
     )
     nodes = named.groupBy("node").agg(
         F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"),
@@ -233,64 +234,62 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs_of_nodes(full: bool):
-    """Likely pairs (a, b) of different classes within whole nodes: all of them, or those of a star cover and
-    the nodes (node) where that leaves some out."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in _whole_nodes(batches):
-            node, doc, kind, size = (
-                np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class", "n_shingles")
-            )
-            marks = as_bytes(got["marks"])[0].reshape(-1, MARKS)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            count = np.diff(np.append(first, len(node)))
-            a, b, more = [], [], []
-            for n in range(2, FEW + 1):
-                x, y = np.triu_indices(n, 1)
-                x, y = ((first[count == n][:, None] + z).ravel() for z in (x, y))
-                apart = kind[x] != kind[y]
-                x, y = x[apart], y[apart]
-                for k in range(0, len(x), 1 << 14):
-                    i, j = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
-                    good = _pairs_likely(marks[i], marks[j], size[i], size[j])
-                    a.append(i[good])
-                    b.append(j[good])
-            for at, n in zip(first[count > FEW], count[count > FEW]):
-                own = slice(at, at + n)
-                equal, good = _node_likely(marks[own], size[own])
-                good &= kind[own][:, None] != kind[own]
-                if not full:
-                    all_ = np.count_nonzero(good) // 2
-                    some = np.flatnonzero(good.any(axis=1))
-                    best = np.where(good, equal, -1).argmax(axis=1)
-                    covered = np.zeros(n, bool)
-                    good = np.triu(good, 1)
-                    for i in range(n):
-                        good[i] &= ~covered & (not covered[i])
-                        covered |= good[i]
-                    good[np.minimum(some, best[some]), np.maximum(some, best[some])] = True
-                    if np.count_nonzero(good) < all_:
-                        more.append(node[at])
-                x, y = np.nonzero(np.triu(good, 1))
-                a.append(at + x)
-                b.append(at + y)
-            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-            none = lambda n: pa.nulls(n, pa.int64())
-            columns = [(pa.array(doc[a]), none(len(more))), (pa.array(doc[b]), none(len(more))),
-                       (none(len(a)), pa.array(more, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node"])
-
-    return run
-
-
-def _small_pairs(nodes: DataFrame, vertices: DataFrame, full: bool) -> DataFrame:
+def _pairs_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs (a, b) of different classes within whole nodes: all of them if the node is to be compared in
+    full, else those of a star cover and the nodes (node) where that leaves some out."""
+    for got in _whole_nodes(batches):
+        node, doc, kind, size = (
+            np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class", "n_shingles")
+        )
+        full = got["full"].to_numpy()
+        marks = as_bytes(got["marks"])[0].reshape(-1, MARKS)
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count = np.diff(np.append(first, len(node)))
+        a, b, more = [], [], []
+        for n in range(2, FEW + 1):
+            x, y = np.triu_indices(n, 1)
+            x, y = ((first[count == n][:, None] + z).ravel() for z in (x, y))
+            apart = kind[x] != kind[y]
+            x, y = x[apart], y[apart]
+            for k in range(0, len(x), 1 << 14):
+                i, j = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                good = _pairs_likely(marks[i], marks[j], size[i], size[j])
+                a.append(i[good])
+                b.append(j[good])
+        for at, n in zip(first[count > FEW], count[count > FEW]):
+            own = slice(at, at + n)
+            equal, good = _node_likely(marks[own], size[own])
+            good &= kind[own][:, None] != kind[own]
+            if not full[at]:
+                all_ = np.count_nonzero(good) // 2
+                some = np.flatnonzero(good.any(axis=1))
+                best = np.where(good, equal, -1).argmax(axis=1)
+                covered = np.zeros(n, bool)
+                good = np.triu(good, 1)
+                for i in range(n):
+                    good[i] &= ~covered & (not covered[i])
+                    covered |= good[i]
+                good[np.minimum(some, best[some]), np.maximum(some, best[some])] = True
+                if np.count_nonzero(good) < all_:
+                    more.append(node[at])
+            x, y = np.nonzero(np.triu(good, 1))
+            a.append(at + x)
+            b.append(at + y)
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+        none = lambda n: pa.nulls(n, pa.int64())
+        columns = [(pa.array(doc[a]), none(len(more))), (pa.array(doc[b]), none(len(more))),
+                   (none(len(a)), pa.array(more, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node"])
+
+
+def _small_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs (a, b) of unconnected documents of small nodes that the marks don't rule out, and nodes left open."""
     small = nodes.where(F.col("n") <= SMALL).join(vertices.select("doc", "marks", "n_shingles"), "doc").select(
-        "node", "doc", "class", "marks", "n_shingles"
+        "node", "full", "doc", "class", "marks", "n_shingles"
     )
     parts = shuffle_parts(nodes.sparkSession)
     return small.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(
-        _pairs_of_nodes(full), "a long, b long, node long"
+        _pairs_of_nodes, "a long, b long, node long"
     )
 
 
@@ -347,36 +346,42 @@ def _forest(
     """
     trees = range(forest * TREES, (forest + 1) * TREES)
     roots = F.flatten(F.array(*[_children(F.lit(-tree - 1).cast("long")) for tree in trees]))
-    levels = [vertices.select("doc", F.explode(roots).alias("node"))]
-    rows = vertices.count() * TREES * 4 // 3
+    levels = [vertices.select("doc", F.explode(roots).alias("node"), F.lit(False).alias("full"))]
+    rows, dealt = levels[0], vertices.count() * TREES * 4 // 3
+    known = docs.sparkSession.createDataFrame([], "a long, b long")
     while True:
-        with sized(docs.sparkSession, max(rows, count)):
-            links, classes, large = _level(levels[-1], docs, vertices, links, classes)
-            if large.isEmpty():
-                return links, classes, levels
-            mixed = _mixed_nodes(large, classes).join(vertices.select("doc", "sketch"), "doc")
-            levels.append(written(mixed.select("doc", F.explode(_children(F.col("node"))).alias("node")), "rows"))
-        rows = levels[-1].count()
+        with sized(docs.sparkSession, max(dealt, count)):
+            links, classes, known, large, open_ = _level(rows, known, docs, vertices, links, classes)
+            deeper, again = not large.isEmpty(), not open_.isEmpty()
+            if deeper:
+                mixed = _mixed_nodes(large, classes).join(vertices.select("doc", "sketch"), "doc")
+                children = F.explode(_children(F.col("node"))).alias("node")
+                levels.append(written(mixed.select("doc", children, F.lit(False).alias("full")), "rows"))
+        if not deeper and not again:
+            return links, classes, levels
+        rows = levels[-1].unionByName(open_) if deeper and again else levels[-1] if deeper else open_
+        dealt = rows.count()
 
 
 def _level(
-    rows: DataFrame, docs: DataFrame, vertices: DataFrame, links: DataFrame, classes: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links and classes with what the nodes of a level add to them, and (node, doc) of those that branch on."""
+    rows: DataFrame, known: DataFrame, docs: DataFrame, vertices: DataFrame, links: DataFrame, classes: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links and classes with what the nodes of a level add to them, the pairs (a, b) that were looked at, (node, full, doc)
+    of the nodes that branch on, and (doc, node, full) of those to be compared in full with the next level.
+
+    ``known``: pairs that the level before looked at; they aren't looked at again.
+    """
     nodes = written(_mixed_nodes(rows, classes), "nodes")
-    seen = written(_small_pairs(nodes, vertices, False), "seen")
+    seen = written(_small_pairs(nodes, vertices), "seen")
     of_small = seen.where(F.col("node").isNull()).select("a", "b")
-    pairs = written(of_small.unionByName(_pivot_pairs(nodes, vertices)).distinct(), "pairs")
+    both = of_small.unionByName(_pivot_pairs(nodes, vertices)).distinct()
+    pairs = written(both.join(known, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links, classes = _with_links(links, classes, _links(pairs, docs))
-        left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
-        if not left.isEmpty():
-            open_ = nodes.select("node", "doc").join(left, F.col("node") == F.col("of"), "left_semi")
-            again = _small_pairs(_mixed_nodes(open_, classes), vertices, True).select("a", "b").distinct()
-            rest = written(again.join(pairs, ["a", "b"], "left_anti"), "rest")
-            if not rest.isEmpty():
-                links, classes = _with_links(links, classes, _links(rest, docs))
-    return links, classes, nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "doc")
+    left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+    open_ = nodes.join(left, F.col("node") == F.col("of"), "left_semi").select("doc", "node", F.lit(True).alias("full"))
+    large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "full", "doc")
+    return links, classes, pairs, large, open_
 
 
 def _unsure(odds: DataFrame, levels: list[DataFrame]) -> DataFrame | None:
