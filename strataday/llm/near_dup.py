@@ -53,7 +53,7 @@ TREES = 16
 #: Odds with which the forests together bring a pair at the similarity 0.75 into one node.
 RECALL = 0.999
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 2048
+SMALL = 512
 #: Nodes of at most so many documents are compared many at a time, all pairs at once.
 FEW = 8
 #: Ranges of hashes that have a mark, a byte each.
