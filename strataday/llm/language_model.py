@@ -1,28 +1,26 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its class, its lower-cased words, each followed by a space, and an end, which is a
-space where a word would begin. The class is the one of the ``CLASSES`` most frequent words
-that the text has most often; it is coded first, by its frequency among training texts.
+A text is its lower-cased words, each followed by a space, and an end, which is a
+space where a word would begin. Before its first byte stand bytes that no text has (``START``).
 
 Every byte is decomposed into eight binary choices. Each choice has a tree of contexts: the
-0 to 6 bytes before it within the word, nearest first (where the word begins is part of the
-context), then the class. A node holds the Krichevsky-Trofimov estimate of what
-followed it, and weighs it against its children by how well both would have coded the training
-text. The mixture over all depths gives the probability of the choice; -log2 of it is the
-code length.
+0 to ``BYTES`` bytes before it, nearest first, which run over spaces into the words before. A
+node holds the Krichevsky-Trofimov estimate of what followed it in the training texts, and weighs it
+against its children by how well both would have coded them. The mixture over all depths
+gives the probability of the choice; -log2 of it is the code length.
 
-As contexts end at the beginning of a word, a word of a class costs the same wherever it
-stands. So the trees are built from the counts of distinct words, which grow with the
-corpus, and words rather than texts are scored. All nodes with two bytes of context or more lie
-in one task with the others of those two bytes; only the depths above, at most 256 x 255
-nodes whatever the corpus, are added up across tasks and sent out.
-
-Texts meet the words' scores in two ways: the ``COMMON`` most frequent words are sent out
-and scored in place; the others are joined by a shuffle. Every word takes one of the two.
+Texts are dealt to chunks of about ``CHUNK`` bytes. A chunk asks once for each of its distinct (context, byte)
+codes and words, with how often its training texts have them. Codes with equal two bytes of context meet in one
+part, as do equal words; a part adds up the counts of all chunks and builds the nodes with two bytes of context
+or more. Only the depths above, at most 256 x 255 nodes whatever the corpus, and the totals of words are added up
+across parts and sent out. Then the parts answer each chunk, which adds up its texts byte by byte.
 
 Defined results: NULL and empty texts consist of the end only; very long texts and words are
 scored whole; repeated rows get equal scores; without training rows every choice costs one
 bit; an empty table gives an empty result.
+
+``word_scores`` gives what words cost on their own, at the beginning of a text of a class, the one of the
+``CLASSES`` most frequent words that the text has most often: contexts end where the word begins, then comes the class.
 """
 
 from __future__ import annotations
@@ -36,15 +34,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .alignment import _pack, _pack_small, _unpack, _unpack_small
 from .common import shuffle_parts, split_no, written
-from .texts import LOWER, distinct_in_rows, mix, prefix_sums, row_of, slices, span_hash, words
+from .texts import LOWER, SPACE as GAPS, distinct_in_rows, mix, prefix_sums, row_of, slices, span_hash, words
 
-#: Depths of the trees: six bytes and the class.
-DEPTH = 7
+#: Bytes of the longest context of a text.
 BYTES = 6
+#: Depths of the trees of single words: six bytes and the class.
+DEPTH = 7
+#: Bytes of text that ask together.
+CHUNK = 32 << 20
+#: Bytes of text whose codes are held at once; one text alone may have more.
+SLICE = 1 << 20
+#: Codes whose trees are built at once, unless one pair of bytes has more.
+BUILT = 1 << 16
+#: Stands before a text; words and spaces between them never are this byte.
+START = 0x0A
 CLASSES = 64
-#: Words whose scores are sent out.
-COMMON = 100_000
 #: Words that a task counts before it passes them on.
 COUNTED = 400_000
 SPACE = 0x20
@@ -242,12 +248,12 @@ def codes(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
 class Trees:
     """All context trees below a set of two-byte contexts: nodes of depth 2 and more."""
 
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        """``code``: distinct and sorted; ``n``: how often each was seen in training."""
-        self.code = code
-        self.keys, self.up = {DEPTH: code}, {}
-        count = {DEPTH: n}
-        for d in range(DEPTH - 1, 1, -1):
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int = DEPTH):
+        """``code``: distinct and sorted; ``n``: how often each was seen in training; ``depth``: of the longest contexts."""
+        self.code, self.depth = code, depth
+        self.keys, self.up = {depth: code}, {}
+        count = {depth: n}
+        for d in range(depth - 1, 1, -1):
             key = self.keys[d + 1]
             short = ((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255))
             self.keys[d], self.up[d] = np.unique(short, return_inverse=True)
@@ -261,7 +267,7 @@ class Trees:
         """Nodes of one binary choice, from the deepest up; then its chances, from depth 2 on."""
         node, seen, weight = {}, {}, {}
         below = None
-        for d in range(DEPTH, 1, -1):
+        for d in range(self.depth, 1, -1):
             key = self.keys[d]
             prefix = key >> np.uint64(8 - k)
             change = np.ones(len(key), bool)
@@ -287,11 +293,11 @@ class Trees:
             seen[2][0], seen[2][1], below[0],
         ))
         bit = ((self.code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-        at = {DEPTH: np.arange(len(self.code))}
-        for d in range(DEPTH - 1, 1, -1):
+        at = {self.depth: np.arange(len(self.code))}
+        for d in range(self.depth - 1, 1, -1):
             at[d] = self.up[d][at[d + 1]]
         chance = np.full(len(self.code), 0.5)
-        for d in range(DEPTH, 1, -1):
+        for d in range(self.depth, 1, -1):
             n = node[d][at[d]]
             a, b = seen[d][0][n], seen[d][1][n]
             own = (np.where(bit, b, a) + 0.5) / (a + b + 1)
@@ -310,7 +316,7 @@ class Trees:
 
     def log_probability(self, top: "Top") -> np.ndarray:
         """Natural logarithm of the probability of each code's byte in its context."""
-        byte = (self.code >> np.uint64(8 * DEPTH)).astype(np.int64)
+        byte = (self.code >> np.uint64(8 * self.depth)).astype(np.int64)
         symbol = (self.code & np.uint64(255)).astype(np.int64)
         total = np.zeros(len(self.code))
         for k in range(8):
@@ -433,91 +439,317 @@ def word_scores(vocabulary: DataFrame) -> DataFrame:
 
 # --- texts ------------------------------------------------------------------
 
-def _score_common(common):
-    """Per text a row with what its common words and the end add up to, and a row for each other word."""
+_ASKED = "chunk long, texts binary, part int, codes binary, seen binary, words binary, times binary"
+_ANSWERED = "chunk long, part int, log_p binary, totals binary"
+
+
+def text_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all bytes of lower-cased texts, whose words are given, and per text the index of its first one.
+
+    A code holds the bytes before, nearest first, and itself, in ``BYTES`` + 1 bytes.
+    """
+    row, length = row_of(first), end - start
+    pad = 7
+    size = np.bincount(row, weights=length + 1, minlength=len(first) - 1).astype(np.int64) + 1
+    off = np.concatenate([[0], np.cumsum(size)])
+    total = int(off[-1]) + pad * len(size)
+    stream = np.full(total, SPACE, np.uint8)
+    inside = np.ones(total, bool)
+    before = (off[:-1] + pad * np.arange(len(size)))[:, None] + np.arange(pad)
+    stream[before], inside[before] = START, False
+    at = np.cumsum(length + 1) - (length + 1) + row + pad * (row + 1)
+    at = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    stream[at] = data[~GAPS[data]]
+    # Eight bytes up to each byte, the byte itself on top.
+    eight = np.ndarray((max(0, total - pad),), "<u8", stream.tobytes(), strides=(1,))[inside[pad:]]
+    return (eight & np.uint64(((1 << 8 * BYTES) - 1) << 8)) | (eight >> np.uint64(56)), off
+
+
+def _firsts(key: np.ndarray) -> np.ndarray:
+    """Where each of the sorted keys stands first."""
+    change = np.ones(len(key), bool)
+    change[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(change)
+
+
+def _merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    if not len(key):
+        return key, count
+    order = np.argsort(key)
+    key = key[order]
+    first = _firsts(key)
+    return key[first], np.add.reduceat(count[order], first)
+
+
+class _Distinct:
+    """Distinct keys and their counts, put together when those to come are a quarter as many as those there."""
+
+    def __init__(self):
+        self.key, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.more, self.waiting = [], 0
+
+    def add(self, key: np.ndarray, count: np.ndarray) -> None:
+        self.more.append((key, count))
+        self.waiting += len(key)
+        if self.waiting > max(1 << 18, len(self.key) // 4):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.more:
+            return
+        key, count = _merged(*map(np.concatenate, zip(*self.more)))
+        self.more, self.waiting = [], 0
+        place = np.searchsorted(self.key, key)
+        known = place < len(self.key)
+        known[known] = self.key[place[known]] == key[known]
+        self.count[place[known]] += count[known]
+        new = ~known
+        at = place[new] + np.arange(np.count_nonzero(new))
+        there = np.ones(len(self.key) + len(at), bool)
+        there[at] = False
+        for name, more in (("key", key[new]), ("count", count[new])):
+            out = np.empty(len(there), more.dtype)
+            out[there], out[at] = getattr(self, name), more
+            setattr(self, name, out)
+
+
+class _Chunk:
+    """Distinct codes and words of a chunk, with how often its training texts have them, and their order by part."""
+
+    def __init__(self, parts: int):
+        self.parts, self.codes, self.tokens, self.held = parts, _Distinct(), _Distinct(), 0
+
+    def add(self, data: np.ndarray, off: np.ndarray, learn: np.ndarray) -> None:
+        code, code_off, token, row = _codes_and_tokens(data, off)
+        code <<= np.uint64(8)
+        code |= np.repeat(learn.astype(np.uint64), np.diff(code_off))
+        code.sort()
+        seen = (code & np.uint64(255)).astype(np.int64)
+        code >>= np.uint64(8)
+        first = _firsts(code)
+        self.codes.add(code[first], np.add.reduceat(seen, first) if len(first) else seen)
+        self.tokens.add(*_merged(token, learn[row]))
+        self.held += max(1, len(data))
+
+    def close(self) -> None:
+        """Merges what is left and deals keys to their parts: in order of parts, then of keys."""
+        for keys in (self.codes, self.tokens):
+            keys.merge()
+            part = _code_parts(keys.key, self.parts) if keys is self.codes else _token_parts(keys.key, self.parts)
+            keys.order = np.argsort(part, kind="stable").astype(np.int32)
+            keys.cut = np.searchsorted(part[keys.order], np.arange(self.parts + 1))
+
+
+def _codes_and_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of texts and per text the index of its first one; their words and ends as hashes, and the text of each."""
+    data = LOWER[data]
+    start, end, first = words(data, off)
+    code, code_off = text_codes(data, start, end, first)
+    token = np.concatenate([span_hash(prefix_sums(data), start, end), np.full(len(off) - 1, END, np.uint64)])
+    return code, code_off, token, np.concatenate([row_of(first), np.arange(len(off) - 1)])
+
+
+def _places(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where each key stands among the known ones, which are sorted and hold all."""
+    order = np.argsort(key)
+    key = key[order]
+    first = _firsts(key)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.repeat(np.searchsorted(known, key[first]), np.diff(np.append(first, len(key))))
+    return place
+
+
+def _code_parts(code: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of sorted codes, by their first two bytes of context."""
+    root = (code >> np.uint64(8 * (BYTES - 1))).astype(np.uint16)
+    first = _firsts(root)
+    part = (mix(root[first]) % np.uint64(parts)).astype(np.int32)
+    return np.repeat(part, np.diff(np.append(first, len(root))))
+
+
+def _token_parts(token: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(token) % np.uint64(parts)).astype(np.int32)
+
+
+def _packed_texts(ids: pa.Array, texts: pa.Array) -> bytes:
+    batch, sink = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _ask(parts: int):
+    """Rows with the texts of each chunk, slice by slice, and a row for each part that the chunk has codes or words of."""
+    names = [x.split(" ")[0] for x in _ASKED.split(", ")]
+    types = [pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 4]
+
+    def rows(number: int, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        columns["chunk"] = [number] * n
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names
+        )
+
+    def asked(number: int, chunk: _Chunk) -> pa.RecordBatch:
+        chunk.close()
+        columns = {c: [] for c in names[2:]}
+        for part in range(parts):
+            code, token = (k.order[k.cut[part] : k.cut[part + 1]] for k in (chunk.codes, chunk.tokens))
+            if len(code) or len(token):
+                columns["part"].append(part)
+                columns["codes"].append(_pack(chunk.codes.key[code].view(np.int64)))
+                columns["seen"].append(_pack_small(chunk.codes.count[code]))
+                columns["words"].append(_pack(chunk.tokens.key[token].view(np.int64)))
+                columns["times"].append(_pack_small(chunk.tokens.count[token]))
+        return rows(number, **columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_words, known, value, end_value = common.value
-        uid = TaskContext.get().partitionId() << 36
+        number, chunk = TaskContext.get().partitionId() << 32, _Chunk(parts)
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
-                data = LOWER[data]
-                start, end, first = words(data, off)
-                hashes, row = span_hash(prefix_sums(data), start, end), row_of(first)
-                kind = classes_of(hashes, row, j - i, class_words)
-                pairs = pair_hash(hashes, kind[row])
-                place = np.searchsorted(known, pairs)
-                place[place == len(known)] = 0
-                hit = known[place] == pairs if len(known) else np.zeros(len(pairs), bool)
-                sums = [
-                    np.bincount(row[hit], weights=v[place[hit]], minlength=j - i) + e[kind] for v, e in zip(value, end_value)
+            learn = np.asarray(batch.column("learn")).astype(np.int64)
+            for i, j, data, off in slices(batch.column("text"), SLICE):
+                if chunk.held and chunk.held + len(data) > CHUNK:
+                    yield asked(number, chunk)
+                    number, chunk = number + 1, _Chunk(parts)
+                chunk.add(data, off, learn[i:j])
+                yield rows(number, texts=[_packed_texts(*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text")))])
+        if chunk.held:
+            yield asked(number, chunk)
+
+    return run
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by part, the rows of one part at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = np.asarray(batch.column("part"))
+        cuts = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)] if len(part) else []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if held and held[-1].column("part")[0].as_py() != part[i]:
+                yield held
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield held
+
+
+def _in_all(held: list[pa.RecordBatch], key: str, count: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a part and their counts over all chunks."""
+    out = _Distinct()
+    for batch in held:
+        for keys, counts in zip(batch.column(key), batch.column(count)):
+            own = _unpack(keys.as_buffer()).view(np.uint64)
+            out.add(own, _unpack_small(counts.as_buffer(), len(own)))
+    out.merge()
+    return out.key, out.count
+
+
+def _part_trees(code: np.ndarray, n: np.ndarray) -> Iterator[Trees]:
+    """The trees of a part, some pairs of bytes at a time."""
+    root = code >> np.uint64(8 * (BYTES - 1))
+    i = 0
+    while i < len(code):
+        # Up to the last pair of bytes that is whole, one at least.
+        j = min(len(code), i + BUILT)
+        if j < len(code):
+            j = int(np.searchsorted(root, root[j]))
+            j = j if j > i else int(np.searchsorted(root, root[i], "right"))
+        yield Trees(code[i:j], n[i:j].astype(float), BYTES)
+        i = j
+
+
+def _part_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each part adds to the nodes of depth 1, and, as byte -1, to the number of all and of distinct words."""
+    for held in _whole_parts(batches):
+        for trees in _part_trees(*_in_all(held, "codes", "seen")):
+            yield trees.top_nodes()
+        _, total = _in_all(held, "words", "times")
+        sums = [-1, 0, float(total.sum()), float(np.count_nonzero(total)), 0.0]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], ["byte", "node", "a", "b", "log_p"])
+
+
+def _answer(top):
+    """For each chunk what a part knows of its codes and words, in the order in which they were asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _whole_parts(batches):
+            code, n = _in_all(held, "codes", "seen")
+            log_p = [t.log_probability(top.value).astype(np.float32) for t in _part_trees(code, n)]
+            log_p = np.concatenate(log_p) if log_p else np.zeros(0, np.float32)
+            token, total = _in_all(held, "words", "times")
+            for batch in held:
+                answers = [log_p[np.searchsorted(code, _unpack(x.as_buffer()).view(np.uint64))].tobytes() for x in batch.column("codes")]
+                totals = [
+                    _pack_small(total[np.searchsorted(token, _unpack(x.as_buffer()).view(np.uint64))]) for x in batch.column("words")
                 ]
-                rare_row, rare = row[~hit], pairs[~hit]
-                order = np.lexsort((rare, rare_row))
-                rare_row, rare = rare_row[order], rare[order]
-                change = np.ones(len(rare), bool)
-                change[1:] = (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])
-                at = np.flatnonzero(change)
-                times = np.diff(np.append(at, len(rare)))
-                ids = batch.column("doc_id").slice(i, j - i)
-                n, m = j - i, len(at)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([uid + np.arange(n), uid + rare_row[at]])),
-                    pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[at].view(np.int64))]),
-                    pa.array(np.concatenate([np.diff(first) + 1, times]).astype(np.int64)),
-                    *[pa.concat_arrays([pa.array(s), pa.nulls(m, pa.float64())]) for s in sums],
-                ], ["uid", "doc_id", "pair", "times", "known", "base", "score"])
-                uid += n
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk"), batch.column("part"), pa.array(answers, pa.binary()), pa.array(totals, pa.binary())],
+                    ["chunk", "part", "log_p", "totals"],
+                )
+
+    return run
+
+
+def _add_up_texts(parts: int, all_words: int, distinct: int):
+    """Scores of a chunk's texts from the answers of the parts."""
+
+    def texts_of(column: pa.ChunkedArray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for packed in column:
+            for batch in pa.ipc.open_stream(packed.as_buffer()):
+                for i, j, data, off in slices(batch.column("text"), SLICE):
+                    yield batch.column("doc_id").slice(i, j - i), data, off
+
+    def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = _Chunk(parts)
+        for ids, data, off in texts_of(texts["texts"]):
+            chunk.add(data, off, np.zeros(len(ids), np.int64))
+        chunk.close()
+        codes, tokens = chunk.codes, chunk.tokens
+        codes.count = tokens.count = None
+        log_p, total = np.empty(len(codes.key), np.float32), np.empty(len(tokens.key), np.int64)
+        for part, p, n in zip(answers["part"].to_pylist(), answers["log_p"], answers["totals"]):
+            log_p[codes.order[codes.cut[part] : codes.cut[part + 1]]] = np.frombuffer(p.as_buffer(), np.float32)
+            own = tokens.order[tokens.cut[part] : tokens.cut[part + 1]]
+            total[own] = _unpack_small(n.as_buffer(), len(own))
+        known, base = total > 0, np.log10((total + 1) / (all_words + distinct + 1))
+        out = []
+        for ids, data, off in texts_of(texts["texts"]):
+            code, code_off, token, row = _codes_and_tokens(data, off)
+            of_code, of_token, n = _places(codes.key, code), _places(tokens.key, token), len(ids)
+            score = np.bincount(row_of(code_off), weights=log_p[of_code], minlength=n) / _LOG10
+            out.append(pa.table([
+                ids, pa.array(np.bincount(row, minlength=n)),
+                pa.array(np.bincount(row, weights=known[of_token], minlength=n).astype(np.int64)),
+                pa.array(np.bincount(row, weights=base[of_token], minlength=n)), pa.array(score),
+            ], ["doc_id", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def language_scores(docs: DataFrame, learn: Column, common: int = COMMON) -> DataFrame:
+def language_scores(docs: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     ``learn`` says which rows train; ``base_score`` is that of single words with add-one smoothing.
     """
     spark = docs.sparkSession
-    rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    top_words = class_words(rows)
-    vocabulary = written(word_counts(rows, top_words), "vocabulary")
-    total, distinct = vocabulary.groupBy("hash").agg(F.first("total").alias("total")).agg(
-        F.sum("total"), F.count_if(F.col("total") > 0)
-    ).first()
-    total, distinct = int(total or 0), int(distinct or 0)
-    base = F.log10((F.col("total") + 1) / F.lit(float(total + distinct + 1)))
-    scores = written(
-        word_scores(vocabulary).select(
-            "pair", "hash", "class", "n", (F.col("total") > 0).cast("double").alias("w_known"),
-            base.alias("w_base"), F.col("log10_p").alias("w_score"),
-        ), "word-scores",
-    )
-    names = ["w_known", "w_base", "w_score"]
-    ends = scores.where(F.col("hash") == END).orderBy("class").toArrow()  # one row a class
-    end_values = [np.asarray(ends[c].combine_chunks()) if len(ends) else np.zeros(CLASSES + 1) for c in names]
-    if len(ends):
-        of_class = np.asarray(ends["n"].combine_chunks())
-        end_values[2] = end_values[2] + np.log10((of_class + 1) / (of_class.sum() + CLASSES + 1))
-    others = scores.where(F.col("hash") != END)
-    top = others.orderBy(F.desc("n"), "pair").limit(common).toArrow()
-    known = np.asarray(top["pair"].combine_chunks()).view(np.uint64)
-    order = np.argsort(known)
-    values = [np.asarray(top[c].combine_chunks())[order] for c in names]
-    shared = spark.sparkContext.broadcast((top_words, known[order], values, end_values))
-    parts = docs.select("doc_id", "text").mapInArrow(
-        _score_common(shared), "uid long, doc_id long, pair long, times long, known double, base double, score double"
-    )
-    found = parts.join(others.select("pair", *names), "pair", "left")
-    own = F.col("pair").isNull()
-
-    def added(name: str, word: str) -> Column:
-        return F.sum(F.when(own, F.col(name)).otherwise(F.col(word) * F.col("times"))).alias(name)
-
-    return found.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum(F.when(own, F.col("times"))).alias("n_tokens"),
-        added("known", "w_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        added("base", "w_base").alias("base_score"), added("score", "w_score").alias("score"),
-    ).drop("uid")
+    parts = shuffle_parts(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    chunks = written(rows.mapInArrow(_ask(parts), _ASKED), "chunks")
+    asked = chunks.where(F.col("part").isNotNull()).drop("texts").repartition(parts, "part").sortWithinPartitions("part", "chunk")
+    nodes = asked.mapInArrow(_part_tops, "byte long, node long, a double, b double, log_p double").groupBy("byte", "node").agg(
+        *[F.sum(c).alias(c) for c in ("a", "b", "log_p")]
+    ).toArrow()  # at most 256 x 255 rows, and the words
+    byte, *others = (np.asarray(nodes[c].combine_chunks()) for c in ("byte", "node", "a", "b", "log_p"))
+    total, distinct = (int(others[k][byte < 0].sum()) for k in (1, 2))
+    top = spark.sparkContext.broadcast(Top(byte[byte >= 0], *[x[byte >= 0] for x in others]))
+    answers = asked.mapInArrow(_answer(top), _ANSWERED)
+    texts = chunks.where(F.col("part").isNull()).select("chunk", "texts")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _add_up_texts(parts, total, distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    ).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def language_model(docs: DataFrame) -> DataFrame:
