@@ -4,14 +4,15 @@ Both tokenizers split the same bytes. Walking along the two arrays of token ends
 ends at the current index shift agree, tokens stand one to one: exponential probing compares
 ever longer stretches of both arrays at that shift and halving finds the end of the run, which
 is jumped at once. Where the ends differ, the smaller one is moved on until two agree; the tokens passed
-make an irregular group, and the shift is updated. Slices of many texts are walked as one, as both
-arrays have an end where a text ends.
+make an irregular group, and the shift is updated. Many chunks of texts are walked as one, as both
+arrays have an end where a chunk ends.
 
 The bytes of a text count as one space and the text. Tokenizer A (tokenizers, byte-level) encodes
 them, tokenizer B (sentencepiece, whose own prefix is the space) the text; no special tokens, special
 strings are plain text. Texts are cut for both where a space stands between two characters that
 are not white space, as neither joins anything across it (A by its pattern; B if no piece has a space
-behind another character, else texts stay whole). The ids of frequent chunks are remembered in the worker, up to a bound.
+behind another character, else texts stay whole). Where a chunk ends both have an end, so groups lie within chunks: the
+ids and groups of chunks are remembered in the worker, up to a bound, and only chunks that are new to it are walked.
 
 A link is a pair of an A and a B token of one group; the count of a pair of ids is the number of documents that
 have it linked. The first job tokenizes once and writes per document its numbers and
@@ -32,6 +33,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -190,25 +192,30 @@ class Pieces(Side):
 
 
 class Table:
-    """Ids of many arrays, one behind the other."""
+    """Numbers of many arrays, one behind the other."""
 
     def __init__(self):
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def add(self, more: list[list[int]]) -> None:
-        size = np.array([len(x) for x in more], np.int64)
-        self.ids = np.concatenate([self.ids, np.fromiter((k for x in more for k in x), np.int32, int(size.sum()))])
+    def add(self, more: np.ndarray, size: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, more.astype(np.int32)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the arrays ``at``, in that order, and the size of each."""
+        """Numbers of the arrays ``at``, in that order, and the size of each."""
         size = self.first[at + 1] - self.first[at]
         pick = np.arange(size.sum()) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)
         return self.ids[pick].astype(np.int64), size
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers, and how many each list has."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum())), size
+
+
 class Encoder:
-    """Ids of texts under both tokenizers; chunks that were seen are remembered, up to KEPT of them."""
+    """Ids of texts under both tokenizers and their groups; chunks that were seen are remembered, up to KEPT of them."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
@@ -218,6 +225,8 @@ class Encoder:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.held_a, self.held_b = Table(), Table()
+        #: A's and B's tokens of each group.
+        self.groups_a, self.groups_b = Table(), Table()
         self.spells = np.zeros(0, bool)
 
     def learn(self, chunks: list[str]) -> None:
@@ -228,21 +237,29 @@ class Encoder:
             b"".join([self.a.spelled[k] for k in x]) == b"".join([self.b.spelled[k] for k in y]) == b" " + chunk.encode()
             for chunk, x, y in zip(chunks, ids_a, ids_b, strict=True)
         ]
-        self.held_a.add(ids_a)
-        self.held_b.add(ids_b)
-        self.spells = np.concatenate([self.spells, np.array(own, bool)])
+        own = np.array(own, bool)
+        (flat_a, n_a), (flat_b, n_b) = _flat(ids_a), _flat(ids_b)
+        self.held_a.add(flat_a, n_a)
+        self.held_b.add(flat_b, n_b)
+        self.spells = np.concatenate([self.spells, own])
+        to_a, to_b = groups(*(
+            np.cumsum(side.length[flat[np.repeat(own, n)]]) for side, flat, n in ((self.a, flat_a, n_a), (self.b, flat_b, n_b))
+        ))
+        to_group = np.searchsorted(to_a, np.cumsum(np.where(own, n_a, 0)), "right")
+        size = np.diff(to_group, prepend=0)
+        self.groups_a.add(np.diff(to_a, prepend=0), size)
+        self.groups_b.add(np.diff(to_b, prepend=0), size)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all chunks, how many each text has, and whether its tokens spell it."""
         if len(self.number) > KEPT:
             self.clear()
         parts = [self.cut(t) for t in texts]
-        new = dict.fromkeys(c for own in parts for c in own if c not in self.number)
+        new = dict.fromkeys(filterfalse(self.number.__contains__, chain.from_iterable(parts)))
         if new:
             self.learn(list(new))
-        number = self.number
-        chunk = np.fromiter((number[c] for own in parts for c in own), np.int64)
         size = np.array([len(own) for own in parts], np.int64)
+        chunk = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(size.sum()))
         wrong = np.append(0, np.cumsum(~self.spells[chunk]))
         ends = np.cumsum(size)
         return chunk, size, wrong[ends] == wrong[ends - size]
@@ -266,10 +283,11 @@ class Aligned:
         self.ids_a, own_a = encoder.held_a.take(chunk)
         self.ids_b, own_b = encoder.held_b.take(chunk)
         self.n_a, self.n_b = (np.diff(np.append(0, np.cumsum(own))[chunks_to], prepend=0) for own in (own_a, own_b))
-        self.to_a, self.to_b = groups(np.cumsum(self.a.length[self.ids_a]), np.cumsum(self.b.length[self.ids_b]))
-        self.size_a, self.size_b = np.diff(self.to_a, prepend=0), np.diff(self.to_b, prepend=0)
+        self.size_a, own = encoder.groups_a.take(chunk)
+        self.size_b, _ = encoder.groups_b.take(chunk)
+        self.to_a, self.to_b = np.cumsum(self.size_a), np.cumsum(self.size_b)
         #: Number of the groups up to the end of each text.
-        self.to_group = np.searchsorted(self.to_a, np.cumsum(self.n_a), "left") + 1
+        self.to_group = np.cumsum(own)[chunks_to - 1]
 
     @property
     def n_groups(self) -> np.ndarray:

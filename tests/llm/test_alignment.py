@@ -101,3 +101,16 @@ def test_numbers_come_back_from_their_packed_form():
     small = np.array([1, 254, 255, 256, 1 << 33, 2])
     assert alignment._unpack_small(alignment._pack_small(small), 6).tolist() == small.tolist()
     assert alignment._unpack(alignment._pack(values[:0])).tolist() == alignment._unpack_small(b"", 0).tolist() == []
+
+
+def test_only_new_chunks_are_walked(monkeypatch):
+    own, walked, walk = alignment.Encoder(A, B), [], alignment._walk
+    monkeypatch.setattr(alignment, "_walk", lambda a, b: walked.append(len(a)) or walk(a, b))
+    text = "the same words, unusually tokenised ▁ here"
+    first = alignment.Aligned(own, ["words", text, "the same words", None])
+    seen = sum(walked)
+    again = alignment.Aligned(own, ["the same words", "words", "here the words"] * 50)
+    assert 0 < seen == sum(walked)
+    assert first.row.tolist() == [0, 2] and len(again.row) == 150
+    once = alignment.Aligned(alignment.Encoder(A, B), ["the same words", "words", "here the words"])
+    assert again.hashes() == once.hashes() * 50 and again.n_groups.tolist() == once.n_groups.tolist() * 50
