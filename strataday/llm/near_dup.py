@@ -18,7 +18,9 @@ pairs more than 4.5 standard deviations below the threshold go, every other link
 small node is compared in two passes: first each document with the first and with the most
 alike of those that it may be linked to, then, in nodes where this left likely pairs out, all
 pairs that are still unconnected; the second pass goes along with the first one of the next
-level. Tasks hold one batch and one node at a time.
+level, and each of its pairs is raised in one node only. What a level deals out is kept as a row a document
+with its nodes, so that classes, marks and sketches are joined once a document. Tasks hold one batch and one node
+at a time, and of a node's comparisons some rows.
 Documents with equal sets are one vertex throughout.
 
 Defined results: NULL, empty and blank texts have empty sets and are linked with nothing; texts
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, shuffle_parts, sized, written
-from .components import components
+from .components import stars
 from .texts import LOWER, as_bytes, mix, prefix_sums, shingle_hash, slices, span_hash, words
 
 SHINGLE = 5
@@ -53,9 +55,13 @@ TREES = 16
 #: Odds with which the forests together bring a pair at the similarity 0.75 into one node.
 RECALL = 0.999
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 512
+SMALL = 4096
+#: Rows of a node that are compared with the others at a time.
+BLOCK = 64
 #: Nodes of at most so many documents are compared many at a time, all pairs at once.
 FEW = 8
+#: Bytes of texts worked on at a time; longer texts are a slice of their own. Tables of powers and sums take some 30 times this.
+SLICE = 1 << 19
 #: Ranges of hashes that have a mark, a byte each.
 MARKS = 256
 #: Standard deviations below the similarity of a link at which marks rule a pair out: by the normal
@@ -128,27 +134,76 @@ def _pairs_likely(a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray
     return _likely(np.count_nonzero(a == b, axis=1) - MARKS + used, used, one, two)
 
 
-def _node_likely(marks: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal marks of all pairs of a node, and whether each may be linked."""
-    n = len(marks)
-    some = (marks > 0).astype(np.float32)
+def _node_likely(marks: np.ndarray, size: np.ndarray, at: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal marks of a node's rows from ``at`` to ``end`` with all rows from ``at`` on, and whether each pair may be linked."""
+    rows, own, size = marks[at:], marks[at:end], size[at:]
+    n = len(rows)
+    some = (rows > 0).astype(np.float32)
     full = some.sum(axis=1).astype(np.int64)
-    equal, good = np.empty((n, n), np.int16), np.empty((n, n), bool)
-    for at in range(0, n, 64):
-        own = slice(at, at + 64)
-        used = full[own, None] + full - (some[own] @ some.T).astype(np.int64)
-        # Sums of eight bytes at a time; a byte counts at most MARKS / 8.
-        same = np.stack([(marks == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(n, 8).sum(axis=1) for row in marks[own]])
-        same = same.astype(np.int64) + used - MARKS
-        equal[own], good[own] = same, _likely(same, used, size[own, None], size)
-    return equal, good
+    used = full[: len(own), None] + full - (some[: len(own)] @ some.T).astype(np.int64)
+    # Sums of eight bytes at a time; a byte counts at most MARKS / 8.
+    equal = np.empty((len(own), n), np.int64)
+    for k, row in enumerate(own):
+        equal[k] = (rows == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(n, 8).sum(axis=1)
+    equal += used - MARKS
+    return equal, _likely(equal, used, size[: len(own), None], size)
+
+
+def _node_pairs(marks: np.ndarray, size: np.ndarray, kind: np.ndarray, full: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Likely pairs of different classes of a node: all of them if ``full``, else those of a star cover and of each
+    row with the one most like it; and whether that leaves some out."""
+    n = len(marks)
+    covered, best, most = np.zeros(n, bool), np.full(n, -1), np.full(n, -1)
+    x, y, all_ = [], [], 0
+    for at in range(0, n, BLOCK):
+        equal, good = _node_likely(marks, size, at, at + BLOCK)
+        good &= kind[at : at + BLOCK, None] != kind[at:]
+        good = np.triu(good, 1)
+        if full:
+            i, j = np.nonzero(good)
+            x.append(at + i)
+            y.append(at + j)
+            continue
+        for i in np.flatnonzero(good.any(axis=1)):
+            j = at + np.flatnonzero(good[i])
+            all_ += len(j)
+            alike = equal[i, j - at]
+            better = alike > most[j]
+            best[j[better]], most[j[better]] = at + i, alike[better]
+            top = alike.argmax()
+            if alike[top] > most[at + i]:
+                best[at + i], most[at + i] = j[top], alike[top]
+            if not covered[at + i]:
+                j = j[~covered[j]]
+                covered[j] = True
+                x.append(np.full(len(j), at + i))
+                y.append(j)
+    some = np.flatnonzero(best >= 0)
+    x, y = np.concatenate([*x, np.minimum(some, best[some])]), np.concatenate([*y, np.maximum(some, best[some])])
+    pair = np.unique(x * n + y)
+    return pair // n, pair % n, not full and len(pair) < all_
+
+
+def _first_shared(node: int, x: np.ndarray, y: np.ndarray, also: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) of a node's rows share no lower node, by the nodes that each row has."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    lower = also < node
+    which, code, count = np.unique(also[lower], return_inverse=True, return_counts=True)
+    shared = count > 1
+    has = np.zeros((len(off) - 1, max(1, np.count_nonzero(shared))), bool)
+    has[row[lower][shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]] = True
+    keep = np.ones(len(x), bool)
+    for k in range(0, len(x), 1 << 14):
+        own = slice(k, k + (1 << 14))
+        keep[own] = ~(has[x[own]] & has[y[own]]).any(axis=1)
+    return keep
 
 
 def _sketch(forest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _odd(forest)
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), SLICE):
                 sets = list(_runs(data, off))
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(size)
@@ -175,7 +230,7 @@ def _sketch(forest: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, off in slices(batch.column("text")):
+        for i, j, data, off in slices(batch.column("text"), SLICE):
             sets = [s.view(np.int64) for s in _runs(data, off)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"]
@@ -206,15 +261,18 @@ def _children(node: Column, sketch: str = "sketch") -> Column:
     return F.when(more, F.array(child(one), child(two))).otherwise(F.array(child(one)))
 
 
-def _mixed_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (node, full, doc, class, n, pivot) of the nodes whose documents aren't all connected."""
-    named = rows.join(classes, rows["doc"] == classes["vertex"], "left").select(
-        "node", "full", "doc", F.coalesce("component", "doc").alias("class")
-    )
+def _mixed_nodes(dealt: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, full, doc, class, n) of the nodes whose documents aren't all connected."""
+    def marked(nodes: str, full: bool) -> Column:
+        return F.transform(nodes, lambda node: F.struct(node.alias("node"), F.lit(full).alias("full")))
+
+    named = dealt.join(classes, dealt["doc"] == classes["vertex"], "left").select(
+        "doc", F.coalesce("component", "doc").alias("class"),
+        F.explode(F.concat(marked("nodes", False), marked("fulls", True))).alias("at"),
+    ).select("at.node", "at.full", "doc", "class")
     nodes = named.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"),
-        F.max(F.struct("class", "doc")).alias("pivot"),
-    ).where("lo < hi").select(F.col("node").alias("of"), "n", "pivot")
+        F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    ).where("lo < hi").select(F.col("node").alias("of"), "n")
     return named.join(nodes, F.col("node") == F.col("of")).drop("of")
 
 
@@ -235,14 +293,17 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _pairs_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs (a, b) of different classes within whole nodes: all of them if the node is to be compared in
-    full, else those of a star cover and the nodes (node) where that leaves some out."""
+    """Likely pairs (a, b) of different classes within whole nodes: if the node is to be compared in full, all
+    that no lower such node raises, else those of a star cover and the nodes (node) where that leaves some out."""
     for got in _whole_nodes(batches):
         node, doc, kind, size = (
             np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class", "n_shingles")
         )
         full = got["full"].to_numpy()
         marks = as_bytes(got["marks"])[0].reshape(-1, MARKS)
+        fulls = got["fulls"].combine_chunks()
+        also, at_full = np.asarray(fulls.flatten()), np.zeros(len(node) + 1, np.int64)
+        np.cumsum(np.asarray(fulls.value_lengths().fill_null(0)), out=at_full[1:])
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         count = np.diff(np.append(first, len(node)))
         a, b, more = [], [], []
@@ -258,21 +319,13 @@ def _pairs_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 b.append(j[good])
         for at, n in zip(first[count > FEW], count[count > FEW]):
             own = slice(at, at + n)
-            equal, good = _node_likely(marks[own], size[own])
-            good &= kind[own][:, None] != kind[own]
-            if not full[at]:
-                all_ = np.count_nonzero(good) // 2
-                some = np.flatnonzero(good.any(axis=1))
-                best = np.where(good, equal, -1).argmax(axis=1)
-                covered = np.zeros(n, bool)
-                good = np.triu(good, 1)
-                for i in range(n):
-                    good[i] &= ~covered & (not covered[i])
-                    covered |= good[i]
-                good[np.minimum(some, best[some]), np.maximum(some, best[some])] = True
-                if np.count_nonzero(good) < all_:
-                    more.append(node[at])
-            x, y = np.nonzero(np.triu(good, 1))
+            x, y, open_ = _node_pairs(marks[own], size[own], kind[own], full[at])
+            if open_:
+                more.append(node[at])
+            if full[at]:
+                off = at_full[at : at + n + 1]
+                keep = _first_shared(node[at], x, y, also[off[0] : off[-1]], off - off[0])
+                x, y = x[keep], y[keep]
             a.append(at + x)
             b.append(at + y)
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
@@ -284,9 +337,13 @@ def _pairs_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _small_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs (a, b) of unconnected documents of small nodes that the marks don't rule out, and nodes left open."""
-    small = nodes.where(F.col("n") <= SMALL).join(vertices.select("doc", "marks", "n_shingles"), "doc").select(
-        "node", "full", "doc", "class", "marks", "n_shingles"
+    of_doc = nodes.where(F.col("n") <= SMALL).groupBy("doc").agg(
+        F.min("class").alias("class"), F.collect_list(F.struct("node", "full")).alias("all")
     )
+    fulls = F.transform(F.filter("all", lambda at: at["full"]), lambda at: at["node"])
+    small = of_doc.join(vertices.select("doc", "marks", "n_shingles"), "doc").select(
+        "doc", "class", "marks", "n_shingles", fulls.alias("fulls"), F.explode("all").alias("at")
+    ).select("at.node", "at.full", "doc", "class", "marks", "n_shingles", F.when(F.col("at.full"), F.col("fulls")).alias("fulls"))
     parts = shuffle_parts(nodes.sparkSession)
     return small.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(
         _pairs_of_nodes, "a long, b long, node long"
@@ -302,9 +359,15 @@ def _keep_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(good))
 
 
-def _pivot_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+def _with_pivots(large: DataFrame) -> DataFrame:
+    """Rows of large nodes with (pivot): class and document of one of the node's documents."""
+    pivots = large.groupBy("node").agg(F.max(F.struct("class", "doc")).alias("pivot"))
+    return large.join(pivots, "node")
+
+
+def _pivot_pairs(large: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs of each large node's pivot and the others, as far as the marks don't rule them out."""
-    pairs = nodes.where((F.col("n") > SMALL) & (F.col("class") != F.col("pivot.class"))).select(
+    pairs = _with_pivots(large).where(F.col("class") != F.col("pivot.class")).select(
         F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")
     ).distinct()
     one = vertices.select(F.col("doc").alias("a"), F.col("marks").alias("ma"), F.col("n_shingles").alias("na"))
@@ -330,58 +393,75 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _with_links(links: DataFrame, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far and the classes that they make; the same as before if none was found."""
+    """All links so far and the classes that they make, without the classes' own documents; the same as before
+    if none was found."""
     if found.isEmpty():
         return links, classes
     links = links.unionByName(found)
-    return links, written(components(links), "classes")
+    return links, stars(links).select(F.col("u").alias("vertex"), F.col("v").alias("component"))
 
 
 def _forest(
     docs: DataFrame, vertices: DataFrame, forest: int, links: DataFrame, classes: DataFrame, count: int
 ) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Links and classes with what a forest adds to them, and the rows that each of its levels dealt out.
+    """Links and classes with what a forest adds to them, and the documents that each of its levels dealt out.
 
     ``count``: rows of the documents, which with those of a level bound all tables of a round.
     """
     trees = range(forest * TREES, (forest + 1) * TREES)
     roots = F.flatten(F.array(*[_children(F.lit(-tree - 1).cast("long")) for tree in trees]))
-    levels = [vertices.select("doc", F.explode(roots).alias("node"), F.lit(False).alias("full"))]
-    rows, dealt = levels[0], vertices.count() * TREES * 4 // 3
-    known = docs.sparkSession.createDataFrame([], "a long, b long")
+    dealt = vertices.select("doc", roots.alias("nodes"), F.array().cast("array<long>").alias("fulls"))
+    levels, rows, known = [dealt], vertices.count() * TREES * 4 // 3, None
     while True:
-        with sized(docs.sparkSession, max(dealt, count)):
-            links, classes, known, large, open_ = _level(rows, known, docs, vertices, links, classes)
-            deeper, again = not large.isEmpty(), not open_.isEmpty()
-            if deeper:
-                mixed = _mixed_nodes(large, classes).join(vertices.select("doc", "sketch"), "doc")
-                children = F.explode(_children(F.col("node"))).alias("node")
-                levels.append(written(mixed.select("doc", children, F.lit(False).alias("full")), "rows"))
-        if not deeper and not again:
-            return links, classes, levels
-        rows = levels[-1].unionByName(open_) if deeper and again else levels[-1] if deeper else open_
-        dealt = rows.count()
+        with sized(docs.sparkSession, max(rows, count)):
+            links, classes, known, large, open_ = _level(dealt, known, docs, vertices, links, classes)
+            if large is None and open_ is None:
+                return links, classes, levels
+            dealt = written(_dealt(large, open_, vertices), "dealt")
+        if large is not None:
+            levels.append(dealt.where(F.size("nodes") > 0))
+        rows = dealt.agg(F.sum(F.size("nodes") + F.size("fulls"))).first()[0] or 0
+
+
+def _dealt(large: DataFrame | None, open_: DataFrame | None, vertices: DataFrame) -> DataFrame:
+    """(doc, nodes, fulls) for the next level: the children that a document goes to from its large nodes, and its open nodes."""
+    rows = reduce(DataFrame.unionByName, (r for r in (large, open_) if r is not None))
+    of_doc = rows.groupBy("doc").agg(
+        F.collect_list(F.when(~F.col("full"), F.col("node"))).alias("nodes"),
+        F.collect_list(F.when(F.col("full"), F.col("node"))).alias("fulls"),
+    )
+    if large is None:
+        return of_doc
+    return of_doc.join(vertices.select("doc", "sketch"), "doc").select(
+        "doc", F.flatten(F.transform("nodes", lambda node: _children(node))).alias("nodes"), "fulls"
+    )
 
 
 def _level(
-    rows: DataFrame, known: DataFrame, docs: DataFrame, vertices: DataFrame, links: DataFrame, classes: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Links and classes with what the nodes of a level add to them, the pairs (a, b) that were looked at, (node, full, doc)
-    of the nodes that branch on, and (doc, node, full) of those to be compared in full with the next level.
+    dealt: DataFrame, known: DataFrame | None, docs: DataFrame, vertices: DataFrame, links: DataFrame, classes: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Links and classes with what the nodes of a level add to them, the pairs (a, b) that were looked at, (doc, node, full)
+    of the nodes that branch on, and (doc, node, full) of those to be compared in full with the next level; None if there are none.
 
     ``known``: pairs that the level before looked at; they aren't looked at again.
     """
-    nodes = written(_mixed_nodes(rows, classes), "nodes")
+    nodes = written(_mixed_nodes(dealt, classes), "nodes")
+    large = nodes.where(F.col("n") > SMALL)
     seen = written(_small_pairs(nodes, vertices), "seen")
-    of_small = seen.where(F.col("node").isNull()).select("a", "b")
-    both = of_small.unionByName(_pivot_pairs(nodes, vertices)).distinct()
-    pairs = written(both.join(known, ["a", "b"], "left_anti"), "pairs")
+    left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+    deeper, again = not large.isEmpty(), not left.isEmpty()
+    pairs = seen.where(F.col("node").isNull()).select("a", "b")
+    if deeper:
+        pairs = pairs.unionByName(_pivot_pairs(large, vertices))
+    pairs = pairs.distinct()
+    if known is not None:
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
+    pairs = written(pairs, "pairs")
     if not pairs.isEmpty():
         links, classes = _with_links(links, classes, _links(pairs, docs))
-    left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+    branch = _with_pivots(large).where(F.col("doc") != F.col("pivot.doc")).select("doc", "node", F.lit(False).alias("full"))
     open_ = nodes.join(left, F.col("node") == F.col("of"), "left_semi").select("doc", "node", F.lit(True).alias("full"))
-    large = nodes.where((F.col("n") > SMALL) & (F.col("doc") != F.col("pivot.doc"))).select("node", "full", "doc")
-    return links, classes, pairs, large, open_
+    return links, classes, pairs, branch if deeper else None, open_ if again else None
 
 
 def _unsure(odds: DataFrame, levels: list[DataFrame]) -> DataFrame | None:
@@ -419,13 +499,13 @@ def near_dup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     seen = written(sketches(docs), "sketches")
     key = ["key", "key2"]
-    sets = written(seen.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc")), "set-keys")
-    vertices = written(
-        seen.where("n_shingles > 0").join(sets.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi")
-        .select(F.col("doc_id").alias("doc"), "sketch", "marks", "n_shingles").dropDuplicates(["doc"]), "vertices",
-    )
+    lowest = F.min_by(F.struct(F.col("doc_id").alias("doc"), "sketch", "marks", "n_shingles"), "doc_id").alias("lowest")
+    sets = written(seen.where("n_shingles > 0").groupBy(*key).agg(lowest).select(*key, "lowest.*"), "set-keys")
+    vertices = sets.where(F.col("doc").isNotNull()).drop(*key)
+    if not vertices.groupBy("doc").count().where("count > 1").isEmpty():  # an id with several texts
+        vertices = written(vertices.dropDuplicates(["doc"]), "vertices")
     classes = similar_components(docs, vertices)
-    named = sets.join(classes, F.col("doc") == F.col("vertex"), "left").select(
+    named = sets.select(*key, "doc").join(classes, F.col("doc") == F.col("vertex"), "left").select(
         *key, F.coalesce("component", "doc").alias("component_id")
     )
     empty = seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -75,3 +75,52 @@ def test_a_crowd_at_half_and_large_groups_of_copies(spark, monkeypatch):
     for small in (near_dup.SMALL, 16):
         monkeypatch.setattr(near_dup, "SMALL", small)
         assert {r.doc_id: r.component_id for r in near_dup.near_dup(docs).collect()} == want
+
+
+def _group(rng, n, changed):
+    """Sets of 140 hashes that share a base, of which each has up to so many of its own."""
+    base = mix(rng.integers(1, 1 << 62, 140).astype(np.uint64))
+    own = (mix(rng.integers(1, 1 << 62, rng.integers(0, changed)).astype(np.uint64)) for _ in range(n))
+    return [np.concatenate([o, base[rng.permutation(140)[len(o) :]]]) for o in own]
+
+
+def test_rows_of_a_node_at_a_time_give_all_its_pairs():
+    rng = np.random.default_rng(5)
+    marks, size = _marked(_group(rng, 150, 50))
+    kind = rng.integers(0, 60, 150)
+    good = near_dup._node_likely(marks, size)[1] & (kind[:, None] != kind)
+    x, y, more = near_dup._node_pairs(marks, size, kind, True)
+    assert not more and list(zip(x, y)) == list(zip(*np.nonzero(np.triu(good, 1))))
+    x, y, more = near_dup._node_pairs(marks, size, kind, False)
+    assert more and good[x, y].all() and len(x) < 300
+    assert set(x) | set(y) == set(np.flatnonzero(good.any(axis=1)))
+
+
+def test_documents_just_below_the_threshold_are_raised_in_one_node_only():
+    """Two open nodes with the same documents raise each pair once; a pair of the second one alone is raised there."""
+    rng = np.random.default_rng(6)
+    marks, size = _marked(_group(rng, 40, 30))
+    rows = [(node, doc) for node, docs in ((3, range(39)), (7, range(40))) for doc in docs]
+    at = [doc for _, doc in rows]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([node for node, _ in rows]), pa.array([True] * len(rows)), pa.array(at), pa.array(at),
+        pa.array([marks[i].tobytes() for i in at], pa.binary()), pa.array(size[at]),
+        pa.array([[3, 7] if i < 39 else [7] for i in at], pa.list_(pa.int64())),
+    ], ["node", "full", "doc", "class", "marks", "n_shingles", "fulls"])
+    got = pa.Table.from_batches(near_dup._pairs_of_nodes(iter([batch])))
+    pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+    x, y = np.nonzero(np.triu(near_dup._node_likely(marks, size)[1], 1))
+    assert sorted(pairs) == list(zip(x, y)) and got["node"].null_count == len(got)
+
+
+def test_a_crowd_just_below_the_threshold_ends_in_two_levels(spark, monkeypatch):
+    """Nodes of more than 512 documents that share a base are compared without branching, with classes named once a document."""
+    base, made = passage(3, 60), []
+    texts = [" ".join([*base[:k], f"a{i}", *base[k + 1 : 40], f"b{i}", *base[41:]]) for i, k in enumerate(range(5, 30)) for _ in "x"]
+    texts = [f"{t} c{j}" for j in range(24) for t in texts]
+    mixed = near_dup._mixed_nodes
+    monkeypatch.setattr(near_dup, "_mixed_nodes", lambda dealt, classes: made.append(dealt) or mixed(dealt, classes))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dup.near_dup(docs).select("component_id").distinct().count()
+    assert len(texts) == 600 and len(made) <= 2 and got < 600
+    assert all(dealt.count() == dealt.select("doc").distinct().count() for dealt in made)
