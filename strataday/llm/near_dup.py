@@ -18,7 +18,9 @@ pairs more than 4.5 standard deviations below the threshold go, every other link
 small node is compared in two passes: first each document with the first and with the most
 alike of those that it may be linked to, then, in nodes where this left likely pairs out, all
 pairs that are still unconnected; the second pass goes along with the first one of the next
-level, and each of its pairs is raised in one node only. What a level deals out is kept as a row a document
+level, and each of its pairs is raised in one node only. A node with more than ``CROWD`` such pairs a document makes
+no rows of pairs: its full sets meet in the node, which gives a link for every two classes that it joins. Only a node whose
+sets have more than ``HELD`` hashes gives all its likely pairs as rows. What a level deals out is kept as a row a document
 with its nodes, so that classes, marks and sketches are joined once a document. Tasks hold one batch and one node
 at a time, and of a node's comparisons some rows.
 Documents with equal sets are one vertex throughout.
@@ -31,8 +33,8 @@ otherwise; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from math import comb
 
 import numpy as np
@@ -60,6 +62,10 @@ SMALL = 4096
 BLOCK = 64
 #: Nodes of at most so many documents are compared many at a time, all pairs at once.
 FEW = 8
+#: Pairs a document of a node that are confirmed one by one; nodes with more are compared on full sets in place.
+CROWD = 16
+#: Hashes of a node's sets, repeats included, that a task holds to compare them in place.
+HELD = 1 << 21
 #: Bytes of texts worked on at a time; longer texts are a slice of their own. Tables of powers and sums take some 30 times this.
 SLICE = 1 << 19
 #: Ranges of hashes that have a mark, a byte each.
@@ -149,9 +155,14 @@ def _node_likely(marks: np.ndarray, size: np.ndarray, at: int = 0, end: int | No
     return equal, _likely(equal, used, size[: len(own), None], size)
 
 
-def _node_pairs(marks: np.ndarray, size: np.ndarray, kind: np.ndarray, full: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+def _node_pairs(
+    marks: np.ndarray, size: np.ndarray, kind: np.ndarray, full: bool, first: Callable | None = None, limit: float = np.inf
+) -> tuple[np.ndarray, np.ndarray, bool]:
     """Likely pairs of different classes of a node: all of them if ``full``, else those of a star cover and of each
-    row with the one most like it; and whether that leaves some out."""
+    row with the one most like it; and whether that leaves some out.
+
+    ``first``: which pairs a full node is to look at; above ``limit`` of them it gives none.
+    """
     n = len(marks)
     covered, best, most = np.zeros(n, bool), np.full(n, -1), np.full(n, -1)
     x, y, all_ = [], [], 0
@@ -161,8 +172,13 @@ def _node_pairs(marks: np.ndarray, size: np.ndarray, kind: np.ndarray, full: boo
         good = np.triu(good, 1)
         if full:
             i, j = np.nonzero(good)
-            x.append(at + i)
-            y.append(at + j)
+            i, j = at + i, at + j
+            keep = first(i, j) if first else slice(None)
+            x.append(i[keep])
+            y.append(j[keep])
+            all_ += len(x[-1])
+            if all_ > limit:
+                return best[:0], best[:0], True
             continue
         for i in np.flatnonzero(good.any(axis=1)):
             j = at + np.flatnonzero(good[i])
@@ -199,6 +215,41 @@ def _first_shared(node: int, x: np.ndarray, y: np.ndarray, also: np.ndarray, off
     return keep
 
 
+def _node_links(
+    marks: np.ndarray, size: np.ndarray, kind: np.ndarray, first: Callable, flat: np.ndarray, off: np.ndarray
+) -> tuple[list[int], list[int]]:
+    """Links of a node's rows by their full sets (``flat`` from ``off`` on): one for every two classes that they join.
+
+    ``first``: which pairs of rows the node is to look at.
+    """
+    over, under = SIMILAR
+    code, kind, count = np.unique(flat, return_inverse=True)[1].astype(np.int32), kind.copy(), np.diff(off)
+    inside = np.zeros(len(flat), bool)
+    x, y = [], []
+    for at in range(0, len(marks), BLOCK):
+        good = np.triu(_node_likely(marks, size, at, at + BLOCK)[1], 1)
+        a, b = np.nonzero(good & (kind[at : at + BLOCK, None] != kind[at:]))
+        keep = first(at + a, at + b)
+        a, b = at + a[keep], at + b[keep]
+        for i in np.unique(a):
+            j = b[a == i]
+            j = j[kind[j] != kind[i]]
+            if not len(j):
+                continue
+            own, many = code[off[i] : off[i + 1]], count[j]
+            start = np.cumsum(many) - many
+            theirs = np.repeat(off[j] - start, many) + np.arange(many.sum())
+            inside[own] = True
+            common = np.add.reduceat(inside[code[theirs]], start, dtype=np.int64)
+            inside[own] = False
+            j = j[under * common >= over * (count[i] + count[j] - common)]
+            joined, one = np.unique(kind[j], return_index=True)
+            kind[np.isin(kind, joined)] = kind[i]
+            x += [i] * len(one)
+            y += j[one].tolist()
+    return x, y
+
+
 def _sketch(forest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _odd(forest)
@@ -294,7 +345,8 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _pairs_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likely pairs (a, b) of different classes within whole nodes: if the node is to be compared in full, all
-    that no lower such node raises, else those of a star cover and the nodes (node) where that leaves some out."""
+    that no lower such node raises, else those of a star cover; and the nodes (node, full) where that leaves some out,
+    which full ones do that have too many pairs and can be compared in place."""
     for got in _whole_nodes(batches):
         node, doc, kind, size = (
             np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class", "n_shingles")
@@ -318,25 +370,56 @@ def _pairs_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 a.append(i[good])
                 b.append(j[good])
         for at, n in zip(first[count > FEW], count[count > FEW]):
-            own = slice(at, at + n)
-            x, y, open_ = _node_pairs(marks[own], size[own], kind[own], full[at])
+            own, off = slice(at, at + n), at_full[at : at + n + 1]
+            look = partial(_first_shared, node[at], also=also[off[0] : off[-1]], off=off - off[0])
+            limit = CROWD * n if size[own].sum() <= HELD else np.inf
+            x, y, open_ = _node_pairs(marks[own], size[own], kind[own], full[at], look, limit)
             if open_:
-                more.append(node[at])
-            if full[at]:
-                off = at_full[at : at + n + 1]
-                keep = _first_shared(node[at], x, y, also[off[0] : off[-1]], off - off[0])
-                x, y = x[keep], y[keep]
+                more.append((node[at], full[at]))
             a.append(at + x)
             b.append(at + y)
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        none = lambda n: pa.nulls(n, pa.int64())
+        none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
         columns = [(pa.array(doc[a]), none(len(more))), (pa.array(doc[b]), none(len(more))),
-                   (none(len(a)), pa.array(more, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node"])
+                   (none(len(a)), pa.array([x for x, _ in more], pa.int64())),
+                   (none(len(a), pa.bool_()), pa.array([bool(x) for _, x in more], pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "full"])
+
+
+def _links_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join classes within whole nodes, of the pairs that no lower node in ``fulls`` looks at."""
+    for got in _whole_nodes(batches):
+        node, doc, kind, size = (
+            np.asarray(got[c].combine_chunks()) for c in ("node", "doc", "class", "n_shingles")
+        )
+        marks = as_bytes(got["marks"])[0].reshape(-1, MARKS)
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        a, b = [], []
+        for at, end in zip(first, np.append(first[1:], len(node))):
+            own, part = slice(at, end), got.slice(at, end - at)
+            (also, at_also), (flat, off) = ((np.asarray(z.flatten()), np.append(0, np.cumsum(z.value_lengths())))
+                                            for z in (part[c].combine_chunks() for c in ("fulls", "shingles")))
+            look = partial(_first_shared, node[at], also=also, off=at_also)
+            x, y = _node_links(marks[own], size[own], kind[own], look, flat, off)
+            a += doc[own][x].tolist()
+            b += doc[own][y].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _full_links(nodes: DataFrame, docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of these nodes, by the full sets of their documents."""
+    of_doc = written(nodes.groupBy("doc").agg(F.min("class").alias("class"), F.collect_list("node").alias("fulls")), "crowds")
+    sets = _sets_of(of_doc.select(F.col("doc").alias("id")), docs).withColumnRenamed("doc_id", "doc")
+    full = of_doc.join(vertices.select("doc", "marks", "n_shingles"), "doc").join(sets, "doc").select(
+        F.explode("fulls").alias("node"), "doc", "class", "marks", "n_shingles", "fulls", "shingles"
+    )
+    parts = shuffle_parts(nodes.sparkSession)
+    links = full.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(_links_of_nodes, "a long, b long")
+    return written(links, "full-links")
 
 
 def _small_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) of unconnected documents of small nodes that the marks don't rule out, and nodes left open."""
+    """Pairs (a, b) of unconnected documents of small nodes that the marks don't rule out, and nodes (node, full) left open."""
     of_doc = nodes.where(F.col("n") <= SMALL).groupBy("doc").agg(
         F.min("class").alias("class"), F.collect_list(F.struct("node", "full")).alias("all")
     )
@@ -346,7 +429,7 @@ def _small_pairs(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
     ).select("at.node", "at.full", "doc", "class", "marks", "n_shingles", F.when(F.col("at.full"), F.col("fulls")).alias("fulls"))
     parts = shuffle_parts(nodes.sparkSession)
     return small.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(
-        _pairs_of_nodes, "a long, b long, node long"
+        _pairs_of_nodes, "a long, b long, node long, full boolean"
     )
 
 
@@ -377,11 +460,16 @@ def _pivot_pairs(large: DataFrame, vertices: DataFrame) -> DataFrame:
     )
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids (id)."""
+    needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return shingle_sets(needed).dropDuplicates(["doc_id"])
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that are similar by their full sets."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = written(shingle_sets(needed).dropDuplicates(["doc_id"]), "sets")
+    sets = written(_sets_of(ids, docs), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
@@ -448,7 +536,7 @@ def _level(
     nodes = written(_mixed_nodes(dealt, classes), "nodes")
     large = nodes.where(F.col("n") > SMALL)
     seen = written(_small_pairs(nodes, vertices), "seen")
-    left = seen.where(F.col("node").isNotNull()).select(F.col("node").alias("of"))
+    left, crowds = (seen.where(F.col("full") == full).select(F.col("node").alias("of")) for full in (False, True))
     deeper, again = not large.isEmpty(), not left.isEmpty()
     pairs = seen.where(F.col("node").isNull()).select("a", "b")
     if deeper:
@@ -457,8 +545,11 @@ def _level(
     if known is not None:
         pairs = pairs.join(known, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
-    if not pairs.isEmpty():
-        links, classes = _with_links(links, classes, _links(pairs, docs))
+    found = [] if pairs.isEmpty() else [_links(pairs, docs)]
+    if not crowds.isEmpty():
+        found.append(_full_links(nodes.join(crowds, F.col("node") == F.col("of"), "left_semi"), docs, vertices))
+    if found:
+        links, classes = _with_links(links, classes, reduce(DataFrame.unionByName, found))
     branch = _with_pivots(large).where(F.col("doc") != F.col("pivot.doc")).select("doc", "node", F.lit(False).alias("full"))
     open_ = nodes.join(left, F.col("node") == F.col("of"), "left_semi").select("doc", "node", F.lit(True).alias("full"))
     return links, classes, pairs, branch if deeper else None, open_ if again else None

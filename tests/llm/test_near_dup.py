@@ -124,3 +124,53 @@ def test_a_crowd_just_below_the_threshold_ends_in_two_levels(spark, monkeypatch)
     got = near_dup.near_dup(docs).select("component_id").distinct().count()
     assert len(texts) == 600 and len(made) <= 2 and got < 600
     assert all(dealt.count() == dealt.select("doc").distinct().count() for dealt in made)
+
+
+def _connected(n, x, y, kind):
+    """Lowest row that each row is connected with by the pairs and by equal kinds."""
+    lowest = list(range(n))
+    def top(i):
+        while lowest[i] != i:
+            i = lowest[i]
+        return i
+    same = [(i, kind.tolist().index(k)) for i, k in enumerate(kind.tolist())]
+    for i, j in [*zip(x, y), *same]:
+        lowest[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(n)]
+
+
+def test_a_node_compared_on_full_sets_gives_links_of_its_classes_only():
+    """Exactly the classes that all its links make, by no more links than classes; a pair of a lower node is left to that."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(s) for s in _group(rng, 90, 60)]
+    marks, size = _marked(sets)
+    kind = rng.integers(0, 70, 90)
+    common = np.array([[len(np.intersect1d(s, t)) for t in sets] for s in sets])
+    linked = np.triu(100 * common >= 75 * (size[:, None] + size - common), 1)
+    x, y = np.nonzero(linked)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([5] * 90), pa.array(range(90)), pa.array(kind), pa.array(size),
+        pa.array([m.tobytes() for m in marks], pa.binary()), pa.array([[5]] * 90, pa.list_(pa.int64())),
+        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+    ], ["node", "doc", "class", "n_shingles", "marks", "fulls", "shingles"])
+    got = pa.Table.from_batches(near_dup._links_of_nodes(iter([batch])))
+    a, b = got["a"].to_pylist(), got["b"].to_pylist()
+    assert all(linked[i, j] for i, j in zip(a, b)) and 0 < len(a) < len(set(kind.tolist()))
+    assert _connected(90, a, b, kind) == _connected(90, x, y, kind)
+    lower = batch.set_column(0, "node", pa.array([5] * 90)).set_column(5, "fulls", pa.array([[3, 5]] * 90, pa.list_(pa.int64())))
+    assert sum(map(len, near_dup._links_of_nodes(iter([lower])))) == 0
+
+
+def test_documents_just_below_the_threshold_make_no_rows_of_pairs(spark, monkeypatch):
+    """The rows of pairs grow with the documents of a crowd, not with its square; nodes too large to hold give the same groups."""
+    base, count, links = passage(4, 140), [], near_dup._links
+    # Pairs of a group of three have one shingle more in common: 137 of 181, the others 136 of 182.
+    texts = [" ".join([*base, f"g{i // 3}", *(f"w{i}x{k}" for k in range(22))]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "_links", lambda pairs, docs: count.append(pairs.count()) or links(pairs, docs))
+    for held in (near_dup.HELD, 0):
+        monkeypatch.setattr(near_dup, "HELD", held)
+        count.clear()
+        assert {r.doc_id: r.component_id for r in near_dup.near_dup(docs).collect()} == {i: i - i % 3 for i in range(300)}
+        assert held == 0 or sum(count) < 16 * 300
+    assert sum(count) > 30_000
