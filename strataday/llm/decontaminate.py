@@ -33,6 +33,8 @@ GRAM = 3
 SCORE = 0.5
 #: Items that are sent out at once.
 ITEMS = 20_000
+#: Bytes of texts worked on at a time; workers keep tables of powers for the largest slice.
+SLICE = 1 << 19
 MATCH, OTHER = 2, 1
 _HITS = "array<struct<item:int,score:double,start:int,words:int>>"
 
@@ -158,7 +160,7 @@ def passages(spark: SparkSession, text: Column | str, seeds: Seeds, limit: float
         kind = pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("start", pa.int32()), ("words", pa.int32())]))
         for column in batches:
             out: list[list[dict]] = []
-            for _, _, data, off in slices(column):
+            for _, _, data, off in slices(column, SLICE):
                 for hits in matches(own, *_words(data, off), limit):
                     out.append([dict(zip(("item", "score", "start", "words"), h)) for h in hits])
             yield pa.array(out, kind)

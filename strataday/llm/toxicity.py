@@ -34,6 +34,8 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled texts to learn from, about.
 TRAIN_ROWS = 20_000
+#: Bytes of texts worked on at a time; workers keep tables of powers for the largest slice.
+SLICE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,12 @@ def fit(sets: list[np.ndarray], y: np.ndarray, how: Ftrl = Ftrl()) -> Weights:
         seen[at] += 1
     # One text moves z by 1 at most, so the others stay below the threshold: they are zero anyway.
     can = seen * how.passes > how.l1
-    sets = [at[can[at]] for at in sets]
+    # One array for all texts: thousands of small ones would leave the worker's memory in pieces.
+    many = np.fromiter((np.count_nonzero(can[at]) for at in sets), np.int64, len(sets))
+    flat, ends = np.empty(many.sum(), np.int32), np.cumsum(many)
+    for at, n, end in zip(sets, many, ends):
+        flat[end - n : end] = at[can[at]]
+    sets = np.split(flat, ends[:-1])
     z, n, w = (np.zeros(BUCKETS) for _ in range(3))
     bias, bias_n = 0.0, 1.0
     order = np.random.default_rng(11)
@@ -105,7 +112,7 @@ def _train(how: Ftrl):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, y = [], []
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), SLICE):
                 row, bucket = distinct_in_rows(*features(data, off))
                 sets += np.split(bucket.astype(np.int32), np.searchsorted(row, np.arange(1, j - i)))
             y.append(batch.column("y").to_numpy())
@@ -132,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows:
 
 def score_texts(column: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
     out = []
-    for i, j, data, off in slices(column):
+    for i, j, data, off in slices(column, SLICE):
         row, bucket = features(data, off)
         hit = dense[bucket] != 0
         row, bucket = distinct_in_rows(row[hit], bucket[hit])
