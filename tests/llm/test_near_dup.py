@@ -172,5 +172,4 @@ def test_documents_just_below_the_threshold_make_no_rows_of_pairs(spark, monkeyp
         monkeypatch.setattr(near_dup, "HELD", held)
         count.clear()
         assert {r.doc_id: r.component_id for r in near_dup.near_dup(docs).collect()} == {i: i - i % 3 for i in range(300)}
-        assert held == 0 or sum(count) < 32 * 300
-    assert sum(count) > 30_000
+        assert sum(count) < 32 * 300
