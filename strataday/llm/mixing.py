@@ -21,6 +21,7 @@ separate documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import free_name, written
+from .common import free_name, scratch_path, shuffle_parts, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents in a block, about.
 BLOCK = 8192
+#: Rows with the same number but for so many last bits make a run.
+RUN = 14
 EDGE = 1e-9
 _STATE = "row long, doc_id long, source string, size long, source_size long, target double, whole long, p double, rank long, blocks long, block long"
 
@@ -161,14 +164,26 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns.
 
     The documents are written once with a number for each row, so that rows that share an
-    id, or have none, are told apart without being brought together.
+    id, or have none, are told apart without being brought together. They lie in buckets by
+    runs of these numbers, of which a task has few; the copies of a run come to its
+    bucket as one row, and no text is moved.
     """
+    spark = docs.sparkSession
     # Columns of the documents may have any names.
-    row, copies, copy, id_ = (free_name(docs, c) for c in ("_row", "_copies", "_copy", "_id"))
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    taken = mixed(numbered, row=row).where("copies > 0").select(F.col("row").alias(id_), F.col("copies").alias(copies))
+    row, run, copies, copy, id_ = (free_name(docs, c) for c in ("_row", "_run", "_copies", "_copy", "_id"))
+    name = f"numbered_{uuid.uuid4().hex}"
+    (
+        docs.withColumn(row, F.monotonically_increasing_id()).withColumn(run, F.shiftright(row, RUN))
+        .write.format("parquet").bucketBy(shuffle_parts(spark), run)
+        .option("compression", "zstd").option("path", scratch_path(spark, "numbered")).saveAsTable(name)
+    )
+    numbered = spark.table(name)
+    taken = mixed(numbered, row=row).groupBy(F.shiftright("row", RUN).alias(id_)).agg(
+        F.sort_array(F.collect_list(F.struct("row", F.col("copies").cast("int").alias("copies"))))["copies"].alias(copies)
+    )
+    place = F.col(row).bitwiseAND(F.lit((1 << RUN) - 1)).cast("int")
     return (
-        numbered.join(taken, F.col(row) == F.col(id_))
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+        numbered.join(taken.hint("shuffle_hash"), F.col(run) == F.col(id_))
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.get(copies, place))))
         .select(*[numbered[c] for c in docs.columns])
     )

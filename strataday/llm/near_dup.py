@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, shuffle_parts, sized, written
+from .common import free_name, passing_scratch, scratch_path, shuffle_parts, sized, written
 from .components import stars
 from .texts import LOWER, as_bytes, mix, prefix_sums, shingle_hash, slices, span_hash, words
 
@@ -607,8 +607,14 @@ def near_dup(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with all their columns.
 
-    Rows that repeat an id of a group's document all stay, as does a NULL id.
+    Rows that repeat an id of a group's document all stay, as does a NULL id. The ids that go are
+    written; the tables that led to them are removed.
     """
+    spark = docs.sparkSession
     name = free_name(docs, "_gone")  # columns of the documents may have any names
-    gone = written(near_dup(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)), "gone")
+    path = scratch_path(spark, "gone")
+    with passing_scratch(spark):
+        gone = near_dup(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+        gone.write.parquet(path)
+    gone = spark.read.schema(gone.schema).parquet(path)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

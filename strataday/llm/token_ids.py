@@ -4,11 +4,12 @@ The file format is a Parquet table of blocks, so any storage that Spark writes t
 A block has consecutive documents of one shard: their ids, the concatenated token ids as
 little-endian integers (16 bits where the vocabulary allows, else 32), and the offsets
 between documents as an Elias-Fano sequence. Shards are ranges of doc_id in ascending
-order; within a shard blocks are numbered. A block is closed once it has ``BLOCK_IDS`` ids.
+order; within a shard blocks are numbered, and know the ids in those before. A block is
+closed once it has ``BLOCK_IDS`` ids.
 
 Texts are dealt out by ranges of doc_id once; each task encodes and writes its range. Where
 a document starts in the whole follows from the totals of the shards before it (one row a
-shard) and the block's own offsets.
+shard, sent to the tasks that read) and the block's own numbers: no ids are moved again.
 
 Defined results: NULL and empty texts have the end id only; a NULL doc_id comes first; rows
 that repeat an id stay separate, in order of their texts; very long texts are encoded whole
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from .common import shuffle_parts
 
 BLOCK_IDS = 1 << 20
-BLOCKS = "shard int, block int, n_docs long, n_ids long, width int, doc_ids array<long>, bounds binary, ids binary"
+BLOCKS = "shard int, block int, before long, n_docs long, n_ids long, width int, doc_ids array<long>, bounds binary, ids binary"
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 500_000
 #: Letters of plain texts, and all their characters; controls are left out.
@@ -192,17 +193,17 @@ def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         kind = "<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(lengths)]))
-            values = [shard, block, len(ids), int(lengths.sum()), int(kind[-1]), doc_ids, bounds, np.concatenate(ids).astype(kind).tobytes()]
+            values = [shard, block, before, len(ids), int(lengths.sum()), int(kind[-1]), doc_ids, bounds, np.concatenate(ids).astype(kind).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         names = [c.split()[0] for c in BLOCKS.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(i, TEXTS)
@@ -212,7 +213,7 @@ def _blocks(path: str, end_id: int):
                     size += len(own) + 1
                     if size >= BLOCK_IDS:
                         yield close()
-                        doc_ids, ids, size, block = [], [], 0, block + 1
+                        doc_ids, ids, size, block, before = [], [], 0, block + 1, before + size
         if ids:
             yield close()
 
@@ -235,13 +236,9 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # One row a shard, whose number is the number of write tasks.
-    before = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_base"))
-    small = blocks.select("shard", "block", "n_ids")
-    inside = F.sum("n_ids").over(W.partitionBy("shard").orderBy("block")) - F.col("n_ids")
-    bases = small.withColumn("inside", inside).join(before, "shard").select(
-        "shard", "block", (F.col("inside") + F.col("shard_base")).alias("base")
-    )
-    return blocks.join(bases, ["shard", "block"])
+    bases = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_base"))
+    based = blocks.join(F.broadcast(bases), "shard")
+    return based.withColumn("base", F.col("shard_base") + F.col("before")).drop("shard_base", "before")
 
 
 def _documents(digest):
