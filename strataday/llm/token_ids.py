@@ -21,8 +21,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -135,31 +137,43 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int64)
+        # A piece that is new takes the next number as it is asked for.
+        self.place = defaultdict(count().__next__)
+        self.start, self.length, self.flat = (np.zeros(0, np.int32) for _ in range(3))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, unknown: set[str], asked: list[str]) -> None:
-        """Look up the unknown pieces; with too many held, only those asked for now stay."""
-        if len(self.place) + len(unknown) > REMEMBERED:
+    def places(self, asked: list[str]) -> np.ndarray:
+        """Numbers of the pieces, whose ids are then held; with too many held, only those asked for now stay."""
+        known = len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, asked), np.int64, len(asked))
+        if known and len(self.place) > max(known, REMEMBERED):
             self.forget()
-            unknown = set(asked)
-        plain, other = [], []
-        for w in unknown:
-            (plain if PLAIN(w) else other).append(w)
-        look = self.model.tokenize
-        lists = [[t.id for t in look(w if w.isascii() else _byte_letters(w))] for w in map(str.lower, plain)]
-        lists += self._ids(other) if other else []
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        base = len(self.place)
-        self.place.update(zip(plain + other, range(base, base + len(length))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        new = np.fromiter((i for ids in lists for i in ids), np.int64, int(length.sum()))
-        self.flat = np.concatenate([self.flat, new])
+            return self.places(asked)
+        try:
+            self.learn([*islice(reversed(self.place), len(self.place) - known)][::-1])
+        except BaseException:
+            self.forget()
+            raise
+        return at
+
+    def learn(self, unknown: list[str]) -> None:
+        """Look up the ids of pieces that have just been numbered, in that order."""
+        if not unknown:
+            return
+        other = [w for w in unknown if not PLAIN(w)]
+        whole, look = dict(zip(other, self._ids(other))) if other else {}, self.model.tokenize
+        lists = [
+            whole[w] if w in whole else [t.id for t in look(w if w.isascii() else _byte_letters(w))]
+            for w in (w if w in whole else w.lower() for w in unknown)
+        ]
+        length = np.fromiter(map(len, lists), np.int32, len(lists))
+        start = np.cumsum(length, dtype=np.int32) - length + np.int32(len(self.flat))
+        new = np.fromiter((i for ids in lists for i in ids), np.int32, int(length.sum()))
+        self.start, self.length, self.flat = (
+            np.concatenate(both) for both in ((self.start, start), (self.length, length), (self.flat, new))
+        )
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -169,12 +183,9 @@ class WordEncoder:
             for t in texts
         ]
         flat = [w for pieces in split for w in pieces]
-        unknown = set(flat).difference(self.place)
-        if unknown:
-            self.learn(unknown, flat)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        at = self.places(flat)
         length, start = self.length[at], self.start[at]
-        ends = np.concatenate([[0], np.cumsum(length)])
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
         ids = self.flat[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
         cuts = ends[np.cumsum([0, *map(len, split)])]
         out = [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:])]

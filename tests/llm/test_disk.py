@@ -113,3 +113,17 @@ def test_passing_tables_go_also_when_it_fails(spark):
         1 / 0
     exists = lambda path: os.path.exists(path.removeprefix("file:"))
     assert exists(kept) and not exists(inner) and spark.read.parquet(kept).count() == 3
+
+
+def test_pieces_are_numbered_as_they_come_and_forgotten_when_too_many(monkeypatch):
+    monkeypatch.setattr(token_ids, "REMEMBERED", 40)
+    encoder = token_ids.WordEncoder(WORDS)
+    some = [" ".join(passage(k, 12)) + " Don't 12 漢é" for k in range(30)]
+    for k in range(0, 30, 3):
+        got = [ids.tolist() for ids in encoder.encode(some[k : k + 3])]
+        assert got == [encoder.library.encode(t, add_special_tokens=False).ids for t in some[k : k + 3]]
+        assert list(encoder.place.values()) == list(range(len(encoder.start))) and len(encoder.place) < 80
+    with monkeypatch.context() as broken, pytest.raises(ZeroDivisionError):
+        broken.setattr(encoder, "_ids", lambda texts: 1 / 0)
+        encoder.encode(["new 漢漢"])
+    assert encoder.encode(["new 漢漢"])[0].tolist() == encoder.library.encode("new 漢漢", add_special_tokens=False).ids
